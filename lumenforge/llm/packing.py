@@ -57,7 +57,7 @@ def token_words(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Token ids of whole texts. Each different word goes through the tokenizer once, then comes from a bounded cache."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -106,6 +106,16 @@ class Encoder:
         return ids, upto[np.searchsorted(starts, bounds)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder and cache for all tasks of a worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -118,11 +128,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in vectext.pieces(texts, 1_000_000):
-                ids, bounds = encoder.encode(texts[begin:end])
+            for begin, end in vectext.pieces(texts, 400_000):
+                ids, bounds = own_encoder.encode(texts[begin:end])
                 doc, piece, start, length, crc = [], [], [], [], []
                 for i in range(end - begin):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")

@@ -81,7 +81,7 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def pieces(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list, most: int = 800_000) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive parts of ``texts`` with about ``most`` characters each; a longer text stands alone."""
     begin = total = 0
     for i, t in enumerate(texts):
