@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm import exact_dedup, langid, media, mixing, packing, sharding, url_filter
+from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, sharding, url_filter
 from lumenforge.sources.tables import table
 
 
@@ -19,6 +19,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_media, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op10_exact_dedup)}
 
 _MIX_SQL = r"""
 WITH rows AS (
