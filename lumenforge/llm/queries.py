@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, sharding, url_filter
+from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, pii, sharding, url_filter
 from lumenforge.sources.tables import table
 
 
@@ -44,11 +44,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), key="op9")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup)}
 
 _MIX_SQL = r"""
 WITH rows AS (
