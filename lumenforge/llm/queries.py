@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, pii, sharding, url_filter
+from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, pii, sharding, suffix_dedup, url_filter
 from lumenforge.sources.tables import table
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup)}
 
 _MIX_SQL = r"""
 WITH rows AS (
