@@ -2,8 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def conv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units bound to conversations: a paper is a conversation, a unit its turn, the tag its first 80 characters."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(
+        F.col("role").alias("granularity"), F.col("conv_id").alias("paper"), F.col("turn").alias("unit"),
+        F.substring("text", 1, 80).alias("tag"), F.col("text"),
+        F.coalesce(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("prev_relation"),
+        F.coalesce(F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("next_relation"),
+    )
+
+
+def part_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units bound to parts: a paper is a brand, a unit a part, the tag its name (few distinct, many ties)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.lit("part").alias("granularity"), F.col("p_brand").alias("paper"), F.col("p_partkey").alias("unit"), F.col("p_name").alias("tag"))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and proposition arguments of one graph per nation.
+
+    Entities are the nation's customers and suppliers; an order is a proposition about its customer,
+    a line item one about its order and its supplier.
+    """
+    customer, orders, line, supplier = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier"))
+    entities = customer.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
+    entities = entities.unionByName(supplier.select(F.col("s_nationkey").alias("paper"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("kind")))
+    owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    first = owned.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate"), F.array(F.concat(F.lit("c"), "c_custkey")).alias("args"))
+    lines = line.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
+    second = lines.select(F.col("c_nationkey").alias("paper"), F.concat_ws("-", F.concat(F.lit("l"), "l_orderkey"), "l_linenumber").alias("id"), F.col("l_returnflag").alias("predicate"), F.array(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("s"), "l_suppkey")).alias("args"))
+    return entities, first.unionByName(second)
