@@ -8,9 +8,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Words without content. Fixed values.
-STOPWORDS = tuple("a an and are as at be been being but by can could did do does for from had has have how in into is it its may more most not of on or our over such than that the their then there these they this those to was we were what when which while who will with would you".split())
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these",
+    "those", "with", "as", "by", "we", "our", "it", "its", "which", "from", "at", "also", "can", "could", "have", "has", "had", "not", "but", "such",
+    "using", "use", "used", "based", "other", "more", "most", "one", "two", "three", "between", "both", "than", "into", "how", "what", "each", "their", "they", "them",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -29,8 +34,8 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("ratio double")
-def _ratio_frame(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(DoubleType())
+def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         out, matcher, last = [], SequenceMatcher(None), None
         for x, y in zip(a, b):
@@ -39,15 +44,15 @@ def _ratio_frame(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
                 last = y
             matcher.set_seq1(x)
             out.append(matcher.ratio())
-        yield pd.DataFrame({"ratio": out})
+        yield pd.Series(out, dtype=float)
 
 
 def ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of the lower-cased strings; not symmetric."""
-    return _ratio_frame(F.lower(a), F.lower(b))["ratio"]
+    return _ratios(F.lower(a), F.lower(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rounded(x: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else round(float(v), int(k)) for v, k in zip(x, n)])
 

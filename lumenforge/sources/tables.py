@@ -27,17 +27,21 @@ def part_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.lit("part").alias("granularity"), F.col("p_brand").alias("paper"), F.col("p_partkey").alias("unit"), F.col("p_name").alias("tag"))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and proposition arguments of one graph per nation.
+def region_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and propositions of one graph per region.
 
-    Entities are the nation's customers and suppliers; an order is a proposition about its customer,
-    a line item one about its order and its supplier.
+    Entities are its nations. For each market segment of a nation's customers there is a proposition
+    about the nation; for each way that line items came back, one about a segment and the supplier's nation.
     """
-    customer, orders, line, supplier = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier"))
-    entities = customer.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
-    entities = entities.unionByName(supplier.select(F.col("s_nationkey").alias("paper"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("kind")))
-    owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    first = owned.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate"), F.array(F.concat(F.lit("c"), "c_custkey")).alias("args"))
-    lines = line.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
-    second = lines.select(F.col("c_nationkey").alias("paper"), F.concat_ws("-", F.concat(F.lit("l"), "l_orderkey"), "l_linenumber").alias("id"), F.col("l_returnflag").alias("predicate"), F.array(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("s"), "l_suppkey")).alias("args"))
+    customer, orders, line, supplier, nation = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier", "nation"))
+    entities = nation.select(F.col("n_regionkey").alias("paper"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("kind"))
+    home = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("paper"))
+    away = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("s_region"))
+    buyers = customer.join(home, "c_nationkey")
+    segment = F.concat_ws("-", F.concat(F.lit("m"), "c_nationkey"), "c_mktsegment")
+    first = buyers.select("paper", segment.alias("id"), F.col("c_mktsegment").alias("predicate"), F.array(F.concat(F.lit("n"), "c_nationkey")).alias("args")).distinct()
+    sold = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    sold = sold.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(away, "s_nationkey").filter("paper = s_region")
+    kinds = sold.select("paper", segment.alias("m"), F.col("l_returnflag").alias("predicate"), F.concat(F.lit("n"), "s_nationkey").alias("n")).distinct()
+    second = kinds.select("paper", F.concat_ws("-", "m", "n", "predicate").alias("id"), "predicate", F.array("m", "n").alias("args"))
     return entities, first.unionByName(second)
