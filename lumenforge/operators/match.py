@@ -34,7 +34,6 @@ def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
     pairs = spread_join(tags, offers, ["granularity"]).withColumn("shared", shared)
     pairs = pairs.withColumn("total", F.size("words") + F.size("dst_words") - F.col("shared"))
     pairs = pairs.withColumn("score", F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(F.lit(0.0)))
-    # one more than k: the unit's own paper is no other paper, but each partition is one paper anyway
     rk = F.row_number().over(Window.partitionBy("granularity", "tag", "dst_paper").orderBy(F.desc("score"), "dst_unit"))
     best = pairs.select("granularity", "tag", "dst_paper", "dst_unit", "shared", "total", "score").withColumn("rk", rk).filter(F.col("rk") <= k)
     out = units.select("granularity", "paper", "unit", "tag").join(best, ["granularity", "tag"]).filter(F.col("paper") != F.col("dst_paper"))
@@ -76,8 +75,7 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str)
 def similarity_links(units: DataFrame, k: int = 3, threshold: float = 0.45) -> DataFrame:
     """The whole text similarity in place of Jaccard: top-k, mutual, rounded to three digits, then cut.
 
-    Distinct tags are scored once, in both directions as the ratio is not symmetric; a pair goes to
-    Python only where the ratio could still matter after its upper bound by lengths.
+    Distinct tags are scored once, in both directions as the ratio is not symmetric.
     """
     tags = units.select("granularity", "tag").distinct()
     offers = units.select("granularity", F.col("paper").alias("dst_paper"), F.col("tag").alias("dst_tag"), F.col("unit").alias("dst_unit"))
