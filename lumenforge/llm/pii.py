@@ -15,8 +15,24 @@ MALE = ("Adam", "Albert", "Andreas", "Antoine", "Carlos", "Daniel", "David", "Di
 FEMALE = ("Alice", "Amélie", "Ana", "Anna", "Barbara", "Carmen", "Chloé", "Claire", "Clara", "Elena", "Elizabeth", "Emma", "Eva", "Greta", "Hanna", "Heidi", "Ingrid", "Isabel", "Jane", "Jennifer", "Julia", "Karin", "Laura", "Linda", "Lucía", "Maria", "Marie", "Marta", "Mary", "Monika", "Olivia", "Patricia", "Petra", "Rosa", "Sabine", "Sarah", "Sofía", "Sophie", "Susan", "Ursula")
 #: Family names for surrogates. Fixed values.
 FAMILY = ("Albrecht", "Baker", "Bauer", "Becker", "Bernard", "Brown", "Castillo", "Clark", "Cooper", "Dubois", "Durand", "Evans", "Fischer", "Fontaine", "García", "Hartmann", "Herrera", "Hoffmann", "Hughes", "Jackson", "Keller", "Lambert", "Laurent", "Lopez", "Martin", "Mercier", "Meyer", "Morales", "Moreno", "Navarro", "Parker", "Richter", "Romero", "Rousseau", "Schmidt", "Taylor", "Turner", "Vogel", "Walker", "Weber")
+#: Given names by gender and family names that don't tell one, for names in other scripts. Fixed values.
+SCRIPTS = {
+    "Cyrillic": {
+        "m": ("Алексей", "Андрей", "Борис", "Виктор", "Дмитрий", "Иван", "Максим", "Михаил", "Николай", "Павел", "Пётр", "Сергей"),
+        "f": ("Анна", "Вера", "Галина", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга", "Светлана", "Софья", "Татьяна"),
+        "family": ("Бондаренко", "Гончаренко", "Коваль", "Кравчук", "Левченко", "Марченко", "Мельник", "Петренко", "Романюк", "Савчук", "Ткачук", "Шевченко"),
+        "letters": "АБВГДЕЗИКЛМНОПРСТУФХЭЮЯ",
+    },
+    "Greek": {
+        "m": ("Αλέξανδρος", "Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Παύλος", "Πέτρος", "Σπύρος", "Στέλιος", "Χρήστος"),
+        "f": ("Αγγελική", "Αικατερίνη", "Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ειρήνη", "Ελένη", "Μαρία", "Σοφία", "Φωτεινή", "Χριστίνα"),
+        "family": ("Αθανασίου", "Αντωνίου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Θεοδώρου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου", "Οικονόμου", "Παπαγεωργίου", "Χρήστου"),
+        "letters": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    },
+}
+GIVEN = {g: latin + tuple(n for s in SCRIPTS.values() for n in s[g]) for g, latin in (("m", MALE), ("f", FEMALE))}
 #: Titles that tell a gender, and titles that don't. Fixed values.
-TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Doña"), "n": ("Dr", "Prof")}
+TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Doña", "Госпожа", "Κυρία"), "n": ("Dr", "Prof")}
 #: Words before an assigned secret. Fixed values.
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
 
@@ -30,11 +46,11 @@ PATTERNS = (
     ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("card", r"(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![\w-]|\.[0-9])"),
-    ("name", rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[  ]{_CAP}(?:[  ]{_CAP})?|(?=\p{{Lu}})(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE)})[  ]{_CAP}(?![\p{{L}}])"),
+    ("name", rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[  ]{_CAP}(?:[  ]{_CAP})?|(?=\p{{Lu}})(?<![\p{{L}}])(?:{'|'.join(GIVEN['m'] + GIVEN['f'])})[  ]{_CAP}(?![\p{{L}}])"),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A byte or letter that any entity holds: rows without one are passed through.
-SUSPECT = r"[0-9@=:]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *MALE, *FEMALE)) + ")"
+SUSPECT = r"[0-9@=:]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *GIVEN["m"], *GIVEN["f"])) + ")"
 
 
 #: The country code of a phone number, where something parts it from the rest.
@@ -98,7 +114,7 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
 
     Mail keeps the shape of its local part and moves to example.net; phones keep their country code,
     cards their first digit and their spaces; addresses of the net stay inside 10.0.0.0/8 with equal
-    widths given up; names keep title and gender, and get a middle initial after a collision.
+    widths given up; names keep title, gender and script (Latin, Cyrillic or Greek), and get a middle initial after a collision.
     """
     local, octet = F.substring_index(entity, "@", 1), lambda at: F.pmod(F.conv(F.substring(digest, at, 6), 16, 10).cast("int"), F.lit(256)).cast("string")
     mail = F.concat(_keep_shape(F.lower(local), digest), F.substring(digest, 97, 6), F.lit("@example.net"))
@@ -108,12 +124,17 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
     title = F.regexp_extract(entity, rf"^((?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[  ])", 1)
     given = F.regexp_extract(F.substr(entity, F.length(title) + 1), r"^([^  ]+)[  ]", 1)
     word = F.regexp_replace(F.trim(title), r"[.  ]", "")
-    woman = word.isin(*TITLES["f"]) | (~word.isin(*TITLES["m"]) & given.isin(*FEMALE))
-    man = word.isin(*TITLES["m"]) | given.isin(*MALE)
-    either = F.when(woman, _pick(FEMALE, digest, 1)).when(man, _pick(MALE, digest, 1)).otherwise(_pick(MALE + FEMALE, digest, 1))
-    middle = F.when(attempt > 0, F.concat(F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(attempt * 7 + F.length(entity), F.lit(26)) + 1, F.lit(1)), F.lit(". "))).otherwise("")
-    middle = F.when(attempt > 3, F.concat(middle, _pick(FAMILY, digest, 40), F.lit("-"))).otherwise(middle)
-    name = F.concat(title, F.when(given != "", F.concat(either, F.lit(" "))).otherwise(""), middle, _pick(FAMILY, digest, 20))
+    woman = word.isin(*TITLES["f"]) | (~word.isin(*TITLES["m"]) & given.isin(*GIVEN["f"]))
+    man = word.isin(*TITLES["m"]) | given.isin(*GIVEN["m"])
+
+    def full_name(m: tuple[str, ...], f: tuple[str, ...], family: tuple[str, ...], letters: str) -> Column:
+        either = F.when(woman, _pick(f, digest, 1)).when(man, _pick(m, digest, 1)).otherwise(_pick(m + f, digest, 1))
+        middle = F.when(attempt > 0, F.concat(F.substr(F.lit(letters), F.pmod(attempt * 7 + F.length(entity), F.lit(len(letters))) + 1, F.lit(1)), F.lit(". "))).otherwise("")
+        middle = F.when(attempt > 3, F.concat(middle, _pick(family, digest, 40), F.lit("-"))).otherwise(middle)
+        return F.concat(title, F.when(given != "", F.concat(either, F.lit(" "))).otherwise(""), middle, _pick(family, digest, 20))
+
+    bare = F.substr(entity, F.length(title) + 1)
+    name = F.when(bare.rlike(r"\p{IsCyrillic}"), full_name(**SCRIPTS["Cyrillic"])).when(bare.rlike(r"\p{IsGreek}"), full_name(**SCRIPTS["Greek"])).otherwise(full_name(MALE, FEMALE, FAMILY, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex_shape(entity, digest)).when(entity.rlike("^(AKIA|ASIA)"), _keep_shape(entity, digest, 4)).otherwise(_keep_shape(entity, digest))
     return (
         F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(1), octet(9), octet(17))).when(kind == "phone", phone)

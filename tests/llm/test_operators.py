@@ -247,3 +247,14 @@ def test_surrogates_stay_distinct(spark):
     rows = [("phone", f"+1 (555) 01{i:02d}-000{i % 10}") for i in range(100)] + [("name", f"Mr {a}{b}{c}") for a in "ABCDEFGH" for b in "aeiou" for c in "lmnr"]
     table = pii.replacements(spark.createDataFrame(rows, "kind string, entity string"), key="k").collect()
     assert len(table) == len(rows) == len({(r.kind, r.surrogate) for r in table})
+
+
+def test_names_keep_their_script_and_gender(spark):
+    texts = ["Госпожа Ирина Соколова и Господин Волков", "Κυρία Ελένη Παππά", "Mrs Jane Stone", "Иван Соколов"]
+    got = {r.doc_id: r.text for r in pii.replace_pii(make(spark, texts), key="k").collect()}
+    cyrillic, greek = pii.SCRIPTS["Cyrillic"], pii.SCRIPTS["Greek"]
+    first, second = got[0].split(" и ")
+    assert first.split()[0] == "Госпожа" and first.split()[1] in cyrillic["f"] and first.split()[-1] in cyrillic["family"]
+    assert second.split()[0] == "Господин" and second.split()[-1] in cyrillic["family"]
+    assert got[1].split()[1] in greek["f"] and got[1].split()[-1] in greek["family"]
+    assert got[2].split()[1] in pii.FEMALE and got[3].split()[0] in cyrillic["m"]
