@@ -40,7 +40,7 @@ _CAP = r"\p{Lu}[\p{L}'’-]+"
 #: Types in order of precedence; each pattern is one alternative and has no capturing group.
 PATTERNS = (
     ("email", r"(?<![\w.+%-])[\w.+%-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w@-])"),
-    ("secret", rf"(?<=[:=\"' \t])(?i:(?<=\b(?:{'|'.join(SECRET_WORDS)})[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?))[A-Za-z0-9_+/=.-]{{8,128}}|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?:ghp|gho|ghs|sk|xox[abp])[_-][A-Za-z0-9_-]{{16,80}}\b"),
+    ("secret", rf"(?<=[:=\"' \t])(?i:(?<=\b(?:{'|'.join(SECRET_WORDS)})[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?))[A-Za-z0-9_+/=.-]{{8,}}+|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?:ghp|gho|ghs|sk|xox[abp])[_-][A-Za-z0-9_-]{{16,}}+"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"),
     ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w])"),

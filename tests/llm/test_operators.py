@@ -258,3 +258,18 @@ def test_names_keep_their_script_and_gender(spark):
     assert second.split()[0] == "Господин" and second.split()[-1] in cyrillic["family"]
     assert got[1].split()[1] in greek["f"] and got[1].split()[-1] in greek["family"]
     assert got[2].split()[1] in pii.FEMALE and got[3].split()[0] in cyrillic["m"]
+
+
+def test_secrets_are_replaced_to_their_end(spark):
+    rng = random.Random(7)
+    draw = lambda n: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=n))
+    keys = [word + draw(n) for n in (20, 164, 200, 2000) for word in ("sk-", "ghp_")] + ["sk_" + draw(24) + "-"]
+    assigned = [draw(n) for n in (128, 129, 200, 2000)]
+    secrets, texts = keys + assigned, [f"see 1 {s} now" for s in keys] + [f"token = {s} now" for s in assigned]
+    got = {r.doc_id: r for r in pii.replace_pii(make(spark, texts), key="k").collect()}
+    for i, (text, secret) in enumerate(zip(texts, secrets)):
+        before, after = text.split(secret)
+        assert got[i].n_entities == 1 and got[i].kinds == ["secret"]
+        assert got[i].text.startswith(before) and got[i].text.endswith(after) and len(got[i].text) == len(text)
+        body = got[i].text[len(before) : len(got[i].text) - len(after)]
+        assert not any(secret[j : j + 12] in body for j in range(len(secret) - 11))
