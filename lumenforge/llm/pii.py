@@ -50,7 +50,7 @@ PATTERNS = (
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A byte or letter that any entity holds: rows without one are passed through.
-SUSPECT = r"[0-9@=:]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *GIVEN["m"], *GIVEN["f"])) + ")"
+SUSPECT = r"[0-9@=:]|\b(?:AKIA|ASIA)|\b(?:ghp|gho|ghs|sk|xox[abp])[_-]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *GIVEN["m"], *GIVEN["f"])) + ")"
 
 
 #: The country code of a phone number, where something parts it from the rest.

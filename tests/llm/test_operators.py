@@ -273,3 +273,13 @@ def test_secrets_are_replaced_to_their_end(spark):
         assert got[i].text.startswith(before) and got[i].text.endswith(after) and len(got[i].text) == len(text)
         body = got[i].text[len(before) : len(got[i].text) - len(after)]
         assert not any(secret[j : j + 12] in body for j in range(len(secret) - 11))
+
+
+def test_prefilter_passes_entities_of_letters_only(spark):
+    letters = "abcdefghijklmnopqrstuvwx"
+    entities = [f"{p}{sep}{letters}" for p in ("ghp", "gho", "ghs", "sk", "xoxa", "xoxb", "xoxp") for sep in "_-"] + [p + "ABCDEFGHIJKLMNOP" for p in ("AKIA", "ASIA")]
+    entities += ["x@mail.example", "token=abcdefgh", "secret: abcdefgh"] + [f"{t} Xu" for ts in pii.TITLES.values() for t in ts] + [f"{g} Xu" for gs in pii.GIVEN.values() for g in gs]
+    texts = [f"use {e} here" for e in entities]
+    got = {r.doc_id: r for r in pii.replace_pii(make(spark, texts), key="k").collect()}
+    for i, text in enumerate(texts):
+        assert got[i].n_entities == 1 and got[i].text != text and (i >= 16 or entities[i][5:] not in got[i].text)
