@@ -21,13 +21,11 @@ SCRIPTS = {
         "m": ("Алексей", "Андрей", "Борис", "Виктор", "Дмитрий", "Иван", "Максим", "Михаил", "Николай", "Павел", "Пётр", "Сергей"),
         "f": ("Анна", "Вера", "Галина", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга", "Светлана", "Софья", "Татьяна"),
         "family": ("Бондаренко", "Гончаренко", "Коваль", "Кравчук", "Левченко", "Марченко", "Мельник", "Петренко", "Романюк", "Савчук", "Ткачук", "Шевченко"),
-        "letters": "АБВГДЕЗИКЛМНОПРСТУФХЭЮЯ",
     },
     "Greek": {
         "m": ("Αλέξανδρος", "Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Παύλος", "Πέτρος", "Σπύρος", "Στέλιος", "Χρήστος"),
         "f": ("Αγγελική", "Αικατερίνη", "Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ειρήνη", "Ελένη", "Μαρία", "Σοφία", "Φωτεινή", "Χριστίνα"),
         "family": ("Αθανασίου", "Αντωνίου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Θεοδώρου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου", "Οικονόμου", "Παπαγεωργίου", "Χρήστου"),
-        "letters": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     },
 }
 GIVEN = {g: latin + tuple(n for s in SCRIPTS.values() for n in s[g]) for g, latin in (("m", MALE), ("f", FEMALE))}
@@ -105,6 +103,18 @@ def _hex_shape(entity: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), F.pmod(_nibble(digest, i), F.lit(16)) + 1, F.lit(1))).otherwise(c)), "")
 
 
+def _longer(text: Column, digest: Column, attempt: Column, digits: bool = False) -> Column:
+    """``text`` with one more place from the digest for each attempt after the fourth, so that no pool runs out."""
+    tail = F.substr(digest, F.lit(33), F.greatest(attempt - 3, F.lit(0)))
+    return F.concat(text, F.translate(tail, "abcdef", "012345") if digits else tail)
+
+
+def _compose(names: tuple[str, ...], digest: Column, attempt: Column) -> Column:
+    """One of ``names`` in the first two attempts, then as many as the attempt, joined by hyphens."""
+    one = lambda i: F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substr(digest, i * 6 + 1, F.lit(6)), 16, 10).cast("int"), F.lit(len(names))) + 1)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.greatest(attempt, F.lit(1)), F.lit(21)) - 1), one), "-")
+
+
 def _pick(names: tuple[str, ...], digest: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, at, 6), 16, 10).cast("int"), F.lit(len(names))) + 1)
 
@@ -114,47 +124,52 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
 
     Mail keeps the shape of its local part and moves to example.net; phones keep their country code,
     cards their first digit and their spaces; addresses of the net stay inside 10.0.0.0/8 with equal
-    widths given up; names keep title, gender and script (Latin, Cyrillic or Greek), and get a middle initial after a collision.
+    widths given up; names keep title, gender and script (Latin, Cyrillic or Greek). The pool grows with the
+    attempt: family names are composed, addresses move to 240.0.0.0/4 and then fd00::/8, the rest gets longer.
     """
     local, octet = F.substring_index(entity, "@", 1), lambda at: F.pmod(F.conv(F.substring(digest, at, 6), 16, 10).cast("int"), F.lit(256)).cast("string")
-    mail = F.concat(_keep_shape(F.lower(local), digest), F.substring(digest, 97, 6), F.lit("@example.net"))
+    mail = F.concat(_keep_shape(F.lower(local), digest), F.substr(digest, F.lit(97), F.least(attempt + 6, F.lit(32))), F.lit("@example.net"))
     country = F.regexp_extract(entity, COUNTRY, 1)
     rest = F.substr(entity, F.length(country) + 1)
-    phone = F.concat(country, _keep_shape(rest, digest))
+    phone = _longer(F.concat(country, _keep_shape(rest, digest)), digest, attempt, digits=True)
     title = F.regexp_extract(entity, rf"^((?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[  ])", 1)
     given = F.regexp_extract(F.substr(entity, F.length(title) + 1), r"^([^  ]+)[  ]", 1)
     word = F.regexp_replace(F.trim(title), r"[.  ]", "")
     woman = word.isin(*TITLES["f"]) | (~word.isin(*TITLES["m"]) & given.isin(*GIVEN["f"]))
     man = word.isin(*TITLES["m"]) | given.isin(*GIVEN["m"])
 
-    def full_name(m: tuple[str, ...], f: tuple[str, ...], family: tuple[str, ...], letters: str) -> Column:
+    def full_name(m: tuple[str, ...], f: tuple[str, ...], family: tuple[str, ...]) -> Column:
         either = F.when(woman, _pick(f, digest, 1)).when(man, _pick(m, digest, 1)).otherwise(_pick(m + f, digest, 1))
-        middle = F.when(attempt > 0, F.concat(F.substr(F.lit(letters), F.pmod(attempt * 7 + F.length(entity), F.lit(len(letters))) + 1, F.lit(1)), F.lit(". "))).otherwise("")
-        middle = F.when(attempt > 3, F.concat(middle, _pick(family, digest, 40), F.lit("-"))).otherwise(middle)
-        return F.concat(title, F.when(given != "", F.concat(either, F.lit(" "))).otherwise(""), middle, _pick(family, digest, 20))
+        return F.concat(title, F.when(given != "", F.concat(either, F.lit(" "))).otherwise(""), _compose(family, F.substr(digest, F.lit(7), F.lit(122)), attempt))
 
     bare = F.substr(entity, F.length(title) + 1)
-    name = F.when(bare.rlike(r"\p{IsCyrillic}"), full_name(**SCRIPTS["Cyrillic"])).when(bare.rlike(r"\p{IsGreek}"), full_name(**SCRIPTS["Greek"])).otherwise(full_name(MALE, FEMALE, FAMILY, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    name = F.when(bare.rlike(r"\p{IsCyrillic}"), full_name(**SCRIPTS["Cyrillic"])).when(bare.rlike(r"\p{IsGreek}"), full_name(**SCRIPTS["Greek"])).otherwise(full_name(MALE, FEMALE, FAMILY))
     secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex_shape(entity, digest)).when(entity.rlike("^(AKIA|ASIA)"), _keep_shape(entity, digest, 4)).otherwise(_keep_shape(entity, digest))
+    # marks without letter or digit have no shape to keep
+    secret = _longer(F.when(entity.rlike("[A-Za-z0-9]"), secret).otherwise(F.substring(digest, 1, 16)), digest, attempt)
+    reserved = F.concat_ws(".", (F.pmod(F.conv(F.substring(digest, 25, 6), 16, 10).cast("int"), F.lit(15)) + 240).cast("string"), octet(1), octet(9), octet(17))
+    ipv6 = F.concat(F.lit("fd"), F.regexp_replace(F.substring(digest, 1, 30), "^(..)|(.{4})(?=.)", "$1$2:"))
+    ip = F.when(attempt < 4, F.concat_ws(".", F.lit("10"), octet(1), octet(9), octet(17))).when(attempt < 12, reserved).otherwise(ipv6)
+    number = lambda first: _longer(_keep_shape(entity, digest, first), digest, attempt, digits=True)
     return (
-        F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(1), octet(9), octet(17))).when(kind == "phone", phone)
-        .when(kind == "name", name).when(kind == "card", _keep_shape(entity, digest, 1)).when(kind == "iban", _keep_shape(entity, digest, 2)).when(kind == "ssn", _keep_shape(entity, digest)).otherwise(secret)
+        F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "phone", phone)
+        .when(kind == "name", name).when(kind == "card", number(1)).when(kind == "iban", number(2)).when(kind == "ssn", number(0)).otherwise(secret)
     )
 
 
-def replacements(entities: DataFrame, key: str, rounds: int = 32) -> DataFrame:
+def replacements(entities: DataFrame, key: str) -> DataFrame:
     """``kind, entity, surrogate`` for distinct mentions ``kind, entity``: a checked one-to-one map of entities.
 
     Mentions with one canonical form get one digest. All entities are drawn together; where two of them
     share a surrogate, or one's surrogate is itself some entity of the corpus, all but the one with
-    the smallest digest draw again with the next attempt. Rounds end when none collides.
+    the smallest digest draw again with the next attempt. Pools grow with the attempt; rounds end when none collides.
     """
     table = entities.select("kind", "entity", canonical(F.col("kind"), F.col("entity")).alias("canon")).distinct()
     forms = materialize(table, "pii-forms")
     taken = forms.select("kind", "canon").distinct()
     open_ = taken.withColumn("attempt", F.lit(0))
     done = None
-    for n in range(rounds):
+    while True:
         digest = _digest(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string"))
         drawn = open_.withColumn("digest", digest).withColumn("mark", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("digest"), F.col("attempt"))))
         drawn = materialize(drawn, "pii-drawn")
@@ -169,8 +184,6 @@ def replacements(entities: DataFrame, key: str, rounds: int = 32) -> DataFrame:
         if rest.isEmpty():
             break
         open_ = materialize(rest, "pii-open")
-    else:
-        raise ValueError("surrogates still collide; the types have too few values for this corpus")
     chosen = forms.join(done, ["kind", "canon"])
     shaped = surrogate(F.col("kind"), F.when(F.col("kind").isin("email", "name"), F.col("canon")).otherwise(F.col("entity")), F.col("digest"), F.col("attempt"))
     # digits of a number follow its canonical form, laid into the mention's own punctuation
@@ -179,9 +192,9 @@ def replacements(entities: DataFrame, key: str, rounds: int = 32) -> DataFrame:
 
 
 def _laid(entity: Column, mark: Column) -> Column:
-    """``mark`` with the other characters of ``entity`` back in their places."""
+    """``mark`` with the other characters of ``entity`` back in their places, and what ``mark`` has more at the end."""
     step = lambda acc, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(acc["text"], F.substr(mark, acc["n"], F.lit(1))).alias("text"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(acc["text"], c).alias("text"), acc["n"].alias("n")))
-    return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("text"), F.lit(1).alias("n")), step)["text"]
+    return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("text"), F.lit(1).alias("n")), step, lambda acc: F.concat(acc["text"], F.substr(mark, acc["n"], F.length(mark))))
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

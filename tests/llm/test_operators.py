@@ -283,3 +283,32 @@ def test_prefilter_passes_entities_of_letters_only(spark):
     got = {r.doc_id: r for r in pii.replace_pii(make(spark, texts), key="k").collect()}
     for i, text in enumerate(texts):
         assert got[i].n_entities == 1 and got[i].text != text and (i >= 16 or entities[i][5:] not in got[i].text)
+
+
+def test_surrogate_pools_do_not_run_out(spark):
+    marks = ["--------", "________", "........", "a-------", "b-------", "c-------"]
+    rows = [("secret", s) for s in marks] + [("secret", f"{c}{d}-------") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [("phone", f"+1234{i:02d}") for i in range(100)] + [("phone", f"+123{i:02d}") for i in range(100)] + [("name", f"Господин {a}{b}{c}") for a in "АБВГДЕЗИКЛ" for b in "аеиоу" for c in "лмнр"]
+    table = pii.replacements(spark.createDataFrame(rows, "kind string, entity string"), key="k").collect()
+    assert len(table) == len(rows) == len({(r.kind, r.surrogate) for r in table})
+    assert not {(r.kind, r.surrogate) for r in table} & set(rows)
+    texts = ["password: --------", "token = ________", 'secret="........"']
+    got = {r.doc_id: r.text for r in pii.replace_pii(make(spark, texts), key="k").collect()}
+    assert len(set(got.values())) == 3 and all(t.split()[-1] not in got[i] for i, t in enumerate(texts))
+
+
+def test_late_attempts_keep_their_type(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("ip", "1.2.3.4"), ("ssn", "123-45-6789"), ("card", "4465758382123456"), ("iban", "DE89370400440532013000"), ("email", "a@b.example"), ("phone", "+1 743")]
+    table = spark.createDataFrame(rows, "kind string, canon string").crossJoin(spark.range(40).select(F.col("id").cast("int").alias("n")))
+    digest = pii._digest("k", F.col("kind"), F.col("canon"), F.col("n").cast("string"))
+    got = table.select("kind", "n", pii.surrogate(F.col("kind"), F.col("canon"), digest, F.col("n")).alias("s")).collect()
+    import ipaddress
+
+    for r in got:
+        if r.kind == "ip":
+            address = ipaddress.ip_address(r.s)
+            assert (address in ipaddress.ip_network("10.0.0.0/8")) == (r.n < 4) and (address.version == 6) == (r.n >= 12) and (r.n < 12 or address in ipaddress.ip_network("fd00::/8"))
+        elif r.kind in ("ssn", "card", "iban"):
+            assert sum(c.isalnum() for c in r.s) == {"ssn": 9, "card": 16, "iban": 22}[r.kind] + max(r.n - 3, 0)
