@@ -51,8 +51,10 @@ ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 SUSPECT = r"[0-9@=:]|\b(?:AKIA|ASIA)|\b(?:ghp|gho|ghs|sk|xox[abp])[_-]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *GIVEN["m"], *GIVEN["f"])) + ")"
 
 
-#: The country code of a phone number, where something parts it from the rest.
-COUNTRY = r"^(\+[0-9]{1,3}(?=[ .(-]))?"
+#: The country code of a phone number by its digits alone.
+COUNTRY = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))?"
+#: A name as title, given name, gap, family name and a genitive or stray mark at its end.
+NAME = rf"^((?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[ \u00A0])?(?:([^ \u00A0]+)([ \u00A0]))?([^ \u00A0]+?)(['’]s|['’-]+)?$"
 
 
 def entity_type(entity: Column) -> Column:
@@ -67,10 +69,28 @@ def entity_type(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What makes two mentions the same entity: mail addresses regardless of case, numbers by their digits."""
-    country = F.regexp_extract(entity, COUNTRY, 1)
-    phone = F.concat(country, F.when(country != "", F.lit(" ")).otherwise(""), F.regexp_replace(F.substr(entity, F.length(country) + 1), "[^0-9]", ""))
-    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "email", F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.regexp_replace(entity, "\\u00A0", " ")).otherwise(entity)
+    """What makes two mentions the same entity: mail addresses and parts of names regardless of case, numbers by their digits and plus."""
+    return F.when(kind == "phone", F.regexp_replace(entity, "[^0-9+]", "")).when(kind.isin("card", "ssn"), F.regexp_replace(entity, "[^0-9]", "")).when(kind.isin("email", "given", "family"), F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+
+
+def _name_part(entity: Column, n: int) -> Column:
+    return F.regexp_extract(entity, NAME, n)
+
+
+def name_parts(names: DataFrame) -> DataFrame:
+    """``kind, entity, part, canon``: the family name of each mention and, where it has one, the given name behind its gender.
+
+    The gender is that of the mention's title, else the only one that titles tell for the same given and
+    family name elsewhere, else the given name's own, else n.
+    """
+    given, family, title = F.lower(_name_part(F.col("entity"), 2)), F.lower(_name_part(F.col("entity"), 4)), F.regexp_replace(_name_part(F.col("entity"), 1), r"[.\s\u00A0]", "")
+    told = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f")
+    rows = names.select("kind", "entity", given.alias("given"), family.alias("family"), told.alias("told"))
+    full = rows.filter("given <> ''").groupBy("given", "family").agg(F.min("told").alias("low"), F.max("told").alias("high"))
+    full = full.select("given", "family", F.when(F.col("low") == F.col("high"), F.col("low")).alias("other"))
+    own = F.when(F.col("given").isin(*map(str.lower, GIVEN["f"])), "f").when(F.col("given").isin(*map(str.lower, GIVEN["m"])), "m").otherwise("n")
+    first = rows.join(full, ["given", "family"]).select("kind", "entity", F.lit("given").alias("part"), F.concat_ws(" ", F.coalesce("told", "other", own), "given").alias("canon"))
+    return first.unionByName(rows.select("kind", "entity", F.lit("family").alias("part"), F.col("family").alias("canon")))
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -115,35 +135,27 @@ def _compose(names: tuple[str, ...], digest: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.greatest(attempt, F.lit(1)), F.lit(21)) - 1), one), "-")
 
 
-def _pick(names: tuple[str, ...], digest: Column, at: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, at, 6), 16, 10).cast("int"), F.lit(len(names))) + 1)
-
-
 def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) -> Column:
     """A replacement of the same type and format.
 
     Mail keeps the shape of its local part and moves to example.net; phones keep their country code,
     cards their first digit and their spaces; addresses of the net stay inside 10.0.0.0/8 with equal
-    widths given up; names keep title, gender and script (Latin, Cyrillic or Greek). The pool grows with the
-    attempt: family names are composed, addresses move to 240.0.0.0/4 and then fd00::/8, the rest gets longer.
+    widths given up; parts of names keep gender and script (Latin, Cyrillic or Greek). The pool grows with the
+    attempt: names are composed, addresses move to 240.0.0.0/4 and then fd00::/8, the rest gets longer.
     """
     local, octet = F.substring_index(entity, "@", 1), lambda at: F.pmod(F.conv(F.substring(digest, at, 6), 16, 10).cast("int"), F.lit(256)).cast("string")
     mail = F.concat(_keep_shape(F.lower(local), digest), F.substr(digest, F.lit(97), F.least(attempt + 6, F.lit(32))), F.lit("@example.net"))
     country = F.regexp_extract(entity, COUNTRY, 1)
     rest = F.substr(entity, F.length(country) + 1)
     phone = _longer(F.concat(country, _keep_shape(rest, digest)), digest, attempt, digits=True)
-    title = F.regexp_extract(entity, rf"^((?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[  ])", 1)
-    given = F.regexp_extract(F.substr(entity, F.length(title) + 1), r"^([^  ]+)[  ]", 1)
-    word = F.regexp_replace(F.trim(title), r"[.  ]", "")
-    woman = word.isin(*TITLES["f"]) | (~word.isin(*TITLES["m"]) & given.isin(*GIVEN["f"]))
-    man = word.isin(*TITLES["m"]) | given.isin(*GIVEN["m"])
-
-    def full_name(m: tuple[str, ...], f: tuple[str, ...], family: tuple[str, ...]) -> Column:
-        either = F.when(woman, _pick(f, digest, 1)).when(man, _pick(m, digest, 1)).otherwise(_pick(m + f, digest, 1))
-        return F.concat(title, F.when(given != "", F.concat(either, F.lit(" "))).otherwise(""), _compose(family, F.substr(digest, F.lit(7), F.lit(122)), attempt))
-
-    bare = F.substr(entity, F.length(title) + 1)
-    name = F.when(bare.rlike(r"\p{IsCyrillic}"), full_name(**SCRIPTS["Cyrillic"])).when(bare.rlike(r"\p{IsGreek}"), full_name(**SCRIPTS["Greek"])).otherwise(full_name(MALE, FEMALE, FAMILY))
+    word = F.substr(entity, F.lit(3))
+
+    def by_script(text: Column, latin: tuple[str, ...], *lists: str) -> Column:
+        cyrillic, greek = (sum((SCRIPTS[x][k] for k in lists), ()) for x in ("Cyrillic", "Greek"))
+        return F.when(text.rlike(r"\p{IsCyrillic}"), _compose(cyrillic, digest, attempt)).when(text.rlike(r"\p{IsGreek}"), _compose(greek, digest, attempt)).otherwise(_compose(latin, digest, attempt))
+
+    gender = F.substr(entity, F.lit(1), F.lit(1))
+    given = F.when(gender == "f", by_script(word, FEMALE, "f")).when(gender == "m", by_script(word, MALE, "m")).otherwise(by_script(word, MALE + FEMALE, "m", "f"))
     secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex_shape(entity, digest)).when(entity.rlike("^(AKIA|ASIA)"), _keep_shape(entity, digest, 4)).otherwise(_keep_shape(entity, digest))
     # marks without letter or digit have no shape to keep
     secret = _longer(F.when(entity.rlike("[A-Za-z0-9]"), secret).otherwise(F.substring(digest, 1, 16)), digest, attempt)
@@ -153,20 +165,22 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
     number = lambda first: _longer(_keep_shape(entity, digest, first), digest, attempt, digits=True)
     return (
         F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "phone", phone)
-        .when(kind == "name", name).when(kind == "card", number(1)).when(kind == "iban", number(2)).when(kind == "ssn", number(0)).otherwise(secret)
+        .when(kind == "given", given).when(kind == "family", by_script(entity, FAMILY, "family")).when(kind == "card", number(1)).when(kind == "iban", number(2)).when(kind == "ssn", number(0)).otherwise(secret)
     )
 
 
 def replacements(entities: DataFrame, key: str) -> DataFrame:
     """``kind, entity, surrogate`` for distinct mentions ``kind, entity``: a checked one-to-one map of entities.
 
-    Mentions with one canonical form get one digest. All entities are drawn together; where two of them
+    Mentions with one canonical form get one digest; given and family names are drawn by themselves, so that
+    a person is the same with and without title or given name. All entities are drawn together; where two of them
     share a surrogate, or one's surrogate is itself some entity of the corpus, all but the one with
     the smallest digest draw again with the next attempt. Pools grow with the attempt; rounds end when none collides.
     """
-    table = entities.select("kind", "entity", canonical(F.col("kind"), F.col("entity")).alias("canon")).distinct()
-    forms = materialize(table, "pii-forms")
-    taken = forms.select("kind", "canon").distinct()
+    table = entities.select("kind", "entity").distinct()
+    whole = table.filter("kind <> 'name'").select("kind", "entity", F.col("kind").alias("part"), canonical(F.col("kind"), F.col("entity")).alias("canon"))
+    forms = materialize(whole.unionByName(name_parts(table.filter("kind = 'name'"))), "pii-forms")
+    taken = forms.select(F.col("part").alias("kind"), "canon").distinct()
     open_ = taken.withColumn("attempt", F.lit(0))
     done = None
     while True:
@@ -174,7 +188,8 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
         drawn = open_.withColumn("digest", digest).withColumn("mark", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("digest"), F.col("attempt"))))
         drawn = materialize(drawn, "pii-drawn")
         real = taken.select("kind", F.col("canon").alias("mark"))
-        clean = drawn.join(real, ["kind", "mark"], "left_anti")
+        # given names may swap among themselves, as no surrogate of a family name is a real one
+        clean = drawn.filter((F.col("kind") != "given") | (F.substr("canon", F.lit(3)) != F.col("mark"))).join(real, ["kind", "mark"], "left_anti")
         if done is not None:
             clean = clean.join(done.select("kind", "mark"), ["kind", "mark"], "left_anti")
         first = clean.groupBy("kind", "mark").agg(F.min_by("canon", F.struct("digest", "canon")).alias("canon"))
@@ -184,11 +199,17 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
         if rest.isEmpty():
             break
         open_ = materialize(rest, "pii-open")
-    chosen = forms.join(done, ["kind", "canon"])
-    shaped = surrogate(F.col("kind"), F.when(F.col("kind").isin("email", "name"), F.col("canon")).otherwise(F.col("entity")), F.col("digest"), F.col("attempt"))
+    chosen = forms.join(done.withColumnRenamed("kind", "part"), ["part", "canon"])
+    shaped = surrogate(F.col("part"), F.when(F.col("part").isin("email", "given", "family"), F.col("canon")).otherwise(F.col("entity")), F.col("digest"), F.col("attempt"))
     # digits of a number follow its canonical form, laid into the mention's own punctuation
     numeric = _laid(F.col("entity"), F.regexp_replace("mark", "[^0-9A-Z]", ""))
-    return chosen.select("kind", "entity", F.when(F.col("kind").isin("phone", "card", "ssn", "iban"), numeric).otherwise(shaped).alias("surrogate"))
+    chosen = chosen.select("kind", "entity", "part", F.when(F.col("part").isin("phone", "card", "ssn", "iban"), numeric).otherwise(shaped).alias("surrogate"))
+    cased = lambda new, old: F.when((F.length(old) > 1) & (old == F.upper(old)), F.upper(new)).otherwise(new)
+    at = lambda n: _name_part(F.col("entity"), n)
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("surrogate"))).alias(part)
+    names = chosen.filter("kind = 'name'").groupBy("kind", "entity").agg(of("given"), of("family"))
+    names = names.select("kind", "entity", F.concat(at(1), F.coalesce(cased(F.col("given"), at(2)), F.lit("")), at(3), cased(F.col("family"), at(4)), at(5)).alias("surrogate"))
+    return chosen.filter("kind <> 'name'").select("kind", "entity", "surrogate").unionByName(names)
 
 
 def _laid(entity: Column, mark: Column) -> Column:

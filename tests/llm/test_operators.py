@@ -312,3 +312,22 @@ def test_late_attempts_keep_their_type(spark):
             assert (address in ipaddress.ip_network("10.0.0.0/8")) == (r.n < 4) and (address.version == 6) == (r.n >= 12) and (r.n < 12 or address in ipaddress.ip_network("fd00::/8"))
         elif r.kind in ("ssn", "card", "iban"):
             assert sum(c.isalnum() for c in r.s) == {"ssn": 9, "card": 16, "iban": 22}[r.kind] + max(r.n - 3, 0)
+
+
+def test_mentions_of_one_entity_agree(spark):
+    mentions = ["Mr John Smith", "Mr. John Smith", "John Smith", "Mr Smith", "Dr John Smith", "Mr JOHN SMITH", "John Smith's", "Mr Kim Stone", "Dr Kim Stone", "Mrs Kim Reed", "Mrs Smith", "John\u00a0Reed"]
+    numbers = ["+17435553824", "+1 743 555 3824", "+1 (743) 555-3824", "+1743 5553824", "+353 12 34567", "+3531234567"]
+    texts = ["; ".join(mentions), "; ".join(numbers), "; ".join(mentions[::-1])]
+    got = {r.doc_id: r.text.split("; ") for r in pii.replace_pii(make(spark, texts), key="k").collect()}
+    assert got[2] == got[0][::-1]
+    new = dict(zip(mentions, got[0]))
+    given, family = new["John Smith"].split()
+    assert given in pii.MALE and given != "John" and family != "Smith"
+    assert [new[m] for m in mentions[:7]] == [f"Mr {given} {family}", f"Mr. {given} {family}", f"{given} {family}", f"Mr {family}", f"Dr {given} {family}", f"Mr {given.upper()} {family.upper()}", f"{given} {family}'s"]
+    assert new["Mrs Smith"] == f"Mrs {family}" and new["John\u00a0Reed"].split("\u00a0")[0] == given
+    kim = new["Mr Kim Stone"].split()[1:]
+    assert new["Dr Kim Stone"].split()[1:] == kim and kim[0] in pii.MALE and kim[1] != family
+    assert new["Mrs Kim Reed"].split()[1] in pii.FEMALE and new["Mrs Kim Reed"].split()[2] == new["John\u00a0Reed"].split("\u00a0")[1]
+    digits = ["".join(c for c in n if c in "+0123456789") for n in got[1]]
+    assert len(set(digits[:4])) == len(set(digits[4:])) == 1 and digits[0].startswith("+1") and digits[4].startswith("+353")
+    assert digits[0] != "+17435553824" and got[1][2].startswith("+1 (") and digits[4] != "+3531234567"
