@@ -67,10 +67,13 @@ def text_similarity(a: Column, b: Column) -> Column:
     return 0.5 * jaccard(tokens(a), tokens(b)) + 0.5 * ratio(a, b)
 
 
+def clean_slot(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+
+
 def slot_similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
     """The share of slots that are equal after strip and lower case, and not empty."""
-    clean = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    hits = [F.when((clean(left[k]) == clean(right[k])) & (clean(left[k]) != ""), 1).otherwise(0) for k in left]
+    hits = [F.when((clean_slot(left[k]) == clean_slot(right[k])) & (clean_slot(left[k]) != ""), 1).otherwise(0) for k in left]
     return sum(hits[1:], hits[0])
 
 

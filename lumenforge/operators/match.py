@@ -72,6 +72,16 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str)
     return pairs.withColumns({"_a": a, "_b": b}).filter("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def slot_classes(units: DataFrame, slots: tuple[str, ...] = ("tag", "prev_relation", "next_relation")) -> DataFrame:
+    """``slot, value, paper, unit``: each unit in its class of every slot that it fills.
+
+    Two units agree in as many slots as they share classes, which holds the slot similarity of all pairs in
+    at most a row per unit and slot; the pairs themselves grow with the square of a class.
+    """
+    filled = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), T.clean_slot(F.col(s)).alias("value")) for s in slots]))
+    return units.select("paper", "unit", filled.alias("z")).filter("z.value <> ''").select("z.slot", "z.value", "paper", "unit")
+
+
 def similarity_links(units: DataFrame, k: int = 3, threshold: float = 0.45) -> DataFrame:
     """The whole text similarity in place of Jaccard: top-k, mutual, rounded to three digits, then cut.
 

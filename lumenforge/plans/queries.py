@@ -111,7 +111,7 @@ slots AS (
 
 @query(f"WITH {_SLOT} SELECT * FROM slots")
 def paragraph_slot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots in common for units whose tag, here the first word, is equal: the join's key is one of the slots."""
+    """Slots in common for units whose tag, here the first word, is equal, as in its SQL; ``paragraph_slot_classes`` holds all pairs."""
     u = conv_units(spark, sf_dir).withColumn("tag", F.split_part("tag", F.lit(" "), F.lit(1))).filter("tag <> ''")
     a, b = (u.select(*[F.col(c).alias(f"{c}_{s}") for c in ("paper", "unit", "tag", "prev_relation", "next_relation")]) for s in "ab")
     pairs = a.join(b, F.col("tag_a") == F.col("tag_b")).filter("paper_a < paper_b")
@@ -119,6 +119,12 @@ def paragraph_slot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("paper_a", "unit_a", "paper_b", "unit_b", score.alias("slots"))
 
 
+@query()
+def paragraph_slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot similarity of all pairs of units as classes of equal slots; the tag is the whole text."""
+    return match.slot_classes(conv_units(spark, sf_dir).withColumn("tag", F.col("text")))
+
+
 @query(f"""WITH {_TOP}, b AS (SELECT granularity, paper, unit, dst_paper, dst_unit, score, rank() OVER (PARTITION BY granularity, paper, unit, dst_paper ORDER BY score DESC) AS ra,
   rank() OVER (PARTITION BY granularity, dst_paper, dst_unit, paper ORDER BY score DESC) AS rb FROM ranked WHERE paper < dst_paper)
 SELECT granularity, paper, unit, dst_paper, dst_unit FROM b WHERE ra = 1 AND rb = 1 AND score > 0""")

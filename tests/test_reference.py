@@ -86,3 +86,37 @@ def test_papers_roundtrip(spark, tmp_path):
     order = documents.manifest(papers)
     assert [r.paper_id for r in order.orderBy("paper_ord").collect()] == ["a", "b"]
     assert {(r.granularity, r.paper_id, r.unit_id, r.title) for r in documents.units(papers, order).collect()} == {("sections", "b", "s1", ""), ("paragraphs", "a", "pa1", "")}
+
+
+def test_slot_classes_hold_all_pairs(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    slots = ("tag", "prev_relation", "next_relation")
+    rows = [(1, 1, " Red fox", "", "user"), (1, 2, "blue", "User ", None), (2, 1, "red FOX", "", "User"), (2, 2, "", "user", "bot"), (3, 1, "red hen", "user", "bot"), (3, 2, "blue", "bot", ""), (4, 1, None, None, None)]
+    units = spark.createDataFrame(rows, "paper int, unit int, tag string, prev_relation string, next_relation string")
+    clean = lambda x: (x or "").strip().lower()
+    want = {(a[:2], b[:2]): n for a, b in combinations(rows, 2) if a[0] != b[0] and (n := sum(clean(x) == clean(y) != "" for x, y in zip(a[2:], b[2:])))}
+    members = {}
+    for r in match.slot_classes(units, slots).collect():
+        members.setdefault((r.slot, r.value), []).append((r.paper, r.unit))
+    got = Counter(pair for m in members.values() for pair in combinations(sorted(m), 2) if pair[0][0] != pair[1][0])
+    assert dict(got) == want and set(want.values()) == {1, 2}
+
+
+def test_slot_classes_query_against_all_pairs(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from lumenforge.plans.queries import paragraph_slot_classes
+    from lumenforge.sources.tables import conv_units
+
+    path = "/root/testdata/sf0.001"
+    rows = sorted((r.paper, r.unit, r.text, r.prev_relation, r.next_relation) for r in conv_units(spark, path).filter("paper < 12").collect())
+    clean = lambda x: (x or "").strip().lower()
+    want = {(a[:2], b[:2]): n for a, b in combinations(rows, 2) if a[0] != b[0] and (n := sum(clean(x) == clean(y) != "" for x, y in zip(a[2:], b[2:])))}
+    members = {}
+    for r in paragraph_slot_classes(spark, path).filter("paper < 12").collect():
+        members.setdefault((r.slot, r.value), []).append((r.paper, r.unit))
+    got = Counter(pair for m in members.values() for pair in combinations(sorted(m), 2) if pair[0][0] != pair[1][0])
+    assert want and dict(got) == want
