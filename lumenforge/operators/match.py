@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenforge.functions import text as T
 from lumenforge.operators.components import connected_components
+from lumenforge.plans.lineage import materialize
 
 SALTS = 32
 
@@ -72,6 +73,38 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str)
     return pairs.withColumns({"_a": a, "_b": b}).filter("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def group_matches(groups: DataFrame, k: int = 3) -> DataFrame:
+    """``group_id, position, dst_group, dst_position, raw, score, rk``: of all other groups the ``k`` whose question is most like its own.
+
+    ``groups`` has ``group_id, position, question``; ties go to the earlier position. Scores are rounded to three
+    digits after ranking.
+    """
+    a = groups.withColumn("_g", F.lit(0))
+    b = groups.select(F.col("group_id").alias("dst_group"), F.col("position").alias("dst_position"), F.col("question").alias("dst_question"), F.lit(0).alias("_g"))
+    pairs = spread_join(a, b, ["_g"]).filter("group_id <> dst_group").repartition("dst_question").sortWithinPartitions("dst_question")
+    pairs = pairs.withColumn("raw", T.text_similarity(F.col("question"), F.col("dst_question")))
+    rk = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("raw"), "dst_position"))
+    best = pairs.withColumn("rk", rk).filter(F.col("rk") <= k)
+    return best.select("group_id", "position", "dst_group", "dst_position", "raw", T.py_round(F.col("raw"), 3).alias("score"), "rk")
+
+
+def mutual_group_links(candidates: DataFrame) -> DataFrame:
+    """``group_a, group_b, position, rk, score``: groups that chose each other, in the direction of the earlier one, with that direction's score."""
+    back = candidates.select(F.col("group_id").alias("dst_group"), F.col("dst_group").alias("group_id"))
+    links = candidates.filter(F.col("position") < F.col("dst_position")).join(back, ["group_id", "dst_group"])
+    return links.select(F.col("group_id").alias("group_a"), F.col("dst_group").alias("group_b"), "position", "rk", "score")
+
+
+def super_groups(links: DataFrame, threshold: float = 0.33) -> DataFrame:
+    """``super_group, size, group_id``: components of the links of at least ``threshold``, by size, ties by first link."""
+    links = materialize(links.filter(F.col("score") >= threshold), "group-links")
+    parts = materialize(connected_components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))), "group-parts")
+    first = links.join(parts, F.col("group_a") == F.col("node")).groupBy("component").agg(F.min(F.struct("position", "rk")).alias("first"))
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(first, "component")
+    sizes = sizes.withColumn("super_group", F.row_number().over(Window.orderBy(F.desc("size"), "first")))
+    return parts.join(sizes, "component").select("super_group", "size", F.col("node").alias("group_id"))
+
+
 def slot_classes(units: DataFrame, slots: tuple[str, ...] = ("tag", "prev_relation", "next_relation")) -> DataFrame:
     """``slot, value, paper, unit``: each unit in its class of every slot that it fills.
 

@@ -136,6 +136,13 @@ def mutual_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.filter("score > 0").drop("score")
 
 
+@query()
+def super_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a group whose question is its whole text."""
+    groups = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("group_id"), F.col("item_id").alias("position"), F.col("text").alias("question"))
+    return match.super_groups(match.mutual_group_links(match.group_matches(groups)))
+
+
 def _scores(spark, sf_dir):
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("group_id"), F.col("text").alias("question"))
     return assign.score_questions(conv_units(spark, sf_dir), questions), questions

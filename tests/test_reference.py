@@ -1,5 +1,6 @@
 """Small hand-made cases for the reference's operators."""
 
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -120,3 +121,39 @@ def test_slot_classes_query_against_all_pairs(spark):
         members.setdefault((r.slot, r.value), []).append((r.paper, r.unit))
     got = Counter(pair for m in members.values() for pair in combinations(sorted(m), 2) if pair[0][0] != pair[1][0])
     assert want and dict(got) == want
+
+
+def test_super_groups_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = "how does the model learn from sparse noisy labels what limits recall in large graphs".split()
+    questions = [" ".join(rng.choices(words, k=rng.randint(2, 7))) for _ in range(30)] + ["how does the model learn"] * 3 + [""]
+    set_of = lambda t: set(re.findall("[a-z0-9]+", t.lower()))
+
+    def similar(a, b):
+        x, y = set_of(a), set_of(b)
+        return 0.5 * (len(x & y) / len(x | y) if x | y else 0.0) + 0.5 * SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+    top = {i: sorted(((similar(q, questions[j]), j) for j in range(len(questions)) if j != i), key=lambda z: -z[0])[:3] for i, q in enumerate(questions)}
+    want_links = [(i, j, round(s, 3)) for i in top for s, j in top[i] if i < j and any(h == i for _, h in top[j])]
+    # ids run against the positions, so that ties and directions show
+    groups = spark.createDataFrame([(f"g{99 - i}", i, q) for i, q in enumerate(questions)], "group_id string, position int, question string")
+    candidates = match.group_matches(groups)
+    assert {(r.position, r.dst_position, r.rk) for r in candidates.collect()} == {(i, j, n) for i in top for n, (_, j) in enumerate(top[i], 1)}
+    links = match.mutual_group_links(candidates)
+    assert {(r.group_a, r.group_b, r.score) for r in links.collect()} == {(f"g{99 - i}", f"g{99 - j}", s) for i, j, s in want_links}
+    sets = {i: {i} for i in range(len(questions))}
+    kept = [x for x in want_links if x[2] >= 0.33]
+    for i, j, _ in kept:
+        if sets[i] is not sets[j]:
+            sets[i] |= sets[j]
+            for m in sets[j]:
+                sets[m] = sets[i]
+    ordered = []
+    for i, _, _ in kept:
+        if sets[i] not in ordered:
+            ordered.append(sets[i])
+    ordered.sort(key=lambda m: -len(m))
+    got = match.super_groups(links).collect()
+    assert {(r.super_group, r["size"], r.group_id) for r in got} == {(n, len(m), f"g{99 - i}") for n, m in enumerate(ordered, 1) for i in m}
