@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.plans.lineage import materialize
+from lumenforge.plans.lineage import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round every node takes the smallest label among its neighbours (sums combined map-side, so
     a hub is one row per task) and then the label of its label, which halves paths. A round's labels
-    are written to the shared folder; the loop ends when none changed. Null ends and loops are ignored.
+    are written to the shared folder and those of the round before deleted; the loop ends when none
+    changed. Null ends and loops are ignored, repeated edges count once, an empty table gives no rows.
+    Nodes are of any type that sorts.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     both = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
@@ -25,6 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         roots = step.select(F.col("node").alias("root"), F.col("now").alias("label"))
         jumped = step.join(roots, step["now"] == roots["root"]).select("node", F.col("label").alias("component"), (F.col("label") != F.col("was")).alias("changed"))
         jumped = materialize(jumped, "cc-labels")
-        labels = jumped.drop("changed")
+        discard(labels, step)
         if jumped.filter("changed").isEmpty():
-            return labels
+            discard(both)
+            return jumped.drop("changed")
+        labels = jumped.select("node", "component")
+        labels._shared_path = jumped._shared_path
