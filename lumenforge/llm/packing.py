@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -55,7 +57,13 @@ def token_words(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Encoder:
-    """Token ids of whole texts. Each different word goes through the tokenizer once, then comes from a bounded cache."""
+    """Token ids of whole texts, as the tokenizer's plain encoding gives them.
+
+    Each different word goes through the tokenizer once, then comes from a bounded cache. The cache is
+    found by a 64-bit hash, and every word that is taken from it is compared with the word that is
+    stored there; where two words share a hash the second goes by its characters. An added token of
+    the tokenizer that stands in a text is a word of its own and parts the text around it.
+    """
 
     LIMIT = 400_000
 
@@ -63,46 +71,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.begin, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        first, total = len(self.known), sum(map(len, ids))
-        while first + len(words) > len(self.begin):
-            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
-        while self.used + total > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        self.flat[self.used : self.used + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
-        self.begin[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.length[first : first + len(ids)] = sizes
-        self.used += total
-        self.known.update(zip(hashes, range(first, first + len(ids))))
+        self.odd: dict[str, int] = {}  # words whose hash is that of another
+        self.ids, self.letters = vectext.Spans(np.uint32), vectext.Spans(np.uint32)
+
+    def _add(self, words: list[str]) -> range:
+        """Store ``words`` with their ids; their places in the cache."""
+        first = len(self.ids)
+        self.ids.extend([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        self.letters.extend([np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words])
+        return range(first, first + len(words))
+
+    def _words(self, joined: str, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of words; added tokens that lie inside one text are parted off first."""
+        found = [m.span() for m in self.added.finditer(joined)] if self.added else []
+        spans = np.array([(a, b) for a, b in found if np.searchsorted(bounds, a, "right") == np.searchsorted(bounds, b, "left")], np.int64).reshape(-1, 2)
+        if not len(spans):
+            return token_words(cp, bounds)
+        starts, _ = token_words(cp, np.unique(np.concatenate([bounds, spans.ravel()])))
+        at = np.searchsorted(spans[:, 0], starts, "right") - 1
+        inside = (at >= 0) & (starts > spans[at, 0]) & (starts < spans[at, 1])
+        starts = starts[~inside]
+        return starts, np.append(starts[1:], len(cp))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array and the bounds of each."""
         joined, cp, bounds = vectext.codepoints(texts)
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.known) > self.LIMIT:
+        if len(self.ids) > self.LIMIT:
             self._clear()
-        starts, ends = token_words(cp, bounds)
+        starts, ends = self._words(joined, cp, bounds)
         keys, first, inverse = np.unique(vectext.span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
         keys = keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
             at = first[new]
-            self._add([keys[i] for i in new], [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            self.known.update(zip([keys[i] for i in new], self._add([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])))
         word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        sizes = self.length[word].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.begin[word] - upto[:-1], sizes) + np.arange(upto[-1])]
+        for i in np.flatnonzero(self.letters.differ(word, cp, starts, ends)).tolist():
+            own = joined[starts[i] : ends[i]]
+            if own not in self.odd:
+                self.odd[own] = self._add([own])[0]
+            word[i] = self.odd[own]
+        ids, upto = self.ids.take(word)
         return ids, upto[np.searchsorted(starts, bounds)]
 
 
@@ -164,7 +181,7 @@ def price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.nda
     return best, choice
 
 
-def solve(demand: dict[int, int], capacity: int, rounds: int = 120, step: float = 0.25) -> list[tuple[Counter, float]]:
+def solve(demand: dict[int, int], capacity: int, rounds: int = 200, step: float = 0.25, gap: float = 0.05) -> tuple[list[tuple[Counter, float]], float]:
     """The configuration LP (fewest sequences that hold ``demand``) by multiplicative weights.
 
     Each length has a weight, at first its share of a sequence (the dual of the volume bound). A round
@@ -172,17 +189,25 @@ def solve(demand: dict[int, int], capacity: int, rounds: int = 120, step: float
     near the best of all, no length twice, in an amount that covers ``step`` of the demand of
     their scarcest length, and multiplies the weights of what they hold by exp(-step * share covered).
     The fillings, scaled so that the least covered length is just covered, are the fractional solution.
+
+    Each round's weights, divided by the best filling's, are a dual solution, whose value is a lower
+    bound. Rounds end once the fractional solution is within ``gap`` of the best bound so far, at the
+    latest after ``rounds``. Returns the fillings with their amounts, and the lower bound.
     """
     lengths = np.array(sorted(demand))
     need = np.array([demand[l] for l in lengths.tolist()], float)
     covered = np.zeros(len(lengths))
     amounts: Counter = Counter()
     base = lengths / capacity
+    bound = 0.0
     for _ in range(rounds):
         weight = base * np.exp(-step * (covered - covered.min()))
         best, choice = price(lengths, weight, capacity)
         value = weight + best[capacity - lengths]
         top = value.max()
+        bound = max(bound, float((need * weight).sum() / top))
+        if covered.min() > 0 and sum(amounts.values()) / covered.min() <= (1 + gap) * bound:
+            break
         busy = np.zeros(len(lengths), bool)
         for first in np.argsort(-value, kind="stable").tolist():
             if value[first] < (1 - step / 4) * top:
@@ -205,7 +230,7 @@ def solve(demand: dict[int, int], capacity: int, rounds: int = 120, step: float
                 busy[i] = True
                 covered[i] += amount * k / need[i]
     scale = 1 / max(covered.min(), 1e-9) if covered.min() > 0 else 1 / max(covered.mean(), 1e-9)
-    return [(Counter({int(lengths[i]): k for i, k in key}), x * scale) for key, x in amounts.most_common()]
+    return [(Counter({int(lengths[i]): k for i, k in key}), x * scale) for key, x in amounts.most_common()], bound
 
 
 def best_fill(remaining: dict[int, int], room: int) -> Counter:
@@ -259,20 +284,26 @@ def _rounded(demand: dict[int, int], solution: list[tuple[Counter, float]], capa
     return out + _best_fit(remaining, capacity)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 120) -> list[tuple[Counter, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 200) -> list[tuple[Counter, int]]:
     """Fillings and how many sequences use each; together they hold every length of ``histogram`` exactly.
 
     The fractional solution is rounded at several scales down to half of it (the smaller, the less it
-    covers lengths beyond their demand and the more is left to best-fit), and not at all; the
-    rounding with the fewest sequences counts.
+    covers lengths beyond their demand and the more is left to best-fit); the rounding with the
+    fewest sequences counts, and one that meets the LP's lower bound ends the search.
     """
     demand = {l: n for l, n in histogram.items() if n > 0}
     full = [(Counter({capacity: 1}), demand.pop(capacity))] if demand.get(capacity) else []
     if not demand:
         return full
-    solution = solve(demand, capacity, rounds)
-    tries = [_rounded(demand, [(f, x * scale) for f, x in solution], capacity) for scale in (1.0, 0.9, 0.75, 0.5, 0.0)]
-    return full + min(tries, key=lambda t: sum(n for _, n in t))
+    solution, bound = solve(demand, capacity, rounds)
+    best = None
+    for scale in (1.0, 0.9, 0.75, 0.5):
+        found = _rounded(demand, [(f, x * scale) for f, x in solution], capacity)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= math.ceil(bound - 1e-6):
+            break
+    return full + best
 
 
 def places(fillings: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
@@ -290,7 +321,7 @@ def places(fillings: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "each", "sequence", "offset"), np.array(rows, np.int64).reshape(-1, 5).T))
 
 
-def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = 120) -> DataFrame:
+def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = 200) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
     Only the histogram, at most ``capacity`` rows, comes to the driver, and the plan that goes back has

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -55,12 +56,59 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _symbols, _powers, _inverses
 
 
+LONG = 64
+
+
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``cp[start:end]``, equal for equal content wherever it stands."""
+    """64-bit hashes of ``cp[start:end]``, equal for equal content wherever it stands.
+
+    Spans of up to ``LONG`` symbols are hashed by sums of powers modulo 2**64. Longer ones go through BLAKE2b,
+    as strings that collide whatever the base exist from about a thousand symbols on.
+    """
     symbols, powers, inverses = _tables(len(cp) + 1)
     sums = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(symbols[cp] * powers[: len(cp)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        wide = np.ascontiguousarray(cp, np.uint32)
+        out[long] = [int.from_bytes(blake2b(wide[s:e].tobytes(), digest_size=8).digest(), "little") for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
+class Spans:
+    """Many short arrays in one that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.begin, self.length, self.count, self.used = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def extend(self, items: list) -> None:
+        sizes = np.fromiter(map(len, items), np.int64, len(items))
+        total, upto = int(sizes.sum()), self.count + len(items)
+        while upto > len(self.begin):
+            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
+        while self.used + total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + total] = np.concatenate([np.asarray(x, self.flat.dtype) for x in items]) if total else 0
+        self.begin[self.count : upto] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.count : upto] = sizes
+        self.count, self.used = upto, self.used + total
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen arrays one after another, and their bounds."""
+        sizes = self.length[which]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.begin[which] - upto[:-1], sizes) + np.arange(upto[-1])], upto
+
+    def differ(self, which: np.ndarray, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether array ``which[i]`` is another than ``symbols[starts[i]:ends[i]]``; the spans follow one another and fill ``symbols``."""
+        other = self.length[which] != ends - starts
+        at = np.repeat(self.begin[which] - starts, ends - starts) + np.arange(len(symbols))
+        wrong = self.flat[np.minimum(at, len(self.flat) - 1)] != symbols
+        return other | np.logical_or.reduceat(wrong, starts) if len(starts) else other
 
 
 def codepoints(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:

@@ -105,7 +105,6 @@ def test_packing(spark, tokenizer):
     alphabet = "ab '\n\t sredvlt19²é   .,!<|>日"
     texts = [None, "", "it's  'll\n\n x"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(120)] + ["word " * 5000]
     plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = True
     got = packing.pack_documents(make(spark, texts), tokenizer).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -141,6 +140,56 @@ def test_packing_plan_is_exact_and_tight():
         assert sum(n for _, n in plan) <= 1.03 * max(sum(l * n for l, n in demand.items()) / 1024, sum(n for l, n in demand.items() if l > 512), len(lengths) / (1024 // min(lengths))) + 1
 
 
+def test_packing_bound_and_fractional_solution():
+    rng = np.random.default_rng(3)
+    demand = collections.Counter(rng.integers(100, 900, 2000).tolist())
+    solution, bound = packing.solve(dict(demand), 1024)
+    held = collections.Counter()
+    for filling, x in solution:
+        assert sum(l * k for l, k in filling.items()) <= 1024
+        for l, k in filling.items():
+            held[l] += k * x
+    assert all(held[l] >= n - 1e-6 for l, n in demand.items())
+    assert sum(l * n for l, n in demand.items()) / 1024 - 1e-6 <= bound <= sum(n for _, n in packing.plan(dict(demand)))
+    assert bound <= sum(x for _, x in solution) <= 1.1 * bound
+
+
+def thue_morse(n):
+    """Two strings of 2**n letters whose sums of powers agree modulo 2**64, whatever the base."""
+    flip = str.maketrans("ab", "ba")
+    text = "a"
+    for _ in range(n):
+        text += text.translate(flip)
+    return text, text.translate(flip)
+
+
+def test_packing_gives_plain_ids(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer)
+    one, two = thue_morse(11)
+    texts = ["a<|endoftext|>", "x <|endoftext|>  y's<|endoftext|><|endo", "ftext|> tail", one, two, f"{two} {one}"]
+    got = {r.doc_id: r for r in packing.pack_documents(make(spark, texts), tokenizer, capacity=1 << 14).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_packing_compares_words_that_share_a_hash(tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from lumenforge.llm import vectext
+
+    real = vectext.span_hashes
+    monkeypatch.setattr(vectext, "span_hashes", lambda cp, s, e: real(cp, s, e) & np.uint64(7))
+    plain, texts = Tokenizer.from_file(tokenizer), ["many words share few hashes here", "and some come back: words, hashes, here"]
+    own = packing.Encoder(tokenizer)
+    for _ in range(2):
+        ids, bounds = own.encode(texts)
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
