@@ -54,6 +54,8 @@ class Model:
     back: list[np.ndarray]
     slope: float = 1.0
     offset: float = 0.0
+    usual: np.ndarray | None = None  # cross-entropy of each language's own texts
+    spread: tuple[float, float] = (0.0, 0.0)  # variance of a text's cross-entropy: a part that stays, and one for each 1/symbols
     cut: float = np.inf
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -76,14 +78,25 @@ class Model:
         begins = np.flatnonzero(place == 0)
         return np.column_stack([np.add.reduceat(lp, begins), np.diff(np.append(begins, len(flat))) - 1]).astype(np.float32)
 
+    def surprise(self, entropy: np.ndarray, lang: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Standard deviations by which cross-entropies lie above the usual one of their language, for texts of their length."""
+        return (entropy - self.usual[lang]) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(symbols, 1))
+
     def verdicts(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language, calibrated score and whether accepted, from rows of log probabilities and numbers of symbols."""
         entropy = -sums[:, :-1] / np.maximum(sums[:, -1:], 1)
         best = entropy.argmin(1)
-        ranked = np.sort(entropy, 1)
-        margin = (ranked[:, 1] - ranked[:, 0] if len(self.langs) > 1 else np.ones(len(sums))) * np.sqrt(np.maximum(sums[:, -1], 1))
-        score = 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
-        return best, score, ranked[:, 0] <= self.cut
+        score = 1 / (1 + np.exp(-np.clip(self.slope * margins(entropy, sums[:, -1]) + self.offset, -30, 30)))
+        accepted = np.ones(len(sums), bool) if self.usual is None else self.surprise(entropy.min(1), best, sums[:, -1]) <= self.cut
+        return best, score, accepted
+
+
+def margins(entropy: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """How far the second best language lies behind the best, in units of a text's sampling error."""
+    if entropy.shape[1] < 2:
+        return np.sqrt(np.maximum(symbols, 1))
+    ranked = np.partition(entropy, 1, axis=1)
+    return (ranked[:, 1] - ranked[:, 0]) * np.sqrt(np.maximum(symbols, 1))
 
 
 def train(words_by_lang: dict[str, dict[str, int]], order: int = ORDER) -> Model:
@@ -154,16 +167,16 @@ def train(words_by_lang: dict[str, dict[str, int]], order: int = ORDER) -> Model
     return model
 
 
-def calibrate(model: Model, sums: np.ndarray, truth: np.ndarray) -> None:
+def calibrate(model: Model, sums: np.ndarray, truth: np.ndarray, slack: float = 1.5) -> None:
     """Fit score = P(right) by logistic regression on the margin, and the rejection cut on cross-entropies.
 
-    ``truth`` are language numbers. The cut lies well above what labelled texts of their own language
-    show: their mean plus eight standard deviations, and not below their largest.
+    ``truth`` are language numbers. How far a text of its own language strays from the language's usual
+    cross-entropy has a variance a + b / symbols, fitted by least squares. The cut is ``slack`` times
+    the largest such deviation among the labelled texts, in standard deviations, and at least 6: texts
+    like the labelled ones pass, and longer texts are held to a narrower range than short ones.
     """
-    best, _, _ = model.verdicts(sums)
     entropy = -sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-    ranked = np.sort(entropy, 1)
-    margin = (ranked[:, 1] - ranked[:, 0] if len(model.langs) > 1 else np.ones(len(sums))) * np.sqrt(np.maximum(sums[:, -1], 1))
+    best, margin = entropy.argmin(1), margins(entropy, sums[:, -1])
     # two prior texts at margin 0, one right and one wrong, keep separable data finite
     x = np.append(margin, [0, 0])
     y = np.append((best == truth).astype(float), [1, 0])
@@ -177,35 +190,54 @@ def calibrate(model: Model, sums: np.ndarray, truth: np.ndarray) -> None:
         step *= min(1, 2 / max(np.abs(step).max(), 1e-9))
         a, b = a + step[0], b + step[1]
     model.slope, model.offset = max(float(a), 0.0), float(b)
-    own = entropy[np.arange(len(truth)), truth]
-    if len(own) > 1:
-        model.cut = float(max(own.max(), own.mean() + 8 * own.std()))
+    own, symbols = entropy[np.arange(len(truth)), truth], np.maximum(sums[:, -1], 1)
+    if len(own) < 2:
+        return
+    overall = (own * symbols).sum() / symbols.sum()
+    weight, total = np.bincount(truth, symbols, len(model.langs)), np.bincount(truth, own * symbols, len(model.langs))
+    model.usual = np.where(weight > 0, total / np.maximum(weight, 1), overall)
+    square, rate = (own - model.usual[truth]) ** 2, 1 / symbols
+    varied = ((rate - rate.mean()) ** 2).sum()
+    grows = max(float(((rate - rate.mean()) * (square - square.mean())).sum() / varied), 0.0) if varied > 0 else 0.0
+    stays = max(float((square - grows * rate).mean()), 0.0)
+    # no less than a hundredth of a symbol's usual cost, so that texts which are all alike leave room
+    model.spread = (stays + (0.01 * overall) ** 2, max(grows, overall**2))
+    model.cut = max(6.0, slack * float(model.surprise(own, truth, symbols).max()))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, max_chars: int = 50_000) -> Model | None:
     """Learn from labelled rows that are not held out: per language the ``per_language`` rows with the
     smallest hashed ids among texts of at most ``max_chars`` characters. Every third of them calibrates.
 
+    Rows are counted by language and 4096 ranges of their hash; a language's ranges are taken up to the one
+    that fills its share, so that only rows of those are ranked, and no language is one task's.
     What reaches the driver is bounded by these parameters times the number of languages. None if no
-    row is labelled.
+    row is labelled. Other columns are not read, whatever they are called.
     """
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) <= max_chars))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.md5(F.encode(F.col("_id").cast("string"), "UTF-8")), "_id"))
-    chosen = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_rank", rank).filter(F.col("_rank") <= per_language)
-    chosen = chosen.groupBy("_id").agg(F.min("_rank").alias("_rank"))
-    rows = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).groupBy("_id").agg(F.min("_rank").alias("rank"), F.min(F.struct(F.col(lang_col), F.col(text_col))).alias("r")).select("rank", F.col("r")[lang_col].alias("lang"), F.col("r")[text_col].alias("text"))
-    rows = [(r["rank"], r["lang"], WORDS.findall(r["text"].lower())) for r in rows.collect()]
-    rows = [r for r in rows if r[2]]
-    if not rows:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & (F.length("text") <= max_chars))
+    key = F.md5(F.encode(F.col("id").cast("string"), "UTF-8"))
+    usable = usable.withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
+    counts = usable.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = counts.withColumn("before", F.coalesce(upto, F.lit(0))).filter(F.col("before") < per_language).select("lang", "range")
+    # at most per_language ranges of each language
+    near = usable.join(F.broadcast(ranges), ["lang", "range"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id", "text"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("rank", "lang", "text").collect()
+    found = [(r["rank"], r["lang"], WORDS.findall(r["text"].lower())) for r in chosen]
+    found = [r for r in found if r[2]]
+    if not found:
         return None
-    counts: dict[str, dict[str, int]] = {}
-    for rank, lang, words in rows:
-        if rank % 3 or lang not in {x[1] for x in rows if x[0] % 3}:
-            own = counts.setdefault(lang, {})
+    learned = {lang for rank, lang, _ in found if rank % 3}
+    counts_of: dict[str, dict[str, int]] = {}
+    for rank, lang, words in found:
+        if rank % 3 or lang not in learned:
+            own = counts_of.setdefault(lang, {})
             for w in words:
                 own[w] = own.get(w, 0) + 1
-    model = train(counts)
-    test = [r for r in rows if r[0] % 3 == 0] or rows
+    model = train(counts_of)
+    test = [r for r in found if r[0] % 3 == 0] or found
     words = sorted({w for r in test for w in r[2]})
     scores = dict(zip(words, model.score_words(words)))
     sums = np.array([np.sum([scores[w] for w in r[2]], axis=0, dtype=np.float64) for r in test])
@@ -240,6 +272,7 @@ class Scorer:
             letters[begin:end] = np.diff(upto[bounds]) > 0
             if not len(starts):
                 continue
+            # a word has at most LONGEST symbols, too few for the sums of powers to collide by structure
             keys, first, inverse = np.unique(vectext.span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
             keys = keys.tolist()
             if len(self.cache) > self.LIMIT:
@@ -254,15 +287,17 @@ class Scorer:
         return out, letters
 
 
-def detect(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lang, _score, _accepted`` added by one map over whole texts.
+def detect(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with three columns added by one map over whole texts: language, score, accepted.
 
-    Null texts and texts without a letter are ``und`` with score 0 and not accepted, as is everything
-    without a model. The columns of ``docs`` pass through whatever they are called.
+    The columns of ``docs`` come first, as ``_0, _1, ...`` in their order, whatever they are called; then
+    ``lang_pred, score, accepted``. Null texts and texts without a letter are ``und`` with score 0 and not
+    accepted, as is everything without a model.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType()), StructField("_accepted", BooleanType())])
     place = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
 
     def run(batches):
         model = shared.value
@@ -277,17 +312,27 @@ def detect(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                 else:
                     best, score, accepted, letters = np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts), bool), np.zeros(len(texts), bool)
                 langs = [model.langs[b] if ok else "und" for b, ok in zip(best, letters)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(letters & accepted, pa.bool_())], names=[*part.schema.names, "_lang", "_score", "_accepted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(letters & accepted, pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs``, whole, whose language the models accept.
+
+    Null texts, texts without a letter and texts that no learned language explains (see ``calibrate``) go;
+    repeated rows are judged alike. Columns may have any name. An empty or unlabelled table keeps nothing.
+    """
+    out = detect(docs, fit(docs, id_col, text_col, lang_col, **options), text_col).filter("accepted")
+    return out.select(*[f"_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """One row per input row: ``id, held_out, lang_pred, score``; see ``fit`` and ``detect``.
+    """One row per input row: ``id, held_out, lang_pred, score, accepted``; see ``fit`` and ``detect``.
 
     Null ids are not held out and not learned from; repeated rows are predicted alike; an empty table
-    gives no rows.
+    gives no rows. A rejected text (``accepted`` false) still names its nearest language.
     """
     model = fit(docs, id_col, text_col, lang_col, **options)
-    out = detect(docs.select(F.col(id_col), F.col(text_col)), model, id_col, text_col)
-    return out.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    out = detect(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
+    return out.select(F.col("_0").alias(id_col), held_out(F.col("_0")).alias("held_out"), "lang_pred", "score", "accepted")

@@ -9,12 +9,22 @@ from lumenforge.plans.lineage import materialize
 from lumenforge.plans.prefix import prefix_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
+SEED = "mix"
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def random_key(id_: Column, seed: str) -> Column:
+    return F.md5(F.encode(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(f"|{seed}")), "UTF-8"))
+
+
+def source_group(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """``_source, source_size, target`` for a table of ``_source, source_size``.
 
@@ -34,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     return sizes.select("_source", "source_size", F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(first_free["level"] * F.col("_weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = SEED) -> DataFrame:
     """One row per input row: ``id, size, source_size, target, taken`` and the ``_key`` and ``_before`` of the cut.
 
     Every row gets a key hashed from its id. Within a source, rows stand in key order, cut into 4096
@@ -45,11 +55,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text has size 0 and is taken 0 times its words; null source is a source of its own, last in
     order; rows with equal ids are ordered by size. Reruns agree. An empty table gives no rows.
     """
-    key = F.md5(F.encode(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}")), "UTF-8"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("_key"))
     rows = materialize(rows, "mix-rows")
     targets = source_targets(rows.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    group = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
+    group = source_group(F.col("_source"))
     targets = targets.withColumn("_group", group).drop("_source")
     rows = rows.select("id", "size", "_key", group.alias("_group"), F.substring("_key", 1, 3).alias("_range"))
     placed = prefix_sum(rows, ["_group"], "_range", [F.col("_key"), F.col("id"), F.col("size")], "size", "_before")
@@ -57,18 +66,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     out = placed.join(targets, "_group").withColumn("_epochs", whole).withColumn("_rest", (budget - whole * F.col("source_size")).cast("long"))
     taken = F.col("_epochs") * F.col("size") + F.least("size", F.greatest(F.lit(0).cast("long"), F.col("_rest") - F.col("_before")))
-    return out.select(F.col("id").alias(id_col), F.col("size"), F.col("source_size"), F.col("target"), taken.cast("long").alias("taken"), "_key", "_before", "_epochs", "_rest")
+    return out.select(F.col("id").alias(id_col), F.col("size"), F.col("source_size"), F.col("target"), taken.cast("long").alias("taken"), "_key", "_group", "_before", "_epochs", "_rest")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: whole rows of ``docs`` with their own columns, once for each epoch that takes them.
 
     The row that a cut falls into is taken if at least half of it lies before the cut. Rows without
-    words come once with every whole epoch. Rows with equal ids all repeat as often as the first.
+    words, null texts among them, come once with every whole epoch. Rows find their place in the plan by
+    id, source and size; those that agree in all three all repeat as often as the first of them. Null ids
+    and sources are values like others. Columns may have any name; an empty table gives no rows.
     """
     plan = mix(docs, id_col, text_col, source_col, **options)
     copies = F.col("_epochs") + (2 * (F.col("_rest") - F.col("_before")) > F.col("size")).cast("long")
-    plan = plan.groupBy(F.col(id_col).alias("_plan_id")).agg(F.max(copies).alias("_copies")).filter("_copies > 0")
-    columns = [f"`{c}`" for c in docs.columns]
-    out = docs.join(plan, docs[id_col].eqNullSafe(plan["_plan_id"]))
-    return out.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*columns)
+    plan = plan.groupBy("_key", "_group", "size").agg(F.max(copies).alias("_copies")).filter("_copies > 0")
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    rows = rows.withColumns({"_key": random_key(F.col(names[id_col]), options.get("seed", SEED)), "_group": source_group(F.col(names[source_col])), "size": word_count(F.col(names[text_col]))})
+    out = rows.join(plan, ["_key", "_group", "size"])
+    return out.select(*names.values(), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*names.values()).toDF(*names)

@@ -10,11 +10,14 @@ import pytest
 
 from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, pii, sharding, suffix_dedup, url_filter
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, id string, bucket string"
+CLASHING = ("_key", "id", "bucket", "_id", "_rank", "_lang", "_accepted", "_copies", "_copy", "_plan_id", "_group", "size", "norm", "h", "again", "key", "rank", "range", "score", "accepted", "set_key", "node", "_0", "_1", "entities")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+
+DOCS_COLUMNS = [c.split()[0] for c in DOCS.split(", ")]
 
 
 def make(spark, texts, ids=None, sources=None, langs=None):
-    rows = [(ids[i] if ids else i, t, langs[i] if langs else None, sources[i] if sources else None, None, "x", "y", None) for i, t in enumerate(texts)]
+    rows = [(ids[i] if ids else i, t, langs[i] if langs else None, sources[i] if sources else None, None, *["x"] * len(CLASHING)) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -30,7 +33,11 @@ def test_exact_dedup(spark):
     got = {r.doc_id: r for r in exact_dedup.duplicate_groups(make(spark, texts), keep="max").collect()}
     assert [(got[i].keep_id, got[i].group_size, got[i].kept) for i in range(7)] == [(1, 2, False), (1, 2, True), (3, 2, False), (3, 2, True), (4, 1, True), (5, 1, True), (6, 1, True)]
     assert got[0].text_sha256 == hashlib.sha256(b"ab c").hexdigest()
-    assert {r.doc_id for r in exact_dedup.drop_duplicates(make(spark, texts)).collect()} == {0, 2, 4, 5, 6}
+    out = exact_dedup.drop_duplicates(make(spark, texts))
+    assert {r.doc_id for r in out.collect()} == {0, 2, 4, 5, 6} and out.columns == DOCS_COLUMNS
+    repeated = make(spark, ["a", "A", "b", "b", None, "c"], ids=[3, 3, None, 5, None, None])
+    assert sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "").lower()) for r in exact_dedup.drop_duplicates(repeated).collect()) == [(-1, ""), (-1, "c"), (3, "a"), (5, "b")]
+    assert exact_dedup.drop_duplicates(make(spark, [])).count() == 0
     assert exact_dedup.duplicate_groups(make(spark, [])).count() == 0
 
 
@@ -41,6 +48,7 @@ def test_exact_dedup_survives_hash_collisions(spark):
     texts = [f"t{i % 300}" for i in range(600)]
     got = exact_dedup.duplicate_groups(make(spark, texts), hash128=weak).collect()
     assert all((r.keep_id, r.group_size) == (r.doc_id % 300, 2) for r in got)
+    assert {r.doc_id for r in exact_dedup.drop_duplicates(make(spark, texts), hash128=weak).collect()} == set(range(300))
 
 
 def test_mixing(spark):
@@ -54,11 +62,26 @@ def test_mixing(spark):
     for (size, target), rows in by.items():
         assert sum(r.size for r in rows) == size and abs(sum(r.taken for r in rows) - target) <= 0.5
     assert abs(sum(t for _, t in by) - sum(s for s, _ in by)) < 1e-6
-    assert mixing.mix(make(spark, [])).count() == 0
+    assert mixing.mix(make(spark, [])).count() == 0 and mixing.mixed_documents(make(spark, [])).count() == 0
     again = {(r.doc_id, r.taken) for r in mixing.mix(make(spark, texts, sources=sources)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mixed_documents_repeat_rows_by_their_own_key(spark):
+    texts = ["w " * 50] * 3 + ["w " * 3] * 40 + [None, "", "x y"]
+    ids = [7, 7, None] + [None] * 20 + list(range(100, 120)) + [8, 7, 7]
+    sources = ["b", "a", "a"] + ["a", "b"] * 20 + [None, "a", None]
+    docs = make(spark, texts, ids=ids, sources=sources)
+    plan = mixing.mix(docs).collect()
+    want, rounded = collections.Counter(), lambda r: r._epochs + (2 * (r._rest - r._before) > r.size)
+    for key in {(r._key, r._group, r.size) for r in plan}:
+        same = [r for r in plan if (r._key, r._group, r.size) == key]
+        want[(same[0].doc_id, key[1], key[2])] += len(same) * max(map(rounded, same))
+    out = mixing.mixed_documents(docs)
+    got = collections.Counter((r.doc_id, f"s{r.source}" if r.source else "n", len((r.text or "").split())) for r in out.collect())
+    assert out.columns == docs.columns and got == +want
+
+
 def test_sharding(spark):
     rng = random.Random(5)
     texts = ["z" * rng.randint(0, 400) for _ in range(600)] + ["copy"] * 300 + [None]
@@ -271,6 +294,71 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(make(spark, texts)).collect()} == {"und"}
 
 
+def test_unlike_texts_are_rejected(spark):
+    rng = random.Random(8)
+    speech = {"xx": ["alpha", "beta", "gamma", "delta", "lambda"], "yy": ["omkra", "tuzzo", "brinq", "welko", "zuqar"]}
+    texts, langs = [], []
+    for i in range(300):
+        lang = rng.choice(["xx", "yy"])
+        texts.append(" ".join(rng.choice(speech[lang]) for _ in range(rng.randint(5, 200))))
+        langs.append(lang if i % 5 else None)
+    texts += [" ".join("".join(rng.choice("cdfhjkvwxy") for _ in range(6)) for _ in range(n)) for n in (20, 200, 2000)] + [None, "", "12 3"]
+    langs += [None] * 6
+    docs = make(spark, texts, langs=langs)
+    got = {r.doc_id: r for r in langid.predict(docs).collect()}
+    assert all(got[i].accepted for i in range(300)) and not any(got[i].accepted for i in range(300, 306))
+    kept = langid.accepted_documents(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(300))
+    assert langid.accepted_documents(make(spark, [])).count() == 0 and langid.predict(make(spark, [])).count() == 0
+
+
+def brute_kneser_ney(counts, order=4):
+    """P(symbol | context) by the textbook recursion, from dictionaries."""
+    words = {f"\x01{w}\x02": n for w, n in counts.items()}
+    raw = [collections.Counter() for _ in range(order)]
+    for w, n in words.items():
+        for i in range(1, len(w)):
+            for k in range(order):
+                if i >= k:
+                    raw[k][w[i - k : i + 1]] += n
+    used = []
+    for k in range(order):
+        if k == order - 1:
+            used.append({g: float(n) for g, n in raw[k].items()})
+            continue
+        before = collections.defaultdict(set)
+        for g in raw[k + 1]:
+            before[g[1:]].add(g[0])
+        used.append({g: float(n) if k and g[0] == "\x01" else float(len(before[g])) for g, n in raw[k].items()})
+    discount = []
+    for table in used:
+        ones, twos = sum(c < 1.5 for c in table.values()), sum(1.5 <= c < 2.5 for c in table.values())
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+    symbols = len({c for w in words for c in w})
+
+    def p(gram):
+        if not gram:
+            return 1 / (symbols + 1)
+        k, context = len(gram) - 1, gram[:-1]
+        after = {g: c for g, c in used[k].items() if g[:-1] == context}
+        if not after:
+            return p(gram[1:])
+        total = sum(after.values())
+        d = discount[k]
+        return max(after.get(gram, 0.0) - d, 0.0) / total + sum(min(d, c) for c in after.values()) / total * p(gram[1:])
+
+    return p
+
+
+def test_model_is_kneser_ney():
+    counts = {"abab": 3, "ab": 5, "ba": 1, "cabba": 2, "bac": 1}
+    model, p = langid.train({"xx": counts}), brute_kneser_ney(counts)
+    for word in ("ab", "abab", "bab", "cab", "aaaa", "cc", "bacab"):
+        w = f"\x01{word}\x02"
+        want = sum(np.log(p(w[max(0, i - 3) : i + 1])) for i in range(1, len(w)))
+        assert np.isclose(model.score_words([word])[0, 0], want, atol=1e-4), word
+
+
 def test_model_gives_every_word_a_probability():
     model = langid.train({"xx": {"abab": 3, "ab": 5, "ba": 1}})
     scores = model.score_words(["ab", "zzz", "a", "ba" * 32])
