@@ -15,22 +15,29 @@ from lumenforge.sources.tables import table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models accept. Null texts, texts without a letter and texts that no learned
-    language explains (see ``langid.calibrate``) go. An empty or unlabelled table keeps nothing."""
-    return langid.detect(docs, langid.fit(docs)).filter("_accepted").select(*[f"`{c}`" for c in docs.columns])
+    language explains (see ``langid.calibrate``) go; repeated rows are judged alike. An empty or
+    unlabelled table keeps nothing."""
+    return langid.accepted_documents(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the document with the smallest id."""
+    """Of texts that are equal but for the case of A-Z, the document with the smallest id.
+
+    Null equals empty; null ids lose to others; of rows that repeat an id and text one stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest id."""
+    """Of each class of near copies, the document with the smallest id; see ``ngram_join.one_of_each``.
+
+    Texts without words, null ones among them, are no copies of anything and all stay."""
     return ngram_join.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once per epoch: sources share all words by weights 5, 2, 1."""
+    """The documents that the mix takes, once per epoch: sources share all words by weights 5, 2, 1.
+
+    A null source is a source like others; texts without words come once per whole epoch."""
     return mixing.mixed_documents(docs)
 
 
