@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from lumenforge.plans.lineage import materialize
+from lumenforge.plans.skew import join_groups
 
-
-def normalised(text: Column) -> Column:
-    """The text with A-Z lower-cased and nothing else changed; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+WORD_BITS = 32_768  # of one bitmap of the SQL bitmap functions
+BUCKETS = 2048
 
 
 def content_hash(norm: Column) -> Column:
@@ -18,41 +20,101 @@ def content_hash(norm: Column) -> Column:
     return F.unhex(F.md5(F.encode(norm, "UTF-8")))
 
 
+def with_normalised(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as ``_0, _1, ...`` and ``norm``: the text with A-Z lower-cased and nothing else changed.
+
+    Null counts as empty. The text is lower-cased byte by byte in Arrow, so no character above 127 moves.
+    """
+    place = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    schema = StructType([*rows.schema.fields, StructField("norm", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(place)
+            norm = pc.ascii_lower(pc.fill_null(text, pa.scalar("", text.type)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, norm], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bit(h: Column) -> Column:
+    """The place of a hash in the filter of BUCKETS bitmaps, counted from 1."""
+    return F.pmod(F.xxhash64(h), F.lit(BUCKETS * WORD_BITS)) + 1
+
+
+def repeated_filter(hashes: DataFrame) -> DataFrame:
+    """``bucket, bits``: a bit for each ``h`` that stands in at least two rows of ``hashes``.
+
+    At most 2048 rows of 4 KiB whatever the input, so it may be broadcast. Where more
+    hashes repeat than it has room for, it lets more unique rows pass: more is shuffled, nothing else changes.
+    """
+    again = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_bit(F.col("h")).alias("x"))
+    return again.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+
+
+def split_by_filter(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``again``: whether the filter holds their ``h``, which is so for each that repeats."""
+    x = rows.withColumn("_x", _bit(F.col("h"))).withColumn("bucket", F.bitmap_bucket_number("_x"))
+    met = x.join(F.broadcast(bits), "bucket", "left")
+    at = F.bitmap_bit_position("_x")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.col("bits").isNotNull() & (F.call_function("getbit", byte, (at % 8).cast("int")) == 1)
+    return met.withColumn("again", F.coalesce(hit, F.lit(False))).drop("_x", "bucket", "bits")
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hash128=content_hash) -> DataFrame:
     """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
     ``keep`` names the id that stays, the smallest ("min") or largest ("max") of its group.
 
-    Rows meet by ``hash128``. Grouping by (hash, text) then compares the bytes of all texts that share a
-    hash, so two texts whose hashes collide fall into different groups; the aggregation combines
-    copies map-side, so a group that holds a third of all rows reaches the shuffle as one row per
-    task. A row finds its group by (hash, SHA-256), without carrying its text through a shuffle. If
-    two different texts agreed in both digests the query raises instead of merging them.
+    A first pass writes (id, hash, SHA-256) of each row. Hashes that repeat set bits of a filter of
+    bounded size; a second pass sends only the texts that pass it, one per task and different
+    text, to ``groupBy(hash, text)``, which compares the bytes: two texts whose hashes collide fall
+    into different groups. Rows then find their group by (hash, SHA-256) without their text, large
+    groups by broadcast. If two different texts agreed in both digests the query raises instead of
+    merging them.
 
     Null text equals empty text. Null ids never beat other ids and all-null groups keep one null id,
     whose rows are all marked kept. Rows that repeat an id with an equal text are all kept or all
     dropped. An empty table gives no rows. Columns other than the two named are ignored.
     """
-    norm = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select("id", "norm", hash128(F.col("norm")).alias("h"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
+    rows = with_normalised(docs.select(F.col(id_col), F.col(text_col)), docs.select(F.col(text_col)).columns[0]).select(F.col("_0").alias("id"), "norm", hash128(F.col("norm")).alias("h"))
+    sha = F.sha2(F.encode("norm", "UTF-8"), 256)
+    keys = materialize(rows.select("id", "h", sha.alias("text_sha256")), "exact-keys")
+    met = split_by_filter(rows, repeated_filter(keys)).filter("again")
     best = F.max if keep == "max" else F.min
-    texts = rows.groupBy("h", "norm").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    texts = texts.select("h", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size")
+    texts = met.groupBy("h", "norm").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = texts.select("h", sha.alias("text_sha256"), "keep_id", "group_size")
     groups = texts.groupBy("h", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
-    groups = groups.withColumn("keep_id", F.when(F.col("_texts") == 1, F.col("keep_id")).otherwise(F.raise_error(F.lit("different texts agree in MD5 and SHA-256")))).drop("_texts")
-    return rows.select("id", "h", "text_sha256").join(groups, ["h", "text_sha256"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    checked = F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts agree in MD5 and SHA-256")))
+    groups = groups.withColumn("group_size", checked).drop("_texts").withColumn("_met", F.lit(True))
+    groups = materialize(groups.filter("group_size > 1"), "exact-groups")
+    out = join_groups(keys, groups, ["h", "text_sha256"], "group_size", keys.count(), "left")
+    found = lambda c, own: F.when(F.col("_met"), F.col(c)).otherwise(own)
+    out = out.select("id", "text_sha256", found("keep_id", F.col("id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hash128=content_hash) -> DataFrame:
     """The rows of ``docs`` that stay, whole and with their own columns; one of each group.
 
-    Repeated rows with one id and text are reduced to one.
+    Texts are equal when identical after lower-casing A-Z; null equals empty, and null ids lose to
+    others. Of rows that repeat an id and text one stays; which, if their other columns differ, is
+    decided by those columns and the text's case. Rows whose hash is not in the filter of repeated hashes (see
+    ``repeated_filter``) are unique and pass without a shuffle; the others meet by (hash, text), combined
+    before the shuffle. Columns may have any name; an empty table gives no rows.
     """
     columns = docs.columns
-    norm = normalised(F.col(text_col))
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], F.col(id_col).alias("_id"), norm.alias("_norm"))
+    rows = with_normalised(docs, text_col).withColumn("h", hash128(F.col("norm")))
+    bits = materialize(repeated_filter(rows.select("h")), "exact-bits")
+    rows = split_by_filter(rows, bits)
+    unique = rows.filter(~F.col("again")).select(*[f"_{i}" for i in range(len(columns))])
+    own = f"_{columns.index(id_col)}"
+    rest = F.to_json(F.struct(*[f"_{i}" for i in range(len(columns)) if columns[i] != text_col]))
+    order = F.struct(F.col(own).isNotNull() if keep == "max" else F.col(own).isNull(), F.col(own), F.xxhash64(rest), F.xxhash64(f"_{columns.index(text_col)}"))
     best = F.max_by if keep == "max" else F.min_by
-    # the text that is compared and the row that stays travel together; copies are combined before the shuffle
-    order = F.struct(F.col("_id").isNotNull() if keep == "max" else F.col("_id").isNull(), F.col("_id"))
-    kept = rows.groupBy(content_hash(F.col("_norm")).alias("_h"), "_norm").agg(best(F.struct(*[f"_{i}" for i in range(len(columns))]), order).alias("_row"))
-    return kept.select(*[F.col("_row")[f"_{i}"].alias(c) for i, c in enumerate(columns)])
+    # the text that stays is told by its own column; what is compared is the key
+    again = rows.filter("again").groupBy("h", "norm").agg(best(F.struct(*[f"_{i}" for i in range(len(columns))]), order).alias("_row"))
+    again = again.select(*[F.col("_row")[f"_{i}"].alias(f"_{i}") for i in range(len(columns))])
+    return unique.unionByName(again).toDF(*columns)
