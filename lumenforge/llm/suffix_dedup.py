@@ -1,9 +1,12 @@
-"""Substring deduplication by suffix arrays: every byte inside a long enough repeated string is removed.
+"""Substring deduplication by suffix order and longest factors: every byte inside a long enough repeated string is removed.
 
 Equal strings of ``LENGTH`` bytes choose the same anchor, the leftmost of their ``GRAM``-byte grams with
 the least hash. So the windows of a text fall into runs of consecutive starts with one anchor, and
-only runs that share an anchor's hash can hold equal windows. Runs that are equal as a whole are
-counted; the different runs of an anchor meet in one suffix array.
+only runs that share an anchor can hold equal windows. Runs that are equal as a whole are counted and
+stand once; the different runs of an anchor meet in one suffix order. Its previous and next smaller
+positions give each start its longest earlier factor, its previous and next larger ones the longest
+later one; a start repeats if either reaches ``LENGTH``. The runs of an anchor that are too many for one
+suffix order part by what follows and precedes it, which is exact, as often as it takes.
 """
 
 from __future__ import annotations
@@ -17,9 +20,13 @@ from pyspark.sql import functions as F
 
 from lumenforge.llm import vectext
 from lumenforge.plans.lineage import materialize
+from lumenforge.plans.skew import join_groups
 
 LENGTH, GRAM = 200, 40
 CHUNK = 1 << 19  # starts looked at together; a longer text is cut into chunks that overlap by LENGTH
+MEMBERS = 2048  # different runs of one suffix order; more part further
+SUFFIX_BYTES = 1_000_000  # bytes of suffix orders solved together
+DEPTHS = (7, 14, 28, 56, 112)  # prefix lengths of the ranks below LENGTH
 
 
 def _least_in_window(keys: np.ndarray, width: int) -> np.ndarray:
@@ -33,13 +40,13 @@ def _least_in_window(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first start, number of starts, anchor's hash, hash of the run's bytes and its anchor's place in it.
+    """Runs of windows with one anchor: first start, number of starts, anchor's hash, anchor's place in the run.
 
     ``data`` are bytes, ``bounds`` the bounds of the texts in it. Windows don't cross them.
     """
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     places = np.arange(n - gram + 1)
     grams = vectext.span_hashes(data, places, places + gram)
     keys = (grams & ~np.uint64(0xFFFFF)) | places.astype(np.uint64)  # n < 2**20: ties go to the leftmost
@@ -53,8 +60,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     last_of = np.append(np.flatnonzero(new | ~ok), len(starts))
     count = last_of[np.searchsorted(last_of, first, "right")] - first
     at = anchor[first]
-    whole = vectext.span_hashes(data, first, first + count - 1 + length)
-    return first, count, grams[at], vectext.mix(whole + (at - first).astype(np.uint64))
+    return first, count, grams[at], at - first
 
 
 def chunks(raw: bytes, length: int = LENGTH):
@@ -62,46 +68,84 @@ def chunks(raw: bytes, length: int = LENGTH):
         yield begin, raw[begin : begin + CHUNK + length - 1]
 
 
-def suffix_classes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each start the rank of its ``length``-byte prefix in suffix order (shorter ones are padded).
+def prefix_ranks(data: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each start the ranks of its prefixes of ``DEPTHS`` and of ``length`` bytes in suffix order (shorter ones are padded).
 
-    Prefix doubling: ranks of 8 bytes, then of 16, 32, ... from pairs of ranks, and at last of ``length``
-    from two overlapping halves; equal ranks are equal strings, and ranks order as suffixes do.
+    Prefix doubling: ranks of 7 bytes, then of 14, 28, ... from pairs of ranks, and at last of ``length``
+    from two overlapping parts; equal ranks are equal strings, and ranks order as suffixes do.
     """
     n = len(data)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = data.astype(np.uint64) + np.uint64(1)
     # nine bits a byte keep the padding apart: seven bytes fit into 64 bits
     key = np.zeros(n, np.uint64)
-    for i in range(7):
+    for i in range(DEPTHS[0]):
         key = (key << np.uint64(9)) | padded[i : i + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
-    depth = 7
+    out = [np.unique(key, return_inverse=True)[1].astype(np.int64) + 1]
+    depth = DEPTHS[0]
     while depth < length:
         step = min(depth, length - depth)
         after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+        after[: n - step] = out[-1][step:]
+        out.append(np.unique(out[-1] * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1)
         depth += step
-    return rank
+    return out
 
 
-def previous_factors(rank: np.ndarray) -> np.ndarray:
-    """The nearest earlier start with the same prefix, or -1.
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the last earlier place with a smaller value, or -1.
 
-    In suffix order, with ties in order of position, a start's previous smaller position shares its
-    whole prefix exactly if it precedes it inside its class, and the next smaller one then lies in
-    another class; so at this depth the longest previous factor is read off the neighbour before it.
+    Every place looks at the one before it; while that holds no smaller value it goes on to where that
+    one looks, as nothing between is smaller. Places settle in a logarithmic number of rounds.
     """
-    order = np.argsort(rank, kind="stable")
-    out = np.full(len(rank), -1)
-    same = rank[order[1:]] == rank[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
-    return out
+    look = np.arange(-1, len(values) - 1)
+    open_ = np.arange(len(values))
+    while len(open_):
+        at = look[open_]
+        open_ = open_[(at >= 0) & (values[np.maximum(at, 0)] >= values[open_])]
+        look[open_] = look[look[open_]]
+    return look
+
+
+def neighbours(order: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Previous and next smaller, previous and next larger positions: for each place of a suffix order that place, or -1."""
+    n = len(order)
+    turned = lambda values: np.where((t := smaller_before(values[::-1])[::-1]) < 0, -1, n - 1 - t)
+    return smaller_before(order), turned(order), smaller_before(-order), turned(-order)
 
 
-HOT = 4096  # different runs of one anchor up to which they share a suffix array
-SUFFIX_BYTES = 1_000_000  # bytes of one suffix array; an anchor's runs are never parted
+def common_prefixes(ranks: list[np.ndarray], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Length of the common prefix of starts ``a`` and ``b``, at most ``length``: from the ranks downward, then byte by byte."""
+    n = len(data)
+    whole = ranks[-1][a] == ranks[-1][b]
+    out = np.zeros(len(a), np.int64)
+    for depth, rank in reversed(list(zip(DEPTHS, ranks))):
+        x, y = a + out, b + out
+        inside = (x < n) & (y < n)
+        same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
+        out += depth * same
+    for _ in range(DEPTHS[0] - 1):
+        x, y = a + out, b + out
+        out += (x < n) & (y < n) & (data[np.minimum(x, n - 1)] == data[np.minimum(y, n - 1)])
+    return np.where(whole, length, np.minimum(out, length))
+
+
+def longest_factors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``starts`` (ascending) the longest prefix, up to ``length``, that an earlier one has as well, and that a later one has.
+
+    The first is the longest-previous-factor array: of all earlier starts, the previous or the next
+    smaller position in suffix order shares most. The second is the same with larger positions.
+    """
+    ranks = prefix_ranks(data, length)
+    order = starts[np.lexsort((starts, ranks[-1][starts]))]
+    earlier, later = np.zeros((2, len(starts)), np.int64)
+    back = np.searchsorted(starts, order)
+    for out, sides in zip((earlier, later), np.split(np.array(neighbours(order)), 2)):
+        for side in sides:
+            at = np.flatnonzero(side >= 0)
+            shared = common_prefixes(ranks, data, order[at], order[side[at]], length)
+            out[back[at]] = np.maximum(out[back[at]], shared)
+    return earlier, later
 
 
 def _batched(texts: list[bytes], most: int = 400_000):
@@ -112,42 +156,91 @@ def _batched(texts: list[bytes], most: int = 400_000):
             continue
         if len(raw) > most:
             for begin, piece in chunks(raw):
-                yield np.frombuffer(piece, np.uint8), np.array([0, len(piece)]), [i], [begin]
+                yield piece, np.array([0, len(piece)]), [i], [begin]
             continue
         if total + len(raw) > most:
-            yield np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), owner, [0] * len(owner)
+            yield b"".join(part), np.cumsum([0, *map(len, part)]), owner, [0] * len(owner)
             part, owner, total = [], [], 0
         part.append(raw), owner.append(i)
         total += len(raw)
     if part:
-        yield np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), owner, [0] * len(owner)
+        yield b"".join(part), np.cumsum([0, *map(len, part)]), owner, [0] * len(owner)
+
+
+def _digest(raw: bytes, place: int) -> bytes:
+    """128 bits of a run's bytes and its anchor's place in it."""
+    return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(2, "little")).digest()
+
+
+RUNS = "key binary, anchor binary, run binary, place long, at int"
 
 
 def _runs(batches):
     """(key, text) to rows of anchor runs; a text that this task has read already adds nothing new."""
     seen = set()
     for batch in batches:
-        keys = batch.column(0).to_numpy()
         texts = [t or b"" for t in batch.column(1).to_pylist()]
-        for i, k in enumerate(keys.tolist()):
+        for i, k in enumerate(batch.column(0).to_pylist()):
             if k in seen:
                 texts[i] = b""
-            elif len(seen) < 1_000_000:
+            elif len(seen) < 500_000:
                 seen.add(k)
-        for data, bounds, owner, offset in _batched(texts):
-            first, count, anchor, whole = anchors(data, bounds)
+        for raw, bounds, owner, offset in _batched(texts):
+            first, count, anchor, at = anchors(np.frombuffer(raw, np.uint8), bounds)
             text = np.searchsorted(bounds, first, "right") - 1
             start = first - bounds[text] + np.array(offset)[text]
-            columns = [keys[np.array(owner)[text]], anchor.view(np.int64), whole.view(np.int64), start << 20 | count]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "anchor", "run", "place"])
+            run = [_digest(raw[s:e], a) for s, e, a in zip(first.tolist(), (first + count - 1 + LENGTH).tolist(), at.tolist())]
+            gram = anchor.astype(">u8").tobytes()
+            columns = [
+                batch.column(0).take(pa.array(np.array(owner, np.int64)[text])), pa.array([gram[i : i + 8] for i in range(0, len(gram), 8)], pa.binary()),
+                pa.array(run, pa.binary()), pa.array(start << 20 | count, pa.int64()), pa.array(at, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "run", "place", "at"])
+
+
+SEGMENTS = "anchor binary, run binary, key binary, place long, at int, bytes binary"
+
+
+def _segments(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in SEGMENTS.split(", ")])
 
 
 def _cut_segments(batches):
-    """(key, text, wanted places with anchor and run) to the bytes of each wanted run."""
+    """(key, text, wanted runs) to the bytes of each wanted run."""
     for batch in batches:
         for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            rows = [(w["anchor"], w["run"], w["place"], text[(s := w["place"] >> 20) : s + (w["place"] & 0xFFFFF) - 1 + LENGTH]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["anchor", "run", "key", "place", "bytes"])
+            yield _segments([(w["anchor"], w["run"], key, w["place"], w["at"], text[(s := w["place"] >> 20) : s + (w["place"] & 0xFFFFF) - 1 + LENGTH]) for w in wanted])
+
+
+def cells(level: int) -> list[tuple[int, int]]:
+    """The ranges of distances from a window's start to its anchor that ``level`` parts; the last level has one distance to a range."""
+    spread = LENGTH - GRAM + 1
+    parts = min(1 << level, spread)
+    edges = [spread * i // parts for i in range(parts + 1)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def _part_segments(level: int):
+    """Segments to the parts of their runs by distance from the anchor; the new anchor is what all windows of a part's distances share."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for _, _, key, place, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                start, count = place >> 20, place & 0xFFFFF
+                for low, high in cells(level):
+                    a, b = max(at - high + 1, 0), min(at - low + 1, count)  # starts of the part
+                    if a < b:
+                        shared = hashlib.blake2b(raw[at - low : at - high + 1 + LENGTH], digest_size=16, salt=low.to_bytes(2, "little")).digest()
+                        own = raw[a : b - 1 + LENGTH]
+                        rows.append((shared, _digest(own, at - a), key, (start + a) << 20 | (b - a), at - a, own))
+                if len(rows) > 4000:
+                    yield _segments(rows)
+                    rows = []
+            yield _segments(rows)
+
+    return run
 
 
 def _covered(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -157,56 +250,44 @@ def _covered(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), (starts[np.append(first[1:], len(starts)) - 1] + LENGTH).tolist()))
 
 
+RANGES = "key binary, begin long, end long"
+
+
 def _repeats(batches):
     """Segments in order of anchor to ranges (key, begin, end) whose windows occur in another run of their anchor."""
 
     def solve(rows):
         data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
         bounds = np.cumsum([0, *(len(r[2]) for r in rows)])
-        rank = suffix_classes(data)
         inside = np.arange(len(data))
-        valid = inside + LENGTH <= bounds[np.searchsorted(bounds, inside, "right")]
-        starts = inside[valid]
-        earlier = previous_factors(rank[starts])
-        again = earlier >= 0
-        again[earlier[earlier >= 0]] = True  # the first of its class repeats as well
-        hits = starts[again]
+        starts = inside[inside + LENGTH <= bounds[np.searchsorted(bounds, inside, "right")]]
+        earlier, later = longest_factors(data, starts)
+        hits = starts[np.maximum(earlier, later) >= LENGTH]
         text = np.searchsorted(bounds, hits, "right") - 1
+        cut = np.flatnonzero(np.diff(text, prepend=-1))
         out = []
-        for t in np.unique(text).tolist():
-            own = hits[text == t] - bounds[t] if len(rows) < 50 else hits[np.searchsorted(text, t) : np.searchsorted(text, t, "right")] - bounds[t]
+        for t, own in zip(text[cut].tolist(), np.split(hits, cut[1:])) if len(hits) else ():
             begin = rows[t][1] >> 20
-            out += [(rows[t][0], begin + a, begin + b) for a, b in _covered(own)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["key", "begin", "end"])
+            out += [(rows[t][0], begin + a, begin + b) for a, b in _covered(own - bounds[t])]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["key", "begin", "end"])
 
     held, group, last, size = [], [], None, 0
     for batch in batches:
         for anchor, key, place, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if anchor != last:
+                held += group
+                group, last = [], anchor
                 if size > SUFFIX_BYTES:
-                    yield solve(held + group)
+                    yield solve(held)
                     held, size = [], 0
-                else:
-                    held += group
-                group, last = [], anchor
             group.append((key, place, raw))
             size += len(raw)
     if held or group:
         yield solve(held + group)
 
 
-def _windows(batches):
-    """Segments of a hot anchor to one row for each window: its place and 64 + 64 bits of its bytes' hashes."""
-    for batch in batches:
-        for key, place, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            data = np.frombuffer(raw, np.uint8)
-            at = np.arange(len(data) - LENGTH + 1)
-            one, two = (vectext.span_hashes(d, at, at + LENGTH).view(np.int64) for d in (data, data.astype(np.int64) * 4099 + 7))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(at), key), (place >> 20) + at, one, two)], ["key", "start", "h1", "h2"])
-
-
-def _digest(batches):
-    """(key, text, ranges) to what is left of the text."""
+def _remainders(batches):
+    """(key, text, ranges) to the digest of what is left of the text."""
     for batch in batches:
         rows = []
         for key, raw, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -220,10 +301,19 @@ def _digest(batches):
                     removed += max(end - at, 0)
                 at = max(at, end)
             kept.append(raw[at:])
-            rest = b"".join(kept)
-            rows.append((key, removed, spans, hashlib.sha256(rest).hexdigest(), rest))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows.append((key, removed, spans, hashlib.sha256(b"".join(kept)).hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["key", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _kinds(runs: DataFrame, carried: list[str]) -> DataFrame:
+    """The different runs of each anchor, how often they stand and one of their places."""
+    at = F.struct("key", "place", "at", *[c for c in carried if c == "bytes"])
+    return runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("one"))
+
+
+def _ends(place) -> list:
+    begin = F.shiftright(place, 20)
+    return [begin.alias("begin"), (begin + place.bitwiseAND(F.lit(0xFFFFF)) - 1 + LENGTH).alias("end")]
 
 
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,46 +322,64 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Removes each byte that a string of ``LENGTH`` bytes covers which also starts elsewhere in the corpus, the
     same text included; matches stay inside texts and are judged on the input.
 
-    Anchor runs of all texts are counted by anchor; the anchors that occur once, most, end there. Runs
-    with equal bytes repeat as a whole. Anchors with several different runs send the bytes of one run
-    of each kind to a suffix array with the other runs of the anchor. An anchor with over ``HOT`` kinds
-    goes another way: its windows are counted by 128-bit hashes, combined map-side. Ranges then meet
-    their texts again; only texts with a repeated anchor are fetched.
+    1. Anchor runs of all texts are counted by anchor; the anchors that occur once, most, end there.
+    2. Runs with equal bytes repeat as a whole and stand once from there on. 3. Anchors with several
+    different runs send the bytes of one run of each kind to a suffix order with the others of the
+    anchor. 4. Where more than ``MEMBERS`` kinds share an anchor, their runs part by the distance of
+    windows from the anchor, and meet again by all bytes that windows at those distances share: 120
+    bytes where the distances are halved, then 160, and so on up to the whole window. 2 to 4 repeat on
+    the parts; with one distance to a part only equal runs share an anchor, so it ends. Ranges then
+    meet their texts again; only texts with a repeated anchor are fetched.
 
     Null counts as empty; texts shorter than ``LENGTH`` lose nothing; equal texts that are long enough
-    lose everything. Ids may be null or repeat. An empty table gives no rows. Texts and runs are told
-    apart by 64-bit hashes, texts by their MD5's first half.
+    lose everything. Ids may be null or repeat; other columns are not read. An empty table gives no rows. Texts
+    go by 128 bits of their SHA-256, and texts that share those but not the rest stop the query; runs go by
+    128 bits of BLAKE2b.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.withColumn("key", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
-    meta = materialize(rows.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sa-meta")
-    copies = meta.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-
-    runs = materialize(rows.select("key", "text").mapInArrow(_runs, "key long, anchor long, run long, place long"), "sa-runs")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    met = materialize(runs.join(often, "anchor"), "sa-met")
-    kinds = met.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at"))
-    kinds = materialize(kinds, "sa-kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(several, "anchor").select("anchor", "run", "kinds", F.col("at.key").alias("key"), F.col("at.place").alias("place"), "n")
-    twice = met.join(kinds.filter("n > 1").select("anchor", "run"), ["anchor", "run"]).select("key", "place")
-    begin = F.shiftright("place", 20)
-    whole = twice.select("key", begin.alias("begin"), (begin + F.col("place").bitwiseAND(F.lit(0xFFFFF)) - 1 + LENGTH).alias("end"))
-    asked = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "place")).alias("wanted"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
+    rows = rows.withColumn("key", F.unhex(F.substring("sha", 1, 32)))
+    meta = materialize(rows.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "sha"), "sa-meta")
+    copies = meta.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("sha").alias("low"), F.max("sha").alias("high"))
+    one_text = F.when(F.col("low") == F.col("high"), F.col("copies")).otherwise(F.raise_error(F.lit("different texts agree in 128 bits of SHA-256")))
+    copies = materialize(copies.select("key", one_text.alias("copies")), "sa-copies")
+
+    runs = materialize(rows.select("key", "text").mapInArrow(_runs, RUNS), "sa-runs")
+    often = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sa-often")
+    met = materialize(join_groups(runs, often, ["anchor"], "n", runs.count(), "left_semi"), "sa-met")
+    kinds = materialize(_kinds(met, []), "sa-kinds")
+    several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "sa-several")
+    twice = join_groups(met.select("anchor", "run", "key", "place"), kinds.filter("n > 1").select("anchor", "run", "n"), ["anchor", "run"], "n", met.count(), "left_semi")
+    ranges = [twice.select("key", *_ends(F.col("place")))]
+    wanted = join_groups(kinds, several, ["anchor"], "kinds", kinds.count(), "left_semi").select("anchor", "run", "one.*")
+    asked = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "place", "at")).alias("wanted"))
     # every text with a met anchor, once: equal texts are combined before the shuffle
     need = met.select("key").distinct().join(asked, "key", "left")
-    texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(need, "key")
-    texts = materialize(texts, "sa-texts")
-    segments = texts.filter("wanted is not null").mapInArrow(_cut_segments, "anchor long, run long, key long, place long, bytes binary")
-    segments = materialize(segments.join(several, "anchor"), "sa-segments")
-    cold = segments.filter(F.col("kinds") <= HOT).select("anchor", "key", "place", "bytes")
-    found = cold.repartition("anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(_repeats, "key long, begin long, end long")
-    windows = segments.filter(F.col("kinds") > HOT).select("key", "place", "bytes").mapInArrow(_windows, "key long, start long, h1 long, h2 long")
-    more = windows.join(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["h1", "h2"]).select("key", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end"))
-    ranges = whole.unionByName(found).unionByName(more).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-    left = texts.select("key", "text").join(ranges, "key").mapInArrow(_digest, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
-    out = meta.join(copies, "key").join(left, "key", "left")
+    texts = materialize(rows.groupBy("key").agg(F.first("text").alias("text")).join(need, "key"), "sa-texts")
+    segments = materialize(texts.filter("wanted is not null").mapInArrow(_cut_segments, SEGMENTS), "sa-segments")
+    level = 0
+    while True:
+        total = segments.count()
+        few = join_groups(segments, several.filter(F.col("kinds") <= MEMBERS), ["anchor"], "kinds", total, "left_semi").select("anchor", "key", "place", "bytes")
+        ranges.append(few.repartition("anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(_repeats, RANGES))
+        many = several.filter(F.col("kinds") > MEMBERS)
+        if many.isEmpty():
+            break
+        level += 1
+        parts = join_groups(segments, many, ["anchor"], "kinds", total, "left_semi").select(*[c.split()[0] for c in SEGMENTS.split(", ")])
+        parts = materialize(parts.mapInArrow(_part_segments(level), SEGMENTS), "sa-parts")
+        kinds = materialize(_kinds(parts, ["bytes"]), "sa-kinds")
+        again = join_groups(parts.select("anchor", "run", "key", "place"), kinds.filter("n > 1").select("anchor", "run", "n"), ["anchor", "run"], "n", parts.count(), "left_semi")
+        ranges.append(again.select("key", *_ends(F.col("place"))))
+        several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "sa-several")
+        segments = join_groups(kinds, several, ["anchor"], "kinds", kinds.count(), "left_semi").select("anchor", "run", "one.*")
+        segments = materialize(segments.select(*[c.split()[0] for c in SEGMENTS.split(", ")]), "sa-segments")
+    found = ranges[0]
+    for more in ranges[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    left = texts.select("key", "text").join(found, "key").mapInArrow(_remainders, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    out = join_groups(meta, copies, ["key"], "copies", meta.count()).join(left, "key", "left")
     everything = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     none = F.lit(0).cast("long")
     return out.select(
