@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lumenforge.llm import bitmaps
 from lumenforge.plans.lineage import materialize
 from lumenforge.plans.skew import join_groups
 
-WORD_BITS = 32_768  # of one bitmap of the SQL bitmap functions
-BUCKETS = 2048
-
-
 def content_hash(norm: Column) -> Column:
     """128 bits of the normalised text."""
     return F.unhex(F.md5(F.encode(norm, "UTF-8")))
@@ -38,29 +35,9 @@ def with_normalised(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _bit(h: Column) -> Column:
-    """The place of a hash in the filter of BUCKETS bitmaps, counted from 1."""
-    return F.pmod(F.xxhash64(h), F.lit(BUCKETS * WORD_BITS)) + 1
-
-
 def repeated_filter(hashes: DataFrame) -> DataFrame:
-    """``bucket, bits``: a bit for each ``h`` that stands in at least two rows of ``hashes``.
-
-    At most 2048 rows of 4 KiB whatever the input, so it may be broadcast. Where more
-    hashes repeat than it has room for, it lets more unique rows pass: more is shuffled, nothing else changes.
-    """
-    again = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_bit(F.col("h")).alias("x"))
-    return again.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-
-
-def split_by_filter(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """``rows`` with ``again``: whether the filter holds their ``h``, which is so for each that repeats."""
-    x = rows.withColumn("_x", _bit(F.col("h"))).withColumn("bucket", F.bitmap_bucket_number("_x"))
-    met = x.join(F.broadcast(bits), "bucket", "left")
-    at = F.bitmap_bit_position("_x")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    hit = F.col("bits").isNotNull() & (F.call_function("getbit", byte, (at % 8).cast("int")) == 1)
-    return met.withColumn("again", F.coalesce(hit, F.lit(False))).drop("_x", "bucket", "bits")
+    """The filter of those ``h`` that stand in at least two rows of ``hashes``."""
+    return bitmaps.key_filter(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hash128=content_hash) -> DataFrame:
@@ -82,7 +59,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = with_normalised(docs.select(F.col(id_col), F.col(text_col)), docs.select(F.col(text_col)).columns[0]).select(F.col("_0").alias("id"), "norm", hash128(F.col("norm")).alias("h"))
     sha = F.sha2(F.encode("norm", "UTF-8"), 256)
     keys = materialize(rows.select("id", "h", sha.alias("text_sha256")), "exact-keys")
-    met = split_by_filter(rows, repeated_filter(keys)).filter("again")
+    met = bitmaps.split_by_filter(rows, repeated_filter(keys)).filter("again")
     best = F.max if keep == "max" else F.min
     texts = met.groupBy("h", "norm").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = texts.select("h", sha.alias("text_sha256"), "keep_id", "group_size")
@@ -102,13 +79,13 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are equal when identical after lower-casing A-Z; null equals empty, and null ids lose to
     others. Of rows that repeat an id and text one stays; which, if their other columns differ, is
     decided by those columns and the text's case. Rows whose hash is not in the filter of repeated hashes (see
-    ``repeated_filter``) are unique and pass without a shuffle; the others meet by (hash, text), combined
+    ``bitmaps.key_filter``) are unique and pass without a shuffle; the others meet by (hash, text), combined
     before the shuffle. Columns may have any name; an empty table gives no rows.
     """
     columns = docs.columns
     rows = with_normalised(docs, text_col).withColumn("h", hash128(F.col("norm")))
     bits = materialize(repeated_filter(rows.select("h")), "exact-bits")
-    rows = split_by_filter(rows, bits)
+    rows = bitmaps.split_by_filter(rows, bits)
     unique = rows.filter(~F.col("again")).select(*[f"_{i}" for i in range(len(columns))])
     own = f"_{columns.index(id_col)}"
     rest = F.to_json(F.struct(*[f"_{i}" for i in range(len(columns)) if columns[i] != text_col]))

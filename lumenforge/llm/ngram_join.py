@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm import vectext
+from lumenforge.llm import bitmaps, vectext
 from lumenforge.operators.components import connected_components
 from lumenforge.plans.lineage import materialize
+from lumenforge.plans.skew import join_groups
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4  # a pair at 0.8 shares none of the 32 bands of 4 with probability 5e-8
@@ -118,34 +119,41 @@ def _blocks(batches, key_columns: int):
         yield last, held
 
 
-def _bucket_edges(batches):
-    """In each bucket, pairs that meet in it first and outlive the pruning; one edge to the root for each node."""
-    for (_, low, high), rows in _blocks(batches, 3):
-        ids = [r[0] for r in rows]
-        side = np.array([r[1] for r in rows])
-        band = rows[0][2]
-        sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, HASHES)
-        bands = sigs.view("<u8").reshape(len(rows), BANDS, 2)
-        out_i, out_j = [], []
-        left = np.flatnonzero(side == low)
-        right = np.flatnonzero(side == high)
-        for a in left.tolist():
-            others = right[right > a] if low == high else right
-            if not len(others):
-                continue
-            fresh = ~(bands[others, :band] == bands[a, :band]).all(2).any(1)
-            others = others[fresh]
-            if len(others):
-                i = np.full(len(others), a)
-                ok = surviving(sigs, i, others)
-                out_i.append(i[ok]), out_j.append(others[ok])
-        if not out_i:
+def first_meetings(side: np.ndarray, low: int, high: int, band: int, sigs: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's nodes that share ``band``, no band before it, and outlive the pruning.
+
+    A block holds part ``low`` and part ``high`` of a bucket; ``side`` is each node's part.
+    """
+    bands = sigs.view("<u8").reshape(len(sigs), BANDS, ROWS // 2)
+    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    out_i, out_j = [], []
+    for a in left.tolist():
+        others = right[right > a] if low == high else right
+        if not len(others):
             continue
-        i, j = np.concatenate(out_i), np.concatenate(out_j)
-        root = local_components(len(ids), i, j)
-        hit = np.flatnonzero(root != np.arange(len(ids))).tolist()
+        equal = (bands[others, : band + 1] == bands[a, : band + 1]).all(2)
+        others = others[equal[:, band] & ~equal[:, :band].any(1)]
+        if len(others):
+            i = np.full(len(others), a)
+            ok = surviving(sigs, i, others, threshold)
+            out_i.append(i[ok]), out_j.append(others[ok])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+MEMBERS = "bucket long, low long, high long, node long, part long, band int"
+
+
+def _candidates(batches, threshold: float):
+    """Rows (bucket, low, high, node, part, band, sig) to those, without signature, whose node has a surviving first meeting in its block."""
+    for (bucket, low, high), rows in _blocks(batches, 3):
+        band = rows[0][2]
+        i, j = first_meetings(np.array([r[1] for r in rows]), low, high, band, np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, HASHES), threshold)
+        hit = np.union1d(i, j).tolist()
         if hit:
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in hit], pa.int64()), pa.array([ids[root[x]] for x in hit], pa.int64())], ["a", "b"])
+            n = len(hit)
+            columns = ([bucket] * n, [low] * n, [high] * n, [rows[x][0] for x in hit], [rows[x][1] for x in hit])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([band] * n, pa.int32())], [c.split()[0] for c in MEMBERS.split(", ")])
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,29 +181,22 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches, threshold: float):
-    """Per block of a candidate component: each node's number of exact links and its root among them."""
+    """Per block the exact similarity of its surviving first meetings: each node's number of links and its root among them."""
     for (_, low, high), rows in _blocks(batches, 3):
-        seen, ids, side, texts = set(), [], [], []
-        for node, s, text in rows:
-            if node not in seen:
-                seen.add(node), ids.append(node), side.append(s), texts.append(text or "")
-        if len(ids) < 2:
+        i, j = first_meetings(np.array([r[1] for r in rows]), low, high, rows[0][2], np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, HASHES), threshold)
+        if not len(i):
             continue
-        sets = shingle_sets(texts)
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         sizes = np.array([len(s) for s in sets], np.float64)
-        common = _overlaps(sets).astype(np.float64)
+        common = _overlaps(sets)[i, j].astype(np.float64)
         # common / union >= threshold, without dividing
-        linked = (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9) & (common > 0)
-        np.fill_diagonal(linked, False)
-        side = np.array(side)
-        if low != high:
-            linked &= side[:, None] != side[None, :]
-        links = linked.sum(1)
-        i, j = np.nonzero(np.triu(linked))
-        root = local_components(len(ids), i, j)
+        ok = (common >= threshold * (sizes[i] + sizes[j] - common) - 1e-9) & (common > 0)
+        i, j = i[ok], j[ok]
+        links = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
+        root = local_components(len(rows), i, j)
         hit = np.flatnonzero(links).tolist()
         if hit:
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in hit], pa.int64()), pa.array([ids[root[x]] for x in hit], pa.int64()), pa.array(links[hit], pa.int64())], ["node", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x in hit], pa.int64()), pa.array([rows[root[x]][0] for x in hit], pa.int64()), pa.array(links[hit], pa.int64())], ["node", "root", "links"])
 
 
 def _sides(parts: Column, own: Column) -> Column:
@@ -203,39 +204,38 @@ def _sides(parts: Column, own: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"))))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: ``id, class_id, copy_id, n_copies, n_links``.
+def _text_key(text: Column) -> Column:
+    """128 bits of the text's SHA-256; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256), 1, 32))
 
-    ``copy_id`` is the smallest id with an equal shingle set, ``n_copies`` how many rows have it; ``n_links`` counts
-    the other sets whose Jaccard similarity is at least ``threshold``; ``class_id`` is the smallest id that
-    such links lead to. Ids are integers.
 
-    1. Rows with equal sets become one node, so thousands of copies cost one. 2. Nodes that agree in a
-    band of four MinHash values meet in its bucket. Buckets of over 1024 nodes are cut into parts,
-    and every pair of parts is a task of its own. A pair is looked at where it meets first: after 32,
-    64, 96 and 128 values it is dropped once P(similarity >= threshold) falls below 1e-6. What leaves a
-    bucket is a spanning star of the pairs that are left, so output grows with the nodes, not
-    the pairs. 3. Within the components of these stars, cut into parts likewise by count and size,
-    all intersections are computed exactly from the whole texts.
+def _sketch(batches):
+    """(id, text_key, text) to sketches, without the text."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            sets = shingle_sets([t or "" for t in part.column(2).to_pylist()])
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "text_key", "set_key", "sig"])
 
-    Null and empty texts have no shingles: a class of their own each, without links. Rows with null
-    ids join no class and count as no copy; repeated ids with equal texts count as copies; an id that
-    repeats with different texts stands for the first text read. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
 
-    def sketch(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["id", "set_key", "n", "sig"])
+def _shingles(batches):
+    """(node, text) to (node, shingles), 64 bits to each."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], ["node", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = materialize(rows.mapInArrow(sketch, "id long, set_key binary, n long, sig binary"), "sketches")
-    nodes = sketches.filter("id is not null and set_key is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min_by("sig", "id").alias("sig"), F.first("n").alias("n"))
-    nodes = materialize(nodes, "nodes")
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``id, text_key, set_key`` and, for each set of shingles, ``set_key, node, class, min_id, n_copies, n_links``; both are tables."""
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    sketches = materialize(rows.mapInArrow(_sketch, "id long, text_key binary, set_key binary, sig binary"), "sketches")
+    nodes = sketches.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_copies"), F.min("text_key").alias("text_key"), F.min("sig").alias("sig"))
+    # numbers are fixed by writing them; no result depends on which node has which
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     band = lambda i: F.xxhash64(F.substring("sig", 16 * i + 1, 16), F.lit(i))
     bands = nodes.select("node", F.posexplode(F.array(*map(band, range(BANDS)))).alias("band", "bucket"))
@@ -243,25 +243,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = bands.join(shared, "bucket").withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     members = members.join(nodes.select("node", "sig"), "node").select("bucket", "band", "node", "part", "sig", _sides(F.col("parts"), F.col("part")).alias("b"))
     members = members.select("bucket", F.col("b.low").alias("low"), F.col("b.high").alias("high"), "node", "part", "band", "sig")
-    edges = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(_bucket_edges, "a long, b long")
-    candidates = connected_components(edges)
-
-    groups = candidates.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / 1_000_000)).alias("parts"))
-    placed = candidates.join(groups, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    texts = rows.join(placed, rows["id"] == placed["node"]).select("component", "node", "part", "text", _sides(F.col("parts"), F.col("part")).alias("b"))
-    texts = texts.select("component", F.col("b.low").alias("low"), F.col("b.high").alias("high"), "node", "part", "text")
-    links = texts.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "node").mapInArrow(lambda batches: _verify(batches, threshold), "node long, root long, links long")
+    block = ["bucket", "low", "high"]
+    met = members.repartition(tasks, *block).sortWithinPartitions(*block, "node").mapInArrow(lambda batches: _candidates(batches, threshold), MEMBERS)
+    met = materialize(met, "candidates")
+
+    wanted = materialize(met.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "wanted")
+    near = bitmaps.split_by_filter(rows.select("text_key", "text").withColumnRenamed("text_key", "h"), bitmaps.key_filter(wanted.select(F.col("text_key").alias("h")))).filter("again")
+    texts = near.groupBy(F.col("h").alias("text_key")).agg(F.first("text").alias("text")).join(wanted, "text_key").select("node", "text")
+    sets = materialize(texts.mapInArrow(_shingles, "node long, shingles binary"), "shingles")
+    blocks = met.join(nodes.select("node", "sig"), "node").join(sets, "node").select(*block, "node", "part", "band", "sig", "shingles")
+    links = blocks.repartition(tasks, *block).sortWithinPartitions(*block, "node").mapInArrow(lambda batches: _verify(batches, threshold), "node long, root long, links long")
     links = materialize(links, "links")
-    classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    parts = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    found = nodes.select("set_key", "node", "n_copies").join(counts, "node", "left").join(classes, "node", "left").select("set_key", F.coalesce("component", "node").alias("_class"), F.col("node").alias("_copy"), F.col("n_copies").alias("_copies"), F.coalesce("links", F.lit(0).cast("long")).alias("_links"))
-    keyed = sketches.select("id", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key"))
-    out = keyed.join(found, "set_key", "left")
-    one = F.lit(1).cast("long")
-    return out.select(F.col("id").alias(id_col), F.coalesce("_class", "id").alias("class_id"), F.coalesce("_copy", "id").alias("copy_id"), F.coalesce("_copies", one).alias("n_copies"), F.coalesce("_links", one - 1).alias("n_links"))
+    found = nodes.select("set_key", "node", "min_id", "n_copies").join(counts, "node", "left").join(parts, "node", "left")
+    found = found.select("set_key", "node", F.coalesce("component", "node").alias("class"), "min_id", "n_copies", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    return sketches.select("id", "text_key", "set_key"), materialize(found, "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: ``id, class_id, copy_id, n_copies, n_links``.
+
+    ``copy_id`` is the smallest id with an equal shingle set, ``n_copies`` how many rows have it; ``n_links`` counts
+    the other sets whose Jaccard similarity is at least ``threshold``; ``class_id`` is the smallest id that
+    such links lead to. Ids are integers.
+
+    1. Rows with equal sets become one node, so thousands of copies cost one. 2. Nodes that agree in a
+    band of four MinHash values meet in its bucket. Buckets of over 1024 nodes are cut into parts,
+    and every pair of parts is a block of its own. A pair is looked at where it meets first: after 32,
+    64, 96 and 128 values it is dropped once P(similarity >= threshold) falls below 1e-6. What leaves a
+    block are its nodes with a pair left, not the pairs. 3. The shingles of those nodes go to the blocks
+    in which they have such a pair, and the pairs that are left, and no others, are verified by
+    exact intersection there. Each pair counts in one block.
+
+    Null and empty texts have no shingles: a class of their own each, without links. Rows are told apart
+    by content: repeated ids with different texts are different nodes, rows with null ids are linked and
+    counted like others, and a class or set of null ids alone has null for its smallest id. Other
+    columns are not read. An empty table gives no rows.
+    """
+    rows, found = _classes(docs, id_col, text_col, threshold)
+    smallest = found.groupBy("class").agg(F.min("min_id").alias("class_id"))
+    table = found.join(smallest, "class").select("set_key", "class_id", F.col("min_id").alias("copy_id"), "n_copies", "n_links")
+    table = materialize(table, "verdicts")
+    empty, one = rows.filter("set_key is null"), F.lit(1).cast("long")
+    out = join_groups(rows.filter("set_key is not null"), table, ["set_key"], "n_copies", rows.count()).select("id", "class_id", "copy_id", "n_copies", "n_links")
+    out = out.unionByName(empty.select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), one.alias("n_copies"), (one - 1).alias("n_links")))
+    return out.withColumnRenamed("id", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, whole, whose id is the smallest of its class; rows with null ids stay."""
-    dropped = near_duplicates(docs, id_col, text_col, threshold).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["_dropped"], "left_anti")
+    """The rows of ``docs``, whole and with their own columns; one of each class of near copies.
+
+    The row with the smallest id stays, one with a null id only where all are null; ties go by the text's
+    digest, then by the other columns. Texts without words are no copies of anything and all stay.
+    Rows whose text is in no class of several rows pass without a shuffle. Columns may have any name; an
+    empty table gives no rows.
+    """
+    rows, found = _classes(docs, id_col, text_col, threshold)
+    sizes = found.groupBy("class").agg(F.sum("n_copies").alias("rows")).filter("rows > 1").select("class")
+    found = materialize(found.join(sizes, "class").select("set_key", "class", "n_copies"), "several")
+    affected = join_groups(rows.filter("set_key is not null"), found, ["set_key"], "n_copies", rows.count())
+    ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    affected = materialize(affected.select("class", ident.alias("ident"), "text_key", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key").alias("order")), "affected")
+    stays = affected.groupBy("class").agg(F.min("order").alias("order"), F.lit(True).alias("stays"))
+    verdicts = affected.join(stays.withColumnRenamed("order", "first"), "class").groupBy("ident", "text_key").agg(F.max(F.col("order") == F.col("first")).alias("stays"))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    whole = docs.toDF(*names).withColumn("h", _text_key(F.col(own_text)))
+    whole = bitmaps.split_by_filter(whole, materialize(bitmaps.key_filter(affected.select(F.col("text_key").alias("h"))), "affected-bits"))
+    asked = whole.filter("again").withColumn("ident", F.coalesce(F.col(own_id).cast("long").cast("string"), F.lit(""))).withColumnRenamed("h", "text_key")
+    judged = asked.join(verdicts, ["ident", "text_key"], "left")
+    others = judged.filter("stays is null").select(*names)
+    order = F.xxhash64(F.to_json(F.struct(*[c for c in names if c != own_text])))
+    chosen = judged.filter("stays").groupBy("ident", "text_key").agg(F.min_by(F.struct(*names), order).alias("row")).select("row.*")
+    return whole.filter(~F.col("again")).select(*names).unionByName(others).unionByName(chosen).toDF(*docs.columns)

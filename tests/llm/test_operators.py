@@ -224,9 +224,29 @@ def brute_repeats(texts, length):
         yield len(b), sum(mask), sum(m and not (i and mask[i - 1]) for i, m in enumerate(mask)), hashlib.sha256(bytes(x for x, m in zip(b, mask) if not m)).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_neighbouring_positions_and_longest_factors():
+    rng = np.random.default_rng(9)
+    for values in (rng.permutation(300), np.arange(50), np.arange(50)[::-1], rng.integers(0, 5, 100), np.zeros(0, int)):
+        want = [next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1) for i in range(len(values))]
+        assert suffix_dedup.smaller_before(values).tolist() == want
+    order = rng.permutation(200)
+    sides = suffix_dedup.neighbours(order)
+    for i, x in enumerate(order.tolist()):
+        scans = (range(i - 1, -1, -1), range(i + 1, 200))
+        want = [next((j for j in scan if better(order[j], x)), -1) for better in (np.less, np.greater) for scan in scans]
+        assert [s[i] for s in sides] == want
+    for text in (bytes(rng.integers(97, 99, 400).astype(np.uint8)), b"abcab" * 60, b"a" * 90, bytes(rng.integers(0, 256, 300).astype(np.uint8)) * 2):
+        data, length = np.frombuffer(text, np.uint8), 40
+        starts = np.arange(len(text) - length + 1)
+        shared = lambda i, j: next((k for k in range(length) if text[i + k] != text[j + k]), length)
+        earlier, later = suffix_dedup.longest_factors(data, starts, length)
+        assert earlier.tolist() == [max((shared(i, j) for j in starts[:i].tolist()), default=0) for i in starts.tolist()]
+        assert later.tolist() == [max((shared(i, j) for j in starts[i + 1 :].tolist()), default=0) for i in starts.tolist()]
+
+
+@pytest.mark.parametrize("members", [2048, 3])
+def test_suffix_dedup(spark, monkeypatch, members):
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", members)  # the smaller one parts the runs of an anchor down to single windows
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 9))) for _ in range(50)]
     passages = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
@@ -235,11 +255,35 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         texts.append("".join(rng.choice([rng.choice(passages)[rng.randint(0, 40) : rng.randint(150, 400)], " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))]) for _ in range(rng.randint(1, 8))))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_substrings(make(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == list(brute_repeats(texts, 200))
+    assert suffix_dedup.repeated_substrings(make(spark, [])).count() == 0
 
 
-def test_ngram_join(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)  # several parts to each bucket and component
-    rng = random.Random(4)
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_near(rows):
+    """(id, text) rows to (class number or None, links) by comparing all pairs of sets."""
+    sets = [shingle_set(t) for _, t in rows]
+    kinds = sorted({s for s in sets if s}, key=lambda s: sorted(s))
+    root, links = {s: s for s in kinds}, collections.Counter()
+
+    def find(x):
+        while root[x] is not x:
+            x = root[x]
+        return x
+
+    for a, s in enumerate(kinds):
+        for u in kinds[a + 1 :]:
+            if len(s & u) / len(s | u) >= 0.8:
+                links[s] += 1
+                links[u] += 1
+                root[find(u)] = find(s)
+    return [(find(s) if s else None, links[s]) for s in sets], sets
+
+
+def near_rows(rng):
     texts = [None, "", "one two", "one two", "ONE  two"]
     for _ in range(6):
         base = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(120)]
@@ -248,31 +292,59 @@ def test_ngram_join(spark, monkeypatch):
             for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(120)] = "edit"
             texts.append(" ".join(copy))
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
-    nodes = {s: min(i for i, x in enumerate(sets) if x == s) for s in sets if s}
-    root = {n: n for n in nodes.values()}
-    links = collections.Counter()
+    return texts
+
+
+def check_near(spark, rows):
+    """The join and the one row of each class against brute force, whatever the ids."""
+    docs = make(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    classes, sets = brute_near(rows)
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    want = collections.Counter()
+    for (i, _), (c, n), s in zip(rows, classes, sets):
+        if c is None:
+            want[(i, i, i, 1, 0)] += 1
+        else:
+            copies = [j for (j, _), u in zip(rows, sets) if u == s]
+            want[(i, least(j for (j, _), (d, _) in zip(rows, classes) if d is c), least(copies), len(copies), n)] += 1
+    assert collections.Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == want
+    out = ngram_join.one_of_each(docs)
+    kept = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == docs.columns and kept <= collections.Counter(rows)
+    for c in {id(c): c for c, _ in classes}.values():
+        own = collections.Counter(row for row, (d, _) in zip(rows, classes) if d is c)
+        if c is None:
+            assert all(kept[row] == n for row, n in own.items())
+        else:
+            left = [row for row in own for _ in range(kept[row])]
+            assert len(left) == 1 and left[0][0] == least(i for i, _ in own)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for s, a in nodes.items():
-        for u, b in nodes.items():
-            if a < b and len(s & u) / len(s | u) >= 0.8:
-                links[a] += 1
-                links[b] += 1
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.class_id, r.copy_id, r.n_copies, r.n_links) for r in ngram_join.near_duplicates(make(spark, texts)).collect()}
-    for i, s in enumerate(sets):
-        assert got[i] == ((find(nodes[s]), nodes[s], sets.count(s), links[nodes[s]]) if s else (i, i, 1, 0))
-    kept = {r.doc_id for r in ngram_join.one_of_each(make(spark, texts)).collect()}
-    assert kept == {i for i in got if got[i][0] == i}
+def test_ngram_join(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)  # several parts to each bucket
+    check_near(spark, list(enumerate(near_rows(random.Random(4)))))
+
+
+def test_ngram_join_tells_rows_apart_by_content(spark):
+    rng = random.Random(14)
+    texts = near_rows(rng)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(rng.choice([None, None, *range(8)]), t) for t in texts]
+    rows += [(1, base), (2, base + " more"), (2, "an unrelated text with the same id as a copy of another"), (None, "only null ids here in this set"), (None, "only null ids here in this set")]
+    check_near(spark, rows)
+    empty = make(spark, [])
+    assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
+
+
+def test_pairs_that_are_pruned_are_not_verified(spark, monkeypatch):
+    texts = [" ".join(["head"] * i + [f"w{k}" for k in range(200)]) for i in range(3)]
+    docs = make(spark, texts)
+    assert {r.n_links for r in ngram_join.near_duplicates(docs).collect()} == {2}
+    blocks = np.stack([ngram_join.signature(s) for s in ngram_join.shingle_sets(texts)])
+    monkeypatch.setattr(ngram_join, "STEPS", (32,))
+    none = lambda n, threshold: 33
+    monkeypatch.setattr(ngram_join, "least_matches", none)
+    assert all(len(ngram_join.first_meetings(np.zeros(3, int), 0, 0, b, blocks)[0]) == 0 for b in range(ngram_join.BANDS))
 
 
 def test_language_id(spark):
