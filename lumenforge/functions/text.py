@@ -18,6 +18,10 @@ STOPWORDS = (
 )
 
 
+#: The slots of a unit that are compared as wholes.
+SLOTS = ("tag", "prev_relation", "next_relation")
+
+
 def tokens(text: Column) -> Column:
     """The distinct runs of a-z and 0-9 of the lower-cased text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
@@ -71,9 +75,14 @@ def clean_slot(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
+def slot_value(text: Column) -> Column:
+    """What two slots are compared by; empty for a slot that is not filled and so agrees with none."""
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit("="), clean_slot(text))).otherwise(F.lit(""))
+
+
 def slot_similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """The share of slots that are equal after strip and lower case, and not empty."""
-    hits = [F.when((clean_slot(left[k]) == clean_slot(right[k])) & (clean_slot(left[k]) != ""), 1).otherwise(0) for k in left]
+    """The number of slots that are filled on both sides and equal after strip and lower case."""
+    hits = [F.when((slot_value(left[k]) == slot_value(right[k])) & (slot_value(left[k]) != ""), 1).otherwise(0) for k in left]
     return sum(hits[1:], hits[0])
 
 
@@ -85,11 +94,16 @@ def marker_pattern(marker: Column) -> Column:
 
 
 def find_marker(text: Column, marker: Column, start: Column) -> Column:
-    """Offset of the first hit at or after ``start`` of the marker, else of the marker without its leading number; null if none."""
+    """Offset in characters of the first hit at or after ``start`` of the marker, else of the marker without its leading number; null if none."""
     rest = F.substr(text, start + 1)
     bare = F.regexp_replace(marker, r"(?U)^[\d.)\s]+", "")
-    hit = lambda m: F.nullif(F.regexp_instr(rest, F.coalesce(marker_pattern(m), F.lit("(?!)"))), F.lit(0))
-    return F.coalesce(hit(marker), F.when((bare != marker) & (bare != ""), hit(bare))) - 1 + start
+
+    def hit(m: Column) -> Column:
+        # the text before the first hit, measured in characters; places in a match count UTF-16 units
+        pattern = F.coalesce(marker_pattern(m), F.lit("(?!)"))
+        return F.when(F.regexp_like(rest, pattern), F.length(F.element_at(F.split(rest, pattern, 2), 1)))
+
+    return F.coalesce(hit(marker), F.when((bare != marker) & (bare != ""), hit(bare))) + start
 
 
 def slice_by_markers(text: Column, markers: Column) -> Column:
@@ -108,3 +122,37 @@ def slice_by_markers(text: Column, markers: Column) -> Column:
         return F.when(p.isNotNull(), F.regexp_replace(F.substr(text, p + 1, end - p), r"(?U)^\s+|\s+$", ""))
 
     return F.transform(at, piece)
+
+
+def unwrap(response: Column, fields: list[str]) -> Column:
+    """A JSON object as text; if its only key is none of ``fields``, what stands under that key."""
+    keys = F.json_object_keys(response)
+    stray = (F.size(keys) == 1) & ~F.arrays_overlap(keys, F.array(*map(F.lit, fields)))
+    inner = F.element_at(F.map_values(F.from_json(response, "map<string,string>")), 1)
+    return F.when(stray, inner).otherwise(response)
+
+
+def in_domain(value: Column, domain: Column) -> Column:
+    """``value`` if it is one of ``domain``, else null."""
+    return F.when(F.array_contains(domain, value), value)
+
+
+def ranking_in_domain(ranking: Column) -> Column:
+    """A ranking given as a JSON array, without the entries that are no strings."""
+    items = F.from_json(ranking, "array<variant>")
+    return F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
+
+
+def composite_key(*parts: Column, mark: str = ":") -> Column:
+    return F.concat_ws(mark, *[p.cast("string") for p in parts])
+
+
+def split_key(key: Column, mark: str = ":") -> tuple[Column, Column]:
+    """The parts of a composite key of two, the second without ``mark`` in it."""
+    last = F.length(F.substring_index(key, mark, -1))
+    return F.substr(key, F.lit(1), F.length(key) - last - len(mark)), F.substring_index(key, mark, -1)
+
+
+def one_line(text: Column) -> Column:
+    """New lines as blanks, without blanks at the ends."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\n", " "), r"(?U)^\s+|\s+$", "")

@@ -11,7 +11,8 @@ def lines(words: DataFrame) -> DataFrame:
 
     Words whose top rounds to one multiple of 3 (half to even) are a row. A row splits at its first
     largest gap if that is at least 15 and four times the upper median of its other gaps, and the
-    page's middle lies between its start and the gap's end. Lines wider than 0.6 pages read left.
+    page's middle lies between its start and the gap's end. Lines wider than 0.6 pages, and those whose
+    words begin left of the middle on average, read first. A page is ordered within one task.
     """
     row = ["doc", "page", "key"]
     order = Window.partitionBy(*row).orderBy("x0", "word_ord")
@@ -27,7 +28,27 @@ def lines(words: DataFrame) -> DataFrame:
     middle = F.col("page_width") / 2
     split = (F.col("widest") >= F.col("least")) & (F.col("start") < middle) & (middle < right_start)
     w = w.withColumn("half", F.when(split & (F.col("i") >= F.col("at")), 1).otherwise(0))
-    line = w.groupBy(*row, "half", "seen", "page_width").agg(F.min("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: s["text"]), " ").alias("text"))
-    left = (F.col("x1") - F.col("x0") > 0.6 * F.col("page_width")) | ((F.col("x0") + F.col("x1")) / 2 < middle)
+    line = w.groupBy(*row, "half", "seen", "page_width").agg(F.min("top").alias("top"), F.min("x0").alias("x0"), F.avg("x0").alias("mean_x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: s["text"]), " ").alias("text"))
+    left = (F.col("x1") - F.col("x0") > 0.6 * F.col("page_width")) | (F.col("mean_x0") < middle)
     number = F.row_number().over(Window.partitionBy("doc", "page").orderBy("stream", "top", "seen", "half"))
     return line.withColumn("stream", F.when(left, 0).otherwise(1)).select("doc", "page", number.alias("line_no"), "text")
+
+
+def page_text(words: DataFrame) -> DataFrame:
+    """``doc, page, text``: a page's lines in reading order, one to a line of text."""
+    numbered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return lines(words).groupBy("doc", "page").agg(F.array_join(F.transform(numbered, lambda s: s["text"]), "\n").alias("text"))
+
+
+def document_text(words: DataFrame, pages: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
+    """``doc, text``: pages in order with a blank line between them, the first ``max_pages`` only if that is given.
+
+    ``pages`` lists all ``doc, page``; a page without words is an empty text of its own.
+    """
+    texts = page_text(words)
+    if pages is not None:
+        texts = pages.select("doc", "page").distinct().join(texts, ["doc", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    if max_pages is not None:
+        texts = texts.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("page"))).filter(F.col("n") <= max_pages)
+    numbered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return texts.groupBy("doc").agg(F.array_join(F.transform(numbered, lambda s: s["text"]), "\n\n").alias("text"))
