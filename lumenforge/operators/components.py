@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenforge.plans.lineage import discard, materialize
 
 
+CHUNK = 1_000_000
+
+
+def _stars(batches):
+    """Edges of whole numbers to edges from each node to the smallest that a chunk of them connects it to."""
+
+    def contract(tables):
+        a, b = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = np.split(at, 2)
+        label, before = np.arange(len(nodes)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            low = np.minimum(label[a], label[b])
+            for end in (a, b):
+                np.minimum.at(label, end, low)
+            label = label[label]
+        moved = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[label[moved]], pa.int64())], ["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield contract(held)
+            held, size = [], 0
+    if size:
+        yield contract(held)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component``: the smallest node that each node is connected to.
 
@@ -15,9 +48,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     a hub is one row per task) and then the label of its label, which halves paths. A round's labels
     are written to the shared folder and those of the round before deleted; the loop ends when none
     changed. Null ends and loops are ignored, repeated edges count once, an empty table gives no rows.
-    Nodes are of any type that sorts.
+    Nodes are of any type that sorts; edges of whole numbers shrink to stars in each task before they meet.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
+    if dict(pairs.dtypes)["a"] == dict(pairs.dtypes)["b"] == "bigint":
+        pairs = pairs.mapInArrow(_stars, "a long, b long")
     both = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "cc-labels")
     while True:

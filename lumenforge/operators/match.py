@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions import text as T
+from lumenforge.operators import blocks
 from lumenforge.operators.components import connected_components
 from lumenforge.plans.lineage import materialize
+from lumenforge.plans.skew import join_groups
 
 SALTS = 32
 
@@ -20,25 +25,70 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = S
     return a.join(b, [*on, "_salt"]).drop("_salt")
 
 
+def _best_places(score: np.ndarray, paper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rank of the ``k`` best columns of each row within each paper; ties go to the earlier column. ``paper`` ascends."""
+    order = np.argsort(-score, axis=1, kind="stable")
+    order = np.take_along_axis(order, np.argsort(paper[order], axis=1, kind="stable"), axis=1)
+    first = np.searchsorted(paper, paper)
+    rank = np.broadcast_to(np.arange(len(paper)) - first, order.shape)
+    row, place = np.nonzero(rank < k)
+    return row, order[row, place], rank[row, place] + 1
+
+
 def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
     """``granularity, paper, unit, dst_paper, dst_unit, shared, total, score, rk``: of every other paper the ``k`` units most like it.
 
     Score is the Jaccard similarity of tag tokens, ties go to the earlier unit. What a paper offers to
-    a tag depends on the tag alone, so distinct tags are scored once and joined back to their units.
+    a tag depends on the tag alone, so distinct tags, each with up to 512 of its units, meet the first
+    ``k`` units of each paper and tag, block by block (``blocks.meet``); the best of each paper
+    are chosen inside a block and only they leave it. A task holds two parts of about 512 rows and whole papers.
+
+    A null tag counts as empty; a tag without tokens scores 0 with all. Repeated rows are units of their
+    own. An empty table, or a single paper, gives no rows.
     """
-    tags = units.select("granularity", "tag").distinct().withColumn("words", T.tokens(F.col("tag")))
-    offers = units.select("granularity", F.col("paper").alias("dst_paper"), F.col("tag").alias("dst_tag"), F.col("unit").alias("dst_unit"))
+    kinds = dict(units.dtypes)
+    units = units.select("granularity", "paper", "unit", F.coalesce("tag", F.lit("")).alias("tag"))
+    tags = units.groupBy("granularity", "tag").agg(F.count(F.lit(1)).alias("n")).withColumn("tag_id", F.monotonically_increasing_id())
+    tags = materialize(tags, "tags")
+    rows = materialize(join_groups(units, tags, ["granularity", "tag"], "n", units.count()).select("granularity", "paper", "unit", "tag_id", "n"), "tag-units")
+    words = materialize(blocks.number_words(tags.withColumn("w", T.tokens(F.col("tag"))), "tag_id", F.col("w")), "tag-words")
+    left = rows.groupBy("granularity", "tag_id", F.pmod(F.xxhash64("paper", "unit"), F.ceil(F.col("n") / 512)).alias("chunk")).agg(F.collect_list("paper").alias("papers"), F.collect_list("unit").alias("own"))
     # k units of a paper and tag are all that can be chosen
-    first = F.row_number().over(Window.partitionBy("granularity", "dst_paper", "dst_tag").orderBy("dst_unit"))
-    offers = offers.withColumn("_n", first).filter(F.col("_n") <= k).drop("_n").withColumn("dst_words", T.tokens(F.col("dst_tag")))
-    shared = F.size(F.array_intersect("words", "dst_words"))
-    pairs = spread_join(tags, offers, ["granularity"]).withColumn("shared", shared)
-    pairs = pairs.withColumn("total", F.size("words") + F.size("dst_words") - F.col("shared"))
-    pairs = pairs.withColumn("score", F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(F.lit(0.0)))
-    rk = F.row_number().over(Window.partitionBy("granularity", "tag", "dst_paper").orderBy(F.desc("score"), "dst_unit"))
-    best = pairs.select("granularity", "tag", "dst_paper", "dst_unit", "shared", "total", "score").withColumn("rk", rk).filter(F.col("rk") <= k)
-    out = units.select("granularity", "paper", "unit", "tag").join(best, ["granularity", "tag"]).filter(F.col("paper") != F.col("dst_paper"))
-    return out.select("granularity", "paper", "unit", "dst_paper", "dst_unit", "shared", "total", "score", "rk")
+    first = F.row_number().over(Window.partitionBy("granularity", "paper", "tag_id").orderBy("unit"))
+    offers = rows.withColumn("_n", first).filter(F.col("_n") <= k).select("granularity", F.col("paper").alias("dst_paper"), F.col("unit").alias("dst_unit"), "tag_id")
+    names = ["granularity", "paper", "unit", "dst_paper", "dst_unit", "shared", "total", "score", "rk"]
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("dst_paper", "ascending"), ("dst_unit", "ascending")])
+        shared, a, b = blocks.shared_counts(left["words"], right["words"])
+        total, score = blocks.jaccard(shared, a, b)
+        paper = np.unique(right["dst_paper"].to_numpy(zero_copy_only=False), return_inverse=True)[1] if len(right) else np.zeros(0, int)
+        row, at, rank = _best_places(score, paper, k)
+        bounds, papers, own = _bounds(left["papers"]), _flat(left["papers"]), _flat(left["own"])
+        many = np.diff(bounds)[row]
+        chosen = np.repeat(np.arange(len(row)), many)
+        member = bounds[row][chosen] + np.arange(len(chosen)) - np.repeat(np.cumsum(many) - many, many)
+        row, at, rank = row[chosen], at[chosen], rank[chosen]
+        source, target = papers.take(pa.array(member)), right["dst_paper"].combine_chunks().take(pa.array(at))
+        out = pa.table(
+            [pa.array([left["granularity"][0].as_py()] * len(member), left["granularity"].type), source, own.take(pa.array(member)), target, right["dst_unit"].combine_chunks().take(pa.array(at)),
+             pa.array(shared[row, at].astype(np.int32)), pa.array(total[row, at].astype(np.int32)), pa.array(score[row, at]), pa.array(rank.astype(np.int32))], names)
+        return out.filter(pc.not_equal(out["paper"], out["dst_paper"]))
+
+    schema = f"granularity string, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, shared int, total int, score double, rk int"
+    left = left.join(words, "tag_id")
+    offers = join_groups(materialize(offers, "offers"), materialize(words.join(tags.select("tag_id", "n"), "tag_id"), "offer-words"), ["tag_id"], "n", rows.count()).drop("n")
+    return blocks.meet(materialize(left, "match-left"), materialize(offers, "match-right"), ["granularity"], ["tag_id", "chunk"], ["dst_paper"], solve, schema)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    """The values of a list column, one after another."""
+    chunks = [c.flatten() for c in column.chunks]
+    return pa.concat_arrays(chunks) if chunks else pa.array([], column.type.value_type)
+
+
+def _bounds(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
 
 
 def mutual_links(candidates: DataFrame) -> DataFrame:
@@ -52,18 +102,35 @@ def groups(links: DataFrame) -> DataFrame:
     """Members of the components of links: ``granularity, group_no, size, paper, unit``.
 
     Groups are numbered per granularity by size, ties by their first link in (unit, other paper, rank) order.
+    The numbering ranks a row per group in one task per granularity. A unit without links is in no group.
     """
-    name = lambda p, u: F.to_json(F.struct(F.col("granularity").alias("g"), F.col(p).alias("p"), F.col(u).alias("u")))
-    named = links.withColumns({"a": name("paper", "unit"), "b": name("dst_paper", "dst_unit")})
-    parts = connected_components(named.select("a", "b"))
-    ends = named.select("granularity", "paper", "unit", "a", F.struct("paper", "unit", "dst_paper", "rk").alias("link"))
-    other = named.select("granularity", F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"), F.col("b").alias("a"), F.struct("paper", "unit", "dst_paper", "rk").alias("link"))
-    nodes = ends.unionByName(other).groupBy("granularity", "paper", "unit", "a").agg(F.min("link").alias("link"))
-    members = nodes.join(parts, F.col("a") == F.col("node"))
+    links = materialize(links, "links")
+    ends = links.select("granularity", "paper", "unit", F.struct("paper", "unit", "dst_paper", "rk").alias("link"))
+    other = links.select("granularity", F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"), F.struct("paper", "unit", "dst_paper", "rk").alias("link"))
+    nodes = ends.unionByName(other).groupBy("granularity", "paper", "unit").agg(F.min("link").alias("link")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "group-nodes")
+    side = lambda name, p, u: nodes.select("granularity", F.col("paper").alias(p), F.col("unit").alias(u), F.col("node").alias(name))
+    edges = links.select("granularity", "paper", "unit", "dst_paper", "dst_unit").join(side("a", "paper", "unit"), ["granularity", "paper", "unit"]).join(side("b", "dst_paper", "dst_unit"), ["granularity", "dst_paper", "dst_unit"])
+    parts = connected_components(edges.select("a", "b"))
+    members = materialize(nodes.join(parts, "node"), "group-members")
     totals = members.groupBy("granularity", "component").agg(F.count(F.lit(1)).alias("size"), F.min("link").alias("first"))
     number = F.row_number().over(Window.partitionBy("granularity").orderBy(F.desc("size"), "first"))
-    totals = totals.withColumn("group_no", number).drop("first")
-    return members.join(totals, ["granularity", "component"]).select("granularity", "group_no", "size", "paper", "unit")
+    totals = materialize(totals.withColumn("group_no", number).drop("first"), "group-totals")
+    out = join_groups(members, totals.drop("granularity"), ["component"], "size", members.count())
+    return out.select("granularity", "group_no", "size", "paper", "unit")
+
+
+def unit_similarity(granularity: Column, left: dict[str, Column], right: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """Combined, entity and content similarity of two units: half the one and half the other.
+
+    Entity similarity is, for sections, the text similarity of the tags, for all else a third for each of
+    ``tag, prev_relation, next_relation`` that agrees. Content similarity is the Jaccard similarity of
+    the content words of ``text``.
+    """
+    slots = {k: left[k] for k in T.SLOTS}, {k: right[k] for k in T.SLOTS}
+    entity = F.when(granularity == "sections", T.text_similarity(left["tag"], right["tag"])).otherwise(T.slot_similarity(*slots) / 3)
+    content = T.jaccard(T.content_tokens(left["text"]), T.content_tokens(right["text"]))
+    return 0.5 * entity + 0.5 * content, entity, content
 
 
 def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str) -> DataFrame:
@@ -73,6 +140,70 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str)
     return pairs.withColumns({"_a": a, "_b": b}).filter("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def match_units(units: DataFrame, papers: list | None = None) -> DataFrame:
+    """Mutual best matches of the units of each two papers: ``granularity, paper, unit, dst_paper, dst_unit, similarity, slots, shared, total``.
+
+    ``similarity`` is that of ``unit_similarity``: half the share of slots that agree, half the content similarity; ties are
+    all best, and a best of 0 is one as well. Sections, whose tags are compared letter by letter, go through
+    ``match_sections``. Of two papers the smaller id is ``paper``, or, if ``papers`` is given, only those
+    are compared and the earlier listed is ``paper``. Blocks hold whole papers on both sides, so both
+    directions' best are found inside one.
+
+    Null slots and texts count as empty. Repeated units are units of their own.
+    """
+    kinds = dict(units.dtypes)
+    clean = [T.slot_value(F.col(c)).alias(c) for c in T.SLOTS]
+    rows = units.select("granularity", "paper", "unit", *clean, "text").filter("granularity <> 'sections'")
+    place = F.array_position(F.array(*map(F.lit, papers)), F.col("paper")) if papers else F.lit(0)
+    rows = rows.withColumn("place", place).filter("place > 0" if papers else "true").withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "match-units")
+    words = blocks.number_words(rows.select("row", T.content_tokens(F.coalesce("text", F.lit(""))).alias("w")), "row", F.col("w"))
+    rows = materialize(rows.drop("text").join(words, "row").drop("row"), "match-units")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = (t.sort_by([("paper", "ascending")]) for t in (left, right))
+        shared, a, b = blocks.shared_counts(left["words"], right["words"])
+        total, content = blocks.jaccard(shared, a, b)
+        slots = np.zeros(shared.shape, np.int32)
+        for c in T.SLOTS:
+            x, y = (t[c].to_numpy(zero_copy_only=False).astype(str) for t in (left, right))
+            slots += (x[:, None] == y[None, :]) & (x != "")[:, None]
+        # an empty side has no content in common; the rounding is that of the scalar expression
+        score = 0.5 * (slots / 3) + 0.5 * content
+        (p, first_p), (q, first_q) = (np.unique(t["paper"].to_numpy(zero_copy_only=False), return_index=True) for t in (left, right))
+        per_left, per_right = np.maximum.reduceat(score, first_q, axis=1), np.maximum.reduceat(score, first_p, axis=0)
+        of_p, of_q = (np.searchsorted(f, np.arange(n), "right") - 1 for f, n in ((first_p, len(left)), (first_q, len(right))))
+        places = [t["place"].to_numpy() for t in (left, right)]
+        before = places[0][:, None] < places[1][None, :] if papers else p[of_p][:, None] < q[of_q][None, :]
+        i, j = np.nonzero(before & (score == per_left[:, of_q]) & (score == per_right[of_p, :]))
+        take = lambda t, c, at: t[c].combine_chunks().take(pa.array(at))
+        return pa.table(
+            [take(left, "granularity", i), take(left, "paper", i), take(left, "unit", i), take(right, "paper", j), take(right, "unit", j), pa.array(score[i, j]), pa.array(slots[i, j]), pa.array(shared[i, j].astype(np.int32)), pa.array(total[i, j].astype(np.int32))],
+            ["granularity", "paper", "unit", "dst_paper", "dst_unit", "similarity", "slots", "shared", "total"])
+
+    schema = f"granularity string, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, similarity double, slots int, shared int, total int"
+    return blocks.meet(rows, rows, ["granularity"], ["paper"], ["paper"], solve, schema)
+
+
+def match_sections(units: DataFrame) -> DataFrame:
+    """Mutual best matches of sections of each two papers, the smaller id first: ``paper, unit, dst_paper, dst_unit, similarity, entity_similarity, content_similarity``.
+
+    The tags' text similarity is not symmetric, so each direction ranks by its own scores; the similarities
+    given are those of the first paper's direction, rounded to three digits. Papers have some ten sections each.
+    """
+    rows = units.filter("granularity = 'sections'").select("paper", "unit", *[F.coalesce(c, F.lit("")).alias(c) for c in (*T.SLOTS, "text")])
+    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], F.lit(0).alias("_g"))
+    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], F.lit(0).alias("_g"))
+    side = lambda s: {c: F.col(f"{s}_{c}") for c in (*T.SLOTS, "text")}
+    combined, entity, content = unit_similarity(F.lit("sections"), side("a"), side("b"))
+    pairs = spread_join(a, b, ["_g"]).filter("a_paper <> b_paper").select("a_paper", "a_unit", "b_paper", "b_unit", combined.alias("raw"), entity.alias("entity"), content.alias("content"))
+    best = F.rank().over(Window.partitionBy("a_paper", "a_unit", "b_paper").orderBy(F.desc("raw")))
+    best = materialize(pairs.withColumn("rk", best).filter("rk = 1").drop("rk"), "section-best")
+    back = best.select(F.col("b_paper").alias("a_paper"), F.col("b_unit").alias("a_unit"), F.col("a_paper").alias("b_paper"), F.col("a_unit").alias("b_unit"))
+    links = best.filter("a_paper < b_paper").join(back, ["a_paper", "a_unit", "b_paper", "b_unit"], "left_semi")
+    return links.select(F.col("a_paper").alias("paper"), F.col("a_unit").alias("unit"), F.col("b_paper").alias("dst_paper"), F.col("b_unit").alias("dst_unit"), *[T.py_round(F.col(c), 3).alias(n) for c, n in (("raw", "similarity"), ("entity", "entity_similarity"), ("content", "content_similarity"))])
+
+
 def group_matches(groups: DataFrame, k: int = 3) -> DataFrame:
     """``group_id, position, dst_group, dst_position, raw, score, rk``: of all other groups the ``k`` whose question is most like its own.
 
@@ -111,22 +242,68 @@ def slot_classes(units: DataFrame, slots: tuple[str, ...] = ("tag", "prev_relati
     Two units agree in as many slots as they share classes, which holds the slot similarity of all pairs in
     at most a row per unit and slot; the pairs themselves grow with the square of a class.
     """
-    filled = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), T.clean_slot(F.col(s)).alias("value")) for s in slots]))
-    return units.select("paper", "unit", filled.alias("z")).filter("z.value <> ''").select("z.slot", "z.value", "paper", "unit")
+    filled = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), T.slot_value(F.col(s)).alias("value")) for s in slots]))
+    rows = units.select("paper", "unit", filled.alias("z")).filter("z.value <> ''")
+    return rows.select("z.slot", F.substr("z.value", F.lit(2)).alias("value"), "paper", "unit")
 
 
-def similarity_links(units: DataFrame, k: int = 3, threshold: float = 0.45) -> DataFrame:
-    """The whole text similarity in place of Jaccard: top-k, mutual, rounded to three digits, then cut.
+def slot_pair_counts(units: DataFrame) -> DataFrame:
+    """``slots, pairs, paper_pairs``: how many pairs of units of different papers, and of papers, agree in so many slots.
+
+    ``units`` is ``paper`` and the values of ``T.SLOTS`` (see ``T.slot_value``). Papers meet in blocks that hold them whole on both sides.
+    """
+    rows = materialize(units.withColumn("_g", F.lit(0)), "slot-units")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        slots = np.zeros((len(left), len(right)), np.int32)
+        for c in T.SLOTS:
+            x, y = (t[c].to_numpy(zero_copy_only=False).astype(str) for t in (left, right))
+            slots += (x[:, None] == y[None, :]) & (x != "")[:, None]
+        p, q = (t["paper"].to_numpy(zero_copy_only=False) for t in (left, right))
+        slots[~(p[:, None] < q[None, :])] = 0
+        kinds = np.arange(1, len(T.SLOTS) + 1)
+        at = [np.nonzero(slots == k) for k in kinds]
+        (a, of_p), (b, of_q) = (np.unique(x, return_inverse=True) for x in (p, q))
+        papers = [len(np.unique(of_p[i] * len(b) + of_q[j])) for i, j in at]
+        return pa.table([pa.array(kinds.astype(np.int32)), pa.array([len(i) for i, _ in at], pa.int64()), pa.array(papers, pa.int64())], ["slots", "pairs", "paper_pairs"])
+
+    counts = blocks.meet(rows, rows, ["_g"], ["paper"], ["paper"], solve, "slots int, pairs long, paper_pairs long")
+    return counts.groupBy("slots").agg(F.sum("pairs").alias("pairs"), F.sum("paper_pairs").alias("paper_pairs")).filter("pairs > 0")
 
-    Distinct tags are scored once, in both directions as the ratio is not symmetric.
+
+def similarity_matches(units: DataFrame, k: int = 3) -> DataFrame:
+    """``granularity, paper, unit, tag, dst_paper, dst_unit, dst_tag, similarity, rk``: ``top_matches`` by whole text similarity.
+
+    Ranks are by the raw score, the similarity given is rounded to three digits after that. Distinct tags are
+    scored once, in both directions as the ratio is not symmetric.
     """
-    tags = units.select("granularity", "tag").distinct()
+    units = units.select("granularity", "paper", "unit", F.coalesce("tag", F.lit("")).alias("tag"))
+    tags = materialize(units.select("granularity", "tag").distinct(), "similar-tags")
     offers = units.select("granularity", F.col("paper").alias("dst_paper"), F.col("tag").alias("dst_tag"), F.col("unit").alias("dst_unit"))
-    other = tags.withColumnRenamed("tag", "dst_tag")
-    scored = spread_join(tags, other, ["granularity"]).repartition("granularity", "dst_tag").sortWithinPartitions("dst_tag")
-    scored = scored.withColumn("raw", T.text_similarity(F.col("tag"), F.col("dst_tag")))
+    first = F.row_number().over(Window.partitionBy("granularity", "dst_paper", "dst_tag").orderBy("dst_unit"))
+    offers = offers.withColumn("_n", first).filter(F.col("_n") <= k).drop("_n")
+    scored = spread_join(tags, tags.withColumnRenamed("tag", "dst_tag"), ["granularity"]).repartition("granularity", "dst_tag").sortWithinPartitions("dst_tag")
+    scored = materialize(scored.withColumn("raw", T.text_similarity(F.col("tag"), F.col("dst_tag"))), "similar-scores")
     rk = F.row_number().over(Window.partitionBy("granularity", "tag", "dst_paper").orderBy(F.desc("raw"), "dst_unit"))
     best = scored.join(offers, ["granularity", "dst_tag"]).withColumn("rk", rk).filter(F.col("rk") <= k)
-    out = units.select("granularity", "paper", "unit", "tag").join(best, ["granularity", "tag"]).filter(F.col("paper") != F.col("dst_paper"))
-    out = out.withColumn("score", T.py_round(F.col("raw"), 3)).select("granularity", "paper", "unit", "dst_paper", "dst_unit", "score", "rk")
-    return mutual_links(out).filter(F.col("score") >= threshold)
+    out = units.join(best, ["granularity", "tag"]).filter(F.col("paper") != F.col("dst_paper"))
+    return out.select("granularity", "paper", "unit", "tag", "dst_paper", "dst_unit", "dst_tag", T.py_round(F.col("raw"), 3).alias("similarity"), "rk")
+
+
+def similarity_links(units: DataFrame, k: int = 3, threshold: float = 0.45) -> DataFrame:
+    """Mutual links by whole text similarity that reach ``threshold`` after rounding."""
+    out = similarity_matches(units, k).select("granularity", "paper", "unit", "dst_paper", "dst_unit", F.col("similarity").alias("score"), "rk")
+    return mutual_links(materialize(out, "similar")).filter(F.col("score") >= threshold)
+
+
+def match_table(units: DataFrame, matches: DataFrame, papers: DataFrame | None = None) -> DataFrame:
+    """A row for every unit: ``granularity, paper, unit, tag, matches``, the matches by other paper and rank.
+
+    Units without a match keep an empty list. Papers come in the order of ``papers`` (``paper, paper_ord``), or by id.
+    """
+    order = papers.select(F.col("paper").alias("dst_paper"), "paper_ord") if papers is not None else None
+    rows = matches.join(order, "dst_paper") if order is not None else matches.withColumn("paper_ord", F.col("dst_paper"))
+    listed = F.array_sort(F.collect_list(F.struct("paper_ord", "rk", F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"), F.col("dst_tag").alias("tag"), "similarity")))
+    listed = rows.groupBy("granularity", "paper", "unit").agg(F.transform(listed, lambda m: F.struct(m["paper"].alias("paper"), m["unit"].alias("unit"), m["tag"].alias("tag"), m["similarity"].alias("similarity"))).alias("matches"))
+    empty = F.array().cast(dict(listed.dtypes)["matches"])
+    return units.select("granularity", "paper", "unit", "tag").join(listed, ["granularity", "paper", "unit"], "left").withColumn("matches", F.coalesce("matches", empty))

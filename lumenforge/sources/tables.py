@@ -11,11 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def conv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units bound to conversations: a paper is a conversation, a unit its turn, the tag its first 80 characters."""
+    """Units bound to conversations: a paper is a conversation, a unit its turn, the tag its whole text."""
     c = table(spark, sf_dir, "conversations")
     return c.select(
         F.col("role").alias("granularity"), F.col("conv_id").alias("paper"), F.col("turn").alias("unit"),
-        F.substring("text", 1, 80).alias("tag"), F.col("text"),
+        F.col("text").alias("tag"), F.col("text"),
         F.coalesce(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("prev_relation"),
         F.coalesce(F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("next_relation"),
     )
@@ -45,3 +45,22 @@ def region_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     kinds = sold.select("paper", segment.alias("m"), F.col("l_returnflag").alias("predicate"), F.concat(F.lit("n"), "s_nationkey").alias("n")).distinct()
     second = kinds.select("paper", F.concat_ws("-", "m", "n", "predicate").alias("id"), "predicate", F.array("m", "n").alias("args"))
     return entities, first.unionByName(second)
+
+
+def deep_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and propositions of one graph per nation, with chains, cycles and arguments that lead nowhere.
+
+    Entities are the suppliers. A customer is a proposition about the supplier with its key; an order of a customer
+    is one about the customer, and, every seventh, about the next order as well, the last about the first of its nation: a chain that
+    closes. Every eleventh order has an argument that is not there.
+    """
+    customer, orders, supplier = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    entities = supplier.select(F.col("s_nationkey").alias("paper"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("kind"))
+    buyers = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("paper"))
+    first = customer.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("predicate"), F.array(F.concat(F.lit("s"), "c_custkey")).alias("args"))
+    placed = orders.filter("o_orderkey % 7 = 0").join(buyers, "o_custkey").select("paper", "o_orderkey", "o_custkey", "o_orderpriority")
+    w = Window.partitionBy("paper").orderBy("o_orderkey")
+    following = F.coalesce(F.lead("o_orderkey").over(w), F.first("o_orderkey").over(w))
+    more = F.when(F.col("o_orderkey") % 11 == 0, F.lit("nowhere")).otherwise(F.concat(F.lit("o"), following))
+    second = placed.select("paper", F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate"), F.array(F.concat(F.lit("c"), "o_custkey"), more).alias("args"))
+    return entities, first.unionByName(second)
