@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions import text as T
-from lumenforge.operators import align, assign, match, reading_order
-from lumenforge.sources.tables import conv_units, part_units, region_graphs, table
+from lumenforge.operators import align, assign, match, paragraphs, reading_order
+from lumenforge.plans.lineage import materialize
+from lumenforge.sources import stages
+from lumenforge.sources.tables import conv_units, deep_graphs, part_units, region_graphs, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,18 +26,18 @@ def query(oracle: str | None = None):
 
 
 _UNITS = """units AS (
-  SELECT role AS granularity, conv_id AS paper, turn AS unit, substr(text, 1, 80) AS tag, text,
+  SELECT role AS granularity, conv_id AS paper, turn AS unit, text AS tag, text,
          coalesce(lag(role) OVER w, '') AS prev_relation, coalesce(lead(role) OVER w, '') AS next_relation
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-words AS (SELECT *, list_distinct(regexp_extract_all(lower(tag), '[a-z0-9]+')) AS w FROM units)"""
+words AS MATERIALIZED (SELECT *, list_distinct(regexp_extract_all(lower(tag), '[a-z0-9]+')) AS w FROM units)"""
 _TOP = _UNITS + """,
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT a.granularity, a.paper, a.unit, b.paper AS dst_paper, b.unit AS dst_unit, len(list_intersect(a.w, b.w)) AS shared,
          len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS total
   FROM words a JOIN words b ON a.granularity = b.granularity AND a.paper <> b.paper),
 ranked AS (
   SELECT *, CASE WHEN total > 0 THEN shared::DOUBLE / total ELSE 0 END AS score FROM pairs),
-top AS (
+top AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY granularity, paper, unit, dst_paper ORDER BY score DESC, dst_unit) AS rk
   FROM ranked QUALIFY rk <= 3)"""
 _LINKS = _TOP + """,
@@ -65,10 +67,14 @@ def part_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.top_matches(part_units(spark, sf_dir)).drop("granularity")
 
 
+def _links(spark, sf_dir):
+    """Links of at least 0.1. The score is symmetric, so candidates below it can go before the two directions meet."""
+    return match.mutual_links(materialize(_top(spark, sf_dir).filter("score >= 0.1"), "top"))
+
+
 @query(f"WITH {_LINKS} SELECT granularity, paper, unit, dst_paper, dst_unit, shared, total FROM links WHERE score >= 0.1")
 def mutual_topk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = match.mutual_links(_top(spark, sf_dir)).filter("score >= 0.1")
-    return links.select("granularity", "paper", "unit", "dst_paper", "dst_unit", "shared", "total")
+    return _links(spark, sf_dir).select("granularity", "paper", "unit", "dst_paper", "dst_unit", "shared", "total")
 
 
 _GROUPS = _LINKS + """,
@@ -83,7 +89,7 @@ numbered AS (SELECT g, c, size, row_number() OVER (PARTITION BY g ORDER BY size
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT comp.g AS granularity, group_no, size, p AS paper, u AS unit FROM comp JOIN numbered USING (g, c)")
 def group_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.groups(match.mutual_links(_top(spark, sf_dir)).filter("score >= 0.1"))
+    return match.groups(_links(spark, sf_dir))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -101,46 +107,88 @@ def content_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("total"))
 
 
-_SLOT = _UNITS + """,
-slots AS (
-  SELECT a.paper AS paper_a, a.unit AS unit_a, b.paper AS paper_b, b.unit AS unit_b,
-    (CASE WHEN lower(trim(a.prev_relation)) = lower(trim(b.prev_relation)) AND trim(a.prev_relation) <> '' THEN 1 ELSE 0 END)
-    + (CASE WHEN lower(trim(a.next_relation)) = lower(trim(b.next_relation)) AND trim(a.next_relation) <> '' THEN 1 ELSE 0 END) + 1 AS slots
-  FROM units a JOIN units b ON a.paper < b.paper AND split_part(a.tag, ' ', 1) = split_part(b.tag, ' ', 1) WHERE split_part(a.tag, ' ', 1) <> '')"""
+_AGREE = " + ".join(f"(CASE WHEN a.{c} <> '' AND lower(trim(a.{c})) = lower(trim(b.{c})) THEN 1 ELSE 0 END)" for c in T.SLOTS)
 
 
-@query(f"WITH {_SLOT} SELECT * FROM slots")
+@query(f"""WITH {_UNITS}, s AS (SELECT a.paper AS paper_a, b.paper AS paper_b, {_AGREE} AS slots FROM units a JOIN units b ON a.paper < b.paper)
+SELECT slots, count(*) AS pairs, count(DISTINCT (paper_a, paper_b)) AS paper_pairs FROM s WHERE slots > 0 GROUP BY slots""")
 def paragraph_slot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots in common for units whose tag, here the first word, is equal, as in its SQL; ``paragraph_slot_classes`` holds all pairs."""
-    u = conv_units(spark, sf_dir).withColumn("tag", F.split_part("tag", F.lit(" "), F.lit(1))).filter("tag <> ''")
-    a, b = (u.select(*[F.col(c).alias(f"{c}_{s}") for c in ("paper", "unit", "tag", "prev_relation", "next_relation")]) for s in "ab")
-    pairs = a.join(b, F.col("tag_a") == F.col("tag_b")).filter("paper_a < paper_b")
-    score = T.slot_similarity({k: F.col(f"{k}_a") for k in ("tag", "prev_relation", "next_relation")}, {k: F.col(f"{k}_b") for k in ("tag", "prev_relation", "next_relation")})
-    return pairs.select("paper_a", "unit_a", "paper_b", "unit_b", score.alias("slots"))
+    """How many pairs of units, and of papers, agree in one, two and three slots.
+
+    Counted over classes: units with the same three slots are one row with its papers' numbers, so pairs of classes
+    stand for pairs of units. ``paragraph_slot_classes`` names the units.
+    """
+    units = conv_units(spark, sf_dir).select("paper", *[T.slot_value(F.col(c)).alias(c) for c in T.SLOTS])
+    return match.slot_pair_counts(units)
 
 
 @query()
 def paragraph_slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot similarity of all pairs of units as classes of equal slots; the tag is the whole text."""
-    return match.slot_classes(conv_units(spark, sf_dir).withColumn("tag", F.col("text")))
+    return match.slot_classes(conv_units(spark, sf_dir))
 
 
-@query(f"""WITH {_TOP}, b AS (SELECT granularity, paper, unit, dst_paper, dst_unit, score, rank() OVER (PARTITION BY granularity, paper, unit, dst_paper ORDER BY score DESC) AS ra,
-  rank() OVER (PARTITION BY granularity, dst_paper, dst_unit, paper ORDER BY score DESC) AS rb FROM ranked WHERE paper < dst_paper)
-SELECT granularity, paper, unit, dst_paper, dst_unit FROM b WHERE ra = 1 AND rb = 1 AND score > 0""")
+_STOPPED = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: len(x) > 2 AND NOT list_contains([" + _STOP + "], x))"
+
+
+@query(f"""WITH {_UNITS}, c AS MATERIALIZED (SELECT *, {_STOPPED} AS v FROM units),
+p AS MATERIALIZED (SELECT a.granularity, a.paper, a.unit, b.paper AS dst_paper, b.unit AS dst_unit, {_AGREE} AS slots, len(list_intersect(a.v, b.v)) AS shared, len(a.v) + len(b.v) - len(list_intersect(a.v, b.v)) AS total
+  FROM c a JOIN c b ON a.granularity = b.granularity AND a.paper < b.paper),
+r AS MATERIALIZED (SELECT *, 0.5::DOUBLE * (slots::DOUBLE / 3) + 0.5::DOUBLE * CASE WHEN total > 0 THEN shared::DOUBLE / total ELSE 0 END AS similarity FROM p),
+b AS (SELECT *, rank() OVER (PARTITION BY granularity, paper, unit, dst_paper ORDER BY similarity DESC) AS ra, rank() OVER (PARTITION BY granularity, dst_paper, dst_unit, paper ORDER BY similarity DESC) AS rb FROM r)
+SELECT granularity, paper, unit, dst_paper, dst_unit, slots, shared, total, similarity FROM b WHERE ra = 1 AND rb = 1""")
 def mutual_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = conv_units(spark, sf_dir).select("granularity", "paper", "unit", T.tokens(F.col("tag")).alias("w"))
-    v = u.select("granularity", F.col("paper").alias("dst_paper"), F.col("unit").alias("dst_unit"), F.col("w").alias("dst_w"))
-    pairs = match.spread_join(u, v, ["granularity"]).filter("paper < dst_paper").withColumn("score", T.jaccard(F.col("w"), F.col("dst_w")))
-    best = match.mutual_best(pairs.select("granularity", "paper", "unit", "dst_paper", "dst_unit", "score"), ["granularity", "paper", "unit", "dst_paper"], ["granularity", "dst_paper", "dst_unit", "paper"], "score")
-    return best.filter("score > 0").drop("score")
+    """Mutual best matches by the combined similarity: half the slots, half the content of whole texts."""
+    return match.match_units(conv_units(spark, sf_dir))
+
+
+@query()
+def section_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as sections, dealt into papers of ten: mutual best by tag similarity and content of whole texts."""
+    items = table(spark, sf_dir, "benchmark").select(F.lit("sections").alias("granularity"), F.floor(F.col("item_id") / 10).alias("paper"), F.col("item_id").alias("unit"), F.col("text").alias("tag"), "text", F.lit("").alias("prev_relation"), F.lit("").alias("next_relation"))
+    return match.match_sections(items)
+
+
+@query()
+def tag_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part with its most similar parts of every other brand, by tag similarity."""
+    units = part_units(spark, sf_dir)
+    table_ = match.match_table(units, match.similarity_matches(units))
+    return table_.select("granularity", "paper", "unit", "tag", F.size("matches").alias("matches"), F.get("matches", F.lit(0))["similarity"].alias("first_similarity"))
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("group_id"), F.col("item_id").alias("position"), F.col("text").alias("question"))
+
+
+@query()
+def group_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's three most similar others."""
+    return match.group_matches(_questions(spark, sf_dir)).select("group_id", "dst_group", "score", "rk")
+
+
+@query()
+def group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.mutual_group_links(match.group_matches(_questions(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_GROUPS}, n AS (SELECT g, count(*) AS groups, list(size ORDER BY size DESC) AS sizes FROM numbered GROUP BY g)
+SELECT u.granularity, u.units, t.candidates, l.links, k.kept_links, coalesce(n.groups, 0) AS groups, coalesce(list_sum(n.sizes), 0)::BIGINT AS members
+FROM (SELECT granularity, count(*) AS units FROM units GROUP BY ALL) u JOIN (SELECT granularity, count(*) AS candidates FROM top GROUP BY ALL) t USING (granularity)
+JOIN (SELECT granularity, count(*) AS links FROM links GROUP BY ALL) l USING (granularity) JOIN (SELECT granularity, count(*) AS kept_links FROM kept GROUP BY ALL) k USING (granularity) LEFT JOIN n ON n.g = u.granularity""")
+def stage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each step of matching leaves."""
+    units, top = conv_units(spark, sf_dir), materialize(_top(spark, sf_dir), "top")
+    links = materialize(match.mutual_links(top), "mutual")
+    kept = links.filter("score >= 0.1")
+    out = stages.stage_statistics(units, top, links, kept, match.groups(kept))
+    return out.withColumn("members", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).drop("sizes")
 
 
 @query()
 def super_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item as a group whose question is its whole text."""
-    groups = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("group_id"), F.col("item_id").alias("position"), F.col("text").alias("question"))
-    return match.super_groups(match.mutual_group_links(match.group_matches(groups)))
+    return match.super_groups(match.mutual_group_links(match.group_matches(_questions(spark, sf_dir))))
 
 
 def _scores(spark, sf_dir):
@@ -150,7 +198,7 @@ def _scores(spark, sf_dir):
 
 _SCORES = """u AS (SELECT conv_id AS paper, turn AS unit, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations),
 q AS (SELECT item_id AS group_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS v FROM benchmark),
-s AS (SELECT paper, unit, group_id, CASE WHEN len(w) + len(v) > 0 THEN len(list_intersect(w, v))::DOUBLE / (len(w) + len(v) - len(list_intersect(w, v))) ELSE 0 END AS score FROM u, q),
+s AS MATERIALIZED (SELECT paper, unit, group_id, CASE WHEN len(w) + len(v) > 0 THEN len(list_intersect(w, v))::DOUBLE / (len(w) + len(v) - len(list_intersect(w, v))) ELSE 0 END AS score FROM u, q),
 best AS (SELECT paper, unit, CASE WHEN score > 0 THEN group_id END AS group_id FROM s QUALIFY row_number() OVER (PARTITION BY paper, unit ORDER BY score DESC, group_id) = 1)"""
 
 
@@ -194,12 +242,52 @@ m AS (SELECT * FROM best WHERE group_id IS NOT NULL), n AS (SELECT count(DISTINC
 SELECT group_id, count(*) AS member_count, count(t.unit) AS hits, any_value(papers) AS papers, count(t.unit)::DOUBLE / any_value(papers) * 100 AS balance
 FROM m LEFT JOIN (SELECT group_id, paper, unit FROM top) t USING (group_id, paper, unit), n GROUP BY group_id""")
 def group_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, _ = _scores(spark, sf_dir)
-    members = assign.assign(scores).filter("group_id is not null")
-    papers = table(spark, sf_dir, "conversations").select(F.count_distinct("conv_id")).collect()[0][0]
+    scores, members, papers = _balanced(spark, sf_dir)
     return assign.balance(members, assign.rank_units(scores), papers)
 
 
+def _balanced(spark, sf_dir):
+    scores = materialize(_scores(spark, sf_dir)[0], "scores")
+    return scores, materialize(assign.assign(scores).filter("group_id is not null"), "members"), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper")).distinct()
+
+
+@query(f"""WITH {_SCORES}, top AS (SELECT group_id, paper, unit FROM s QUALIFY row_number() OVER (PARTITION BY group_id, paper ORDER BY score DESC, unit) = 1),
+m AS (SELECT * FROM best WHERE group_id IS NOT NULL), n AS (SELECT count(DISTINCT paper) AS papers FROM u),
+b AS (SELECT group_id, count(*) AS member_count, round_even(count(t.unit)::DOUBLE / any_value(papers) * 100, 1) AS group_balance FROM m LEFT JOIN top t USING (group_id, paper, unit), n GROUP BY group_id)
+SELECT row_number() OVER (ORDER BY group_balance DESC, group_id) AS place, group_id, text AS overarching_question, group_balance, member_count FROM b JOIN benchmark ON item_id = group_id""")
+def balance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, members, papers = _balanced(spark, sf_dir)
+    return assign.balance_table(members, assign.rank_units(scores), papers, _questions(spark, sf_dir))
+
+
+@query(f"""WITH {_SCORES}, m AS (SELECT group_id, paper, unit FROM best WHERE group_id IS NOT NULL),
+g AS (SELECT group_id, count(*) AS size, min((paper, unit)) AS f, string_agg(paper || ':' || unit, ' ' ORDER BY paper, unit) AS members FROM m GROUP BY group_id)
+SELECT row_number() OVER (ORDER BY size DESC, f) AS place, group_id, size, members FROM g""")
+def assigned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the assignment, the largest first, with their members in corpus order."""
+    units = conv_units(spark, sf_dir).withColumn("position", F.struct("paper", "unit"))
+    out = assign.group_members(assign.assign(_scores(spark, sf_dir)[0]), units)
+    return out.withColumn("members", F.array_join(F.transform("members", lambda m: T.composite_key(m["paper"], m["unit"])), " "))
+
+
+@query("""SELECT conv_id AS paper, string_agg('- ' || turn || ': "' || text || '" -- "' || trim(replace(text, chr(10), ' ')) || '"', chr(10) ORDER BY turn) AS listing FROM conversations GROUP BY conv_id""")
+def unit_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.unit_listings(conv_units(spark, sf_dir))
+
+
+@query("""SELECT string_agg('- ' || item_id || ': "' || text || '"', chr(10) ORDER BY item_id) AS listing FROM benchmark""")
+def question_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.question_listing(_questions(spark, sf_dir))
+
+
+@query(f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY group_id, paper ORDER BY score DESC, unit) AS rank FROM s)
+SELECT group_id, paper, string_agg(unit::VARCHAR, ' ' ORDER BY rank) AS ranking FROM r GROUP BY ALL""")
+def ranking_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings of each paper's units per question as arrays, here joined to text."""
+    out = assign.rankings(assign.rank_units(_scores(spark, sf_dir)[0]), ["group_id", "paper"], "unit")
+    return out.withColumn("ranking", F.array_join("ranking", " "))
+
+
 @query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<h1>') THEN length(regexp_extract(html, '(?is)^(.*?)<h1>', 1)) END AS h1, CASE WHEN regexp_matches(html, '(?i)<article>') THEN length(regexp_extract(html, '(?is)^(.*?)<article>', 1)) END AS article FROM pages")
 def marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second marker is found without its number; both regardless of case."""
@@ -213,21 +301,68 @@ def marker_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slice_by_markers(F.col("html"), markers).alias("slices"))
 
 
-@query("SELECT conv_id, turn, 'pa' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS paragraph_id, CASE WHEN length(text) > 2500 THEN substr(text, 1, 60) ELSE text END AS start_text FROM conversations")
-def paragraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("pa"), number).alias("paragraph_id"), F.when(F.length("text") > 2500, F.substring("text", 1, 60)).otherwise(F.col("text")).alias("start_text"))
+@query("""WITH p AS (SELECT page_id, html, strpos(html, '<h1>') AS h, strpos(html, '<article>') AS a FROM pages),
+t AS (SELECT page_id, 0 AS position, CASE WHEN h > 0 THEN trim(CASE WHEN a > h THEN substr(html, h, a - h) ELSE substr(html, h) END, E' \\n\\t\\r') END AS s FROM p
+  UNION ALL SELECT page_id, 1, NULL FROM p UNION ALL SELECT page_id, 2, CASE WHEN (h > 0 AND a > h) OR (h = 0 AND a > 0) THEN trim(substr(html, a), E' \\n\\t\\r') END FROM p)
+SELECT page_id AS paper, position, sha256(coalesce(s, '(could not automatically locate this section''s text -- likely a column-layout edge case in PDF extraction)')) AS text_sha256, s IS NULL AS is_missing FROM t""")
+def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three titles to each page, the second of which never stands there."""
+    pages = table(spark, sf_dir, "pages")
+    titles = F.posexplode(F.array(*map(F.lit, ("<h1>", "no such title", "<article>")))).alias("position", "title")
+    out = paragraphs.attach_text(pages.select(F.col("page_id").alias("paper"), titles), pages.select(F.col("page_id").alias("paper"), F.col("html").alias("text")))
+    return out.select("paper", "position", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "is_missing")
 
 
-@query("""WITH w AS (SELECT l_orderkey AS doc, 1 AS page, (l_linenumber - 1) // 3 AS r, (l_linenumber - 1) % 3 AS c, l_linenumber AS i, l_partkey AS t FROM lineitem),
-l AS (SELECT doc, page, r, CASE WHEN c = 2 THEN 1 ELSE 0 END AS half, string_agg(t::VARCHAR, ' ' ORDER BY i) AS text FROM w GROUP BY ALL)
-SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY half, r) AS line_no, text FROM l""")
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(lag(role) OVER w, '') AS prev_relation, coalesce(lead(role) OVER w, '') AS next_relation FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id AS paper, 'pa' || n AS id, 's' || turn AS section_id, role AS tag, sha256(trim(text, E' \\n\\t\\r')) AS text_sha256, prev_relation, next_relation FROM p""")
+def paragraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a section with one paragraph that begins with its first 60 characters."""
+    u = conv_units(spark, sf_dir)
+    one = F.array(F.struct(F.col("granularity").alias("tag"), F.substr("text", F.lit(1), F.lit(60)).alias("start_text"), "prev_relation", "next_relation"))
+    sections = u.select("paper", F.col("unit").alias("position"), F.concat(F.lit("s"), "unit").alias("section_id"), F.col("granularity").alias("tag"), "text", one.alias("paragraphs"))
+    out = paragraphs.build_paragraphs(sections)
+    return out.select("paper", "id", "section_id", "tag", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "prev_relation", "next_relation")
+
+
+@query("""SELECT doc_id AS paper, length(coalesce(text, '')) > 25000 OR doc_id % 2 = 0 AS whole, CASE WHEN length(coalesce(text, '')) > 25000 OR doc_id % 2 = 0 THEN substr(coalesce(text, ''), 1, 60) ELSE 'start' END AS start_text FROM documents""")
+def long_section_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document a section; those of even id got no response."""
+    text = F.coalesce("text", F.lit(""))
+    answer = F.array(F.struct(F.lit("t").alias("tag"), F.lit("start").alias("start_text"), F.lit("").alias("prev_relation"), F.lit("").alias("next_relation")))
+    docs = table(spark, sf_dir, "documents").withColumn("given", F.when(F.col("doc_id") % 2 != 0, answer))
+    p = F.get(paragraphs.long_section_guard(F.lit("whole"), text, F.col("given")), F.lit(0))
+    return docs.select(F.col("doc_id").alias("paper"), (p["tag"] == "whole").alias("whole"), p["start_text"].alias("start_text"))
+
+
+_WORDS = """w AS (SELECT l_orderkey AS doc, (l_linenumber - 1) // 4 + 1 AS page, 600.0::DOUBLE AS width, l_linenumber * 1000000 + l_partkey AS i, l_partkey::VARCHAR AS t,
+  (l_suppkey * 37 % 560)::DOUBLE AS x0, (l_suppkey * 37 % 560 + 10 + l_partkey % 150)::DOUBLE AS x1, (l_linenumber * 2.5)::DOUBLE AS top FROM lineitem),
+g AS (SELECT *, round_even(top / 3, 0) AS key, x0 - lag(x1) OVER (PARTITION BY doc, page, round_even(top / 3, 0) ORDER BY x0, i) AS gap, row_number() OVER (PARTITION BY doc, page, round_even(top / 3, 0) ORDER BY x0, i) AS k FROM w),
+r AS (SELECT doc, page, key, max(gap) AS widest, min(x0) AS start, min(i) AS seen, list(gap ORDER BY gap) FILTER (gap IS NOT NULL) AS gaps FROM g GROUP BY ALL),
+c AS (SELECT g.*, widest, start, seen, CASE WHEN len(gaps) > 1 THEN list_sort(gaps)[(len(gaps) - 1) // 2 + 1] ELSE 0 END AS typical, min(CASE WHEN gap = widest THEN k END) OVER (PARTITION BY doc, page, key) AS cut FROM g JOIN r USING (doc, page, key)),
+d AS (SELECT *, min(CASE WHEN k = cut THEN x0 END) OVER (PARTITION BY doc, page, key) AS cut_x FROM c),
+h AS (SELECT *, CASE WHEN k >= cut AND widest >= greatest(15, 4 * typical) AND start < width / 2 AND width / 2 < cut_x THEN 1 ELSE 0 END AS half FROM d),
+l AS (SELECT doc, page, key, half, seen, any_value(width) AS width, min(top) AS top, max(x1) - min(x0) AS span, avg(x0) AS mean, string_agg(t, ' ' ORDER BY k) AS text FROM h GROUP BY ALL),
+n AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN span > 0.6 * width OR mean < width / 2 THEN 0 ELSE 1 END, top, seen, half) AS line_no, text FROM l)"""
+
+
+def _words(spark, sf_dir):
+    """Line items as words: four lines to a page, rows a point or two apart, widths and places that vary."""
+    n, x = F.col("l_linenumber"), (F.col("l_suppkey") * 37 % 560).cast("double")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), (F.floor((n - 1) / 4) + 1).cast("int").alias("page"), F.lit(600.0).alias("page_width"), (n * 1000000 + F.col("l_partkey")).alias("word_ord"),
+        x.alias("x0"), (x + 10 + F.col("l_partkey") % 150).alias("x1"), (n * 2.5).alias("top"), F.col("l_partkey").cast("string").alias("text"),
+    )
+
+
+@query(f"WITH {_WORDS} SELECT doc, page, line_no, text FROM n")
 def reading_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as words on a page of two columns: three to a row, the third beyond the gutter."""
-    i = F.col("l_linenumber") - 1
-    x = F.element_at(F.array(F.lit(10.0), F.lit(120.0), F.lit(400.0)), (i % 3 + 1).cast("int"))
-    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), F.col("l_linenumber").alias("word_ord"), x.alias("x0"), (x + 100).alias("x1"), (F.floor(i / 3) * 12.0).alias("top"), F.col("l_partkey").cast("string").alias("text"))
-    return reading_order.lines(words)
+    """Lines of pages whose rows hold one word or several, with and without a gutter, narrow and wide."""
+    return reading_order.lines(_words(spark, sf_dir))
+
+
+@query(f"WITH {_WORDS}, p AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM n GROUP BY ALL) SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY doc")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_order.document_text(_words(spark, sf_dir))
 
 
 _GRAPH = """home AS (SELECT c_custkey, c_nationkey, c_mktsegment, n_regionkey AS paper FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -254,10 +389,31 @@ def arc_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, props = region_graphs(spark, sf_dir)
     side = lambda s: entities.select(F.col("paper").alias(f"paper_{s}"), F.col("id").alias(s))
     pairs = side("a").join(side("b"), F.col("paper_a") < F.col("paper_b"))
-    alive, _ = align.arc_consistency(pairs, align.proposition_candidates(props))
+    alive, _ = align.arc_consistency(pairs, align.proposition_candidates(props), entities)
     return alive.groupBy("paper_a", "paper_b").agg(F.count(F.lit(1)).alias("surviving"))
 
 
+@query()
+def deep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systematicity of graphs with long chains that close to cycles."""
+    entities, props = deep_graphs(spark, sf_dir)
+    papers = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("paper"))
+    return align.systematicity(props, papers, entities)
+
+
+@query()
+def alignment_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps, passes, removed pairs and merge conflicts of each two regions."""
+    out = align.Alignment(*region_graphs(spark, sf_dir)).trace()
+    removed = F.aggregate("connectivity_passes", F.lit(0), lambda a, p: a + F.size(p["removed"]))
+    return out.select("paper_a", "paper_b", "steps", F.size("candidates").alias("candidates"), F.size("surviving").alias("surviving"), removed.alias("removed"), F.size(F.filter("merge_steps", lambda m: m["decision"] == "rejected")).alias("rejected"))
+
+
+@query()
+def correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.Alignment(*region_graphs(spark, sf_dir)).correspondences()
+
+
 @query()
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.entity_candidates(region_graphs(spark, sf_dir)[0])
@@ -275,5 +431,5 @@ def tag_similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def refine_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, questions = _scores(spark, sf_dir)
+    questions = assign.require_questions(_questions(spark, sf_dir))
     return assign.refine(conv_units(spark, sf_dir), questions, 5)
