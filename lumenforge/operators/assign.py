@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions import text as T
-from lumenforge.operators.match import spread_join
+from lumenforge.operators import blocks
 from lumenforge.plans.lineage import materialize
+from lumenforge.sources import stages
 
 
 def score_questions(units: DataFrame, questions: DataFrame) -> DataFrame:
     """``paper, unit, group_id, shared, total, score``: the offline scorer, token Jaccard of text and question.
 
-    A language model scores here in the reference; this stand-in is ours and deterministic.
+    A language model scores here in the reference; this stand-in is ours and deterministic. Each unit
+    is scored with each question, as rankings list them all; units and questions meet in blocks
+    (``blocks.meet``). Null texts have no words and score 0.
     """
-    a = units.select("paper", "unit", T.tokens(F.col("text")).alias("words"), F.lit(0).alias("one"))
-    b = questions.select("group_id", T.tokens(F.col("question")).alias("q"), F.lit(0).alias("one"))
-    shared = F.size(F.array_intersect("words", "q"))
-    pairs = spread_join(a, b, ["one"]).withColumn("shared", shared).withColumn("total", F.size("words") + F.size("q") - F.col("shared"))
-    return pairs.select("paper", "unit", "group_id", "shared", "total", F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(F.lit(0.0)).alias("score"))
+    kinds, group = dict(units.dtypes), dict(questions.dtypes)["group_id"]
+    number = lambda df: materialize(df.withColumn("row", F.monotonically_increasing_id()), "scored")
+    a = number(units.select("paper", "unit", T.tokens(F.coalesce("text", F.lit(""))).alias("w"), F.lit(0).alias("_g")))
+    b = number(questions.select("group_id", T.tokens(F.coalesce("question", F.lit(""))).alias("w"), F.lit(0).alias("_g")))
+    both = a.select(F.concat(F.lit("u"), "row").alias("row"), "w").unionByName(b.select(F.concat(F.lit("q"), "row").alias("row"), "w"))
+    words = materialize(blocks.number_words(both, "row", F.col("w")), "scored-words")
+    a = a.withColumn("row", F.concat(F.lit("u"), "row")).drop("w").join(words, "row")
+    b = b.withColumn("row", F.concat(F.lit("q"), "row")).drop("w").join(words, "row")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        shared, x, y = blocks.shared_counts(left["words"], right["words"])
+        total, score = blocks.jaccard(shared, x, y)
+        i, j = (pa.array(v.ravel()) for v in np.indices(shared.shape))
+        return pa.table([left["paper"].take(i), left["unit"].take(i), right["group_id"].take(j), pa.array(shared.ravel().astype(np.int32)), pa.array(total.ravel().astype(np.int32)), pa.array(score.ravel())], ["paper", "unit", "group_id", "shared", "total", "score"])
+
+    schema = f"paper {kinds['paper']}, unit {kinds['unit']}, group_id {group}, shared int, total int, score double"
+    return blocks.meet(a, b, ["_g"], ["row"], ["row"], solve, schema)
 
 
 def assign(scores: DataFrame) -> DataFrame:
@@ -57,29 +74,124 @@ def ranking_problem(ranking: str, expected: str):
     return F.when(duplicate, "duplicate ids").when(other, "missing/extra ids")
 
 
-def balance(members: DataFrame, ranks: DataFrame, papers: int) -> DataFrame:
-    """``group_id, member_count, hits, papers, balance``: the share of papers whose best unit for a group is a member."""
+def balance(members: DataFrame, ranks: DataFrame, papers: DataFrame) -> DataFrame:
+    """``group_id, member_count, hits, papers, balance``: the share in percent of ``papers`` whose best unit for a group is a member.
+
+    Papers without a ranking count below the line. Without papers the balance is 0.
+    """
     top = ranks.filter("rank = 1").select("group_id", "paper", "unit")
-    hits = members.join(top, ["group_id", "paper", "unit"], "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("hits"))
+    members = members.select("group_id", "paper", "unit")
+    hits = members.join(top, ["group_id", "paper", "unit"], "left_semi").join(papers.select("paper"), "paper", "left_semi").groupBy("group_id").agg(F.count_distinct("paper").alias("hits"))
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count"))
-    out = sizes.join(hits, "group_id", "left").select("group_id", "member_count", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), F.lit(papers).cast("long").alias("papers"))
+    total = F.broadcast(papers.agg(F.count_distinct("paper").alias("papers")))  # one row
+    out = sizes.join(hits, "group_id", "left").select("group_id", "member_count", F.coalesce("hits", F.lit(0).cast("long")).alias("hits")).crossJoin(total)
     return out.withColumn("balance", F.when(F.col("papers") > 0, F.col("hits") / F.col("papers") * 100).otherwise(F.lit(0.0)))
 
 
+def balance_table(members: DataFrame, ranks: DataFrame, papers: DataFrame, questions: DataFrame) -> DataFrame:
+    """``place, group_id, overarching_question, group_balance, member_count``: balance to one digit, the highest first, ties by ``position`` of ``questions``."""
+    rows = balance(members, ranks, papers).join(questions.select("group_id", "position", F.col("question").alias("overarching_question")), "group_id", "left")
+    rows = rows.withColumn("group_balance", T.py_round(F.col("balance"), 1))
+    place = F.row_number().over(Window.orderBy(F.desc("group_balance"), F.asc_nulls_last("position"), "group_id"))
+    return rows.select(place.alias("place"), "group_id", F.coalesce("overarching_question", F.lit("")).alias("overarching_question"), "group_balance", "member_count")
+
+
 def medoid_questions(units: DataFrame, assignment: DataFrame) -> DataFrame:
-    """The offline labeller: a group's question is its member's tag that shares most tokens with the group's others."""
-    rows = assignment.filter("group_id is not null").join(units.select("paper", "unit", "tag"), ["paper", "unit"]).withColumn("word", F.explode(T.tokens(F.col("tag"))))
-    weight = rows.groupBy("group_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.join(weight, ["group_id", "word"]).groupBy("group_id", "paper", "unit", "tag").agg(F.sum("n").alias("s"))
-    return total.groupBy("group_id").agg(F.max_by("tag", F.struct("s", -F.col("paper"), -F.col("unit"))).alias("question"))
+    """The offline labeller: a group's question is its member's tag that shares most tokens with the group's others.
+
+    Ties go to the smallest paper and unit; ids may be of any type that sorts. Members without a token count
+    as sharing none, so every group with a member has a question.
+    """
+    rows = assignment.filter("group_id is not null").join(units.select("paper", "unit", F.coalesce("tag", F.lit("")).alias("tag")), ["paper", "unit"])
+    words = rows.withColumn("word", F.explode(T.tokens(F.col("tag"))))
+    weight = words.groupBy("group_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    total = words.join(weight, ["group_id", "word"]).groupBy("group_id", "paper", "unit").agg(F.sum("n").alias("s"))
+    scored = rows.join(total, ["group_id", "paper", "unit"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    return scored.groupBy("group_id").agg(F.min_by("tag", F.struct(-F.col("s"), "paper", "unit")).alias("question"))
+
+
+def super_group_questions(members: DataFrame) -> DataFrame:
+    """The labeller one level up: ``super_group, question`` of ``super_group, group_id, question``."""
+    rows = members.select(F.col("super_group").alias("group_id"), F.col("group_id").alias("paper"), F.lit(0).alias("unit"), F.col("question").alias("tag"))
+    return medoid_questions(rows.drop("group_id"), rows.select("group_id", "paper", "unit")).withColumnRenamed("group_id", "super_group")
+
+
+def require_questions(groups: DataFrame) -> DataFrame:
+    """``groups`` (``group_id, question``), or an error if there is none or one has no question."""
+    missing = groups.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("question", F.lit("")) == "").alias("empty")).collect()[0]
+    if not missing["n"] or missing["empty"]:
+        raise ValueError(f"{missing['empty']} of {missing['n']} groups have no question")
+    return groups
+
+
+def group_members(assignment: DataFrame, units: DataFrame) -> DataFrame:
+    """``place, group_id, size, members``: groups of an assignment, the largest first, ties by their first member in corpus order.
 
+    ``units`` is ``paper, unit, tag`` with ``position``, the corpus order, in which members are listed too.
+    """
+    rows = assignment.filter("group_id is not null").join(units.select("paper", "unit", "tag", "position"), ["paper", "unit"])
+    listed = F.array_sort(F.collect_list(F.struct("position", "paper", "unit", "tag")))
+    groups = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.min("position").alias("first"), F.transform(listed, lambda m: F.struct(m["paper"].alias("paper"), m["unit"].alias("unit"), m["tag"].alias("tag"))).alias("members"))
+    return groups.select(F.row_number().over(Window.orderBy(F.desc("size"), "first")).alias("place"), "group_id", "size", "members")
+
+
+def rankings(ranks: DataFrame, key: list[str], item: str) -> DataFrame:
+    """``key, ranking``: a long table of ranks as arrays, best first."""
+    return ranks.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item))), lambda s: s[item]).alias("ranking"))
+
+
+def question_listing(questions: DataFrame) -> DataFrame:
+    """One row ``listing``: a line ``- id: "question"`` for each, by ``position``. There are as many as candidates of one prompt."""
+    line = F.concat(F.lit("- "), F.col("group_id").cast("string"), F.lit(': "'), F.coalesce("question", F.lit("")), F.lit('"'))
+    return questions.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda s: s["line"]), "\n").alias("listing"))
+
+
+def unit_listings(units: DataFrame) -> DataFrame:
+    """``paper, listing``: a line ``- unit: "tag" -- "text"`` for each unit of a paper in order, texts on one line."""
+    line = F.concat(F.lit("- "), F.col("unit").cast("string"), F.lit(': "'), F.coalesce("tag", F.lit("")), F.lit('" -- "'), T.one_line(F.col("text")), F.lit('"'))
+    return units.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", line.alias("line")))), lambda s: s["line"]), "\n").alias("listing"))
 
-def refine(units: DataFrame, questions: DataFrame, iterations: int = 5) -> DataFrame:
-    """Assign, drop empty groups, relabel, repeat: ``iter, paper, unit, group_id``. Each iteration is a table in the shared folder."""
-    out, current = None, questions
+
+def member_listings(assignment: DataFrame, units: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """``group_id, listing``: a group's members numbered from 1 with their question, their section's if it has one, and their text.
+
+    ``units`` is ``paper, unit, tag, text, position`` and, if ``sections`` (``paper, section_id, tag``) is given, ``section_id``.
+    """
+    rows = assignment.filter("group_id is not null").join(units, ["paper", "unit"])
+    if sections is not None:
+        rows = rows.join(sections.select("paper", "section_id", F.col("tag").alias("parent")), ["paper", "section_id"], "left")
+    parent = F.coalesce("parent", F.lit("")) if sections is not None else F.lit("")
+    head = F.concat(F.lit('Paragraph question: "'), F.coalesce("tag", F.lit("")), F.lit('"'), F.when(parent != "", F.concat(F.lit('\n   Parent section question: "'), parent, F.lit('"'))).otherwise(F.lit("")))
+    body = F.concat(head, F.lit('\n   Paragraph content: "'), T.one_line(F.col("text")), F.lit('"'))
+    listed = F.array_sort(F.collect_list(F.struct("position", body.alias("body"))))
+    return rows.groupBy("group_id").agg(F.array_join(F.transform(listed, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["body"])), "\n").alias("listing"))
+
+
+def refine(units: DataFrame, questions: DataFrame, iterations: int = 5, before: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """Assign, drop empty groups, relabel, repeat: ``iter, paper, unit, group_id``.
+
+    Each iteration's assignment and questions are tables in the shared folder. With ``folder`` they are kept
+    there as ``iter=N``, and a call that finds a finished iteration reads it instead of running it. The counts
+    of each iteration, against the one before it or ``before``, are ``refinement_counts`` of the result.
+    """
+    spark, out, current = units.sparkSession, None, questions.select("group_id", "question")
     for n in range(1, iterations + 1):
-        step = materialize(assign(score_questions(units, current)), f"iteration-{n}")
+        if folder is None:
+            step = materialize(assign(score_questions(units, current)), f"iteration-{n}")
+            current = materialize(medoid_questions(units, step), f"questions-{n}")
+        else:
+            step = stages.kept(spark, f"{folder}/assignment/iter={n}", lambda: assign(score_questions(units, current)))
+            current = stages.kept(spark, f"{folder}/questions/iter={n}", lambda: medoid_questions(units, step))
         row = step.withColumn("iter", F.lit(n))
         out = row if out is None else out.unionByName(row)
-        current = materialize(medoid_questions(units, step), f"questions-{n}")
     return out.select("iter", "paper", "unit", "group_id")
+
+
+def refinement_counts(iterations: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``iter, reassigned, total_assigned`` of the result of ``refine``; a unit that had no group and has one counts as reassigned."""
+    old = iterations.select((F.col("iter") + 1).alias("iter"), "paper", "unit", F.col("group_id").alias("old"))
+    if before is not None:
+        old = old.unionByName(before.select(F.lit(1).alias("iter"), "paper", "unit", F.col("group_id").alias("old")))
+    both = iterations.join(old, ["iter", "paper", "unit"], "left")
+    moved = F.col("group_id").isNotNull() & ~F.col("group_id").eqNullSafe(F.col("old"))
+    return both.groupBy("iter").agg(F.count_if(moved).alias("reassigned"), F.count("group_id").alias("total_assigned"))
