@@ -1,129 +1,128 @@
-"""K-d tree sharding: recursive splits at distributed weighted medians of the widest metadata dimension."""
+"""K-d tree sharding: recursive splits at distributed weighted medians of the widest metadata dimension.
 
-from __future__ import annotations
+The tree lives in tables: a row's cell is a column, and cells with their cuts are a table of at most as many rows
+as there are shards, broadcast to the points. Nothing on the way is Python.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenforge.plans.lineage import materialize
+from lumenforge.plans.lineage import discard, materialize
 from lumenforge.plans.prefix import prefix_sum
+from lumenforge.plans.skew import join_groups
 
-GRID_BITS, TIE_BITS, STEP_BITS = 20, 32, 12
+GRID_BITS, TIE_BITS, STEP_BITS = 20, 32, 18
 BITS = GRID_BITS + TIE_BITS
+NEAR = 8192  # a cut is exact enough once the range it lies in holds less than this part of its cell
 
 
-@dataclass
-class Node:
-    """Rows of one cell: ``leaves`` shards to come, numbered from ``first``."""
+def value_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """``column, n, _rank``: the distinct values, how often they stand, and their place among each other.
 
-    number: int
-    leaves: int
-    first: int
-    dim: int = -1
-    cut: int = -1  # rows with coordinate < cut go left
-    left: Node | None = None
-    right: Node | None = None
+    Values are range-partitioned and numbered by a prefix sum over the partitions, so a long list of them is no task's alone.
+    """
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id())
+    return prefix_sum(materialize(counts, "shard-values"), [], "_part", [column], F.lit(1).cast("long"), "_rank").select(column, "n", "_rank")
 
 
-def _prefix_code(c: Column) -> Column:
-    """The first six UTF-8 bytes of a string as a number in code-point order; null sorts as empty."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def _place(dims: int) -> Column:
+    """A point's coordinate in its cell's dimension."""
+    return F.element_at(F.array(*[F.col(f"_d{i}") for i in range(dims)]), F.col("dim") + 1)
 
 
-def _assign(node: Node) -> Column:
-    if node.left is None:
-        return F.lit(node.number)
-    return F.when(F.col(f"_d{node.dim}") < node.cut, _assign(node.left)).otherwise(_assign(node.right))
+def _widest(points: DataFrame, cells: DataFrame, dims: int) -> DataFrame:
+    """``cell, leaves, first, dim, total``: of each cell with rows the dimension in which they spread over most grid steps."""
+    spread = [(F.shiftright(F.max(f"_d{i}"), TIE_BITS) - F.shiftright(F.min(f"_d{i}"), TIE_BITS)).alias(f"s{i}") for i in range(dims)]
+    wide = points.join(F.broadcast(cells), "cell").groupBy("cell", "leaves", "first").agg(F.sum("size").alias("total"), *spread)
+    spreads = F.array(*[F.col(f"s{i}") for i in range(dims)])
+    return wide.select("cell", "leaves", "first", (F.array_position(spreads, F.array_max(spreads)) - 1).cast("int").alias("dim"), "total")
 
 
-def _cuts(rows: DataFrame, nodes: list[Node], dims: int) -> None:
-    """Set ``dim`` and ``cut`` of every node: bisect all their coordinates at once by byte histograms.
+def _cuts(points: DataFrame, cells: DataFrame, dims: int) -> DataFrame:
+    """``cells`` with ``cut``: points below it go left, so that floor(leaves / 2) / leaves of the bytes do, as nearly as coordinates allow.
 
-    A pass adds up the bytes in 2**STEP_BITS equal ranges of what is left of a node's interval and
-    keeps the range that holds its median; five passes leave single coordinates. What comes back to
-    the driver is one row per node: the windows add up at most 2**STEP_BITS bins each.
+    A pass adds up the bytes in 2**18 equal ranges of what is left of each cell's interval and keeps the range that holds
+    its median. It ends for all cells once each such range holds a small part of its cell, else after three
+    passes, which leave single coordinates.
     """
-    wide = rows.groupBy("_node").agg(*[f(F.shiftright(f"_d{i}", TIE_BITS)).alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)], F.sum("size").alias("total"))
-    total = {}
-    for r in wide.collect():
-        total[r["_node"]] = r["total"]
-        for n in nodes:
-            if n.number == r["_node"]:
-                n.dim = max(range(dims), key=lambda i: (r[f"max{i}"] - r[f"min{i}"], -i))
-    nodes = [n for n in nodes if n.number in total]
-    low = {n.number: 0 for n in nodes}
-    below = {n.number: 0 for n in nodes}  # bytes before the interval
+    goal = F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    state = materialize(cells.withColumns({"low": F.lit(0).cast("long"), "below": F.lit(0).cast("long")}), "shard-state")
     width = BITS
-    while width > 0 and nodes:
+    while True:
         step = min(STEP_BITS, width)
         width -= step
-        cases = None
-        for n in nodes:
-            d = F.col(f"_d{n.dim}")
-            inside = F.when((d >= low[n.number]) & (d < low[n.number] + (1 << (width + step))), F.shiftright(d - F.lit(low[n.number]), width))
-            cases = F.when(F.col("_node") == n.number, inside) if cases is None else cases.when(F.col("_node") == n.number, inside)
-        bins = rows.select("_node", "size", cases.alias("_bin")).filter("_bin is not null").groupBy("_node", "_bin").agg(F.sum("size").alias("bytes"))
-        target = None
-        for n in nodes:
-            goal = total[n.number] * (n.leaves // 2) / n.leaves - below[n.number]
-            target = F.when(F.col("_node") == n.number, F.lit(float(goal))) if target is None else target.when(F.col("_node") == n.number, F.lit(float(goal)))
-        upto = F.sum("bytes").over(Window.partitionBy("_node").orderBy("_bin"))
-        found = bins.withColumn("_upto", upto).withColumn("_goal", target).filter("_upto >= _goal").groupBy("_node").agg(F.min(F.struct("_bin", "_upto", "bytes")).alias("m"))
-        for r in found.collect():
-            low[r["_node"]] += int(r["m"]["_bin"]) << width
-            below[r["_node"]] += r["m"]["_upto"] - r["m"]["bytes"]
-            last = r["m"]
-            if width == 0:  # the coordinate that holds the median goes to the nearer side
-                n = next(n for n in nodes if n.number == r["_node"])
-                goal = total[n.number] * (n.leaves // 2) / n.leaves
-                n.cut = low[n.number] + int(below[n.number] + last["bytes"] - goal < goal - below[n.number])
+        inside = points.join(F.broadcast(state), "cell").withColumn("_at", _place(dims) - F.col("low")).filter((F.col("_at") >= 0) & (F.col("_at") < (1 << (width + step))))
+        bins = inside.groupBy("cell", F.shiftright("_at", width).alias("bin")).agg(F.sum("size").alias("bytes"))
+        upto = F.sum("bytes").over(Window.partitionBy("cell").orderBy("bin"))
+        found = bins.withColumn("upto", upto).join(F.broadcast(state), "cell").filter(F.col("below") + F.col("upto") >= goal)
+        found = found.groupBy("cell").agg(F.min(F.struct("bin", "bytes", "upto")).alias("m"))
+        after = state.join(found, "cell").select(
+            "cell", "leaves", "first", "dim", "total", (F.col("low") + F.shiftleft(F.col("m.bin"), width)).alias("low"),
+            (F.col("below") + F.col("m.upto") - F.col("m.bytes")).alias("below"), F.col("m.bytes").alias("held"),
+        )
+        after = materialize(after, "shard-state")
+        discard(state)
+        state = after.drop("held")
+        if not width or after.filter(F.col("held").cast("double") * NEAR > F.col("total")).isEmpty():
+            # the range that holds the median goes to the nearer side
+            over = F.col("below") + F.col("held") - goal < goal - F.col("below")
+            return materialize(after.withColumn("cut", F.col("low") + F.when(over, F.lit(1 << width)).otherwise(F.lit(0))).drop("low", "below", "held"), "shard-cuts")
 
 
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: tuple[str, ...] = ("source", "lang"), shards: int | None = None, target_bytes: int | None = None, overhead: int = 8) -> DataFrame:
     """One row per input row: ``id, size, text_crc32, shard, slot``.
 
     ``size`` is the text's UTF-8 bytes plus ``overhead``. Pass ``shards``, or ``target_bytes`` for as many
-    as keep the mean leaf within it. The dimensions are the columns in ``strings`` (by their first six
-    bytes), the size and the id, each laid on a grid of 2**20 steps of its whole range; a hash of the
-    row breaks ties inside a step, so equal metadata, even of a third of all rows, still splits. A node
+    as keep the mean leaf within it. The dimensions are the columns in ``strings`` (by the place of a value among
+    all its distinct values), the size and the id, each laid on a grid of 2**20 steps of its whole range; a hash of the
+    row breaks ties inside a step, so equal metadata, even of a third of all rows, still splits. A cell
     for k leaves is cut where floor(k/2)/k of its bytes lie below, along the dimension in which its
     rows spread over most grid steps (the first such). ``slot`` counts from 0 without gaps.
 
     Null text has no bytes but the overhead; null ids and strings sort first. Repeated rows share a
-    coordinate and may stay together. An empty table gives no rows.
+    coordinate and may stay together. Other columns are not read. An empty table gives no rows.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[_prefix_code(F.col(c)).alias(f"_r{i}") for i, c in enumerate(strings)])
-    rows = rows.withColumns({f"_r{len(strings)}": F.col("size"), f"_r{len(strings) + 1}": F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long"))})
-    dims = len(strings) + 2
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_s{i}") for i, c in enumerate(strings)])
     rows = rows.withColumn("_h", F.md5(F.encode(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")), "UTF-8")))
     rows = materialize(rows, "shard-rows")
+    total = rows.count()
+    for i in range(len(strings)):
+        ranks = materialize(value_ranks(rows.select(f"_s{i}"), f"_s{i}").withColumnRenamed("_rank", f"_r{i}"), "shard-ranks")
+        ranked = materialize(join_groups(rows, ranks, [f"_s{i}"], "n", total).drop(f"_s{i}", "n"), "shard-rows")
+        discard(rows)
+        rows = ranked
+    dims = len(strings) + 2
+    rows = rows.withColumns({f"_r{len(strings)}": F.col("size"), f"_r{len(strings) + 1}": F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long"))})
     span = rows.agg(F.sum("size").alias("total"), *[f(f"_r{i}").alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)]).collect()[0]
     if shards is None:
         shards = max(1, -(-(span["total"] or 0) // (target_bytes or 1 << 30)))
     tie = F.conv(F.substring("_h", 1, TIE_BITS // 4), 16, 10).cast("long")
     grid = lambda i: F.floor((F.col(f"_r{i}") - F.lit(span[f"min{i}"] or 0)).cast("double") / max(1, (span[f"max{i}"] or 0) - (span[f"min{i}"] or 0)) * ((1 << GRID_BITS) - 1)).cast("long")
-    points = rows.select("id", "size", "text_crc32", "_h", *[(F.shiftleft(grid(i), TIE_BITS) + tie).alias(f"_d{i}") for i in range(dims)])
+    zero = F.lit(0).cast("long")
+    points = rows.select("id", "size", "text_crc32", "_h", *[(F.shiftleft(grid(i), TIE_BITS) + tie).alias(f"_d{i}") for i in range(dims)], zero.alias("cell"), zero.alias("first"))
     points = materialize(points, "shard-points")
-    root = Node(0, shards, 0)
-    level, count = [root], 1
-    while open_nodes := [n for n in level if n.leaves > 1]:
-        _cuts(points.select("size", _assign(root).alias("_node"), *[f"_d{i}" for i in range(dims)]), open_nodes, dims)
-        level = []
-        for n in open_nodes:
-            if n.cut < 0:  # a cell without rows keeps its numbers and stays one leaf
-                n.leaves = 1
-                continue
-            half = n.leaves // 2
-            n.left, n.right = Node(count, half, n.first), Node(count + 1, n.leaves - half, n.first + half)
-            level += [n.left, n.right]
-            count += 2
-
-    def numbered(n: Node) -> Column:
-        return F.lit(n.first) if n.left is None else F.when(F.col(f"_d{n.dim}") < n.cut, numbered(n.left)).otherwise(numbered(n.right))
-
-    placed = points.select("id", "size", "text_crc32", numbered(root).cast("int").alias("shard"), F.substring("_h", 1, 3).alias("_range"), "_h")
+    cells = docs.sparkSession.range(1).select(zero.alias("cell"), F.lit(shards).cast("long").alias("leaves"), zero.alias("first"))
+    most = shards
+    while most > 1:
+        cuts = _cuts(points.drop("first"), _widest(points.drop("first"), cells, dims), dims)
+        # cell numbers are those of a heap: 2c + 1 and 2c + 2 lie below c
+        right, half = _place(dims) >= F.col("cut"), F.floor(F.col("leaves") / 2)
+        moved = points.join(F.broadcast(cuts.withColumnRenamed("first", "_first")), "cell", "left")
+        cut = F.col("cut").isNotNull()
+        moved = moved.select(
+            "id", "size", "text_crc32", "_h", *[f"_d{i}" for i in range(dims)],
+            F.when(cut, F.when(right, F.col("cell") * 2 + 2).otherwise(F.col("cell") * 2 + 1)).otherwise(F.col("cell")).alias("cell"),
+            F.when(cut & right, F.col("_first") + half).otherwise(F.col("first")).alias("first"),
+        )
+        moved = materialize(moved, "shard-points")
+        discard(points)
+        points = moved
+        left = cuts.select((F.col("cell") * 2 + 1).alias("cell"), half.alias("leaves"), "first")
+        cells = left.unionByName(cuts.select((F.col("cell") * 2 + 2).alias("cell"), (F.col("leaves") - half).alias("leaves"), (F.col("first") + half).alias("first"))).filter("leaves > 1")
+        most -= most // 2
+    placed = points.select("id", "size", "text_crc32", F.col("first").cast("int").alias("shard"), F.substring("_h", 1, 3).alias("_range"), "_h")
     placed = prefix_sum(placed, ["shard"], "_range", [F.col("_h"), F.col("id")], F.lit(1).cast("long"), "slot")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
