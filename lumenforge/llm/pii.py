@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.plans.lineage import materialize
+from lumenforge.plans.lineage import discard, materialize
+from lumenforge.plans.skew import join_groups
 
 #: Given names by gender, for surrogates and for detection behind nothing but themselves plus a family name. Fixed values.
 MALE = ("Adam", "Albert", "Andreas", "Antoine", "Carlos", "Daniel", "David", "Diego", "Felix", "Fernando", "Frank", "George", "Hans", "Henri", "Hugo", "Jack", "James", "Javier", "Jean", "John", "Juan", "Karl", "Klaus", "Louis", "Lukas", "Luis", "Manuel", "Mark", "Martin", "Michael", "Miguel", "Otto", "Pablo", "Paul", "Peter", "Pierre", "Robert", "Stefan", "Thomas", "William")
@@ -194,7 +195,12 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
             clean = clean.join(done.select("kind", "mark"), ["kind", "mark"], "left_anti")
         first = clean.groupBy("kind", "mark").agg(F.min_by("canon", F.struct("digest", "canon")).alias("canon"))
         won = materialize(clean.join(first, ["kind", "mark", "canon"], "left_semi").select("kind", "canon", "attempt", "digest", "mark"), "pii-won")
-        done = won if done is None else materialize(done.unionByName(won), "pii-done")
+        if done is None:
+            done = won
+        else:
+            every = materialize(done.unionByName(won), "pii-done")
+            discard(done)
+            done = every
         rest = drawn.join(won, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         if rest.isEmpty():
             break
@@ -221,29 +227,28 @@ def _laid(entity: Column, mark: Column) -> Column:
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, text, n_entities, kinds``, the text with every entity replaced.
 
-    Texts with an entity are cut once into gaps and entities; distinct entities get checked surrogates
-    (``replacements``), which meet their texts again by row through the (row, place, entity) table. Texts
-    without one are not shuffled. An entity has the same surrogate in all rows, and different ones differ.
+    Entities are searched once: each row is written with its entities and, where it has any, the gaps between them in
+    place of its text. Distinct entities get checked surrogates (``replacements``), which meet their rows again through
+    the (row, entity) table, entities that stand in many rows by broadcast. Rows without one are not
+    shuffled. An entity has the same surrogate in all rows, and different ones differ.
 
     Null texts stay null with 0 entities; ids may be null or repeat; other columns are ignored; an
     empty table gives no rows.
     """
-    suspects = F.col("text").rlike(SUSPECT)
-    found = F.when(suspects, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("entities", F.coalesce(found, F.array().cast("array<string>")))
-    mentions = rows.select(F.explode(F.array_distinct("entities")).alias("entity")).distinct().withColumn("kind", entity_type(F.col("entity")))
-    table = replacements(materialize(mentions, "pii-mentions"), key)
-    table = materialize(table, "pii-table")
-    # the rows that hold entities, by a hash of their text and id: equal rows share one list
-    row_key = F.xxhash64("id", "text")
-    held = rows.filter(F.size("entities") > 0).select(row_key.alias("_row"), F.explode(F.array_distinct("entities")).alias("entity")).distinct()
-    lists = held.join(table, "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("surrogate", "kind")))).alias("_map"))
-    clean = rows.filter(F.size("entities") == 0).select("id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    dirty = rows.filter(F.size("entities") > 0).withColumn("_row", row_key).join(lists, "_row")
+    none = F.array().cast("array<string>")
+    found = F.coalesce(F.when(F.col("text").rlike(SUSPECT), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))), none)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("entities", found).withColumn("some", F.size("entities") > 0)
+    rows = rows.select("id", F.when(~F.col("some"), F.col("text")).alias("text"), "entities", F.when(F.col("some"), F.split("text", ENTITY, -1)).alias("gaps"), "some", F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(rows, "pii-rows")
+    held = materialize(rows.filter("some").select("_row", F.explode(F.array_distinct("entities")).alias("entity")), "pii-held")
+    mentions = materialize(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", entity_type(F.col("entity"))), "pii-mentions")
+    table = materialize(replacements(mentions, key).join(mentions, ["kind", "entity"]), "pii-table")
+    met = join_groups(held, table, ["entity"], "n", held.count())
+    lists = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("surrogate", "kind")))).alias("_map"))
+    clean = rows.filter("not some").select("id", "text", F.lit(0).alias("n_entities"), none.alias("kinds"))
+    dirty = rows.filter("some").join(lists, "_row")
     new = F.transform("entities", lambda e: F.try_element_at("_map", e)["surrogate"])
-    gaps = F.split("text", ENTITY, -1)
-    text = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, e: F.array(F.coalesce(g, F.lit("")), F.coalesce(e, F.lit(""))))), "")
+    text = F.array_join(F.flatten(F.zip_with("gaps", new, lambda g, e: F.array(F.coalesce(g, F.lit("")), F.coalesce(e, F.lit(""))))), "")
     kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: F.try_element_at("_map", e)["kind"])))
     out = clean.unionByName(dirty.select("id", text.alias("text"), F.size("entities").alias("n_entities"), kinds.alias("kinds")))
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities", "kinds")
