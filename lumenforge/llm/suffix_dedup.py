@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm import vectext
-from lumenforge.plans.lineage import materialize
+from lumenforge.llm import bitmaps, vectext
+from lumenforge.plans.lineage import discard, materialize
 from lumenforge.plans.skew import join_groups
 
 LENGTH, GRAM = 200, 40
 CHUNK = 1 << 19  # starts looked at together; a longer text is cut into chunks that overlap by LENGTH
-MEMBERS = 2048  # different runs of one suffix order; more part further
-SUFFIX_BYTES = 1_000_000  # bytes of suffix orders solved together
+MEMBERS = 1024  # different runs of one suffix order; more part further
+SUFFIX_BYTES = 400_000  # bytes of suffix orders solved together
+SLICE = 500  # rows of a batch that are Python objects at once
 DEPTHS = (7, 14, 28, 56, 112)  # prefix lengths of the ranks below LENGTH
 
 
@@ -74,6 +75,15 @@ def prefix_ranks(data: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     Prefix doubling: ranks of 7 bytes, then of 14, 28, ... from pairs of ranks, and at last of ``length``
     from two overlapping parts; equal ranks are equal strings, and ranks order as suffixes do.
     """
+    out = [_first_ranks(data)]
+    for depth, step in _steps(length):
+        after = np.zeros(len(data), np.int64)
+        after[: len(data) - step] = out[-1][step:]
+        out.append(np.unique(out[-1] * (len(data) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1)
+    return out
+
+
+def _first_ranks(data: np.ndarray) -> np.ndarray:
     n = len(data)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = data.astype(np.uint64) + np.uint64(1)
@@ -81,17 +91,35 @@ def prefix_ranks(data: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(DEPTHS[0]):
         key = (key << np.uint64(9)) | padded[i : i + n]
-    out = [np.unique(key, return_inverse=True)[1].astype(np.int64) + 1]
-    depth = DEPTHS[0]
+    return np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+
+
+def _steps(length: int) -> list[tuple[int, int]]:
+    """The depths that are reached in turn and how far behind the other part stands."""
+    depth, out = DEPTHS[0], []
     while depth < length:
         step = min(depth, length - depth)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = out[-1][step:]
-        out.append(np.unique(out[-1] * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1)
         depth += step
+        out.append((depth, step))
     return out
 
 
+def start_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The last of ``prefix_ranks`` at ``starts``, which have ``length`` bytes each, ranked at the places alone that it follows from."""
+    steps = _steps(length)
+    wanted = [starts]  # places whose rank each depth needs, the last depth first
+    for _, step in reversed(steps):
+        mark = np.zeros(len(data), bool)
+        mark[wanted[-1]] = mark[wanted[-1] + step] = True
+        wanted.append(np.flatnonzero(mark))
+    rank = _first_ranks(data)
+    for (_, step), places in zip(steps, reversed(wanted[:-1])):
+        ranked = np.unique(rank[places] * (len(data) + 2) + rank[places + step], return_inverse=True)[1].astype(np.int64) + 1
+        rank = np.zeros(len(data), np.int64)
+        rank[places] = ranked
+    return rank[starts]
+
+
 def smaller_before(values: np.ndarray) -> np.ndarray:
     """For each place the last earlier place with a smaller value, or -1.
 
@@ -130,22 +158,40 @@ def common_prefixes(ranks: list[np.ndarray], data: np.ndarray, a: np.ndarray, b:
     return np.where(whole, length, np.minimum(out, length))
 
 
+def _factor_sides(starts: np.ndarray, rank: np.ndarray):
+    """For the earlier and for the later factors of ``starts``, given in ascending order with their ranks: pairs of indices, a start and its neighbour.
+
+    Of all earlier starts the previous or the next smaller position in suffix order shares most; of all later ones a larger one.
+    """
+    order = np.argsort(rank, kind="stable")
+    sides = neighbours(order)
+    for pair in (sides[:2], sides[2:]):
+        yield [(order[at], order[side[at]]) for side in pair for at in (np.flatnonzero(side >= 0),)]
+
+
 def longest_factors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each of ``starts`` (ascending) the longest prefix, up to ``length``, that an earlier one has as well, and that a later one has.
 
-    The first is the longest-previous-factor array: of all earlier starts, the previous or the next
-    smaller position in suffix order shares most. The second is the same with larger positions.
+    The first is the longest-previous-factor array, the second the same for later starts.
     """
     ranks = prefix_ranks(data, length)
-    order = starts[np.lexsort((starts, ranks[-1][starts]))]
-    earlier, later = np.zeros((2, len(starts)), np.int64)
-    back = np.searchsorted(starts, order)
-    for out, sides in zip((earlier, later), np.split(np.array(neighbours(order)), 2)):
-        for side in sides:
-            at = np.flatnonzero(side >= 0)
-            shared = common_prefixes(ranks, data, order[at], order[side[at]], length)
-            out[back[at]] = np.maximum(out[back[at]], shared)
-    return earlier, later
+    out = []
+    for sides in _factor_sides(starts, ranks[-1][starts]):
+        most = np.zeros(len(starts), np.int64)
+        for place, other in sides:
+            most[place] = np.maximum(most[place], common_prefixes(ranks, data, starts[place], starts[other], length))
+        out.append(most)
+    return tuple(out)
+
+
+def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the longest earlier or the longest later factor of each start reaches ``length``: its neighbour's prefix of that length has the same rank."""
+    rank = start_ranks(data, starts, length)
+    out = np.zeros(len(starts), bool)
+    for sides in _factor_sides(starts, rank):
+        for place, other in sides:
+            out[place] |= rank[place] == rank[other]
+    return out
 
 
 def _batched(texts: list[bytes], most: int = 400_000):
@@ -167,6 +213,13 @@ def _batched(texts: list[bytes], most: int = 400_000):
         yield b"".join(part), np.cumsum([0, *map(len, part)]), owner, [0] * len(owner)
 
 
+def _slices(batches):
+    """Batches as columns of Python objects, a few rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield [c.to_pylist() for c in batch.slice(i, SLICE).columns]
+
+
 def _digest(raw: bytes, place: int) -> bytes:
     """128 bits of a run's bytes and its anchor's place in it."""
     return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(2, "little")).digest()
@@ -178,12 +231,12 @@ RUNS = "key binary, anchor binary, run binary, place long, at int"
 def _runs(batches):
     """(key, text) to rows of anchor runs; a text that this task has read already adds nothing new."""
     seen = set()
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         texts = [t or b"" for t in batch.column(1).to_pylist()]
         for i, k in enumerate(batch.column(0).to_pylist()):
             if k in seen:
                 texts[i] = b""
-            elif len(seen) < 500_000:
+            elif len(seen) < 200_000:
                 seen.add(k)
         for raw, bounds, owner, offset in _batched(texts):
             first, count, anchor, at = anchors(np.frombuffer(raw, np.uint8), bounds)
@@ -208,8 +261,8 @@ def _segments(rows: list[tuple]) -> pa.RecordBatch:
 
 def _cut_segments(batches):
     """(key, text, wanted runs) to the bytes of each wanted run."""
-    for batch in batches:
-        for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+    for columns in _slices(batches):
+        for key, text, wanted in zip(*columns):
             yield _segments([(w["anchor"], w["run"], key, w["place"], w["at"], text[(s := w["place"] >> 20) : s + (w["place"] & 0xFFFFF) - 1 + LENGTH]) for w in wanted])
 
 
@@ -225,9 +278,9 @@ def _part_segments(level: int):
     """Segments to the parts of their runs by distance from the anchor; the new anchor is what all windows of a part's distances share."""
 
     def run(batches):
-        for batch in batches:
+        for columns in _slices(batches):
             rows = []
-            for _, _, key, place, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, _, key, place, at, raw in zip(*columns):
                 start, count = place >> 20, place & 0xFFFFF
                 for low, high in cells(level):
                     a, b = max(at - high + 1, 0), min(at - low + 1, count)  # starts of the part
@@ -261,8 +314,7 @@ def _repeats(batches):
         bounds = np.cumsum([0, *(len(r[2]) for r in rows)])
         inside = np.arange(len(data))
         starts = inside[inside + LENGTH <= bounds[np.searchsorted(bounds, inside, "right")]]
-        earlier, later = longest_factors(data, starts)
-        hits = starts[np.maximum(earlier, later) >= LENGTH]
+        hits = starts[repeated_starts(data, starts)]
         text = np.searchsorted(bounds, hits, "right") - 1
         cut = np.flatnonzero(np.diff(text, prepend=-1))
         out = []
@@ -272,8 +324,8 @@ def _repeats(batches):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["key", "begin", "end"])
 
     held, group, last, size = [], [], None, 0
-    for batch in batches:
-        for anchor, key, place, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+    for columns in _slices(batches):
+        for anchor, key, place, raw in zip(*columns):
             if anchor != last:
                 held += group
                 group, last = [], anchor
@@ -288,9 +340,9 @@ def _repeats(batches):
 
 def _remainders(batches):
     """(key, text, ranges) to the digest of what is left of the text."""
-    for batch in batches:
+    for columns in _slices(batches):
         rows = []
-        for key, raw, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for key, raw, ranges in zip(*columns):
             kept, at, removed, spans = [], 0, 0, 0
             for begin, end in sorted((r["begin"], r["end"]) for r in ranges):
                 if begin > at or not spans:
@@ -336,6 +388,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     go by 128 bits of their SHA-256, and texts that share those but not the rest stop the query; runs go by
     128 bits of BLAKE2b.
     """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
     rows = rows.withColumn("key", F.unhex(F.substring("sha", 1, 32)))
@@ -345,23 +398,29 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = materialize(copies.select("key", one_text.alias("copies")), "sa-copies")
 
     runs = materialize(rows.select("key", "text").mapInArrow(_runs, RUNS), "sa-runs")
-    often = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sa-often")
-    met = materialize(join_groups(runs, often, ["anchor"], "n", runs.count(), "left_semi"), "sa-met")
+    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # most runs have an anchor of their own and go before they are shuffled; the few that a full filter lets through are told apart below
+    near = bitmaps.split_by_filter(runs.withColumnRenamed("anchor", "h"), materialize(bitmaps.key_filter(often.select(F.col("anchor").alias("h"))), "sa-often"))
+    met = materialize(near.filter("again").withColumnRenamed("h", "anchor").drop("again"), "sa-met")
+    discard(runs)
     kinds = materialize(_kinds(met, []), "sa-kinds")
     several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "sa-several")
     twice = join_groups(met.select("anchor", "run", "key", "place"), kinds.filter("n > 1").select("anchor", "run", "n"), ["anchor", "run"], "n", met.count(), "left_semi")
-    ranges = [twice.select("key", *_ends(F.col("place")))]
+    ranges = [materialize(twice.select("key", *_ends(F.col("place"))), "sa-whole")]
+    discard(met)
     wanted = join_groups(kinds, several, ["anchor"], "kinds", kinds.count(), "left_semi").select("anchor", "run", "one.*")
-    asked = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "place", "at")).alias("wanted"))
-    # every text with a met anchor, once: equal texts are combined before the shuffle
-    need = met.select("key").distinct().join(asked, "key", "left")
-    texts = materialize(rows.groupBy("key").agg(F.first("text").alias("text")).join(need, "key"), "sa-texts")
+    asked = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "place", "at")).alias("wanted")), "sa-asked")
+    # every text in which something repeats, once: equal texts are combined before the shuffle
+    need = materialize(ranges[0].select("key").union(asked.select("key")).distinct().join(asked, "key", "left"), "sa-need")
+    fetched = bitmaps.split_by_filter(rows.select(F.col("key").alias("h"), "text"), materialize(bitmaps.key_filter(need.select(F.col("key").alias("h"))), "sa-needed")).filter("again")
+    texts = materialize(fetched.groupBy(F.col("h").alias("key")).agg(F.first("text").alias("text")).join(need, "key"), "sa-texts")
+    discard(asked, need)
     segments = materialize(texts.filter("wanted is not null").mapInArrow(_cut_segments, SEGMENTS), "sa-segments")
     level = 0
     while True:
         total = segments.count()
         few = join_groups(segments, several.filter(F.col("kinds") <= MEMBERS), ["anchor"], "kinds", total, "left_semi").select("anchor", "key", "place", "bytes")
-        ranges.append(few.repartition("anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(_repeats, RANGES))
+        ranges.append(few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "key", "place").mapInArrow(_repeats, RANGES))
         many = several.filter(F.col("kinds") > MEMBERS)
         if many.isEmpty():
             break
