@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenforge.plans.lineage import materialize
+from lumenforge.plans.skew import join_groups
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which registries sell names, when the last label has two letters.
 REGISTRY_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -47,6 +50,10 @@ def host_reputation(labelled: DataFrame, hosts: DataFrame) -> DataFrame:
     prior; a group's prior mean is its parent's posterior mean, so a host without pages of its own
     has its domain's, and a new domain its suffix's. The counts of each level are sums of the level
     below, so pages are shuffled once and combined map-side.
+
+    The share of variance between groups is held within 0.02 to 0.98, so that no level's prior is worth less than 1/49
+    or more than 49 pages; a level with one group, or none with two pages, has nothing to estimate it
+    from and takes 0.1, a prior worth 9 pages.
     """
     by_host = labelled.groupBy("suffix", "domain", "host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
     by_domain = by_host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -87,20 +94,22 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     """One row per page: ``id, host, path, rule, verdict, n_labelled, n_bad``.
 
     ``labels`` has ``id, bad`` (0 or 1) for some pages. A page is blocked if the lower bound
-    ``mean - z * sd`` of its host's posterior rate of bad pages lies above ``limit``; a rule that fits
-    the url decides before that. Null urls and urls without ``://`` have empty host and path, and
+    ``mean - z * sd`` of its host's posterior rate of bad pages lies above ``limit`` (a normal approximation
+    of the beta posterior's quantile, as no SQL function gives that); a rule that fits
+    the url decides before that. Pages meet their host's verdict by shuffle, hosts of very many pages by broadcast. Null urls and urls without ``://`` have empty host and path, and
     the verdict of the empty host. Repeated pages are judged alike. Without labels nothing is
     blocked but by rule. Only the two named columns of ``pages`` are read.
     """
     host, path = url_parts(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    urls = materialize(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")), "urls")
     suffix, domain = domain_parts(F.col("host"))
     marks = labels.select(F.col("id").alias("_id"), "bad").filter("_id is not null and bad is not null").groupBy("_id").agg(F.max("bad").cast("long").alias("bad"))
     labelled = urls.select("id", "host").join(marks, F.col("id") == F.col("_id")).withColumns({"suffix": suffix, "domain": domain})
-    hosts = urls.select("host").distinct().withColumns({"suffix": suffix, "domain": domain})
-    known = host_reputation(labelled, hosts)
+    hosts = materialize(urls.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumns({"suffix": suffix, "domain": domain}), "hosts")
+    known = host_reputation(labelled, hosts.drop("pages"))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
-    known = known.withColumn("_bad", F.col("mean") - z * sd > limit).select("host", "n", "k", "_bad")
+    known = known.withColumn("_bad", F.col("mean") - z * sd > limit).select("host", "n", "k", "_bad").join(hosts.select("host", "pages"), "host")
+    known = materialize(known, "known-hosts")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    out = urls.join(known, ["host"]).withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow"))))
+    out = join_groups(urls, known, ["host"], "pages", urls.count()).withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow"))))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", F.col("n").alias("n_labelled"), F.col("k").alias("n_bad"))
