@@ -96,6 +96,61 @@ def test_sharding(spark):
     assert sharding.kd_shards(make(spark, []), shards=24).count() == 0
 
 
+def brute_tree(rows, shards, strings):
+    """Shards by id of (id, text, source, lang) rows: the tree on plain lists, a median at a time."""
+    points = []
+    for i, text, *names in rows:
+        size = len((text or "").encode()) + 8
+        code = hashlib.md5(f"{'' if i is None else i}|{zlib.crc32((text or '').encode())}".encode()).hexdigest()
+        points.append((i, size, int(code[:8], 16), [*(n or "" for n in names), size, i or 0]))
+    dims = len(strings) + 2
+    for d in range(len(strings)):
+        place = {v: k for k, v in enumerate(sorted({p[3][d] for p in points}))}
+        for p in points:
+            p[3][d] = place[p[3][d]]
+    low, high = ([f(p[3][d] for p in points) for d in range(dims)] for f in (min, max))
+    grid = [[int((p[3][d] - low[d]) / max(1, high[d] - low[d]) * ((1 << 20) - 1)) for d in range(dims)] for p in points]
+    out = {}
+
+    def split(cell, leaves, first):
+        if leaves == 1 or not cell:
+            out.update({points[k][0]: first for k in cell})
+            return
+        spread = [max(grid[k][d] for k in cell) - min(grid[k][d] for k in cell) for d in range(dims)]
+        d = spread.index(max(spread))
+        at = {k: grid[k][d] << 32 | points[k][2] for k in cell}
+        goal = sum(points[k][1] for k in cell) * (leaves // 2) / leaves
+        below = 0
+        for c in sorted(set(at.values())):
+            held = sum(points[k][1] for k in cell if at[k] == c)
+            if below + held >= goal:
+                cut = c + (below + held - goal < goal - below)
+                break
+            below += held
+        split([k for k in cell if at[k] < cut], leaves // 2, first)
+        split([k for k in cell if at[k] >= cut], leaves - leaves // 2, first + leaves // 2)
+
+    split(list(range(len(points))), shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("near", [1 << 60, 8192])
+def test_sharding_is_a_k_d_tree(spark, monkeypatch, near):
+    monkeypatch.setattr(sharding, "NEAR", near)  # the larger one follows each median to a single coordinate
+    rng = random.Random(15)
+    sources = [f"https://host.example/{k}" for k in range(7)] + [None]
+    rows = [(i, rng.choice([None, "", "é" * rng.randint(1, 90), "same"]), rng.choice(sources), rng.choice(["de", "en", None])) for i in range(300)]
+    docs = make(spark, [r[1] for r in rows], sources=[r[2] for r in rows], langs=[r[3] for r in rows])
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, shards=13).collect()}
+    assert got == brute_tree(rows, 13, ("source", "lang"))
+
+
+def test_places_of_values(spark):
+    values = [f"https://{k % 40:03d}" for k in range(200)] + ["", "z"]
+    ranks = sharding.value_ranks(spark.createDataFrame([(v,) for v in values], "v string"), "v").collect()
+    assert {r.v: r._rank for r in ranks} == {v: k for k, v in enumerate(sorted(set(values)))} and {r.n for r in ranks} == {5, 1}
+
+
 def test_url_filter(spark):
     urls = [None, "no host", "http://A.Example.NET/en/x?q", "http://x.net", "http://x.net/", "https://a.org/fr/p", "http://example.com/de/#a", "http://u@spam.com:80/a"] + ["http://spam.com/b"] * 40
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, bad string")
@@ -121,6 +176,34 @@ def test_media_roundtrip(spark):
     assert np.allclose(media.area_resize(grey, 3, 2), grey.reshape(3, 2, 2, 2).mean((1, 3)))
 
 
+def brute_resize(grey, height, width):
+    """Mean over each output cell's area, pixel by pixel."""
+    n, m = grey.shape
+    out = np.zeros((height, width))
+    for y in range(height):
+        for x in range(width):
+            top, bottom, left, right = y * n / height, (y + 1) * n / height, x * m / width, (x + 1) * m / width
+            weights = np.array([[max(0, min(i + 1, bottom) - max(i, top)) * max(0, min(j + 1, right) - max(j, left)) for j in range(m)] for i in range(n)])
+            out[y, x] = (weights * grey).sum() / weights.sum()
+    return out
+
+
+def test_media_features_against_brute_force(spark):
+    import io
+
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcé XYZ\n9") for _ in range(n)) for n in (1, 500, 900, 1500)] + [None, "", "same", "same"]
+    got = {r.doc_id: r for r in media.text_media(make(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        grey = np.frombuffer(raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw)), np.uint8).reshape(-1, media.WIDTH).astype(float)
+        small = brute_resize(grey, 8, 9)
+        assert got[i].feature == np.packbits(np.diff(small, axis=1) > 1e-6).tobytes().hex()
+        tile = np.load(io.BytesIO(bytes(got[i].tile)))
+        assert tile.dtype == np.uint8 and np.abs(tile - brute_resize(grey, media.TILE, media.TILE)).max() <= 0.5 + 1e-6
+    assert tuple(got[6])[1:] == tuple(got[7])[1:] and media.text_media(make(spark, [])).count() == 0
+
+
 def test_packing(spark, tokenizer):
     from tokenizers import Tokenizer
 
@@ -242,6 +325,7 @@ def test_neighbouring_positions_and_longest_factors():
         earlier, later = suffix_dedup.longest_factors(data, starts, length)
         assert earlier.tolist() == [max((shared(i, j) for j in starts[:i].tolist()), default=0) for i in starts.tolist()]
         assert later.tolist() == [max((shared(i, j) for j in starts[i + 1 :].tolist()), default=0) for i in starts.tolist()]
+        assert suffix_dedup.repeated_starts(data, starts, length).tolist() == (np.maximum(earlier, later) >= length).tolist()
 
 
 @pytest.mark.parametrize("members", [2048, 3])
@@ -336,6 +420,12 @@ def test_ngram_join_tells_rows_apart_by_content(spark):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
 
+def test_ngram_join_on_documents(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(path).collect()]
+    check_near(spark, rows)
+
+
 def test_pairs_that_are_pruned_are_not_verified(spark, monkeypatch):
     texts = [" ".join(["head"] * i + [f"w{k}" for k in range(200)]) for i in range(3)]
     docs = make(spark, texts)
@@ -540,3 +630,39 @@ def test_mentions_of_one_entity_agree(spark):
     digits = ["".join(c for c in n if c in "+0123456789") for n in got[1]]
     assert len(set(digits[:4])) == len(set(digits[4:])) == 1 and digits[0].startswith("+1") and digits[4].startswith("+353")
     assert digits[0] != "+17435553824" and got[1][2].startswith("+1 (") and digits[4] != "+3531234567"
+
+
+def test_pii_against_regular_expressions(spark):
+    """Every entity that the patterns find is replaced, nothing else changes, and the replacements are one to one."""
+    import regex
+
+    rng = random.Random(41)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    makers = [
+        lambda: f"{rng.choice(['ann', 'Bo.x', 'c+d'])}{digits(2)}@mail{digits(1)}.example.com", lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: " ".join(digits(4) for _ in range(4)), lambda: "AKIA" + "".join(rng.choices("ABCDEFGH234567", k=16)), lambda: f"token = {digits(10)}abc",
+        lambda: f"{rng.choice(['Mr', 'Frau', 'Dr.', 'Señora'])} {rng.choice(['Anna', 'John', 'Jürgen'])} {rng.choice(['Stone', 'Schulz', 'Peña'])}", lambda: f"{rng.choice(pii.FEMALE)} {rng.choice(['Stone', 'Schulz'])}",
+    ]
+    fixed = [m() for m in makers for _ in range(3)]
+    plain = "the cat sat, on 12 mats: and = or @ home".split(" ")
+    texts = [" ".join(rng.choice([rng.choice(plain), rng.choice(plain), rng.choice(fixed), rng.choice(makers)()]) for _ in range(rng.randint(1, 25))) for _ in range(60)] + [None, ""]
+    got = {r.doc_id: r for r in pii.replace_pii(make(spark, texts), key="k").collect()}
+    pattern = regex.compile(pii.ENTITY.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    spans = [[m.span() for m in pattern.finditer(t or "")] for t in texts]
+    seen = sorted({t[a:b] for t, found in zip(texts, spans) for a, b in found})
+    kinds = spark.createDataFrame([(e,) for e in seen], "entity string")
+    table = {r.entity: r.surrogate for r in pii.replacements(kinds.select(pii.entity_type(kinds.entity).alias("kind"), "entity"), key="k").collect()}
+    assert set(table) == set(seen)
+    for i, (t, found) in enumerate(zip(texts, spans)):
+        ends = [0, *(e for _, e in found)]
+        gaps = [(t or "")[a:b] for a, b in zip(ends, [*(s for s, _ in found), len(t or "")])]
+        want = "".join(g + new for g, new in zip(gaps, [*(table[t[a:b]] for a, b in found), ""]))
+        assert got[i].n_entities == len(found) and got[i].text == (None if t is None else want)
+    by_new = collections.defaultdict(set)
+    for old, new in table.items():
+        by_new[new].add(old)
+        assert new not in seen
+    same = lambda old: "".join(c for c in old.lower() if c.isalnum() or c in "@+")
+    assert len(seen) > 60 and all(len({same(o) for o in olds}) == 1 for olds in by_new.values())
+    empty = pii.replace_pii(make(spark, []), key="k")
+    assert empty.count() == 0
