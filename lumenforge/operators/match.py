@@ -71,7 +71,7 @@ def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
         row, at, rank = row[chosen], at[chosen], rank[chosen]
         source, target = papers.take(pa.array(member)), right["dst_paper"].combine_chunks().take(pa.array(at))
         out = pa.table(
-            [pa.array([left["granularity"][0].as_py()] * len(member), left["granularity"].type), source, own.take(pa.array(member)), target, right["dst_unit"].combine_chunks().take(pa.array(at)),
+            [pa.repeat(left["granularity"][0], len(member)), source, own.take(pa.array(member)), target, right["dst_unit"].combine_chunks().take(pa.array(at)),
              pa.array(shared[row, at].astype(np.int32)), pa.array(total[row, at].astype(np.int32)), pa.array(score[row, at]), pa.array(rank.astype(np.int32))], names)
         return out.filter(pc.not_equal(out["paper"], out["dst_paper"]))
 

@@ -465,3 +465,25 @@ def test_super_groups_against_brute_force(spark):
     ordered.sort(key=lambda m: -len(m))
     got = match.super_groups(links).collect()
     assert {(r.super_group, r["size"], r.group_id) for r in got} == {(n, len(m), f"g{99 - i}") for n, m in enumerate(ordered, 1) for i in m}
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lumenforge.plans import lineage
+
+    def session(master, folder):
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder} if folder else {}, sparkContext=SimpleNamespace(master=master))
+
+    assert lineage.shared_dir(session("spark://host:7077", "hdfs://shared/")) == "hdfs://shared"
+    assert lineage.shared_dir(session("local[4]", None)).startswith("/tmp/")
+    with pytest.raises(ValueError):
+        lineage.shared_dir(session("spark://host:7077", None))
+    table = lineage.materialize(spark.range(3), "t")
+    lineage.discard(table, None, spark.range(1))
+    assert table._shared_path not in lineage._written
+    from lumenforge.sources import stages
+
+    assert not stages.exists(spark, table._shared_path)
