@@ -167,12 +167,12 @@ def member_listings(assignment: DataFrame, units: DataFrame, sections: DataFrame
     return rows.groupBy("group_id").agg(F.array_join(F.transform(listed, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["body"])), "\n").alias("listing"))
 
 
-def refine(units: DataFrame, questions: DataFrame, iterations: int = 5, before: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+def refine(units: DataFrame, questions: DataFrame, iterations: int = 5, folder: str | None = None) -> DataFrame:
     """Assign, drop empty groups, relabel, repeat: ``iter, paper, unit, group_id``.
 
     Each iteration's assignment and questions are tables in the shared folder. With ``folder`` they are kept
-    there as ``iter=N``, and a call that finds a finished iteration reads it instead of running it. The counts
-    of each iteration, against the one before it or ``before``, are ``refinement_counts`` of the result.
+    there as ``iter=N``, and a call that finds a finished iteration reads it instead of running it. How many
+    units each iteration moves is ``refinement_counts`` of the result.
     """
     spark, out, current = units.sparkSession, None, questions.select("group_id", "question")
     for n in range(1, iterations + 1):

@@ -45,7 +45,6 @@ def meet(left: DataFrame, right: DataFrame, group: list[str], left_key: list[str
     counts = materialize(parts(left, "_left").join(parts(right, "_right"), group), "block-counts")
 
     def dealt(df: DataFrame, key: list[str], own: str, other: str) -> DataFrame:
-        # a row per group and task at most, as counts are joined to each side's rows
         fresh = df.select(*[F.col(c).alias(c) for c in df.columns])  # both sides may be one table
         x = fresh.join(counts, group).withColumn(own, F.pmod(F.xxhash64(*key), F.col(own)).cast("int"))
         return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).repartition(tasks, *group, "_left", "_right")

@@ -31,8 +31,8 @@ def attach_text(sections: DataFrame, raw: DataFrame) -> DataFrame:
     titles = sections.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("title", F.lit("")).alias("title")))).alias("s"))
     cut = titles.join(raw.select("paper", F.col("text").alias("raw")), "paper")
     slices = T.slice_by_markers(F.coalesce("raw", F.lit("")), F.transform("s", lambda x: x["title"]))
-    rows = cut.select("paper", F.explode(F.arrays_zip(F.transform("s", lambda x: x["position"]).alias("position"), slices.alias("slice"))).alias("z"))
-    rows = rows.select("paper", F.col("z")["0" if "0" in rows.schema["z"].dataType.names else "position"].alias("position"), F.col("z")["1" if "1" in rows.schema["z"].dataType.names else "slice"].alias("_slice"))
+    rows = cut.withColumn("_slices", slices).select("paper", "_slices", F.posexplode("s").alias("_i", "x"))
+    rows = rows.select("paper", F.col("x.position").alias("position"), F.get("_slices", F.col("_i")).alias("_slice"))
     kept = [c for c in sections.columns if c not in ("text", "is_missing")]
     out = sections.select(*kept).join(rows, ["paper", "position"], "left")
     return out.select(*kept, F.coalesce("_slice", F.lit(MISSING)).alias("text"), F.col("_slice").isNull().alias("is_missing"))
