@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +81,16 @@ class Encoder:
         self.odd: dict[str, int] = {}  # words whose hash is that of another
         self.ids, self.letters = vectext.Spans(np.uint32), vectext.Spans(np.uint32)
 
-    def _add(self, words: list[str]) -> range:
-        """Store ``words`` with their ids; their places in the cache."""
+    def _add(self, joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> range:
+        """Store the words at ``starts`` to ``ends`` with their ids; their places in the cache."""
         first = len(self.ids)
-        self.ids.extend([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
-        self.letters.extend([np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words])
+        words = [joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        lengths = ends - starts
+        upto = np.cumsum(lengths)
+        self.letters.extend(cp[np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1])], lengths)
         return range(first, first + len(words))
 
     def _words(self, joined: str, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +118,12 @@ class Encoder:
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
             at = first[new]
-            self.known.update(zip([keys[i] for i in new], self._add([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])))
+            self.known.update(zip([keys[i] for i in new], self._add(joined, cp, starts[at], ends[at])))
         word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
         for i in np.flatnonzero(self.letters.differ(word, cp, starts, ends)).tolist():
             own = joined[starts[i] : ends[i]]
             if own not in self.odd:
-                self.odd[own] = self._add([own])[0]
+                self.odd[own] = self._add(joined, cp, starts[i : i + 1], ends[i : i + 1])[0]
             word[i] = self.odd[own]
         ids, upto = self.ids.take(word)
         return ids, upto[np.searchsorted(starts, bounds)]

@@ -85,14 +85,14 @@ class Spans:
     def __len__(self) -> int:
         return self.count
 
-    def extend(self, items: list) -> None:
-        sizes = np.fromiter(map(len, items), np.int64, len(items))
-        total, upto = int(sizes.sum()), self.count + len(items)
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Add arrays of ``sizes`` that stand one after another in ``flat``."""
+        total, upto = len(flat), self.count + len(sizes)
         while upto > len(self.begin):
             self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
         while self.used + total > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used : self.used + total] = np.concatenate([np.asarray(x, self.flat.dtype) for x in items]) if total else 0
+        self.flat[self.used : self.used + total] = flat
         self.begin[self.count : upto] = self.used + np.cumsum(sizes) - sizes
         self.length[self.count : upto] = sizes
         self.count, self.used = upto, self.used + total
@@ -106,6 +106,10 @@ class Spans:
     def differ(self, which: np.ndarray, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether array ``which[i]`` is another than ``symbols[starts[i]:ends[i]]``; the spans follow one another and fill ``symbols``."""
         other = self.length[which] != ends - starts
+        if not other.any():
+            own, _ = self.take(which)
+            if np.array_equal(own, symbols):
+                return other
         at = np.repeat(self.begin[which] - starts, ends - starts) + np.arange(len(symbols))
         wrong = self.flat[np.minimum(at, len(self.flat) - 1)] != symbols
         return other | np.logical_or.reduceat(wrong, starts) if len(starts) else other
