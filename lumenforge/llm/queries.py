@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and their SQL: each applies its operator to its whole table."""
+"""The queries op1 to op13 and their SQL: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, pii, sharding, suffix_dedup, url_filter
+from lumenforge.llm import exact_dedup, filter_audit, langid, media, mixing, ngram_join, packing, pii, sharding, spelling, suffix_dedup, url_filter
 from lumenforge.sources.tables import table
 
 
@@ -56,7 +56,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup, op11_filter_audit, op13_spelling)}
 
 _MIX_SQL = r"""
 WITH rows AS (
@@ -148,4 +156,58 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM rows WINDOW g AS (PARTITION BY norm)
 """
 
-ORACLES = {"op6_mixing": _MIX_SQL, "op7_url_filter": _URL_SQL, "op10_exact_dedup": _EXACT_SQL}
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic
+  FROM d),
+kinds AS MATERIALIZED (
+  SELECT part, fails, len(list_filter(fails, lambda x: x)) AS failed, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM f GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda i: chr(64 + i)), '') AS filter_order, i AS step, o[i] AS own, o[1:i - 1] AS earlier FROM orders, letters),
+met AS (
+  SELECT part, filter_order, step, own, n, g, x, failed, fails[own] AS hit, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone FROM kinds, steps),
+done AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND hit THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN x ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM done
+"""
+
+_SPELLING_SQL = r"""
+WITH RECURSIVE
+crc AS (SELECT [list_reduce([i] || range(8)::BIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) FOR i IN range(256)] AS t),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+kinds AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+digits AS (SELECT id, run, n, [(strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1 FOR i IN range(len(x) // 2)]::BIGINT[] AS b FROM kinds),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295::BIGINT] || b, lambda c, y: xor(t[xor(c, y) % 256 + 1], c // 256))) AS h FROM digits, crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word),
+ranked AS (SELECT a, b, n AS m, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN words ON word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) = 1),
+forms AS MATERIALIZED (
+  SELECT word, CASE WHEN m >= 2 * n THEN b END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN ranked ON a = word),
+walk AS (
+  SELECT word, word AS root FROM forms WHERE form IS NULL
+  UNION ALL SELECT f.word, w.root FROM walk w JOIN forms f ON f.form = w.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN walk USING (word)
+"""
+
+ORACLES = {"op11_filter_audit": _AUDIT_SQL, "op13_spelling": _SPELLING_SQL, "op6_mixing": _MIX_SQL, "op7_url_filter": _URL_SQL, "op10_exact_dedup": _EXACT_SQL}
