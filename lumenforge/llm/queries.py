@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm import exact_dedup, filter_audit, langid, media, mixing, ngram_join, packing, pii, sharding, spelling, suffix_dedup, url_filter
+from lumenforge.llm import exact_dedup, filter_audit, langid, media, mixing, ngram_join, packing, pii, quality, sharding, spelling, suffix_dedup, url_filter
 from lumenforge.sources.tables import table
 
 
@@ -60,11 +60,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup, op11_filter_audit, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_media, op4_ngram_join, op5_langid, op6_mixing, op7_url_filter, op8_sharding, op9_pii, op10_exact_dedup, op11_filter_audit, op12_quality, op13_spelling)}
 
 _MIX_SQL = r"""
 WITH rows AS (
