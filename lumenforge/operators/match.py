@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions import text as T
-from lumenforge.operators import blocks
+from lumenforge.operators import blocks, setjoin
 from lumenforge.operators.components import connected_components
 from lumenforge.plans.lineage import materialize
 from lumenforge.plans.skew import join_groups
@@ -98,6 +98,36 @@ def mutual_links(candidates: DataFrame) -> DataFrame:
     return candidates.filter(earlier).join(back, ["granularity", "paper", "unit", "dst_paper", "dst_unit"])
 
 
+def threshold_links(units: DataFrame, k: int = 3, threshold: float = 0.1) -> DataFrame:
+    """``granularity, paper, unit, dst_paper, dst_unit, shared, total, score, rk``: ``mutual_links(top_matches(units, k))`` with a score of at least ``threshold`` (above 0).
+
+    What ranks before a match that reaches the threshold reaches it as well, so ranks among such matches are ranks among all, and an index
+    of the rarer words (``setjoin.similar_pairs``) finds them all. Units with equal token sets are one set there. What a paper offers to a set are
+    the first ``k`` of its units with each set; sets rank the offers of each paper, and the offers of two sets meet where both ranked each other.
+
+    A null tag counts as empty; a unit without tokens has no link. Repeated rows are units of their own. An empty table, or a single paper, gives no rows.
+    """
+    rows = units.select("granularity", "paper", "unit", F.array_sort(T.tokens(F.coalesce("tag", F.lit("")))).alias("words")).filter(F.size("words") > 0)
+    rows = materialize(rows.withColumn("words_hash", F.sha2(F.to_json("words"), 256)), "link-units")
+    kinds = materialize(rows.groupBy("granularity", "words_hash").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()), "link-kinds")
+    first = F.row_number().over(Window.partitionBy("granularity", "words_hash", "paper").orderBy("unit"))
+    offers = rows.drop("words").withColumn("_n", first).filter(F.col("_n") <= k).drop("_n")
+    offers = join_groups(materialize(offers, "link-offers"), kinds.drop("words"), ["granularity", "words_hash"], "n", rows.count()).select("granularity", "kind", "paper", "unit")
+    offers = materialize(offers, "link-offers")
+    sets = setjoin.ordered_sets(kinds.select(F.col("kind").alias("key"), F.col("granularity").alias("group"), "words"), F.col("words"))
+    pairs = materialize(setjoin.similar_pairs(materialize(sets, "link-sets"), threshold), "link-pairs")
+    size = F.size("words")
+    own = kinds.select(F.col("kind").alias("a"), F.col("kind").alias("b"), size.alias("shared"), size.alias("total"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "total")).unionByName(own)
+    score = (F.col("shared") / F.col("total")).alias("score")
+    met = both.select(F.col("a").alias("kind"), F.col("b").alias("dst_kind"), "shared", "total", score).join(offers.select("granularity", F.col("kind").alias("dst_kind"), F.col("paper").alias("dst_paper"), F.col("unit").alias("dst_unit")), "dst_kind")
+    rk = F.row_number().over(Window.partitionBy("kind", "dst_paper").orderBy(F.desc("score"), "dst_unit"))
+    ranked = materialize(met.withColumn("rk", rk).filter(F.col("rk") <= k), "link-ranks")
+    back = ranked.select(F.col("kind").alias("dst_kind"), F.col("dst_kind").alias("kind"), F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"))
+    links = ranked.join(back, ["kind", "dst_kind"]).filter(F.struct("paper", "unit") < F.struct("dst_paper", "dst_unit")).filter(F.col("paper") != F.col("dst_paper"))
+    return links.select("granularity", "paper", "unit", "dst_paper", "dst_unit", "shared", "total", "score", "rk")
+
+
 def groups(links: DataFrame) -> DataFrame:
     """Members of the components of links: ``granularity, group_no, size, paper, unit``.
 

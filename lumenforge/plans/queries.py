@@ -40,11 +40,20 @@ ranked AS (
 top AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY granularity, paper, unit, dst_paper ORDER BY score DESC, dst_unit) AS rk
   FROM ranked QUALIFY rk <= 3)"""
-_LINKS = _TOP + """,
-links AS (
+_MUTUAL = """,
+links AS MATERIALIZED (
   SELECT a.* FROM top a JOIN top b ON a.granularity = b.granularity AND a.paper = b.dst_paper AND a.unit = b.dst_unit
     AND a.dst_paper = b.paper AND a.dst_unit = b.unit
   WHERE (a.paper, a.unit) < (a.dst_paper, a.dst_unit))"""
+_LINKS = _TOP + _MUTUAL
+# words met one by one count what two units share, and pairs below the threshold change no rank above it
+_NEAR = _UNITS + """,
+spread AS MATERIALIZED (SELECT granularity, paper, unit, len(w) AS n, unnest(w) AS x FROM words),
+top AS MATERIALIZED (
+  SELECT a.granularity, a.paper, a.unit, b.paper AS dst_paper, b.unit AS dst_unit, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS total,
+         count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS score, row_number() OVER (PARTITION BY a.granularity, a.paper, a.unit, b.paper ORDER BY score DESC, b.unit) AS rk
+  FROM spread a JOIN spread b ON a.granularity = b.granularity AND a.x = b.x AND a.paper <> b.paper
+  GROUP BY a.granularity, a.paper, a.unit, b.paper, b.unit HAVING score >= 0.1 QUALIFY rk <= 3)""" + _MUTUAL
 
 
 def _top(spark, sf_dir):
@@ -68,16 +77,15 @@ def part_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark, sf_dir):
-    """Links of at least 0.1. The score is symmetric, so candidates below it can go before the two directions meet."""
-    return match.mutual_links(materialize(_top(spark, sf_dir).filter("score >= 0.1"), "top"))
+    return match.threshold_links(conv_units(spark, sf_dir), threshold=0.1)
 
 
-@query(f"WITH {_LINKS} SELECT granularity, paper, unit, dst_paper, dst_unit, shared, total FROM links WHERE score >= 0.1")
+@query(f"WITH {_NEAR} SELECT granularity, paper, unit, dst_paper, dst_unit, shared, total FROM links")
 def mutual_topk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("granularity", "paper", "unit", "dst_paper", "dst_unit", "shared", "total")
 
 
-_GROUPS = _LINKS + """,
+_COMPONENTS = """,
 kept AS (SELECT * FROM links WHERE score >= 0.1),
 e AS (SELECT granularity AS g, paper AS p, unit AS u, dst_paper AS q, dst_unit AS v FROM kept UNION SELECT granularity, dst_paper, dst_unit, paper, unit FROM kept),
 reach AS (SELECT g, p, u, p AS rp, u AS ru FROM e UNION SELECT r.g, e.q, e.v, r.rp, r.ru FROM reach r JOIN e ON r.g = e.g AND r.p = e.p AND r.u = e.u),
@@ -85,9 +93,10 @@ comp AS (SELECT g, p, u, min((rp, ru)) AS c FROM reach GROUP BY ALL),
 firsts AS (SELECT k.granularity AS g, comp.c, min((k.paper, k.unit, k.dst_paper, k.rk)) AS f FROM kept k JOIN comp ON k.granularity = g AND k.paper = p AND k.unit = u GROUP BY ALL),
 sizes AS (SELECT g, c, count(*) AS size FROM comp GROUP BY ALL),
 numbered AS (SELECT g, c, size, row_number() OVER (PARTITION BY g ORDER BY size DESC, f) AS group_no FROM sizes JOIN firsts USING (g, c))"""
+_GROUPS = _LINKS + _COMPONENTS
 
 
-@query(f"WITH RECURSIVE {_GROUPS} SELECT comp.g AS granularity, group_no, size, p AS paper, u AS unit FROM comp JOIN numbered USING (g, c)")
+@query(f"WITH RECURSIVE {_NEAR + _COMPONENTS} SELECT comp.g AS granularity, group_no, size, p AS paper, u AS unit FROM comp JOIN numbered USING (g, c)")
 def group_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.groups(_links(spark, sf_dir))
 
