@@ -1,12 +1,14 @@
 """K-d tree sharding: recursive splits at distributed weighted medians of the widest metadata dimension.
 
-The tree lives in tables: a row's cell is a column, and cells with their cuts are a table of at most as many rows
-as there are shards, broadcast to the points. Nothing on the way is Python.
+A row's cell is a column; cells with their cuts, at most as many as there are shards, are known to the driver, which broadcasts them to
+the points. Points are written every few levels. Nothing that touches rows is Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenforge.plans.lineage import discard, materialize
@@ -15,6 +17,7 @@ from lumenforge.plans.skew import join_groups
 
 GRID_BITS, TIE_BITS, STEP_BITS = 20, 32, 18
 BITS = GRID_BITS + TIE_BITS
+WRITTEN = 3  # levels between tables of points
 NEAR = 8192  # a cut is exact enough once the range it lies in holds less than this part of its cell
 
 
@@ -32,43 +35,47 @@ def _place(dims: int) -> Column:
     return F.element_at(F.array(*[F.col(f"_d{i}") for i in range(dims)]), F.col("dim") + 1)
 
 
-def _widest(points: DataFrame, cells: DataFrame, dims: int) -> DataFrame:
-    """``cell, leaves, first, dim, total``: of each cell with rows the dimension in which they spread over most grid steps."""
+def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of at most as many rows as there are cells, from the driver."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _widest(points: DataFrame, cells: list[dict], dims: int) -> list[dict]:
+    """``cells`` that have rows, with ``dim``, in which they spread over most grid steps (the first such), and ``total``, their bytes."""
     spread = [(F.shiftright(F.max(f"_d{i}"), TIE_BITS) - F.shiftright(F.min(f"_d{i}"), TIE_BITS)).alias(f"s{i}") for i in range(dims)]
-    wide = points.join(F.broadcast(cells), "cell").groupBy("cell", "leaves", "first").agg(F.sum("size").alias("total"), *spread)
-    spreads = F.array(*[F.col(f"s{i}") for i in range(dims)])
-    return wide.select("cell", "leaves", "first", (F.array_position(spreads, F.array_max(spreads)) - 1).cast("int").alias("dim"), "total")
+    found = points.join(F.broadcast(_small(points.sparkSession, cells, "cell long")), "cell").groupBy("cell").agg(F.sum("size").alias("total"), *spread).collect()
+    wide = {r["cell"]: (r["total"], [r[f"s{i}"] for i in range(dims)]) for r in found}
+    return [c | {"total": wide[c["cell"]][0], "dim": wide[c["cell"]][1].index(max(wide[c["cell"]][1]))} for c in cells if c["cell"] in wide]
 
 
-def _cuts(points: DataFrame, cells: DataFrame, dims: int) -> DataFrame:
+def _cuts(points: DataFrame, cells: list[dict], dims: int) -> list[dict]:
     """``cells`` with ``cut``: points below it go left, so that floor(leaves / 2) / leaves of the bytes do, as nearly as coordinates allow.
 
     A pass adds up the bytes in 2**18 equal ranges of what is left of each cell's interval and keeps the range that holds
     its median. It ends for all cells once each such range holds a small part of its cell, else after three
-    passes, which leave single coordinates.
+    passes, which leave single coordinates. The driver gets a row for each cell.
     """
-    goal = F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")
-    state = materialize(cells.withColumns({"low": F.lit(0).cast("long"), "below": F.lit(0).cast("long")}), "shard-state")
+    state = [c | {"low": 0, "below": 0} for c in cells]
     width = BITS
     while True:
         step = min(STEP_BITS, width)
         width -= step
-        inside = points.join(F.broadcast(state), "cell").withColumn("_at", _place(dims) - F.col("low")).filter((F.col("_at") >= 0) & (F.col("_at") < (1 << (width + step))))
+        known = F.broadcast(_small(points.sparkSession, [c | {"goal": c["total"] * (c["leaves"] // 2) / c["leaves"]} for c in state], "cell long, dim int, low long, below long, goal double"))
+        inside = points.join(known, "cell").withColumn("_at", _place(dims) - F.col("low")).filter((F.col("_at") >= 0) & (F.col("_at") < (1 << (width + step))))
         bins = inside.groupBy("cell", F.shiftright("_at", width).alias("bin")).agg(F.sum("size").alias("bytes"))
         upto = F.sum("bytes").over(Window.partitionBy("cell").orderBy("bin"))
-        found = bins.withColumn("upto", upto).join(F.broadcast(state), "cell").filter(F.col("below") + F.col("upto") >= goal)
-        found = found.groupBy("cell").agg(F.min(F.struct("bin", "bytes", "upto")).alias("m"))
-        after = state.join(found, "cell").select(
-            "cell", "leaves", "first", "dim", "total", (F.col("low") + F.shiftleft(F.col("m.bin"), width)).alias("low"),
-            (F.col("below") + F.col("m.upto") - F.col("m.bytes")).alias("below"), F.col("m.bytes").alias("held"),
-        )
-        after = materialize(after, "shard-state")
-        discard(state)
-        state = after.drop("held")
-        if not width or after.filter(F.col("held").cast("double") * NEAR > F.col("total")).isEmpty():
-            # the range that holds the median goes to the nearer side
-            over = F.col("below") + F.col("held") - goal < goal - F.col("below")
-            return materialize(after.withColumn("cut", F.col("low") + F.when(over, F.lit(1 << width)).otherwise(F.lit(0))).drop("low", "below", "held"), "shard-cuts")
+        found = bins.withColumn("upto", upto).join(known, "cell").filter(F.col("below") + F.col("upto") >= F.col("goal"))
+        median = {r["cell"]: r["m"] for r in found.groupBy("cell").agg(F.min(F.struct("bin", "bytes", "upto")).alias("m")).collect()}
+        for c in state:
+            m = median[c["cell"]]
+            c |= {"low": c["low"] + (m["bin"] << width), "below": c["below"] + m["upto"] - m["bytes"], "held": m["bytes"]}
+        if not width or all(c["held"] * NEAR <= c["total"] for c in state):
+            break
+    for c in state:
+        # the range that holds the median goes to the nearer side
+        goal = c["total"] * (c["leaves"] // 2) / c["leaves"]
+        c["cut"] = c["low"] + (1 << width if c["below"] + c["held"] - goal < goal - c["below"] else 0)
+    return state
 
 
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: tuple[str, ...] = ("source", "lang"), shards: int | None = None, target_bytes: int | None = None, overhead: int = 8) -> DataFrame:
@@ -77,16 +84,18 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ``size`` is the text's UTF-8 bytes plus ``overhead``. Pass ``shards``, or ``target_bytes`` for as many
     as keep the mean leaf within it. The dimensions are the columns in ``strings`` (by the place of a value among
     all its distinct values), the size and the id, each laid on a grid of 2**20 steps of its whole range; a hash of the
-    row breaks ties inside a step, so equal metadata, even of a third of all rows, still splits. A cell
+    row, in which its own number stands, breaks ties inside a step, so equal rows, even a third of all, still split. A cell
     for k leaves is cut where floor(k/2)/k of its bytes lie below, along the dimension in which its
     rows spread over most grid steps (the first such). ``slot`` counts from 0 without gaps.
 
-    Null text has no bytes but the overhead; null ids and strings sort first. Repeated rows share a
-    coordinate and may stay together. Other columns are not read. An empty table gives no rows.
+    Null text has no bytes but the overhead; null ids and strings sort first. Repeated rows are points of
+    their own and part like others. Other columns are not read. An empty table gives no rows.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_s{i}") for i, c in enumerate(strings)])
-    rows = rows.withColumn("_h", F.md5(F.encode(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")), "UTF-8")))
+    # the row's own number parts rows that are equal in all else; it is fixed once the table is written
+    own = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("_h", F.md5(F.encode(own, "UTF-8")))
     rows = materialize(rows, "shard-rows")
     total = rows.count()
     for i in range(len(strings)):
@@ -104,25 +113,23 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     zero = F.lit(0).cast("long")
     points = rows.select("id", "size", "text_crc32", "_h", *[(F.shiftleft(grid(i), TIE_BITS) + tie).alias(f"_d{i}") for i in range(dims)], zero.alias("cell"), zero.alias("first"))
     points = materialize(points, "shard-points")
-    cells = docs.sparkSession.range(1).select(zero.alias("cell"), F.lit(shards).cast("long").alias("leaves"), zero.alias("first"))
-    most = shards
-    while most > 1:
-        cuts = _cuts(points.drop("first"), _widest(points.drop("first"), cells, dims), dims)
+    cells, most, level = [{"cell": 0, "leaves": shards, "first": 0}], shards, 0
+    while most > 1 and (cuts := _cuts(points, _widest(points, cells, dims), dims)):
         # cell numbers are those of a heap: 2c + 1 and 2c + 2 lie below c
-        right, half = _place(dims) >= F.col("cut"), F.floor(F.col("leaves") / 2)
-        moved = points.join(F.broadcast(cuts.withColumnRenamed("first", "_first")), "cell", "left")
-        cut = F.col("cut").isNotNull()
-        moved = moved.select(
+        known = _small(docs.sparkSession, [c | {"right": c["first"] + c["leaves"] // 2} for c in cuts], "cell long, dim int, cut long, right long")
+        cut, right = F.col("cut").isNotNull(), _place(dims) >= F.col("cut")
+        points = points.join(F.broadcast(known), "cell", "left").select(
             "id", "size", "text_crc32", "_h", *[f"_d{i}" for i in range(dims)],
             F.when(cut, F.when(right, F.col("cell") * 2 + 2).otherwise(F.col("cell") * 2 + 1)).otherwise(F.col("cell")).alias("cell"),
-            F.when(cut & right, F.col("_first") + half).otherwise(F.col("first")).alias("first"),
+            F.when(cut & right, F.col("right")).otherwise(F.col("first")).alias("first"),
         )
-        moved = materialize(moved, "shard-points")
-        discard(points)
-        points = moved
-        left = cuts.select((F.col("cell") * 2 + 1).alias("cell"), half.alias("leaves"), "first")
-        cells = left.unionByName(cuts.select((F.col("cell") * 2 + 2).alias("cell"), (F.col("leaves") - half).alias("leaves"), (F.col("first") + half).alias("first"))).filter("leaves > 1")
+        level += 1
+        if level % WRITTEN == 0:
+            points = materialize(points, "shard-points")
+        half = lambda c: c["leaves"] // 2
+        cells = [{"cell": 2 * c["cell"] + 1, "leaves": half(c), "first": c["first"]} for c in cuts] + [{"cell": 2 * c["cell"] + 2, "leaves": c["leaves"] - half(c), "first": c["first"] + half(c)} for c in cuts]
+        cells = [c for c in cells if c["leaves"] > 1]
         most -= most // 2
-    placed = points.select("id", "size", "text_crc32", F.col("first").cast("int").alias("shard"), F.substring("_h", 1, 3).alias("_range"), "_h")
+    placed = materialize(points.select("id", "size", "text_crc32", F.col("first").cast("int").alias("shard"), F.substring("_h", 1, 3).alias("_range"), "_h"), "shard-placed")
     placed = prefix_sum(placed, ["shard"], "_range", [F.col("_h"), F.col("id")], F.lit(1).cast("long"), "slot")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenforge.llm import exact_dedup, langid, media, mixing, ngram_join, packing, pii, sharding, suffix_dedup, url_filter
 
@@ -96,12 +97,25 @@ def test_sharding(spark):
     assert sharding.kd_shards(make(spark, []), shards=24).count() == 0
 
 
-def brute_tree(rows, shards, strings):
+def test_equal_rows_are_parted(spark):
+    """Rows that agree in everything, a third of the table, under one id and under none."""
+    texts = [f"text {i}" * (i % 7) for i in range(240)] + ["the same text of a row"] * 120
+    docs = make(spark, texts, ids=[*range(240), *[7000] * 60, *[None] * 60], sources=[str(i % 3) for i in range(240)] + ["one"] * 120)
+    sizes = collections.Counter()
+    for r in sharding.kd_shards(docs, shards=24).collect():
+        sizes[r.shard] += r.size
+    largest = max(len(t) for t in texts) + 8
+    assert sorted(sizes) == list(range(24)) and max(sizes.values()) - min(sizes.values()) <= 5 * largest
+    alone = collections.Counter(r.shard for r in sharding.kd_shards(make(spark, ["x"] * 240, ids=[1] * 240), shards=24).collect())
+    assert sorted(alone) == list(range(24)) and max(alone.values()) - min(alone.values()) <= 2
+
+
+def brute_tree(rows, shards, strings, numbers):
     """Shards by id of (id, text, source, lang) rows: the tree on plain lists, a median at a time."""
     points = []
     for i, text, *names in rows:
         size = len((text or "").encode()) + 8
-        code = hashlib.md5(f"{'' if i is None else i}|{zlib.crc32((text or '').encode())}".encode()).hexdigest()
+        code = hashlib.md5(f"{'' if i is None else i}|{zlib.crc32((text or '').encode())}|{numbers[i]}".encode()).hexdigest()
         points.append((i, size, int(code[:8], 16), [*(n or "" for n in names), size, i or 0]))
     dims = len(strings) + 2
     for d in range(len(strings)):
@@ -142,7 +156,8 @@ def test_sharding_is_a_k_d_tree(spark, monkeypatch, near):
     rows = [(i, rng.choice([None, "", "é" * rng.randint(1, 90), "same"]), rng.choice(sources), rng.choice(["de", "en", None])) for i in range(300)]
     docs = make(spark, [r[1] for r in rows], sources=[r[2] for r in rows], langs=[r[3] for r in rows])
     got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, shards=13).collect()}
-    assert got == brute_tree(rows, 13, ("source", "lang"))
+    numbers = {r.doc_id: r.own for r in docs.select("doc_id", F.monotonically_increasing_id().alias("own")).collect()}
+    assert got == brute_tree(rows, 13, ("source", "lang"), numbers)
 
 
 def test_places_of_values(spark):
