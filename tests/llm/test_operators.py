@@ -68,19 +68,46 @@ def test_mixing(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
-def test_mixed_documents_repeat_rows_by_their_own_key(spark):
-    texts = ["w " * 50] * 3 + ["w " * 3] * 40 + [None, "", "x y"]
-    ids = [7, 7, None] + [None] * 20 + list(range(100, 120)) + [8, 7, 7]
-    sources = ["b", "a", "a"] + ["a", "b"] * 20 + [None, "a", None]
-    docs = make(spark, texts, ids=ids, sources=sources)
-    plan = mixing.mix(docs).collect()
-    want, rounded = collections.Counter(), lambda r: r._epochs + (2 * (r._rest - r._before) > r.size)
-    for key in {(r._key, r._group, r.size) for r in plan}:
-        same = [r for r in plan if (r._key, r._group, r.size) == key]
-        want[(same[0].doc_id, key[1], key[2])] += len(same) * max(map(rounded, same))
-    out = mixing.mixed_documents(docs)
-    got = collections.Counter((r.doc_id, f"s{r.source}" if r.source else "n", len((r.text or "").split())) for r in out.collect())
-    assert out.columns == docs.columns and got == +want
+def brute_mixed(rows):
+    """Words that each source's rows give in all, from (source, size) rows: within half a row of the target."""
+    own, order = collections.Counter(), sorted({s for s, _ in rows}, key=lambda s: (s is None, s or ""))
+    for s, n in rows:
+        own[s] += n
+    weight, capped = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}
+    while True:
+        free = [s for s in order if s not in capped]
+        level = (sum(own.values()) - sum(capped.values())) / max(1, sum(weight[s] for s in free))
+        over = [s for s in free if 3 * own[s] <= level * weight[s]]
+        if not over:
+            return capped | {s: level * weight[s] for s in free}
+        s = min(over, key=lambda s: 3 * own[s] / weight[s])
+        capped[s] = 3 * own[s]
+
+
+@pytest.mark.parametrize("sources", [10_000, 1])
+def test_mixed_documents_meet_targets_with_repeated_and_null_ids(spark, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "SOURCES", sources)  # with one, sources meet their cuts by join_groups
+    rng = random.Random(6)
+    tables = [
+        [(None, "ten words in each of all these rows are here", "a")] * 40 + [(i, "w " * 200, "b") for i in range(1)],  # equal rows whose source is cut among them
+        [(None, f"{i} ten words in each of these rows are different", "a") for i in range(40)] + [(1, "w " * 200, "b")],
+        [(7, "w " * 50, "b"), (7, "w " * 50, "a"), (None, "w " * 50, "a")] + [(None, "w " * 3, rng.choice("ab")) for _ in range(40)] + [(i, "w " * 3, rng.choice(["a", "b", None])) for i in range(100, 140)] + [(8, None, None), (7, "", "a"), (7, "x y", None)],
+    ]
+    for rows in tables:
+        docs = make(spark, [r[1] for r in rows], ids=[r[0] for r in rows], sources=[r[2] for r in rows])
+        out = mixing.mixed_documents(docs).collect()
+        assert out[0].asDict().keys() == set(docs.columns)
+        taken, got, have = collections.Counter(), collections.Counter((r.doc_id, r.text, r.source) for r in out), collections.Counter(rows)
+        for r in out:
+            taken[r.source] += len((r.text or "").split())
+        sizes = [(s, len((t or "").split())) for _, t, s in rows]
+        targets = brute_mixed(sizes)
+        for s, target in targets.items():
+            assert abs(taken[s] - target) <= max(n for z, n in sizes if z == s) / 2 + 0.5
+        for row, n in got.items():
+            epochs = targets[row[2]] // max(1, sum(n for s, n in sizes if s == row[2]))
+            assert have[row] * epochs <= n <= have[row] * (epochs + 1)
+        assert collections.Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(docs.repartition(3)).collect()) == got
 
 
 def test_sharding(spark):
