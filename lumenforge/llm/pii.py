@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenforge.functions.text import STOPWORDS
 from lumenforge.plans.lineage import discard, materialize
 from lumenforge.plans.skew import join_groups
 
@@ -35,27 +36,49 @@ TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господи
 #: Words before an assigned secret. Fixed values.
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
 
+#: Words between the parts of a name. Fixed values.
+PARTICLES = ("de", "del", "della", "di", "da", "dos", "la", "las", "los", "le", "du", "van", "von", "der", "den", "ter", "zu", "bin", "al", "y")
+#: Words before a name whose parts need not be on a list. Fixed values.
+CUES = ("my name is", "My name is", "Name:", "name:", "Dear", "signed,", "Regards,", "Contact:", "contact:")
+
 _CAP = r"\p{Lu}[\p{L}'’-]+"
+_GAP = "[ \u00A0]"
+_ANY_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+# names of the lists, as they are and in capitals; a hyphen may join them to others
+_GIVEN = "(?:" + "|".join(n for g in GIVEN.values() for n in g) + "|" + "|".join(n.upper() for g in GIVEN.values() for n in g) + r")(?:-\p{Lu}\p{L}+)*"
+_PARTICLE = f"(?:(?:{'|'.join(PARTICLES)}){_GAP}){{0,3}}+"
+_MIDDLE = rf"(?:{_GAP}{_PARTICLE}(?:{_GIVEN}|\p{{Lu}}\.)(?={_GAP})){{0,4}}"
 #: Types in order of precedence; each pattern is one alternative and has no capturing group.
 PATTERNS = (
     ("email", r"(?<![\w.+%-])[\w.+%-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w@-])"),
-    ("secret", rf"(?<=[:=\"' \t])(?i:(?<=\b(?:{'|'.join(SECRET_WORDS)})[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?))[A-Za-z0-9_+/=.-]{{8,}}+|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?:ghp|gho|ghs|sk|xox[abp])[_-][A-Za-z0-9_-]{{16,}}+"),
+    ("secret", rf"(?<=[:=\"' \t])(?i:(?<=\b(?:{'|'.join(SECRET_WORDS)})[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?))[A-Za-z0-9_+/=.-]{{8,}}+|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?:ghp|gho|ghs|sk|xox[abp])[_-][A-Za-z0-9_-]{{16,}}+|\beyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?=[A-Fa-f:]{0,35}[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"),
-    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w])"),
+    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+(.,-])\(?0[1-9][0-9]{1,4}\)?[ /-][0-9]{3,4}[ -]?[0-9]{3,5}(?![\w-]|[.,][0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("card", r"(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![\w-]|\.[0-9])"),
-    ("name", rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[  ]{_CAP}(?:[  ]{_CAP})?|(?=\p{{Lu}})(?<![\p{{L}}])(?:{'|'.join(GIVEN['m'] + GIVEN['f'])})[  ]{_CAP}(?![\p{{L}}])"),
+    ("name", rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_ANY_TITLE})\.?{_GAP}{_CAP}{_MIDDLE}(?:{_GAP}{_PARTICLE}{_CAP})?"
+             rf"|(?=\p{{Lu}})(?<![\p{{L}}]){_GIVEN}{_MIDDLE}{_GAP}{_PARTICLE}{_CAP}(?![\p{{L}}])"
+             rf"|(?<=\b(?:{'|'.join(CUES)}){_GAP}){_CAP}{_GAP}{_CAP}(?![\\p{{L}}])"),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A byte or letter that any entity holds: rows without one are passed through.
-SUSPECT = r"[0-9@=:]|\b(?:AKIA|ASIA)|\b(?:ghp|gho|ghs|sk|xox[abp])[_-]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *GIVEN["m"], *GIVEN["f"])) + ")"
+SUSPECT = r"[0-9@=:]|\beyJ|\b(?:AKIA|ASIA)|\b(?:ghp|gho|ghs|sk|xox[abp])[_-]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join((*[t for ts in TITLES.values() for t in ts], *GIVEN["m"], *GIVEN["f"], *[n.upper() for g in GIVEN.values() for n in g])) + ")|\\b(?:" + "|".join(CUES) + ")"
+
+
+#: What the beginning of a key says about its kind. Fixed values.
+KEY_KIND = r"^(?:AKIA|ASIA|eyJ|(?:ghp|gho|ghs|sk|xox[abp])[_-](?:(?:live|test|proj)[_-])?)?"
+#: The country code of a phone number by its digits alone, or the 0 before an area's.
+COUNTRY = r"^(0|\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))?"
+#: A name as title, given names with particles between them, gap, family name and a genitive or stray mark at its end.
+NAME = rf"^((?:{_ANY_TITLE})\.?{_GAP})?(?:(.+?)({_GAP}))?([^ \u00A0]+?)(['’]s|['’-]+)?$"
+#: Where given names part.
+JOINT = r"[ \u00A0-]"
 
 
-#: The country code of a phone number by its digits alone.
-COUNTRY = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))?"
-#: A name as title, given name, gap, family name and a genitive or stray mark at its end.
-NAME = rf"^((?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[ \u00A0])?(?:([^ \u00A0]+)([ \u00A0]))?([^ \u00A0]+?)(['’]s|['’-]+)?$"
+#: A whole entity that is a name; two capitalised words with a gap are found by a cue and are nothing else.
+WHOLE_NAME = rf"^(?:{dict(PATTERNS)['name']}|{_CAP}{_GAP}{_CAP})$"
 
 
 def entity_type(entity: Column) -> Column:
@@ -64,7 +87,7 @@ def entity_type(entity: Column) -> Column:
     for name, pattern in PATTERNS:
         if name == "secret":
             continue
-        fits = entity.rlike(rf"^(?:{pattern})$")
+        fits = entity.rlike(WHOLE_NAME if name == "name" else rf"^(?:{pattern})$")
         out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
     return out.otherwise(F.lit("secret"))
 
@@ -78,19 +101,26 @@ def _name_part(entity: Column, n: int) -> Column:
     return F.regexp_extract(entity, NAME, n)
 
 
+def _given_names(entity: Column) -> Column:
+    """The lower-cased given names of a mention in order, without particles and initials."""
+    whole = F.filter(F.split(F.lower(_name_part(entity, 2)), JOINT), lambda w: (F.length(w) > 1) & ~w.endswith(".") & ~w.isin(*PARTICLES))
+    return F.when(_name_part(entity, 2) != "", whole).otherwise(F.array().cast("array<string>"))
+
+
 def name_parts(names: DataFrame) -> DataFrame:
-    """``kind, entity, part, canon``: the family name of each mention and, where it has one, the given name behind its gender.
+    """``kind, entity, part, canon``: the family name of each mention and its given names, each behind the mention's gender.
 
-    The gender is that of the mention's title, else the only one that titles tell for the same given and
-    family name elsewhere, else the given name's own, else n.
+    The gender is that of the mention's title, else the only one that titles tell for the same first given and
+    family name elsewhere, else the first given name's own, else n.
     """
-    given, family, title = F.lower(_name_part(F.col("entity"), 2)), F.lower(_name_part(F.col("entity"), 4)), F.regexp_replace(_name_part(F.col("entity"), 1), r"[.\s\u00A0]", "")
+    family, title = F.lower(_name_part(F.col("entity"), 4)), F.regexp_replace(_name_part(F.col("entity"), 1), r"[.\s\u00A0]", "")
     told = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f")
-    rows = names.select("kind", "entity", given.alias("given"), family.alias("family"), told.alias("told"))
+    rows = names.select("kind", "entity", _given_names(F.col("entity")).alias("names"), family.alias("family"), told.alias("told")).withColumn("given", F.coalesce(F.get("names", F.lit(0)), F.lit("")))
     full = rows.filter("given <> ''").groupBy("given", "family").agg(F.min("told").alias("low"), F.max("told").alias("high"))
     full = full.select("given", "family", F.when(F.col("low") == F.col("high"), F.col("low")).alias("other"))
     own = F.when(F.col("given").isin(*map(str.lower, GIVEN["f"])), "f").when(F.col("given").isin(*map(str.lower, GIVEN["m"])), "m").otherwise("n")
-    first = rows.join(full, ["given", "family"]).select("kind", "entity", F.lit("given").alias("part"), F.concat_ws(" ", F.coalesce("told", "other", own), "given").alias("canon"))
+    first = rows.join(full, ["given", "family"]).withColumn("gender", F.coalesce("told", "other", own))
+    first = first.select("kind", "entity", "gender", F.explode(F.array_distinct("names")).alias("name")).select("kind", "entity", F.lit("given").alias("part"), F.concat_ws(" ", "gender", "name").alias("canon"))
     return first.unionByName(rows.select("kind", "entity", F.lit("family").alias("part"), F.col("family").alias("canon")))
 
 
@@ -105,7 +135,7 @@ def _nibble(digest: Column, at: Column) -> Column:
     return F.conv(F.substr(F.concat(digest, digest), F.pmod(at * 3, F.lit(128)) + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _keep_shape(entity: Column, digest: Column, first: int = 0) -> Column:
+def _keep_shape(entity: Column, digest: Column, first: int | Column = 0) -> Column:
     """Every digit, small and capital letter of ``entity`` from place ``first`` on replaced by one of its kind and script."""
     chars = F.split(entity, "")
     greek = lambda c, low, high: (c >= low) & (c <= high)
@@ -157,7 +187,7 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
 
     gender = F.substr(entity, F.lit(1), F.lit(1))
     given = F.when(gender == "f", by_script(word, FEMALE, "f")).when(gender == "m", by_script(word, MALE, "m")).otherwise(by_script(word, MALE + FEMALE, "m", "f"))
-    secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex_shape(entity, digest)).when(entity.rlike("^(AKIA|ASIA)"), _keep_shape(entity, digest, 4)).otherwise(_keep_shape(entity, digest))
+    secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex_shape(entity, digest)).otherwise(_keep_shape(entity, digest, F.length(F.regexp_extract(entity, KEY_KIND, 0))))
     # marks without letter or digit have no shape to keep
     secret = _longer(F.when(entity.rlike("[A-Za-z0-9]"), secret).otherwise(F.substring(digest, 1, 16)), digest, attempt)
     reserved = F.concat_ws(".", (F.pmod(F.conv(F.substring(digest, 25, 6), 16, 10).cast("int"), F.lit(15)) + 240).cast("string"), octet(1), octet(9), octet(17))
@@ -165,13 +195,14 @@ def surrogate(kind: Column, entity: Column, digest: Column, attempt: Column) ->
     ip = F.when(attempt < 4, F.concat_ws(".", F.lit("10"), octet(1), octet(9), octet(17))).when(attempt < 12, reserved).otherwise(ipv6)
     number = lambda first: _longer(_keep_shape(entity, digest, first), digest, attempt, digits=True)
     return (
-        F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "phone", phone)
+        F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "phone", phone)
         .when(kind == "given", given).when(kind == "family", by_script(entity, FAMILY, "family")).when(kind == "card", number(1)).when(kind == "iban", number(2)).when(kind == "ssn", number(0)).otherwise(secret)
     )
 
 
 def replacements(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, entity, surrogate`` for distinct mentions ``kind, entity``: a checked one-to-one map of entities.
+    """``kind, entity, surrogate, parts`` for distinct mentions ``kind, entity``: a checked one-to-one map of entities; ``parts``
+    has of a name the surrogates of its words: ``word, place, new``, the family name at place 0.
 
     Mentions with one canonical form get one digest; given and family names are drawn by themselves, so that
     a person is the same with and without title or given name. All entities are drawn together; where two of them
@@ -209,13 +240,32 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
     shaped = surrogate(F.col("part"), F.when(F.col("part").isin("email", "given", "family"), F.col("canon")).otherwise(F.col("entity")), F.col("digest"), F.col("attempt"))
     # digits of a number follow its canonical form, laid into the mention's own punctuation
     numeric = _laid(F.col("entity"), F.regexp_replace("mark", "[^0-9A-Z]", ""))
-    chosen = chosen.select("kind", "entity", "part", F.when(F.col("part").isin("phone", "card", "ssn", "iban"), numeric).otherwise(shaped).alias("surrogate"))
-    cased = lambda new, old: F.when((F.length(old) > 1) & (old == F.upper(old)), F.upper(new)).otherwise(new)
+    chosen = chosen.select("kind", "entity", "part", "canon", F.when(F.col("part").isin("phone", "card", "ssn", "iban"), numeric).otherwise(shaped).alias("surrogate"))
     at = lambda n: _name_part(F.col("entity"), n)
-    of = lambda part: F.max(F.when(F.col("part") == part, F.col("surrogate"))).alias(part)
-    names = chosen.filter("kind = 'name'").groupBy("kind", "entity").agg(of("given"), of("family"))
-    names = names.select("kind", "entity", F.concat(at(1), F.coalesce(cased(F.col("given"), at(2)), F.lit("")), at(3), cased(F.col("family"), at(4)), at(5)).alias("surrogate"))
-    return chosen.filter("kind <> 'name'").select("kind", "entity", "surrogate").unionByName(names)
+    word = F.struct(F.when(F.col("part") == "family", F.col("canon")).otherwise(F.substr("canon", F.lit(3))).alias("word"), (F.col("part") != "family").cast("int").alias("place"), F.col("surrogate").alias("new"))
+    names = chosen.filter("kind = 'name'").groupBy("kind", "entity").agg(F.array_sort(F.collect_list(word)).alias("parts"))
+    of = lambda w, place: F.get(F.filter("parts", lambda p: (p["word"] == F.lower(w)) & (p["place"] == place)), F.lit(0))["new"]
+    given = F.transform(F.split(at(2), JOINT), lambda w: F.coalesce(_cased(of(w, 1), w), w))
+    joints = F.regexp_extract_all(at(2), F.lit(JOINT), F.lit(0))
+    given = F.array_join(F.flatten(F.zip_with(given, joints, lambda w, j: F.array(w, F.coalesce(j, F.lit(""))))), "")
+    names = names.select("kind", "entity", F.concat(at(1), given, at(3), _cased(of(at(4), 0), at(4)), at(5)).alias("surrogate"), "parts")
+    rest = chosen.filter("kind <> 'name'").select("kind", "entity", "surrogate", F.lit(None).cast(names.schema["parts"].dataType).alias("parts"))
+    return rest.unionByName(names)
+
+
+def _cased(new: Column, old: Column) -> Column:
+    """``new`` in capitals if ``old`` is."""
+    return F.when((F.length(old) > 1) & (old == F.upper(old)), F.upper(new)).otherwise(new)
+
+
+def lone_mentions(entities: Column) -> Column:
+    """A regex for the names' words among ``entities`` where they stand alone; null without a name."""
+    names = F.filter(entities, lambda e: e.rlike(WHOLE_NAME))
+    words = F.flatten(F.transform(names, lambda e: F.concat(F.split(_name_part(e, 2), JOINT), F.array(_name_part(e, 4)))))
+    words = F.filter(F.array_distinct(words), lambda w: w.rlike(r"^\p{Lu}\p{L}['’\p{L}-]*$") & ~F.lower(w).isin(*STOPWORDS))
+    # the longest first, as a name may begin with another
+    words = F.array_sort(words, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).otherwise(F.when(x < y, -1).when(x > y, 1).otherwise(0)))
+    return F.when(F.size(words) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")))
 
 
 def _laid(entity: Column, mark: Column) -> Column:
@@ -227,28 +277,36 @@ def _laid(entity: Column, mark: Column) -> Column:
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, text, n_entities, kinds``, the text with every entity replaced.
 
-    Entities are searched once: each row is written with its entities and, where it has any, the gaps between them in
+    Entities are searched once, and in rows with a name its words where they stand alone: those follow the person of that row with this
+    word, the family name before given names. Each row is written with its entities and, where it has any, the gaps between them in
     place of its text. Distinct entities get checked surrogates (``replacements``), which meet their rows again through
     the (row, entity) table, entities that stand in many rows by broadcast. Rows without one are not
-    shuffled. An entity has the same surrogate in all rows, and different ones differ.
+    shuffled. An entity has the same surrogate in all rows, and different ones differ. Initials and particles of a name stay.
 
     Null texts stay null with 0 entities; ids may be null or repeat; other columns are ignored; an
     empty table gives no rows.
     """
     none = F.array().cast("array<string>")
     found = F.coalesce(F.when(F.col("text").rlike(SUSPECT), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))), none)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("entities", found).withColumn("some", F.size("entities") > 0)
-    rows = rows.select("id", F.when(~F.col("some"), F.col("text")).alias("text"), "entities", F.when(F.col("some"), F.split("text", ENTITY, -1)).alias("gaps"), "some", F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("found", found).withColumn("some", F.size("found") > 0)
+    rows = rows.withColumn("lone", F.when(F.col("some"), lone_mentions(F.col("found")))).withColumn("gaps", F.when(F.col("some"), F.split("text", ENTITY, -1)))
+    mention = lambda e, lone: F.struct(e.alias("entity"), F.lit(lone).alias("lone"))
+    plain = F.transform("found", lambda e: mention(e, False))
+    inner = F.transform("gaps", lambda g: F.transform(F.regexp_extract_all(g, F.col("lone"), F.lit(0)), lambda e: mention(e, True)))
+    mixed = F.flatten(F.zip_with(inner, plain, lambda i, e: F.when(e.isNull(), i).otherwise(F.concat(i, F.array(e)))))
+    gaps = F.when(F.col("lone").isNull(), F.col("gaps")).otherwise(F.flatten(F.transform("gaps", lambda g: F.split(g, F.col("lone"), -1))))
+    rows = rows.select("id", F.when(~F.col("some"), F.col("text")).alias("text"), F.when(F.col("lone").isNull(), plain).otherwise(mixed).alias("entities"), gaps.alias("gaps"), "some", F.monotonically_increasing_id().alias("_row"))
     rows = materialize(rows, "pii-rows")
-    held = materialize(rows.filter("some").select("_row", F.explode(F.array_distinct("entities")).alias("entity")), "pii-held")
+    held = materialize(rows.filter("some").select("_row", F.explode(F.array_distinct(F.transform(F.filter("entities", lambda e: ~e["lone"]), lambda e: e["entity"]))).alias("entity")), "pii-held")
     mentions = materialize(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", entity_type(F.col("entity"))), "pii-mentions")
     table = materialize(replacements(mentions, key).join(mentions, ["kind", "entity"]), "pii-table")
     met = join_groups(held, table, ["entity"], "n", held.count())
-    lists = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("surrogate", "kind")))).alias("_map"))
+    lists = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("surrogate", "kind", "parts")))).alias("_map"))
     clean = rows.filter("not some").select("id", "text", F.lit(0).alias("n_entities"), none.alias("kinds"))
-    dirty = rows.filter("some").join(lists, "_row")
-    new = F.transform("entities", lambda e: F.try_element_at("_map", e)["surrogate"])
+    dirty = rows.filter("some").join(lists, "_row").withColumn("_parts", F.array_sort(F.flatten(F.filter(F.transform(F.map_values("_map"), lambda m: m["parts"]), lambda p: p.isNotNull()))))
+    alone = lambda e: _cased(F.get(F.filter("_parts", lambda p: p["word"] == F.lower(e)), F.lit(0))["new"], e)
+    new = F.transform("entities", lambda e: F.when(e["lone"], alone(e["entity"])).otherwise(F.try_element_at("_map", e["entity"])["surrogate"]))
     text = F.array_join(F.flatten(F.zip_with("gaps", new, lambda g, e: F.array(F.coalesce(g, F.lit("")), F.coalesce(e, F.lit(""))))), "")
-    kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: F.try_element_at("_map", e)["kind"])))
+    kinds = F.array_sort(F.array_distinct(F.transform(F.map_values("_map"), lambda m: m["kind"])))
     out = clean.unionByName(dirty.select("id", text.alias("text"), F.size("entities").alias("n_entities"), kinds.alias("kinds")))
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities", "kinds")

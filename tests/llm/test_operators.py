@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -674,6 +675,52 @@ def test_mentions_of_one_entity_agree(spark):
     assert digits[0] != "+17435553824" and got[1][2].startswith("+1 (") and digits[4] != "+3531234567"
 
 
+def test_parts_of_names_follow_their_person(spark):
+    """Cases marked by hand: no word of a name stays, and a person's words agree wherever they stand."""
+    texts = {
+        "Anna Schulz met Peter Meyer. Anna said hello. Schulz agreed.": ("Anna", "Schulz", "Peter", "Meyer"),
+        "Anna Maria Schulz came. ANNA SCHULZ left, then Maria.": ("Anna", "Maria", "Schulz", "ANNA", "SCHULZ"),
+        "Maria del Carmen Lopez wrote; Lopez and Carmen too.": ("Maria", "Carmen", "Lopez"),
+        "Jean-Pierre Dupont, or Jean, or Pierre.": ("Jean", "Pierre", "Dupont"),
+        "Frau Petra Vogel spoke. Petra's friend knows Vogel.": ("Petra", "Vogel"),
+        "My name is Barack Obama, and Obama stays.": ("Barack", "Obama"),
+        "Dear Yuki Tanaka, write to Yuki.": ("Yuki", "Tanaka"),
+    }
+    got = {r.doc_id: r for r in pii.replace_pii(make(spark, list(texts)), "k").collect()}
+    for i, (text, names) in enumerate(texts.items()):
+        words = re.findall(r"[^\W\d_]+", got[i].text)
+        assert not set(words) & set(names), got[i].text
+        assert len(words) == len(re.findall(r"[^\W\d_]+", text))
+    first = re.fullmatch(r"(\S+) (\S+) met (\S+) (\S+)\. (\S+) said hello\. (\S+) agreed\.", got[0].text).groups()
+    assert first[0] == first[4] and first[1] == first[5] and len(set(first[:4])) == 4 and got[0].n_entities == 4
+    second = re.fullmatch(r"(\S+) (\S+) (\S+) came\. (\S+) (\S+) left, then (\S+)\.", got[1].text).groups()
+    assert (second[0].upper(), second[2].upper(), second[1]) == (second[3], second[4], second[5])
+    third = re.fullmatch(r"(\S+) del (\S+) (\S+) wrote; (\S+) and (\S+) too\.", got[2].text).groups()
+    assert third[1] == third[4] and third[2] == third[3]
+    assert {first[0], second[0]} == {first[0]} and got[4].text.startswith("Frau ")
+    # a word of a name is no mention in a row that does not name the person
+    alone = pii.replace_pii(make(spark, ["Schulz agreed with Anna."]), "k").collect()[0]
+    assert alone.text == "Schulz agreed with Anna." and alone.n_entities == 0
+
+
+def test_entities_marked_by_hand(spark):
+    """What must go and what must stay, by hand and not by the operator's patterns."""
+    cases = [
+        ("at 2001:db8::1 and fe80:0:0:0:1:2:3:4.", ["2001:db8::1", "fe80:0:0:0:1:2:3:4"], "ipv6"),
+        ("call 030 1234567 or 0171/2345678", ["030 1234567", "0171/2345678"], "phone"),
+        ("bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", ["hbGciOiJIUzI1NiJ9", "zdWIiOiIxMjM0NTY3ODkwIn0", "dozjgNryP4J3jVmNHl0w5N"], "secret"),
+        ("use sk_live_abcdefghijklmnop1234 now", ["abcdefghijklmnop1234"], "secret"),
+        ("mail a.b+c@host.example.org today", ["a.b+c@host.example.org"], "email"),
+        ("card 4111 1111 1111 1111 ends", ["4111 1111 1111 1111"], "card"),
+    ]
+    keep = ["at 12:30:45 on 2024-01-02", "version 1.2.3, page 030", "a::b and std::vector", "The house of the Lopez", "in 1999 200 300"]
+    got = {r.doc_id: r for r in pii.replace_pii(make(spark, [c[0] for c in cases] + keep), "k").collect()}
+    for i, (text, gone, kind) in enumerate(cases):
+        assert not any(g in got[i].text for g in gone) and got[i].kinds == [kind], got[i].text
+    assert got[3].text.startswith("use sk_live_") and got[1].text.startswith("call 0")
+    assert [got[len(cases) + k].text for k in range(len(keep))] == keep
+
+
 def test_pii_against_regular_expressions(spark):
     """Every entity that the patterns find is replaced, nothing else changes, and the replacements are one to one."""
     import regex
