@@ -62,11 +62,12 @@ class Encoder:
 
     Each different word goes through the tokenizer once, then comes from a bounded cache. The cache is
     found by a 64-bit hash, and every word that is taken from it is compared with the word that is
-    stored there; where two words share a hash the second goes by its characters. An added token of
+    stored there; where two words share a hash the second goes by its characters. Words of more than ``STORED``
+    characters are met seldom and may be as long as a text: they are not kept beyond the call. An added token of
     the tokenizer that stands in a text is a word of its own and parts the text around it.
     """
 
-    LIMIT = 400_000
+    LIMIT, LETTERS, STORED = 400_000, 8_000_000, 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -110,9 +111,34 @@ class Encoder:
         joined, cp, bounds = vectext.codepoints(texts)
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.ids) > self.LIMIT:
+        if len(self.ids) > self.LIMIT or self.letters.used > self.LETTERS:
             self._clear()
         starts, ends = self._words(joined, cp, bounds)
+        long = ends - starts > self.STORED
+        if long.any():
+            return self._with_long(joined, cp, bounds, starts, ends, long)
+        ids, upto = self.ids.take(self._stored(joined, cp, starts, ends))
+        return ids, upto[np.searchsorted(starts, bounds)]
+
+    def _with_long(self, joined: str, cp: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` where words are ``long``: those stand at the end of the cache until the ids are taken."""
+        short = np.flatnonzero(~long)
+        sizes = ends - starts
+        word = np.zeros(len(starts), np.int64)
+        if len(short):
+            # the short words alone, one after another, as comparing them needs
+            upto = np.cumsum(sizes[short])
+            letters = cp[np.repeat(starts[short] - upto + sizes[short], sizes[short]) + np.arange(upto[-1])]
+            word[short] = self._stored("".join(joined[s:e] for s, e in zip(starts[short].tolist(), ends[short].tolist())), letters, upto - sizes[short], upto)
+        kept = [(x, x.count, x.used, x.flat) for x in (self.ids, self.letters)]
+        word[long] = self._add(joined, cp, starts[long], ends[long])
+        ids, upto = self.ids.take(word)
+        for x, count, used, flat in kept:  # what was added for them goes, with the room that it took
+            x.count, x.used, x.flat = count, used, flat
+        return ids, upto[np.searchsorted(starts, bounds)]
+
+    def _stored(self, joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places in the cache of words that follow one another and fill ``cp``."""
         keys, first, inverse = np.unique(vectext.span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
         keys = keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
@@ -125,8 +151,7 @@ class Encoder:
             if own not in self.odd:
                 self.odd[own] = self._add(joined, cp, starts[i : i + 1], ends[i : i + 1])[0]
             word[i] = self.odd[own]
-        ids, upto = self.ids.take(word)
-        return ids, upto[np.searchsorted(starts, bounds)]
+        return word
 
 
 _encoders: dict[str, Encoder] = {}
