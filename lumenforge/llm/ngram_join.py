@@ -19,6 +19,7 @@ WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4  # a pair at 0.8 shares none of the 32 bands of 4 with probability 5e-8
 BANDS = HASHES // ROWS
 BLOCK = 1024
+BYTES = 16_000_000
 TOLERANCE = 1e-6
 STEPS = (32, 64, 96, 128)
 _MULTIPLIERS = vectext.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -216,7 +217,7 @@ def _sketch(batches):
             part = batch.slice(k, 1000)
             sets = shingle_sets([t or "" for t in part.column(2).to_pylist()])
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "text_key", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["id", "text_key", "set_key", "sig", "n"])
 
 
 def _shingles(batches):
@@ -232,15 +233,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    sketches = materialize(rows.mapInArrow(_sketch, "id long, text_key binary, set_key binary, sig binary"), "sketches")
-    nodes = sketches.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_copies"), F.min("text_key").alias("text_key"), F.min("sig").alias("sig"))
+    sketches = materialize(rows.mapInArrow(_sketch, "id long, text_key binary, set_key binary, sig binary, n long"), "sketches")
+    nodes = sketches.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_copies"), F.min("text_key").alias("text_key"), F.min("sig").alias("sig"), F.min("n").alias("n"))
     # numbers are fixed by writing them; no result depends on which node has which
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     band = lambda i: F.xxhash64(F.substring("sig", 16 * i + 1, 16), F.lit(i))
-    bands = nodes.select("node", F.posexplode(F.array(*map(band, range(BANDS)))).alias("band", "bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = bands.join(shared, "bucket").withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    bands = nodes.select("node", "n", F.posexplode(F.array(*map(band, range(BANDS)))).alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    # a part holds about BLOCK nodes and BYTES of shingles, so a block of long texts is as large as one of short ones
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") * 8 / BYTES))
+    shared = materialize(shared.withColumn("parts", parts).drop("shingles"), "buckets")
+    members = join_groups(bands.drop("n"), shared, ["bucket"], "size", nodes.count() * BANDS).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     members = members.join(nodes.select("node", "sig"), "node").select("bucket", "band", "node", "part", "sig", _sides(F.col("parts"), F.col("part")).alias("b"))
     members = members.select("bucket", F.col("b.low").alias("low"), F.col("b.high").alias("high"), "node", "part", "band", "sig")
     block = ["bucket", "low", "high"]
@@ -269,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     such links lead to. Ids are integers.
 
     1. Rows with equal sets become one node, so thousands of copies cost one. 2. Nodes that agree in a
-    band of four MinHash values meet in its bucket. Buckets of over 1024 nodes are cut into parts,
+    band of four MinHash values meet in its bucket. Buckets of over 1024 nodes or 16 MB of shingles are cut into parts,
     and every pair of parts is a block of its own. A pair is looked at where it meets first: after 32,
     64, 96 and 128 values it is dropped once P(similarity >= threshold) falls below 1e-6. What leaves a
     block are its nodes with a pair left, not the pairs. 3. The shingles of those nodes go to the blocks
@@ -282,8 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read. An empty table gives no rows.
     """
     rows, found = _classes(docs, id_col, text_col, threshold)
-    smallest = found.groupBy("class").agg(F.min("min_id").alias("class_id"))
-    table = found.join(smallest, "class").select("set_key", "class_id", F.col("min_id").alias("copy_id"), "n_copies", "n_links")
+    smallest = materialize(found.groupBy("class").agg(F.min("min_id").alias("class_id"), F.count(F.lit(1)).alias("nodes")), "smallest")
+    table = join_groups(found, smallest, ["class"], "nodes", found.count()).select("set_key", "class_id", F.col("min_id").alias("copy_id"), "n_copies", "n_links")
     table = materialize(table, "verdicts")
     empty, one = rows.filter("set_key is null"), F.lit(1).cast("long")
     out = join_groups(rows.filter("set_key is not null"), table, ["set_key"], "n_copies", rows.count()).select("id", "class_id", "copy_id", "n_copies", "n_links")
@@ -305,8 +309,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     affected = join_groups(rows.filter("set_key is not null"), found, ["set_key"], "n_copies", rows.count())
     ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
     affected = materialize(affected.select("class", ident.alias("ident"), "text_key", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key").alias("order")), "affected")
-    stays = affected.groupBy("class").agg(F.min("order").alias("order"), F.lit(True).alias("stays"))
-    verdicts = affected.join(stays.withColumnRenamed("order", "first"), "class").groupBy("ident", "text_key").agg(F.max(F.col("order") == F.col("first")).alias("stays"))
+    stays = materialize(affected.groupBy("class").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")), "stays")
+    verdicts = join_groups(affected, stays, ["class"], "n", affected.count()).groupBy("ident", "text_key").agg(F.max(F.col("order") == F.col("first")).alias("stays"))
     names = [f"_{i}" for i in range(len(docs.columns))]
     own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     whole = docs.toDF(*names).withColumn("h", _text_key(F.col(own_text)))
