@@ -324,6 +324,24 @@ def test_packing_gives_plain_ids(spark, tokenizer):
         assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_long_words_are_not_kept(tokenizer):
+    """Words of 20,000 letters, as in text without blanks: the ids are those of the tokenizer, and the cache stays small."""
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(tokenizer), packing.Encoder(tokenizer)
+    rng = random.Random(8)
+    before = 0
+    for _ in range(6):
+        texts = ["".join(rng.choice("abcdefgh日本語文字") for _ in range(20_000)) for _ in range(4)] + ["short words " + "y" * 65, "", "z" * 64 + " " + "z" * 300, "more short words"]
+        ids, bounds = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert own.letters.used < 400 and len(own.letters.flat) <= 1 << 16 and len(own.ids.flat) <= 1 << 16
+        assert not before or own.ids.used == before  # the same short words again
+        before = own.ids.used
+    own.LETTERS = 10
+    assert own.encode(["short words"])[0].tolist() == plain.encode("short words", add_special_tokens=False).ids and own.letters.used < 20
+
+
 def test_packing_compares_words_that_share_a_hash(tokenizer, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -452,6 +470,23 @@ def test_ngram_join(spark, monkeypatch):
     check_near(spark, list(enumerate(near_rows(random.Random(4)))))
 
 
+def test_blocks_of_long_texts_are_cut_by_bytes(spark, monkeypatch):
+    """Some hundred planted pairs between 0.8 and 0.95 among long texts, in parts of a few texts each."""
+    monkeypatch.setattr(ngram_join, "BYTES", 8 * 3000)
+    rng = random.Random(41)
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(rng.choice([60, 200, 900]))]
+        copy = list(words)
+        for _ in range(max(1, len(words) // 60)):
+            copy[rng.randrange(len(copy))] = "edit"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    check_near(spark, rows)
+    sets = [shingle_set(t) for _, t in rows]
+    shares = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= s <= 0.95 for s in shares) > 80
+
+
 def test_ngram_join_tells_rows_apart_by_content(spark):
     rng = random.Random(14)
     texts = near_rows(rng)
