@@ -52,8 +52,8 @@ def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of the lower-cased strings; not symmetric."""
-    return _ratios(F.lower(a), F.lower(b))
+    """Ratcliff-Obershelp similarity of the lower-cased strings; not symmetric. Null counts as empty."""
+    return _ratios(*[F.lower(F.coalesce(c, F.lit(""))) for c in (a, b)])
 
 
 @F.pandas_udf(DoubleType())
@@ -67,7 +67,8 @@ def py_round(x: Column, digits: int) -> Column:
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """Half the Jaccard similarity of tokens plus half the ratio; two empty strings give 0.5."""
+    """Half the Jaccard similarity of tokens plus half the ratio; two empty strings give 0.5. Null counts as empty."""
+    a, b = (F.coalesce(c, F.lit("")) for c in (a, b))
     return 0.5 * jaccard(tokens(a), tokens(b)) + 0.5 * ratio(a, b)
 
 

@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from lumenforge.functions import text as T
 from lumenforge.operators import blocks
 from lumenforge.plans.lineage import materialize
+from lumenforge.plans.prefix import numbered
 from lumenforge.sources import stages
 
 
-def score_questions(units: DataFrame, questions: DataFrame) -> DataFrame:
-    """``paper, unit, group_id, shared, total, score``: the offline scorer, token Jaccard of text and question.
-
-    A language model scores here in the reference; this stand-in is ours and deterministic. Each unit
-    is scored with each question, as rankings list them all; units and questions meet in blocks
-    (``blocks.meet``). Null texts have no words and score 0.
-    """
-    kinds, group = dict(units.dtypes), dict(questions.dtypes)["group_id"]
+def _scored(units: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units and questions with their words as numbers, ``row`` and the one block ``_g``."""
     number = lambda df: materialize(df.withColumn("row", F.monotonically_increasing_id()), "scored")
     a = number(units.select("paper", "unit", T.tokens(F.coalesce("text", F.lit(""))).alias("w"), F.lit(0).alias("_g")))
     b = number(questions.select("group_id", T.tokens(F.coalesce("question", F.lit(""))).alias("w"), F.lit(0).alias("_g")))
@@ -28,6 +23,19 @@ def score_questions(units: DataFrame, questions: DataFrame) -> DataFrame:
     words = materialize(blocks.number_words(both, "row", F.col("w")), "scored-words")
     a = a.withColumn("row", F.concat(F.lit("u"), "row")).drop("w").join(words, "row")
     b = b.withColumn("row", F.concat(F.lit("q"), "row")).drop("w").join(words, "row")
+    return a, b
+
+
+def score_questions(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """``paper, unit, group_id, shared, total, score``: the offline scorer, token Jaccard of text and question.
+
+    A language model scores here in the reference; this stand-in is ours and deterministic. Each unit
+    is scored with each question, as rankings list them all; units and questions meet in blocks
+    (``blocks.meet``). Null texts have no words and score 0. Where the best alone are asked for, ``best_questions`` and
+    ``best_units`` leave no such row.
+    """
+    kinds, group = dict(units.dtypes), dict(questions.dtypes)["group_id"]
+    a, b = _scored(units, questions)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         shared, x, y = blocks.shared_counts(left["words"], right["words"])
@@ -39,6 +47,53 @@ def score_questions(units: DataFrame, questions: DataFrame) -> DataFrame:
     return blocks.meet(a, b, ["_g"], ["row"], ["row"], solve, schema)
 
 
+def best_questions(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """``paper, unit, group_id``: ``assign(score_questions(units, questions))`` without a row for each unit and question.
+
+    A block of units and questions leaves the best question of each of its units, ties to the smallest id; those of a unit meet
+    combined. So what is shuffled is a row per unit and 512 questions. Repeated units have one assignment; an empty table of either side gives no rows.
+    """
+    kinds, group = dict(units.dtypes), dict(questions.dtypes)["group_id"]
+    a, b = _scored(units, questions)
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("group_id", "ascending")])
+        _, score = blocks.jaccard(*blocks.shared_counts(left["words"], right["words"]))
+        at = score.argmax(axis=1)  # the first of equal ones
+        best = score[np.arange(len(at)), at]
+        return pa.table([left["paper"], left["unit"], right["group_id"].combine_chunks().take(pa.array(at)), pa.array(best)], ["paper", "unit", "group_id", "score"])
+
+    best = blocks.meet(a, b, ["_g"], ["row"], ["row"], solve, f"paper {kinds['paper']}, unit {kinds['unit']}, group_id {group}, score double")
+    best = best.groupBy("paper", "unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "group_id")).alias("b"))
+    return best.select("paper", "unit", F.when(F.col("b.s") < 0, F.col("b.group_id")).alias("group_id"))
+
+
+def best_units(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """``group_id, paper, unit, rank``: of each question and paper the best unit, ties to the smallest; ``rank_units(...)`` where the rank is 1.
+
+    A block leaves a row for each of its questions and papers, so the rows follow the result, a question times papers, and not the units.
+    A paper of any size is dealt over several blocks, whose best meet combined.
+    """
+    kinds, group = dict(units.dtypes), dict(questions.dtypes)["group_id"]
+    a, b = _scored(units, questions)
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("paper", "ascending"), ("unit", "ascending")])
+        _, score = blocks.jaccard(*blocks.shared_counts(left["words"], right["words"]))
+        paper = np.unique(left["paper"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        first = np.flatnonzero(np.diff(paper, prepend=-1))
+        top = np.maximum.reduceat(score, first, axis=0)
+        place = np.where(score == top[paper], np.arange(len(paper))[:, None], len(paper))
+        at = np.minimum.reduceat(place, first, axis=0)  # papers by questions
+        i, j = at.ravel(), np.tile(np.arange(score.shape[1]), len(first))
+        take = lambda t, c, k: t[c].combine_chunks().take(pa.array(k))
+        return pa.table([take(right, "group_id", j), take(left, "paper", i), take(left, "unit", i), pa.array(top.ravel())], ["group_id", "paper", "unit", "score"])
+
+    best = blocks.meet(a, b, ["_g"], ["row"], ["row"], solve, f"group_id {group}, paper {kinds['paper']}, unit {kinds['unit']}, score double")
+    best = best.groupBy("group_id", "paper").agg(F.min(F.struct((-F.col("score")).alias("s"), "unit")).alias("b"))
+    return best.select("group_id", "paper", F.col("b.unit").alias("unit"), F.lit(1).alias("rank"))
+
+
 def assign(scores: DataFrame) -> DataFrame:
     """The best question of each unit; null where none shares a token, ties to the smallest id."""
     rk = F.row_number().over(Window.partitionBy("paper", "unit").orderBy(F.desc("score"), "group_id"))
@@ -92,8 +147,8 @@ def balance_table(members: DataFrame, ranks: DataFrame, papers: DataFrame, quest
     """``place, group_id, overarching_question, group_balance, member_count``: balance to one digit, the highest first, ties by ``position`` of ``questions``."""
     rows = balance(members, ranks, papers).join(questions.select("group_id", "position", F.col("question").alias("overarching_question")), "group_id", "left")
     rows = rows.withColumn("group_balance", T.py_round(F.col("balance"), 1))
-    place = F.row_number().over(Window.orderBy(F.desc("group_balance"), F.asc_nulls_last("position"), "group_id"))
-    return rows.select(place.alias("place"), "group_id", F.coalesce("overarching_question", F.lit("")).alias("overarching_question"), "group_balance", "member_count")
+    rows = numbered(materialize(rows, "balance"), [F.desc("group_balance"), F.asc_nulls_last("position"), F.col("group_id")], "place")
+    return rows.select("place", "group_id", F.coalesce("overarching_question", F.lit("")).alias("overarching_question"), "group_balance", "member_count")
 
 
 def medoid_questions(units: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -132,7 +187,7 @@ def group_members(assignment: DataFrame, units: DataFrame) -> DataFrame:
     rows = assignment.filter("group_id is not null").join(units.select("paper", "unit", "tag", "position"), ["paper", "unit"])
     listed = F.array_sort(F.collect_list(F.struct("position", "paper", "unit", "tag")))
     groups = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.min("position").alias("first"), F.transform(listed, lambda m: F.struct(m["paper"].alias("paper"), m["unit"].alias("unit"), m["tag"].alias("tag"))).alias("members"))
-    return groups.select(F.row_number().over(Window.orderBy(F.desc("size"), "first")).alias("place"), "group_id", "size", "members")
+    return numbered(groups, [F.desc("size"), F.col("first")], "place").select("place", "group_id", "size", "members")
 
 
 def rankings(ranks: DataFrame, key: list[str], item: str) -> DataFrame:
@@ -177,10 +232,10 @@ def refine(units: DataFrame, questions: DataFrame, iterations: int = 5, folder:
     spark, out, current = units.sparkSession, None, questions.select("group_id", "question")
     for n in range(1, iterations + 1):
         if folder is None:
-            step = materialize(assign(score_questions(units, current)), f"iteration-{n}")
+            step = materialize(best_questions(units, current), f"iteration-{n}")
             current = materialize(medoid_questions(units, step), f"questions-{n}")
         else:
-            step = stages.kept(spark, f"{folder}/assignment/iter={n}", lambda: assign(score_questions(units, current)))
+            step = stages.kept(spark, f"{folder}/assignment/iter={n}", lambda: best_questions(units, current))
             current = stages.kept(spark, f"{folder}/questions/iter={n}", lambda: medoid_questions(units, step))
         row = step.withColumn("iter", F.lit(n))
         out = row if out is None else out.unionByName(row)

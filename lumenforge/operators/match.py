@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions import text as T
-from lumenforge.operators import blocks, setjoin
+from lumenforge.operators import blocks, setjoin, similarity
 from lumenforge.operators.components import connected_components
 from lumenforge.plans.lineage import materialize
 from lumenforge.plans.skew import join_groups
@@ -234,19 +234,18 @@ def match_sections(units: DataFrame) -> DataFrame:
     return links.select(F.col("a_paper").alias("paper"), F.col("a_unit").alias("unit"), F.col("b_paper").alias("dst_paper"), F.col("b_unit").alias("dst_unit"), *[T.py_round(F.col(c), 3).alias(n) for c, n in (("raw", "similarity"), ("entity", "entity_similarity"), ("content", "content_similarity"))])
 
 
-def group_matches(groups: DataFrame, k: int = 3) -> DataFrame:
+def group_matches(groups: DataFrame, k: int = 3, counted=None) -> DataFrame:
     """``group_id, position, dst_group, dst_position, raw, score, rk``: of all other groups the ``k`` whose question is most like its own.
 
     ``groups`` has ``group_id, position, question``; ties go to the earlier position. Scores are rounded to three
-    digits after ranking.
+    digits after ranking. Questions are compared exactly only where bounds let them (``similarity.best_matches``). A null question
+    counts as empty; two empty ones score 0.5. Ids must differ; an empty table, or a single group, gives no rows.
     """
-    a = groups.withColumn("_g", F.lit(0))
-    b = groups.select(F.col("group_id").alias("dst_group"), F.col("position").alias("dst_position"), F.col("question").alias("dst_question"), F.lit(0).alias("_g"))
-    pairs = spread_join(a, b, ["_g"]).filter("group_id <> dst_group").repartition("dst_question").sortWithinPartitions("dst_question")
-    pairs = pairs.withColumn("raw", T.text_similarity(F.col("question"), F.col("dst_question")))
-    rk = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("raw"), "dst_position"))
-    best = pairs.withColumn("rk", rk).filter(F.col("rk") <= k)
-    return best.select("group_id", "position", "dst_group", "dst_position", "raw", T.py_round(F.col("raw"), 3).alias("score"), "rk")
+    rows = groups.select("group_id", "position", F.coalesce("question", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("block", F.lit(0)), "group-questions")
+    offers = rows.select("row", "block", "text", F.lit(0).alias("dst_group"), F.struct("position", "group_id").alias("dst"), F.col("row").alias("own"))
+    best = similarity.best_matches(rows.select("row", "block", "text"), offers, k, counted=counted).join(rows.select("row", "group_id", "position"), "row")
+    return best.select("group_id", "position", F.col("dst.group_id").alias("dst_group"), F.col("dst.position").alias("dst_position"), "raw", T.py_round(F.col("raw"), 3).alias("score"), "rk")
 
 
 def mutual_group_links(candidates: DataFrame) -> DataFrame:
@@ -301,29 +300,45 @@ def slot_pair_counts(units: DataFrame) -> DataFrame:
     return counts.groupBy("slots").agg(F.sum("pairs").alias("pairs"), F.sum("paper_pairs").alias("paper_pairs")).filter("pairs > 0")
 
 
-def similarity_matches(units: DataFrame, k: int = 3) -> DataFrame:
+def similarity_matches(units: DataFrame, k: int = 3, threshold: float | None = None, sought: DataFrame | None = None, counted=None) -> DataFrame:
     """``granularity, paper, unit, tag, dst_paper, dst_unit, dst_tag, similarity, rk``: ``top_matches`` by whole text similarity.
 
     Ranks are by the raw score, the similarity given is rounded to three digits after that. Distinct tags are
-    scored once, in both directions as the ratio is not symmetric.
+    scored once, in both directions as the ratio is not symmetric, and only where bounds let them (``similarity.best_matches``); with
+    ``threshold`` only matches that reach it after rounding are looked for, with ``sought`` (``granularity, tag``) only those of units with such a tag. A null tag counts as empty, repeated rows are units of their own.
     """
     units = units.select("granularity", "paper", "unit", F.coalesce("tag", F.lit("")).alias("tag"))
-    tags = materialize(units.select("granularity", "tag").distinct(), "similar-tags")
-    offers = units.select("granularity", F.col("paper").alias("dst_paper"), F.col("tag").alias("dst_tag"), F.col("unit").alias("dst_unit"))
-    first = F.row_number().over(Window.partitionBy("granularity", "dst_paper", "dst_tag").orderBy("dst_unit"))
-    offers = offers.withColumn("_n", first).filter(F.col("_n") <= k).drop("_n")
-    scored = spread_join(tags, tags.withColumnRenamed("tag", "dst_tag"), ["granularity"]).repartition("granularity", "dst_tag").sortWithinPartitions("dst_tag")
-    scored = materialize(scored.withColumn("raw", T.text_similarity(F.col("tag"), F.col("dst_tag"))), "similar-scores")
-    rk = F.row_number().over(Window.partitionBy("granularity", "tag", "dst_paper").orderBy(F.desc("raw"), "dst_unit"))
-    best = scored.join(offers, ["granularity", "dst_tag"]).withColumn("rk", rk).filter(F.col("rk") <= k)
-    out = units.join(best, ["granularity", "tag"]).filter(F.col("paper") != F.col("dst_paper"))
-    return out.select("granularity", "paper", "unit", "tag", "dst_paper", "dst_unit", "dst_tag", T.py_round(F.col("raw"), 3).alias("similarity"), "rk")
-
-
-def similarity_links(units: DataFrame, k: int = 3, threshold: float = 0.45) -> DataFrame:
-    """Mutual links by whole text similarity that reach ``threshold`` after rounding."""
-    out = similarity_matches(units, k).select("granularity", "paper", "unit", "dst_paper", "dst_unit", F.col("similarity").alias("score"), "rk")
-    return mutual_links(materialize(out, "similar")).filter(F.col("score") >= threshold)
+    tags = units.groupBy("granularity", "tag").agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.monotonically_increasing_id())
+    tags = materialize(tags, "similar-tags")
+    named = materialize(join_groups(materialize(units, "similar-units"), tags, ["granularity", "tag"], "n", units.count()), "similar-units")
+    first = F.row_number().over(Window.partitionBy("granularity", "paper", "row").orderBy("unit"))
+    offers = named.withColumn("_n", first).filter(F.col("_n") <= k).select("row", F.col("granularity").alias("block"), F.col("tag").alias("text"), F.col("paper").alias("dst_group"), F.col("unit").alias("dst"))
+    # half a unit of the third digit, and a little more for the rounding itself
+    floor = 0.0 if threshold is None else threshold - 0.0005 - 1e-9
+    asking = tags if sought is None else tags.join(sought, ["granularity", "tag"], "left_semi")
+    best = materialize(similarity.best_matches(asking.select("row", F.col("granularity").alias("block"), F.col("tag").alias("text")), offers, k, floor, counted), "similar-best")
+    target = offers.select(F.col("dst_group").alias("dst_paper"), F.col("dst").alias("dst_unit"), F.col("block").alias("granularity"), F.col("text").alias("dst_tag")).distinct()
+    best = best.join(tags.select("row", "granularity"), "row").select("row", "granularity", F.col("dst_group").alias("dst_paper"), F.col("dst").alias("dst_unit"), T.py_round(F.col("raw"), 3).alias("similarity"), "rk")
+    best = materialize(best.join(target, ["granularity", "dst_paper", "dst_unit"]).drop("granularity"), "similar-best")
+    per_tag = materialize(best.groupBy("row").agg(F.collect_list(F.struct("dst_paper", "dst_unit", "dst_tag", "similarity", "rk")).alias("matches")).join(tags.select("row", "n"), "row"), "similar-lists")
+    out = join_groups(named.drop("n"), per_tag, ["row"], "n", named.count()).select("granularity", "paper", "unit", "tag", F.inline("matches"))
+    out = out.filter(F.col("paper") != F.col("dst_paper"))
+    return out if threshold is None else out.filter(F.col("similarity") >= threshold)
+
+
+def similarity_links(units: DataFrame, k: int = 3, threshold: float = 0.45, counted=None) -> DataFrame:
+    """Mutual links by whole text similarity that reach ``threshold`` after rounding: ``granularity, paper, unit, dst_paper, dst_unit, score, rk``.
+
+    The score is that of the earlier unit's direction, which alone must reach the threshold. The later unit need only have chosen the earlier one, at
+    any score, so matches are completed for the tags of such later units alone.
+    """
+    ends = ["granularity", "paper", "unit", "dst_paper", "dst_unit"]
+    forward = similarity_matches(units, k, threshold, counted=counted).filter(F.struct("paper", "unit") < F.struct("dst_paper", "dst_unit"))
+    forward = materialize(forward, "similar-forward")
+    sought = materialize(forward.select("granularity", F.col("dst_tag").alias("tag")).distinct(), "similar-sought")
+    back = similarity_matches(units, k, sought=sought, counted=counted)
+    back = back.select("granularity", F.col("paper").alias("dst_paper"), F.col("unit").alias("dst_unit"), F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"))
+    return forward.join(back, ends).select(*ends, F.col("similarity").alias("score"), "rk")
 
 
 def match_table(units: DataFrame, matches: DataFrame, papers: DataFrame | None = None) -> DataFrame:

@@ -213,20 +213,20 @@ best AS (SELECT paper, unit, CASE WHEN score > 0 THEN group_id END AS group_id F
 
 @query(f"WITH {_SCORES} SELECT * FROM best")
 def assign_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.assign(_scores(spark, sf_dir)[0])
+    return assign.best_questions(conv_units(spark, sf_dir), _questions(spark, sf_dir))
 
 
 @query(f"WITH {_SCORES}, prev AS (SELECT paper, unit, CASE WHEN unit > 0 THEN paper % 10 END AS old FROM best) SELECT count_if(group_id IS NOT NULL AND group_id IS DISTINCT FROM old) AS reassigned, count(group_id) AS total_assigned FROM best JOIN prev USING (paper, unit)")
 def reassigned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = assign.assign(_scores(spark, sf_dir)[0])
+    after = assign.best_questions(conv_units(spark, sf_dir), _questions(spark, sf_dir))
     before = conv_units(spark, sf_dir).select("paper", "unit", F.when(F.col("unit") > 0, F.col("paper") % 10).alias("group_id"))
     return assign.reassigned(before, after)
 
 
 @query(f"WITH {_SCORES} SELECT group_id FROM q WHERE group_id NOT IN (SELECT group_id FROM best WHERE group_id IS NOT NULL)")
 def dropped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, questions = _scores(spark, sf_dir)
-    return assign.dropped_groups(questions, assign.assign(scores))
+    questions = _questions(spark, sf_dir)
+    return assign.dropped_groups(questions, assign.best_questions(conv_units(spark, sf_dir), questions))
 
 
 @query(f"WITH {_SCORES} SELECT paper, unit, group_id, row_number() OVER (PARTITION BY paper, unit ORDER BY score DESC, group_id) AS rank FROM s")
@@ -251,13 +251,13 @@ m AS (SELECT * FROM best WHERE group_id IS NOT NULL), n AS (SELECT count(DISTINC
 SELECT group_id, count(*) AS member_count, count(t.unit) AS hits, any_value(papers) AS papers, count(t.unit)::DOUBLE / any_value(papers) * 100 AS balance
 FROM m LEFT JOIN (SELECT group_id, paper, unit FROM top) t USING (group_id, paper, unit), n GROUP BY group_id""")
 def group_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, members, papers = _balanced(spark, sf_dir)
-    return assign.balance(members, assign.rank_units(scores), papers)
+    return assign.balance(*_balanced(spark, sf_dir))
 
 
 def _balanced(spark, sf_dir):
-    scores = materialize(_scores(spark, sf_dir)[0], "scores")
-    return scores, materialize(assign.assign(scores).filter("group_id is not null"), "members"), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper")).distinct()
+    units, questions = conv_units(spark, sf_dir), _questions(spark, sf_dir)
+    members = materialize(assign.best_questions(units, questions).filter("group_id is not null"), "members")
+    return members, assign.best_units(units, questions), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper")).distinct()
 
 
 @query(f"""WITH {_SCORES}, top AS (SELECT group_id, paper, unit FROM s QUALIFY row_number() OVER (PARTITION BY group_id, paper ORDER BY score DESC, unit) = 1),
@@ -265,8 +265,7 @@ m AS (SELECT * FROM best WHERE group_id IS NOT NULL), n AS (SELECT count(DISTINC
 b AS (SELECT group_id, count(*) AS member_count, round_even(count(t.unit)::DOUBLE / any_value(papers) * 100, 1) AS group_balance FROM m LEFT JOIN top t USING (group_id, paper, unit), n GROUP BY group_id)
 SELECT row_number() OVER (ORDER BY group_balance DESC, group_id) AS place, group_id, text AS overarching_question, group_balance, member_count FROM b JOIN benchmark ON item_id = group_id""")
 def balance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, members, papers = _balanced(spark, sf_dir)
-    return assign.balance_table(members, assign.rank_units(scores), papers, _questions(spark, sf_dir))
+    return assign.balance_table(*_balanced(spark, sf_dir), _questions(spark, sf_dir))
 
 
 @query(f"""WITH {_SCORES}, m AS (SELECT group_id, paper, unit FROM best WHERE group_id IS NOT NULL),
@@ -275,7 +274,7 @@ SELECT row_number() OVER (ORDER BY size DESC, f) AS place, group_id, size, membe
 def assigned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the assignment, the largest first, with their members in corpus order."""
     units = conv_units(spark, sf_dir).withColumn("position", F.struct("paper", "unit"))
-    out = assign.group_members(assign.assign(_scores(spark, sf_dir)[0]), units)
+    out = assign.group_members(assign.best_questions(units, _questions(spark, sf_dir)), units)
     return out.withColumn("members", F.array_join(F.transform("members", lambda m: T.composite_key(m["paper"], m["unit"])), " "))
 
 
