@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumenforge.plans.lineage import materialize
 from lumenforge.plans.skew import join_groups
@@ -31,12 +33,15 @@ def number_words(rows: DataFrame, key: str, words: Column) -> DataFrame:
     return rows.select(key).join(lists, key, "left").select(key, F.coalesce("words", F.array().cast("array<long>")).alias("words"))
 
 
-def meet(left: DataFrame, right: DataFrame, group: list[str], left_key: list[str], right_key: list[str], solve: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, group: list[str], left_key: list[str], right_key: list[str], solve: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int | None = None) -> DataFrame:
     """``solve(part of left, part of right)`` for each two parts that agree in ``group``.
 
     Rows with equal ``left_key`` (``right_key``) stand in one part. Parts hold about ``block`` rows, more only
-    where a key has more. The number of parts follows from the counts of each group.
+    where a key has more. The number of parts follows from the counts of each group. Parts without rows on one side give none.
     """
+    block = block or BLOCK
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    both = lambda left, right: solve(left, right) if left.num_rows and right.num_rows else empty
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def parts(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +55,17 @@ def meet(left: DataFrame, right: DataFrame, group: list[str], left_key: list[str
         return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).repartition(tasks, *group, "_left", "_right")
 
     keys = [*group, "_left", "_right"]
-    return dealt(left, left_key, "_left", "_right").groupBy(*keys).cogroup(dealt(right, right_key, "_right", "_left").groupBy(*keys)).applyInArrow(solve, schema)
+    return dealt(left, left_key, "_left", "_right").groupBy(*keys).cogroup(dealt(right, right_key, "_right", "_left").groupBy(*keys)).applyInArrow(both, schema)
+
+
+def with_chunks(rows: DataFrame, group: list[str], unit: str) -> DataFrame:
+    """Add ``chunk`` and ``chunks``: groups of more than BLOCK rows are dealt by ``unit`` over chunks of about BLOCK rows, all others are one chunk.
+
+    ``rows`` is read twice: pass a written table. Large groups alone are broadcast or joined; they are at most a BLOCK-th as many as rows.
+    """
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn("chunks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    met = join_groups(rows, materialize(sizes, "chunks"), group, "_n", rows.count()).drop("_n")
+    return met.withColumn("chunk", F.pmod(F.xxhash64(unit), F.col("chunks")).cast("int"))
 
 
 def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

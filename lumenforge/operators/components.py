@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenforge.plans.lineage import discard, materialize
+from lumenforge.plans.skew import join_groups
 
 
 CHUNK = 1_000_000
@@ -44,8 +45,9 @@ def _stars(batches):
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component``: the smallest node that each node is connected to.
 
-    Each round every node takes the smallest label among its neighbours (sums combined map-side, so
-    a hub is one row per task) and then the label of its label, which halves paths. A round's labels
+    Each round every node takes the smallest label among its neighbours (minima combined map-side, so
+    a hub is one row per task) and then the label of its label, which halves paths. Hubs with more than a thousandth of all edges meet
+    them by broadcast, as do the roots of components with more than a thousandth of all nodes (``join_groups``). A round's labels
     are written to the shared folder and those of the round before deleted; the loop ends when none
     changed. Null ends and loops are ignored, repeated edges count once, an empty table gives no rows.
     Nodes are of any type that sorts; edges of whole numbers shrink to stars in each task before they meet.
@@ -54,17 +56,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if dict(pairs.dtypes)["a"] == dict(pairs.dtypes)["b"] == "bigint":
         pairs = pairs.mapInArrow(_stars, "a long, b long")
     both = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "cc-labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component"), F.count(F.lit(1)).alias("degree")), "cc-labels")
+    edges = both.count()
+    nodes = labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
+        hubs = labels.select(F.col("node").alias("b"), "component", "degree")
+        near = join_groups(both, hubs, ["b"], "degree", edges).groupBy("a").agg(F.min("component").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", "degree", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         step = materialize(step, "cc-step")
-        roots = step.select(F.col("node").alias("root"), F.col("now").alias("label"))
-        jumped = step.join(roots, step["now"] == roots["root"]).select("node", F.col("label").alias("component"), (F.col("label") != F.col("was")).alias("changed"))
+        sizes = step.groupBy("now").agg(F.count(F.lit(1)).alias("size"))
+        roots = materialize(sizes.join(step.select(F.col("node").alias("now"), F.col("now").alias("label")), "now"), "cc-roots")
+        jumped = join_groups(step, roots, ["now"], "size", nodes).select("node", "degree", F.col("label").alias("component"), (F.col("label") != F.col("was")).alias("changed"))
         jumped = materialize(jumped, "cc-labels")
-        discard(labels, step)
+        discard(labels, step, roots)
         if jumped.filter("changed").isEmpty():
             discard(both)
-            return jumped.drop("changed")
-        labels = jumped.select("node", "component")
+            return jumped.select("node", "component")
+        labels = jumped.drop("changed")
         labels._shared_path = jumped._shared_path

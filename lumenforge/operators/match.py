@@ -12,6 +12,7 @@ from lumenforge.functions import text as T
 from lumenforge.operators import blocks, setjoin, similarity
 from lumenforge.operators.components import connected_components
 from lumenforge.plans.lineage import materialize
+from lumenforge.plans.prefix import numbered
 from lumenforge.plans.skew import join_groups
 
 SALTS = 32
@@ -41,7 +42,8 @@ def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
     Score is the Jaccard similarity of tag tokens, ties go to the earlier unit. What a paper offers to
     a tag depends on the tag alone, so distinct tags, each with up to 512 of its units, meet the first
     ``k`` units of each paper and tag, block by block (``blocks.meet``); the best of each paper
-    are chosen inside a block and only they leave it. A task holds two parts of about 512 rows and whole papers.
+    are chosen inside a block and only they leave it. A paper that offers more than 512 units is dealt over several blocks, and what
+    they chose for it meets again; so a task holds two parts of about 512 rows, whatever the papers.
 
     A null tag counts as empty; a tag without tokens scores 0 with all. Repeated rows are units of their
     own. An empty table, or a single paper, gives no rows.
@@ -52,7 +54,8 @@ def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
     tags = materialize(tags, "tags")
     rows = materialize(join_groups(units, tags, ["granularity", "tag"], "n", units.count()).select("granularity", "paper", "unit", "tag_id", "n"), "tag-units")
     words = materialize(blocks.number_words(tags.withColumn("w", T.tokens(F.col("tag"))), "tag_id", F.col("w")), "tag-words")
-    left = rows.groupBy("granularity", "tag_id", F.pmod(F.xxhash64("paper", "unit"), F.ceil(F.col("n") / 512)).alias("chunk")).agg(F.collect_list("paper").alias("papers"), F.collect_list("unit").alias("own"))
+    left = rows.groupBy("granularity", "tag_id", F.pmod(F.xxhash64("paper", "unit"), F.ceil(F.col("n") / 512)).alias("chunk")).agg(F.collect_list(F.struct("paper", "unit")).alias("m"))
+    left = left.select("granularity", "tag_id", "chunk", F.col("m.paper").alias("papers"), F.col("m.unit").alias("own"))
     # k units of a paper and tag are all that can be chosen
     first = F.row_number().over(Window.partitionBy("granularity", "paper", "tag_id").orderBy("unit"))
     offers = rows.withColumn("_n", first).filter(F.col("_n") <= k).select("granularity", F.col("paper").alias("dst_paper"), F.col("unit").alias("dst_unit"), "tag_id")
@@ -72,13 +75,20 @@ def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
         source, target = papers.take(pa.array(member)), right["dst_paper"].combine_chunks().take(pa.array(at))
         out = pa.table(
             [pa.repeat(left["granularity"][0], len(member)), source, own.take(pa.array(member)), target, right["dst_unit"].combine_chunks().take(pa.array(at)),
-             pa.array(shared[row, at].astype(np.int32)), pa.array(total[row, at].astype(np.int32)), pa.array(score[row, at]), pa.array(rank.astype(np.int32))], names)
+             pa.array(shared[row, at].astype(np.int32)), pa.array(total[row, at].astype(np.int32)), pa.array(score[row, at]), pa.array(rank.astype(np.int32)), right["chunks"].combine_chunks().take(pa.array(at))], [*names, "chunks"])
         return out.filter(pc.not_equal(out["paper"], out["dst_paper"]))
 
     schema = f"granularity string, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, shared int, total int, score double, rk int"
     left = left.join(words, "tag_id")
     offers = join_groups(materialize(offers, "offers"), materialize(words.join(tags.select("tag_id", "n"), "tag_id"), "offer-words"), ["tag_id"], "n", rows.count()).drop("n")
-    return blocks.meet(materialize(left, "match-left"), materialize(offers, "match-right"), ["granularity"], ["tag_id", "chunk"], ["dst_paper"], solve, schema)
+    offers = materialize(blocks.with_chunks(materialize(offers, "match-right"), ["granularity", "dst_paper"], "dst_unit"), "match-right")
+    met = blocks.meet(materialize(left, "match-left"), offers, ["granularity"], ["tag_id", "chunk"], ["dst_paper", "chunk"], solve, f"{schema}, chunks int")
+    if offers.filter("chunks > 1").isEmpty():
+        return met.drop("chunks")
+    met = materialize(met, "match-chunks")
+    again = F.row_number().over(Window.partitionBy("granularity", "paper", "unit", "dst_paper").orderBy(F.desc("score"), "dst_unit"))
+    several = met.filter("chunks > 1").withColumn("rk", again).filter(F.col("rk") <= k)
+    return met.filter("chunks = 1").unionByName(several).select(*names)
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -132,8 +142,13 @@ def groups(links: DataFrame) -> DataFrame:
     """Members of the components of links: ``granularity, group_no, size, paper, unit``.
 
     Groups are numbered per granularity by size, ties by their first link in (unit, other paper, rank) order.
-    The numbering ranks a row per group in one task per granularity. A unit without links is in no group.
+    A unit without links is in no group; an empty table gives no rows.
     """
+    return groups_and_links(links)[0]
+
+
+def groups_and_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The result of ``groups``, and ``links`` with their ``group_no``, in which ``(paper, unit, dst_paper, rk)`` is the order of links."""
     links = materialize(links, "links")
     ends = links.select("granularity", "paper", "unit", F.struct("paper", "unit", "dst_paper", "rk").alias("link"))
     other = links.select("granularity", F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"), F.struct("paper", "unit", "dst_paper", "rk").alias("link"))
@@ -144,10 +159,42 @@ def groups(links: DataFrame) -> DataFrame:
     parts = connected_components(edges.select("a", "b"))
     members = materialize(nodes.join(parts, "node"), "group-members")
     totals = members.groupBy("granularity", "component").agg(F.count(F.lit(1)).alias("size"), F.min("link").alias("first"))
-    number = F.row_number().over(Window.partitionBy("granularity").orderBy(F.desc("size"), "first"))
-    totals = materialize(totals.withColumn("group_no", number).drop("first"), "group-totals")
+    totals = numbered(totals, [F.desc("size"), F.col("first")], "group_no", ["granularity"])
+    totals = materialize(totals.withColumn("group_no", F.col("group_no").cast("int")).drop("first"), "group-totals")
     out = join_groups(members, totals.drop("granularity"), ["component"], "size", members.count())
-    return out.select("granularity", "group_no", "size", "paper", "unit")
+    out = materialize(out.select("granularity", "group_no", "size", "paper", "unit", "node"), "grouped")
+    # a unit has at most k links of each other paper in its direction, so a member meets few links
+    of = out.select("granularity", "paper", "unit", "group_no")
+    return out.drop("node"), links.join(of, ["granularity", "paper", "unit"])
+
+
+def nested_groups(links: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """``granularity, group_id, members, links``: a row for each group as its consumers read it, members by (paper, unit) and links in link order.
+
+    Members and links carry ``title`` and ``tag`` of ``units`` (``granularity, paper, unit, title, tag``), empty where a unit is not there. A group is one row
+    by its shape, so this is for the sink; ``groups_and_links`` holds the same as rows.
+    """
+    members, rows = groups_and_links(links)
+    members, rows = with_titles(members, units, [""]), with_titles(rows, units, ["", "dst_"])
+    member = F.struct("paper", "unit", "title", "tag")
+    order = F.struct("paper", "unit", "dst_paper", "rk").alias("o")
+    link = F.struct(order, *[F.col(c) for c in ("paper", "unit", "title", "tag", "dst_paper", "dst_unit", "dst_title", "dst_tag", "score")])
+    a = members.groupBy("granularity", "group_no").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    b = rows.groupBy("granularity", "group_no").agg(F.transform(F.array_sort(F.collect_list(link)), lambda s: s.dropFields("o")).alias("links"))
+    return a.join(b, ["granularity", "group_no"]).select("granularity", F.concat(F.lit("group_"), "group_no").alias("group_id"), "members", "links")
+
+
+def with_titles(rows: DataFrame, units: DataFrame | None, ends: list[str]) -> DataFrame:
+    """``rows`` with ``title`` and ``tag`` of each end (``paper, unit`` behind a prefix) from ``units``; empty where a unit is unknown or has none."""
+    for end in ends:
+        if units is None:
+            rows = rows.withColumns({f"{end}title": F.lit(""), f"{end}tag": F.lit("")})
+            continue
+        own = units.select("granularity", *[F.col(c).alias(f"{end}{c}") for c in ("paper", "unit", "title", "tag")])
+        # of repeated units any one names it
+        own = own.groupBy("granularity", f"{end}paper", f"{end}unit").agg(*[F.min(f"{end}{c}").alias(f"{end}{c}") for c in ("title", "tag")])
+        rows = rows.join(own, ["granularity", f"{end}paper", f"{end}unit"], "left").na.fill("", [f"{end}title", f"{end}tag"])
+    return rows
 
 
 def unit_similarity(granularity: Column, left: dict[str, Column], right: dict[str, Column]) -> tuple[Column, Column, Column]:
@@ -163,21 +210,14 @@ def unit_similarity(granularity: Column, left: dict[str, Column], right: dict[st
     return 0.5 * entity + 0.5 * content, entity, content
 
 
-def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: str) -> DataFrame:
-    """Pairs in which each side is among the best of the other; equal scores are all best."""
-    a = F.rank().over(Window.partitionBy(*left).orderBy(F.desc(score)))
-    b = F.rank().over(Window.partitionBy(*right).orderBy(F.desc(score)))
-    return pairs.withColumns({"_a": a, "_b": b}).filter("_a = 1 and _b = 1").drop("_a", "_b")
-
-
 def match_units(units: DataFrame, papers: list | None = None) -> DataFrame:
     """Mutual best matches of the units of each two papers: ``granularity, paper, unit, dst_paper, dst_unit, similarity, slots, shared, total``.
 
     ``similarity`` is that of ``unit_similarity``: half the share of slots that agree, half the content similarity; ties are
     all best, and a best of 0 is one as well. Sections, whose tags are compared letter by letter, go through
     ``match_sections``. Of two papers the smaller id is ``paper``, or, if ``papers`` is given, only those
-    are compared and the earlier listed is ``paper``. Blocks hold whole papers on both sides, so both
-    directions' best are found inside one.
+    are compared and the earlier listed is ``paper``. Papers of up to 512 units stand whole in their blocks on both sides, so both
+    directions' best are found inside one; larger ones are dealt over several, which leave each direction's best, and those meet again.
 
     Null slots and texts count as empty. Repeated units are units of their own.
     """
@@ -188,31 +228,63 @@ def match_units(units: DataFrame, papers: list | None = None) -> DataFrame:
     rows = rows.withColumn("place", place).filter("place > 0" if papers else "true").withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "match-units")
     words = blocks.number_words(rows.select("row", T.content_tokens(F.coalesce("text", F.lit(""))).alias("w")), "row", F.col("w"))
-    rows = materialize(rows.drop("text").join(words, "row").drop("row"), "match-units")
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = (t.sort_by([("paper", "ascending")]) for t in (left, right))
+    # slots are compared as numbers, so that a long one takes no room in a block
+    for c in T.SLOTS:
+        values = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).withColumn("number", F.when(F.col(c) == "", F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+        rows = materialize(join_groups(rows, materialize(values, "slot-values"), [c], "n", rows.count()).drop(c, "n").withColumnRenamed("number", c), "match-units")
+    rows = materialize(rows.drop("text").join(words, "row"), "match-units")
+    rows = materialize(blocks.with_chunks(rows, ["granularity", "paper"], "row"), "match-units")
+
+    def scored(left: pa.Table, right: pa.Table) -> tuple:
         shared, a, b = blocks.shared_counts(left["words"], right["words"])
         total, content = blocks.jaccard(shared, a, b)
         slots = np.zeros(shared.shape, np.int32)
         for c in T.SLOTS:
-            x, y = (t[c].to_numpy(zero_copy_only=False).astype(str) for t in (left, right))
-            slots += (x[:, None] == y[None, :]) & (x != "")[:, None]
+            x, y = (t[c].to_numpy() for t in (left, right))
+            slots += (x[:, None] == y[None, :]) & (x >= 0)[:, None]
         # an empty side has no content in common; the rounding is that of the scalar expression
-        score = 0.5 * (slots / 3) + 0.5 * content
+        return 0.5 * (slots / 3) + 0.5 * content, slots, shared, total
+
+    def chosen(left: pa.Table, right: pa.Table, i: np.ndarray, j: np.ndarray, score, slots, shared, total) -> pa.Table:
+        take = lambda t, c, at: t[c].combine_chunks().take(pa.array(at))
+        return pa.table(
+            [take(left, "granularity", i), take(left, "paper", i), take(left, "unit", i), take(right, "paper", j), take(right, "unit", j), pa.array(score[i, j]), pa.array(slots[i, j]), pa.array(shared[i, j].astype(np.int32)), pa.array(total[i, j].astype(np.int32)),
+             take(left, "row", i), take(right, "row", j), take(left, "place", i), take(right, "place", j)],
+            [*names, "row", "dst_row", "place", "dst_place"])
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Papers that stand whole in their parts, both directions at once."""
+        left, right = (t.sort_by([("paper", "ascending")]) for t in (left, right))
+        score, *rest = scored(left, right)
         (p, first_p), (q, first_q) = (np.unique(t["paper"].to_numpy(zero_copy_only=False), return_index=True) for t in (left, right))
         per_left, per_right = np.maximum.reduceat(score, first_q, axis=1), np.maximum.reduceat(score, first_p, axis=0)
         of_p, of_q = (np.searchsorted(f, np.arange(n), "right") - 1 for f, n in ((first_p, len(left)), (first_q, len(right))))
         places = [t["place"].to_numpy() for t in (left, right)]
         before = places[0][:, None] < places[1][None, :] if papers else p[of_p][:, None] < q[of_q][None, :]
         i, j = np.nonzero(before & (score == per_left[:, of_q]) & (score == per_right[of_p, :]))
-        take = lambda t, c, at: t[c].combine_chunks().take(pa.array(at))
-        return pa.table(
-            [take(left, "granularity", i), take(left, "paper", i), take(left, "unit", i), take(right, "paper", j), take(right, "unit", j), pa.array(score[i, j]), pa.array(slots[i, j]), pa.array(shared[i, j].astype(np.int32)), pa.array(total[i, j].astype(np.int32))],
-            ["granularity", "paper", "unit", "dst_paper", "dst_unit", "similarity", "slots", "shared", "total"])
-
-    schema = f"granularity string, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, similarity double, slots int, shared int, total int"
-    return blocks.meet(rows, rows, ["granularity"], ["paper"], ["paper"], solve, schema)
+        return chosen(left, right, i, j, score, *rest)
+
+    def best_of_part(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of papers in several parts, each row's best in this part of the other paper, one direction."""
+        right = right.sort_by([("paper", "ascending")])
+        score, *rest = scored(left, right)
+        p, (q, first_q) = left["paper"].to_numpy(zero_copy_only=False), np.unique(right["paper"].to_numpy(zero_copy_only=False), return_index=True)
+        of_q = np.searchsorted(first_q, np.arange(len(right)), "right") - 1
+        several = (left["chunks"].to_numpy() > 1)[:, None] | (right["chunks"].to_numpy() > 1)[None, :]
+        i, j = np.nonzero((score == np.maximum.reduceat(score, first_q, axis=1)[:, of_q]) & several & (p[:, None] != q[of_q][None, :]))
+        return chosen(left, right, i, j, score, *rest)
+
+    names = ["granularity", "paper", "unit", "dst_paper", "dst_unit", "similarity", "slots", "shared", "total"]
+    schema = f"granularity string, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, similarity double, slots int, shared int, total int, row long, dst_row long, place int, dst_place int"
+    whole, parts = rows.filter("chunks = 1"), rows.filter("chunks > 1")
+    out = blocks.meet(whole, whole, ["granularity"], ["paper"], ["paper"], solve, schema).select(*names)
+    if parts.isEmpty():
+        return out
+    met = [blocks.meet(a, b, ["granularity"], ["row"], ["paper", "chunk"], best_of_part, schema) for a, b in ((parts, rows), (whole, parts))]
+    best = materialize(met[0].unionByName(met[1]).withColumn("rk", F.rank().over(Window.partitionBy("row", "dst_paper").orderBy(F.desc("similarity")))).filter("rk = 1"), "match-best")
+    back = best.select(F.col("dst_row").alias("row"), F.col("row").alias("dst_row"))
+    links = best.filter("place < dst_place" if papers else "paper < dst_paper").join(back, ["row", "dst_row"], "left_semi")
+    return out.unionByName(links.select(*names))
 
 
 def match_sections(units: DataFrame) -> DataFrame:
@@ -256,13 +328,39 @@ def mutual_group_links(candidates: DataFrame) -> DataFrame:
 
 
 def super_groups(links: DataFrame, threshold: float = 0.33) -> DataFrame:
-    """``super_group, size, group_id``: components of the links of at least ``threshold``, by size, ties by first link."""
+    """``super_group, size, group_id``: components of the links of at least ``threshold``, by size, ties by first link.
+
+    The score is the rounded one. A group without such a link is in no super-group; an empty table gives no rows.
+    """
+    return super_groups_and_links(links, threshold)[0]
+
+
+def super_groups_and_links(links: DataFrame, threshold: float = 0.33) -> tuple[DataFrame, DataFrame]:
+    """The result of ``super_groups``, and the links of at least ``threshold`` with their ``super_group``, in the order of ``(position, rk)``."""
     links = materialize(links.filter(F.col("score") >= threshold), "group-links")
     parts = materialize(connected_components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))), "group-parts")
-    first = links.join(parts, F.col("group_a") == F.col("node")).groupBy("component").agg(F.min(F.struct("position", "rk")).alias("first"))
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(first, "component")
-    sizes = sizes.withColumn("super_group", F.row_number().over(Window.orderBy(F.desc("size"), "first")))
-    return parts.join(sizes, "component").select("super_group", "size", F.col("node").alias("group_id"))
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    of = join_groups(parts, materialize(sizes, "group-sizes"), ["component"], "size", parts.count())
+    of = materialize(of, "group-parts")
+    linked = materialize(links.join(of.withColumnRenamed("node", "group_a"), "group_a"), "group-links")
+    first = linked.groupBy("component", "size").agg(F.min(F.struct("position", "rk")).alias("first"))
+    numbers = materialize(numbered(first, [F.desc("size"), F.col("first")], "super_group").select("component", "super_group", "size"), "super-numbers")
+    members = join_groups(of.drop("size"), numbers, ["component"], "size", of.count()).select("super_group", "size", F.col("node").alias("group_id"))
+    grown = materialize(numbers.drop("size").join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component"), "super-numbers")
+    return members, join_groups(linked.drop("size"), grown, ["component"], "n", linked.count()).drop("component", "n")
+
+
+def nested_super_groups(links: DataFrame, questions: DataFrame, threshold: float = 0.33) -> DataFrame:
+    """``super_group_id, members, links``: a row for each super-group as its consumers read it: members by id with their question, links in link order.
+
+    ``questions`` is ``group_id, question``; an unknown group has an empty one.
+    """
+    members, rows = super_groups_and_links(links, threshold)
+    named = members.join(questions.select("group_id", F.col("question").alias("overarching_question")), "group_id", "left").na.fill("", ["overarching_question"])
+    a = named.groupBy("super_group").agg(F.array_sort(F.collect_list(F.struct("group_id", "overarching_question"))).alias("members"))
+    link = F.struct(F.struct("position", "rk").alias("o"), "group_a", "group_b", "score")
+    b = rows.groupBy("super_group").agg(F.transform(F.array_sort(F.collect_list(link)), lambda s: s.dropFields("o")).alias("links"))
+    return a.join(b, "super_group").select(F.concat(F.lit("super_group_"), "super_group").alias("super_group_id"), "members", "links")
 
 
 def slot_classes(units: DataFrame, slots: tuple[str, ...] = ("tag", "prev_relation", "next_relation")) -> DataFrame:
@@ -317,9 +415,8 @@ def similarity_matches(units: DataFrame, k: int = 3, threshold: float | None = N
     floor = 0.0 if threshold is None else threshold - 0.0005 - 1e-9
     asking = tags if sought is None else tags.join(sought, ["granularity", "tag"], "left_semi")
     best = materialize(similarity.best_matches(asking.select("row", F.col("granularity").alias("block"), F.col("tag").alias("text")), offers, k, floor, counted), "similar-best")
-    target = offers.select(F.col("dst_group").alias("dst_paper"), F.col("dst").alias("dst_unit"), F.col("block").alias("granularity"), F.col("text").alias("dst_tag")).distinct()
-    best = best.join(tags.select("row", "granularity"), "row").select("row", "granularity", F.col("dst_group").alias("dst_paper"), F.col("dst").alias("dst_unit"), T.py_round(F.col("raw"), 3).alias("similarity"), "rk")
-    best = materialize(best.join(target, ["granularity", "dst_paper", "dst_unit"]).drop("granularity"), "similar-best")
+    named_tags = tags.select(F.col("row").alias("dst_row"), F.col("tag").alias("dst_tag"))
+    best = best.select("row", F.col("dst_group").alias("dst_paper"), F.col("dst").alias("dst_unit"), "dst_row", T.py_round(F.col("raw"), 3).alias("similarity"), "rk").join(named_tags, "dst_row")
     per_tag = materialize(best.groupBy("row").agg(F.collect_list(F.struct("dst_paper", "dst_unit", "dst_tag", "similarity", "rk")).alias("matches")).join(tags.select("row", "n"), "row"), "similar-lists")
     out = join_groups(named.drop("n"), per_tag, ["row"], "n", named.count()).select("granularity", "paper", "unit", "tag", F.inline("matches"))
     out = out.filter(F.col("paper") != F.col("dst_paper"))

@@ -99,7 +99,7 @@ def best_in_block(left: list[str], right: list[str], jaccard: np.ndarray, text_o
 
 
 def best_matches(rows: DataFrame, offers: DataFrame, k: int, floor: float = 0.0, counted=None) -> DataFrame:
-    """``row, dst_group, dst, raw, rk``: of each group of ``offers`` the ``k`` most like each row.
+    """``row, dst_group, dst, dst_row, raw, rk``: of each group of ``offers`` the ``k`` most like each row.
 
     ``rows`` is ``row, block, text`` and ``offers`` is ``row, block, text, dst_group, dst``, where ``row`` numbers a text and those with one number have one text;
     rows and offers of one ``block`` value compare, ties go to the smaller ``dst``. Texts must not be null. Scores below ``floor`` are left out, and then
@@ -124,10 +124,10 @@ def best_matches(rows: DataFrame, offers: DataFrame, k: int, floor: float = 0.0,
         if counted is not None:
             counted.add((left.num_rows * len(names), compared))
         take = lambda t, c, at: t[c].combine_chunks().take(pa.array(at, pa.int64()))
-        return pa.table([take(left, "row", i), take(right, "dst_group", j), take(right, "dst", j), pa.array(score, pa.float64())], ["row", "dst_group", "dst", "raw"])
+        return pa.table([take(left, "row", i), take(right, "dst_group", j), take(right, "dst", j), take(right, "row", j), pa.array(score, pa.float64())], ["row", "dst_group", "dst", "dst_row", "raw"])
 
     # an offer's own row, or a number that no row has
     offers = offers.withColumn("own", (F.col("own") if "own" in kinds else F.lit(-1)).cast("long"))
-    met = blocks.meet(materialize(low(rows), "similar-left"), materialize(low(offers), "similar-right"), ["block"], ["row"], ["dst_group", "dst"], solve, f"row long, dst_group {kinds['dst_group']}, dst {kinds['dst']}, raw double")
+    met = blocks.meet(materialize(low(rows), "similar-left"), materialize(low(offers), "similar-right"), ["block"], ["row"], ["dst_group", "dst"], solve, f"row long, dst_group {kinds['dst_group']}, dst {kinds['dst']}, dst_row long, raw double")
     rk = F.row_number().over(Window.partitionBy("row", "dst_group").orderBy(F.desc("raw"), "dst"))
     return met.withColumn("rk", rk).filter(F.col("rk") <= k)

@@ -318,7 +318,7 @@ def test_refinement_with_string_ids_resumes(spark, tmp_path, monkeypatch):
     out = assign.refine(units, questions, 2, folder=str(tmp_path / "run"))
     rows = {(r.iter, r.paper, r.unit): r.group_id for r in out.collect()}
     assert [rows[n, p, u] for n in (1, 2) for p, u in (("p1", "pa1"), ("p1", "pa2"), ("p2", "pa1"), ("p2", "pa2"))] == ["group_1", "group_2", "group_1", None] * 2
-    monkeypatch.setattr(assign, "score_questions", None)
+    monkeypatch.setattr(assign, "best_questions", None)
     again = assign.refine(units, questions, 2, folder=str(tmp_path / "run"))
     assert {(r.iter, r.paper, r.unit): r.group_id for r in again.collect()} == rows
     before = spark.createDataFrame([("p1", "pa1", "group_1")], "paper string, unit string, group_id string")
