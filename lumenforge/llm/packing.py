@@ -75,6 +75,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -85,14 +87,38 @@ class Encoder:
     def _add(self, joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> range:
         """Store the words at ``starts`` to ``ends`` with their ids; their places in the cache."""
         first = len(self.ids)
-        words = [joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        self.ids.extend(*self._merged([joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())]))
         lengths = ends - starts
         upto = np.cumsum(lengths)
         self.letters.extend(cp[np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1])], lengths)
-        return range(first, first + len(words))
+        return range(first, first + len(starts))
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has.
+
+        Words that hold no white space and no added token go through the tokenizer as lines of one text: a line end is a word
+        of its own whose id no other word has, so it tells where a word's ids end.
+        """
+        added = self.added if self.added is not None and self.added.search("\n".join(words)) else None
+        plain = np.fromiter((not w[-1].isspace() and (added is None or added.search(w) is None) for w in words), bool, len(words)) & (self.line is not None)
+        sizes = np.zeros(len(words), np.int64)
+        flat = np.zeros(0, np.uint32)
+        if plain.any():
+            own = np.array(self.tokenizer.encode_batch_fast(["\n".join(w for w, p in zip(words, plain) if p) + "\n"], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(own == self.line)
+            if len(at) == plain.sum() and at[-1] == len(own) - 1:
+                sizes[plain], flat = np.diff(at, prepend=-1) - 1, own[own != self.line]
+            else:  # a line end merged with its word after all
+                plain[:] = False
+        if not plain.all():
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False)]
+            sizes[~plain] = [len(i) for i in rest]
+            other, upto = np.fromiter(chain.from_iterable(rest), np.uint32), np.cumsum(sizes)
+            out = np.zeros(upto[-1], np.uint32)
+            of_plain = np.repeat(plain, sizes)
+            out[of_plain], out[~of_plain] = flat, other
+            flat = out
+        return flat, sizes
 
     def _words(self, joined: str, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of words; added tokens that lie inside one text are parted off first."""
@@ -114,35 +140,15 @@ class Encoder:
         if len(self.ids) > self.LIMIT or self.letters.used > self.LETTERS:
             self._clear()
         starts, ends = self._words(joined, cp, bounds)
-        long = ends - starts > self.STORED
-        if long.any():
-            return self._with_long(joined, cp, bounds, starts, ends, long)
-        ids, upto = self.ids.take(self._stored(joined, cp, starts, ends))
-        return ids, upto[np.searchsorted(starts, bounds)]
-
-    def _with_long(self, joined: str, cp: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``encode`` where words are ``long``: those stand at the end of the cache until the ids are taken."""
-        short = np.flatnonzero(~long)
-        sizes = ends - starts
-        word = np.zeros(len(starts), np.int64)
-        if len(short):
-            # the short words alone, one after another, as comparing them needs
-            upto = np.cumsum(sizes[short])
-            letters = cp[np.repeat(starts[short] - upto + sizes[short], sizes[short]) + np.arange(upto[-1])]
-            word[short] = self._stored("".join(joined[s:e] for s, e in zip(starts[short].tolist(), ends[short].tolist())), letters, upto - sizes[short], upto)
-        kept = [(x, x.count, x.used, x.flat) for x in (self.ids, self.letters)]
-        word[long] = self._add(joined, cp, starts[long], ends[long])
-        ids, upto = self.ids.take(word)
-        for x, count, used, flat in kept:  # what was added for them goes, with the room that it took
-            x.count, x.used, x.flat = count, used, flat
-        return ids, upto[np.searchsorted(starts, bounds)]
-
-    def _stored(self, joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The places in the cache of words that follow one another and fill ``cp``."""
         keys, first, inverse = np.unique(vectext.span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
         keys = keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
+        kept, odd = len(new), len(self.odd)
         if new:
+            long = (ends - starts)[first[new]] > self.STORED
+            if long.any():  # those come last and go again below
+                kept -= int(long.sum())
+                new = [i for i, x in zip(new, long) if not x] + [i for i, x in zip(new, long) if x]
             at = first[new]
             self.known.update(zip([keys[i] for i in new], self._add(joined, cp, starts[at], ends[at])))
         word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
@@ -151,7 +157,23 @@ class Encoder:
             if own not in self.odd:
                 self.odd[own] = self._add(joined, cp, starts[i : i + 1], ends[i : i + 1])[0]
             word[i] = self.odd[own]
-        return word
+        ids, upto = self.ids.take(word)
+        if kept < len(new):
+            self._forget([keys[i] for i in new[kept:]], len(self.odd) > odd)
+        return ids, upto[np.searchsorted(starts, bounds)]
+
+    def _forget(self, keys: list[int], mixed: bool) -> None:
+        """Drop the words of ``keys``, which were stored last; all words if others were stored behind them."""
+        if mixed:
+            self._clear()
+            return
+        for k in keys:
+            del self.known[k]
+        for spans in (self.ids, self.letters):
+            spans.count -= len(keys)
+            spans.used = int(spans.begin[spans.count])
+            if len(spans.flat) > 1 << 16 and len(spans.flat) > 4 * spans.used:
+                spans.flat = spans.flat[: max(1 << 16, 2 * spans.used)].copy()
 
 
 _encoders: dict[str, Encoder] = {}
