@@ -56,6 +56,32 @@ top AS MATERIALIZED (
   GROUP BY a.granularity, a.paper, a.unit, b.paper, b.unit HAVING score >= 0.1 QUALIFY rk <= 3)""" + _MUTUAL
 
 
+# The ratio of two short strings: the longest common substring, the first in the left and then in the right one, and the same on both its sides.
+_RATIO = """
+matched AS (
+  SELECT a AS l, b AS r, a, b, list_max(flatten([[n * 1000 - i FOR n IN range(1, length(a) - i + 2) IF strpos(b, substr(a, i, n)) > 0] FOR i IN range(1, length(a) + 1)])) AS m FROM strings
+  UNION ALL
+  SELECT l, r, a, b, list_max(flatten([[n * 1000 - i FOR n IN range(1, length(a) - i + 2) IF strpos(b, substr(a, i, n)) > 0] FOR i IN range(1, length(a) + 1)])) AS m
+  FROM (SELECT l, r, unnest([{'a': substr(a, 1, i - 1), 'b': substr(b, 1, strpos(b, substr(a, i, n)) - 1)}, {'a': substr(a, i + n), 'b': substr(b, strpos(b, substr(a, i, n)) + n)}], recursive := true)
+        FROM (SELECT *, ((m + 999) // 1000)::BIGINT AS n, (((m + 999) // 1000) * 1000 - m)::BIGINT AS i FROM matched WHERE m IS NOT NULL))
+  WHERE a <> '' AND b <> ''),
+ratios AS (SELECT l, r, CASE WHEN length(l) + length(r) > 0 THEN 2.0::DOUBLE * coalesce(sum((m + 999) // 1000), 0) / (length(l) + length(r)) ELSE 1 END AS ratio FROM matched GROUP BY l, r),
+similar_text AS MATERIALIZED (
+  SELECT l, r, 0.5::DOUBLE * CASE WHEN len(u) + len(v) > 0 THEN len(list_intersect(u, v))::DOUBLE / (len(u) + len(v) - len(list_intersect(u, v))) ELSE 0 END + 0.5::DOUBLE * ratio AS raw
+  FROM (SELECT *, list_distinct(regexp_extract_all(l, '[a-z0-9]+')) AS u, list_distinct(regexp_extract_all(r, '[a-z0-9]+')) AS v FROM ratios))"""
+
+_PARTS = """p AS (SELECT p_brand AS paper, p_partkey AS unit, p_name AS tag, lower(p_name) AS low FROM part),
+strings AS (SELECT a.low AS a, b.low AS b FROM (SELECT DISTINCT low FROM p) a, (SELECT DISTINCT low FROM p) b),""" + _RATIO + """,
+offers AS (SELECT paper AS dst_paper, unit AS dst_unit, tag AS dst_tag, low AS r FROM p QUALIFY row_number() OVER (PARTITION BY paper, low ORDER BY unit) <= 3),
+ranked AS (SELECT l, dst_paper, dst_unit, dst_tag, round_even(raw * 1000, 0)::INT AS mille, row_number() OVER (PARTITION BY l, dst_paper ORDER BY raw DESC, dst_unit) AS rk FROM similar_text JOIN offers USING (r) QUALIFY rk <= 3),
+best AS MATERIALIZED (SELECT paper, unit, tag, dst_paper, dst_unit, dst_tag, mille, rk FROM p JOIN ranked ON low = l WHERE paper <> dst_paper)"""
+_NAMES = """g AS (SELECT s_suppkey AS group_id, lower(s_name) AS low FROM supplier),
+strings AS (SELECT a.low AS a, b.low AS b FROM (SELECT DISTINCT low FROM g) a, (SELECT DISTINCT low FROM g) b),""" + _RATIO + """,
+best AS MATERIALIZED (SELECT a.group_id, b.group_id AS dst_group, round_even(raw * 1000, 0)::INT AS mille, row_number() OVER (PARTITION BY a.group_id ORDER BY raw DESC, b.group_id) AS rk
+  FROM g a JOIN similar_text s ON a.low = s.l JOIN g b ON b.low = s.r WHERE a.group_id <> b.group_id QUALIFY rk <= 3),
+mutual AS MATERIALIZED (SELECT x.group_id AS group_a, x.dst_group AS group_b, x.rk, x.mille FROM best x JOIN best y ON x.group_id = y.dst_group AND x.dst_group = y.group_id WHERE x.group_id < x.dst_group)"""
+
+
 def _top(spark, sf_dir):
     return match.top_matches(conv_units(spark, sf_dir))
 
@@ -101,6 +127,12 @@ def group_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.groups(_links(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {_NEAR + _COMPONENTS} SELECT k.granularity, group_no, k.paper, k.unit, k.dst_paper, k.dst_unit, k.shared, k.total, k.rk FROM kept k JOIN comp ON comp.g = k.granularity AND comp.p = k.paper AND comp.u = k.unit JOIN numbered USING (g, c)")
+def group_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each group; ``(paper, unit, dst_paper, rk)`` is their order inside it."""
+    return match.groups_and_links(_links(spark, sf_dir))[1].select("granularity", "group_no", "paper", "unit", "dst_paper", "dst_unit", "shared", "total", "rk")
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
@@ -131,7 +163,8 @@ def paragraph_slot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.slot_pair_counts(units)
 
 
-@query()
+@query(f"""WITH {_UNITS}, s AS (SELECT paper, unit, unnest([{{'slot': 'tag', 'v': tag}}, {{'slot': 'prev_relation', 'v': prev_relation}}, {{'slot': 'next_relation', 'v': next_relation}}], recursive := true) FROM units)
+SELECT slot, lower(regexp_replace(v, '^\\s+|\\s+$', '', 'g')) AS value, paper, unit FROM s WHERE coalesce(v, '') <> ''""")
 def paragraph_slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot similarity of all pairs of units as classes of equal slots; the tag is the whole text."""
     return match.slot_classes(conv_units(spark, sf_dir))
@@ -158,12 +191,14 @@ def section_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_sections(items)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARTS}
+SELECT 'part' AS granularity, paper, unit, tag, count(*) AS matches, string_agg(dst_paper || ':' || dst_unit || '=' || mille, ' ' ORDER BY dst_paper, rk) AS listing FROM best GROUP BY ALL""")
 def tag_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part with its most similar parts of every other brand, by tag similarity."""
+    """Each part with its most similar parts of every other brand, by tag similarity in thousandths."""
     units = part_units(spark, sf_dir)
     table_ = match.match_table(units, match.similarity_matches(units))
-    return table_.select("granularity", "paper", "unit", "tag", F.size("matches").alias("matches"), F.get("matches", F.lit(0))["similarity"].alias("first_similarity"))
+    entry = lambda m: F.concat(m["paper"], F.lit(":"), m["unit"].cast("string"), F.lit("="), F.round(m["similarity"] * 1000).cast("int").cast("string"))
+    return table_.select("granularity", "paper", "unit", "tag", F.size("matches").alias("matches"), F.array_join(F.transform("matches", entry), " ").alias("listing"))
 
 
 def _questions(spark, sf_dir):
@@ -194,10 +229,38 @@ def stage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("members", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).drop("sizes")
 
 
-@query()
+def _names(spark, sf_dir):
+    """Suppliers as groups whose question is their name: all much alike, none equal."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("group_id"), F.col("s_suppkey").alias("position"), F.col("s_name").alias("question"))
+
+
+@query(f"WITH RECURSIVE {_NAMES} SELECT group_id, dst_group, mille / 1000.0::DOUBLE AS score, rk FROM best")
+def name_group_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.group_matches(_names(spark, sf_dir)).select("group_id", "dst_group", "score", "rk")
+
+
+@query(f"WITH RECURSIVE {_NAMES} SELECT group_a, group_b, group_a AS position, rk, mille / 1000.0::DOUBLE AS score FROM mutual")
+def name_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.mutual_group_links(match.group_matches(_names(spark, sf_dir)))
+
+
+_SUPER = _NAMES + """,
+e AS (SELECT group_a AS x, group_b AS y FROM mutual WHERE mille >= 330 UNION SELECT group_b, group_a FROM mutual WHERE mille >= 330),
+reach AS (SELECT x, x AS root FROM e UNION SELECT e.y, r.root FROM reach r JOIN e ON e.x = r.x),
+comp AS (SELECT x, min(root) AS c FROM reach GROUP BY x),
+firsts AS (SELECT c, min((group_a, rk)) AS f FROM mutual JOIN comp ON group_a = x WHERE mille >= 330 GROUP BY c),
+placed AS (SELECT c, size, row_number() OVER (ORDER BY size DESC, f) AS super_group FROM (SELECT c, count(*) AS size FROM comp GROUP BY c) JOIN firsts USING (c))"""
+
+
+@query(f"WITH RECURSIVE {_SUPER} SELECT super_group, size, x AS group_id FROM comp JOIN placed USING (c)")
 def super_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item as a group whose question is its whole text."""
-    return match.super_groups(match.mutual_group_links(match.group_matches(_questions(spark, sf_dir))))
+    return match.super_groups(match.mutual_group_links(match.group_matches(_names(spark, sf_dir))))
+
+
+@query(f"WITH RECURSIVE {_SUPER} SELECT super_group, group_a, group_b, group_a AS position, rk, mille / 1000.0::DOUBLE AS score FROM mutual JOIN comp ON group_a = x JOIN placed USING (c) WHERE mille >= 330")
+def super_group_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each super-group; ``(position, rk)`` is their order inside it."""
+    return match.super_groups_and_links(match.mutual_group_links(match.group_matches(_names(spark, sf_dir))))[1]
 
 
 def _scores(spark, sf_dir):
@@ -303,10 +366,16 @@ def marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", hit("<H1>").alias("h1"), hit("2.1 <Article>").alias("article"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, html, strpos(lower(html), '<h1>') AS a FROM pages),
+q AS (SELECT *, CASE WHEN strpos(lower(substr(html, a + 1)), '</h1>') > 0 THEN a + strpos(lower(substr(html, a + 1)), '</h1>') ELSE 0 END AS b FROM p),
+r AS (SELECT *, CASE WHEN strpos(lower(substr(html, greatest(a, b) + 1)), '<p>') > 0 THEN greatest(a, b) + strpos(lower(substr(html, greatest(a, b) + 1)), '<p>') ELSE 0 END AS c FROM q),
+s AS (SELECT page_id, unnest([{'position': 0, 'k': a, 'e': coalesce(nullif(b, 0), nullif(c, 0))}, {'position': 1, 'k': b, 'e': nullif(c, 0)}, {'position': 2, 'k': c, 'e': NULL}, {'position': 3, 'k': 0, 'e': NULL}], recursive := true), html FROM r)
+SELECT page_id, position, CASE WHEN k > 0 THEN sha256(trim(CASE WHEN e IS NULL THEN substr(html, k) ELSE substr(html, k, e - k) END, E' \\n\\t\\r')) END AS slice_sha256 FROM s""")
 def marker_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four markers to each page, one found without its number and one that never stands there."""
     markers = F.array(*map(F.lit, ("<h1>", "</h1>", "2. <p>", "no such marker")))
-    return table(spark, sf_dir, "pages").select("page_id", T.slice_by_markers(F.col("html"), markers).alias("slices"))
+    slices = F.posexplode(T.slice_by_markers(F.col("html"), markers)).alias("position", "slice")
+    return table(spark, sf_dir, "pages").select("page_id", slices).select("page_id", "position", F.sha2(F.encode("slice", "UTF-8"), 256).alias("slice_sha256"))
 
 
 @query("""WITH p AS (SELECT page_id, html, strpos(html, '<h1>') AS h, strpos(html, '<article>') AS a FROM pages),
@@ -422,7 +491,9 @@ def correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.Alignment(*region_graphs(spark, sf_dir)).correspondences()
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT n_regionkey AS paper, 'n' || n_nationkey AS id, lower(n_name) AS low FROM nation),
+strings AS (SELECT DISTINCT x.low AS a, y.low AS b FROM n x JOIN n y ON x.paper < y.paper), {_RATIO}
+SELECT x.paper AS paper_a, y.paper AS paper_b, x.id AS a, y.id AS b, raw + 0.2::DOUBLE AS score FROM n x JOIN n y ON x.paper < y.paper JOIN similar_text s ON s.l = x.low AND s.r = y.low""")
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.entity_candidates(region_graphs(spark, sf_dir)[0])
 
@@ -432,12 +503,29 @@ def alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(*region_graphs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARTS}
+SELECT 'part' AS granularity, a.paper, a.unit, a.dst_paper, a.dst_unit, a.mille / 1000.0::DOUBLE AS score, a.rk FROM best a
+JOIN best b ON a.paper = b.dst_paper AND a.unit = b.dst_unit AND a.dst_paper = b.paper AND a.dst_unit = b.unit WHERE (a.paper, a.unit) < (a.dst_paper, a.dst_unit) AND a.mille >= 450""")
 def tag_similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.similarity_links(part_units(spark, sf_dir))
 
 
-@query()
+def _refined(rounds: int) -> str:
+    """SQL of so many rounds of assigning and relabelling, one after another."""
+    out = ["u AS MATERIALIZED (SELECT conv_id AS paper, turn AS unit, text AS tag, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations)", "q1 AS (SELECT item_id AS group_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS v FROM benchmark)"]
+    for n in range(1, rounds + 1):
+        out += [
+            f"s{n} AS (SELECT paper, unit, group_id, CASE WHEN len(w) + len(v) > 0 THEN len(list_intersect(w, v))::DOUBLE / (len(w) + len(v) - len(list_intersect(w, v))) ELSE 0 END AS score FROM u, q{n})",
+            f"b{n} AS MATERIALIZED (SELECT paper, unit, CASE WHEN score > 0 THEN group_id END AS group_id FROM s{n} QUALIFY row_number() OVER (PARTITION BY paper, unit ORDER BY score DESC, group_id) = 1)",
+            f"w{n} AS MATERIALIZED (SELECT group_id, paper, unit, unnest(w) AS x FROM b{n} JOIN u USING (paper, unit) WHERE group_id IS NOT NULL)",
+            f"t{n} AS (SELECT group_id, paper, unit, sum(n) AS s FROM w{n} JOIN (SELECT group_id, x, count(*) AS n FROM w{n} GROUP BY ALL) USING (group_id, x) GROUP BY ALL)",
+            f"q{n + 1} AS MATERIALIZED (SELECT group_id, w AS v FROM b{n} JOIN u USING (paper, unit) LEFT JOIN t{n} USING (group_id, paper, unit) WHERE group_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY coalesce(s, 0) DESC, paper, unit) = 1)",
+        ]
+    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT {n} AS iter, paper, unit, group_id FROM b{n}" for n in range(1, rounds + 1))
+
+
+@query(_refined(5))
 def refine_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = assign.require_questions(_questions(spark, sf_dir))
     return assign.refine(conv_units(spark, sf_dir), questions, 5)
+
