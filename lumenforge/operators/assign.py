@@ -95,13 +95,19 @@ def best_units(units: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def assign(scores: DataFrame) -> DataFrame:
-    """The best question of each unit; null where none shares a token, ties to the smallest id."""
+    """The best question of each unit; null where none shares a token, ties to the smallest id.
+
+    Repeated units have one assignment; an empty table gives no rows.
+    """
     rk = F.row_number().over(Window.partitionBy("paper", "unit").orderBy(F.desc("score"), "group_id"))
     return scores.withColumn("rk", rk).filter("rk = 1").select("paper", "unit", F.when(F.col("score") > 0, F.col("group_id")).alias("group_id"))
 
 
 def reassigned(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``reassigned, total_assigned``; a unit that had no group and has one counts as reassigned."""
+    """``reassigned, total_assigned``; a unit that had no group and has one counts as reassigned.
+
+    A null group counts in neither; a unit that repeats in ``before`` counts once for each time; empty tables give 0 and 0.
+    """
     old = before.select("paper", "unit", F.col("group_id").alias("old"))
     both = after.join(old, ["paper", "unit"], "left")
     moved = F.col("group_id").isNotNull() & ~F.col("group_id").eqNullSafe(F.col("old"))
@@ -109,15 +115,18 @@ def reassigned(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def dropped_groups(questions: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``group_id``: the questions that no unit is assigned to, all of them where ``assignment`` is empty; a null id is never assigned to."""
     return questions.select("group_id").join(assignment, "group_id", "left_anti")
 
 
 def rank_questions(scores: DataFrame) -> DataFrame:
+    """``paper, unit, group_id, rank``: all questions of each unit, ties by id. Repeated rows have ranks of their own; an empty table gives no rows."""
     rk = F.row_number().over(Window.partitionBy("paper", "unit").orderBy(F.desc("score"), "group_id"))
     return scores.select("paper", "unit", "group_id", rk.alias("rank"))
 
 
 def rank_units(scores: DataFrame) -> DataFrame:
+    """``group_id, paper, unit, rank``: all units of each paper by question, ties by unit. Repeated rows have ranks of their own; an empty table gives no rows."""
     rk = F.row_number().over(Window.partitionBy("group_id", "paper").orderBy(F.desc("score"), "unit"))
     return scores.select("group_id", "paper", "unit", rk.alias("rank"))
 
@@ -144,7 +153,10 @@ def balance(members: DataFrame, ranks: DataFrame, papers: DataFrame) -> DataFram
 
 
 def balance_table(members: DataFrame, ranks: DataFrame, papers: DataFrame, questions: DataFrame) -> DataFrame:
-    """``place, group_id, overarching_question, group_balance, member_count``: balance to one digit, the highest first, ties by ``position`` of ``questions``."""
+    """``place, group_id, overarching_question, group_balance, member_count``: balance to one digit, the highest first, ties by ``position`` of ``questions``.
+
+    A group without a question has an empty one and comes last among equals; without members there are no rows.
+    """
     rows = balance(members, ranks, papers).join(questions.select("group_id", "position", F.col("question").alias("overarching_question")), "group_id", "left")
     rows = rows.withColumn("group_balance", T.py_round(F.col("balance"), 1))
     rows = numbered(materialize(rows, "balance"), [F.desc("group_balance"), F.asc_nulls_last("position"), F.col("group_id")], "place")

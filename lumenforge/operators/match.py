@@ -102,7 +102,10 @@ def _bounds(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def mutual_links(candidates: DataFrame) -> DataFrame:
-    """Pairs that chose each other, in the direction of the earlier unit, with that direction's score."""
+    """Pairs that chose each other, in the direction of the earlier unit, with that direction's score.
+
+    A null paper or unit has no link; a candidate that repeats is linked each time; an empty table gives no rows.
+    """
     back = candidates.select("granularity", F.col("paper").alias("dst_paper"), F.col("unit").alias("dst_unit"), F.col("dst_paper").alias("paper"), F.col("dst_unit").alias("unit"))
     earlier = F.struct("paper", "unit") < F.struct("dst_paper", "dst_unit")
     return candidates.filter(earlier).join(back, ["granularity", "paper", "unit", "dst_paper", "dst_unit"])
@@ -321,7 +324,7 @@ def group_matches(groups: DataFrame, k: int = 3, counted=None) -> DataFrame:
 
 
 def mutual_group_links(candidates: DataFrame) -> DataFrame:
-    """``group_a, group_b, position, rk, score``: groups that chose each other, in the direction of the earlier one, with that direction's score."""
+    """``group_a, group_b, position, rk, score``: groups that chose each other, in the direction of the earlier one, with that direction's score. An empty table gives no rows."""
     back = candidates.select(F.col("group_id").alias("dst_group"), F.col("dst_group").alias("group_id"))
     links = candidates.filter(F.col("position") < F.col("dst_position")).join(back, ["group_id", "dst_group"])
     return links.select(F.col("group_id").alias("group_a"), F.col("dst_group").alias("group_b"), "position", "rk", "score")

@@ -26,16 +26,20 @@ def attach_text(sections: DataFrame, raw: DataFrame) -> DataFrame:
     """``sections`` (``paper, position, title``, ...) with ``text`` and ``is_missing``: the slice of ``raw`` (``paper, text``) from its title to the next one found.
 
     The whole raw text is searched, in order of ``position``. A section whose title is not found gets a fixed
-    sentence; so does each of a paper without raw text. A null title is not found. Any other column stays; one named text is replaced.
+    sentence; so does each of a paper without raw text. A null title is not found. Any other column stays, whatever its name; those named ``text`` and ``is_missing`` are replaced. Sections of a paper that
+    repeat a position each meet all slices of it, so positions must differ; an empty table gives no rows.
     """
-    titles = sections.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("title", F.lit("")).alias("title")))).alias("s"))
+    names = {c: f"_c{i}" for i, c in enumerate(sections.columns)}
+    own = sections.toDF(*names.values())  # so that no column of ours meets one of theirs
+    paper, position, title = (names[c] for c in ("paper", "position", "title"))
+    titles = own.groupBy(F.col(paper).alias("paper")).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("position"), F.coalesce(title, F.lit("")).alias("title")))).alias("s"))
     cut = titles.join(raw.select("paper", F.col("text").alias("raw")), "paper")
     slices = T.slice_by_markers(F.coalesce("raw", F.lit("")), F.transform("s", lambda x: x["title"]))
-    rows = cut.withColumn("_slices", slices).select("paper", "_slices", F.posexplode("s").alias("_i", "x"))
-    rows = rows.select("paper", F.col("x.position").alias("position"), F.get("_slices", F.col("_i")).alias("_slice"))
-    kept = [c for c in sections.columns if c not in ("text", "is_missing")]
-    out = sections.select(*kept).join(rows, ["paper", "position"], "left")
-    return out.select(*kept, F.coalesce("_slice", F.lit(MISSING)).alias("text"), F.col("_slice").isNull().alias("is_missing"))
+    rows = cut.withColumn("slices", slices).select("paper", "slices", F.posexplode("s").alias("i", "x"))
+    rows = rows.select(F.col("paper").alias("_paper"), F.col("x.position").alias("_position"), F.get("slices", F.col("i")).alias("_slice"))
+    out = own.join(rows, (F.col(paper) == F.col("_paper")) & F.col(position).eqNullSafe(F.col("_position")), "left")
+    kept = [c for c in names if c not in ("text", "is_missing")]
+    return out.select(*[F.col(names[c]).alias(c) for c in kept], F.coalesce("_slice", F.lit(MISSING)).alias("text"), F.col("_slice").isNull().alias("is_missing"))
 
 
 def missing_titles(attached: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ def lines(words: DataFrame) -> DataFrame:
     largest gap if that is at least 15 and four times the upper median of its other gaps, and the
     page's middle lies between its start and the gap's end. Lines wider than 0.6 pages, and those whose
     words begin left of the middle on average, read first. A page is ordered within one task.
+
+    A null word text is left out of its line; words of a null document or page, or without a place, are not read; repeated
+    words stand twice; an empty table gives no rows.
     """
     row = ["doc", "page", "key"]
     order = Window.partitionBy(*row).orderBy("x0", "word_ord")
@@ -35,7 +38,7 @@ def lines(words: DataFrame) -> DataFrame:
 
 
 def page_text(words: DataFrame) -> DataFrame:
-    """``doc, page, text``: a page's lines in reading order, one to a line of text."""
+    """``doc, page, text``: a page's lines in reading order, one to a line of text; no rows for pages without words (see ``lines``)."""
     numbered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     return lines(words).groupBy("doc", "page").agg(F.array_join(F.transform(numbered, lambda s: s["text"]), "\n").alias("text"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenforge.plans.prefix import numbered
 from lumenforge.sources import stages
 
 UNIT = "id STRING, title STRING, tag STRING, text STRING, prev_relation STRING, next_relation STRING, section_id STRING"
@@ -52,7 +53,7 @@ def subset(papers: DataFrame, wanted: list[str] | None) -> DataFrame:
 
 def manifest(papers: DataFrame) -> DataFrame:
     """``paper_ord, paper_id, title, file`` in order of file name; other files of the folder don't count."""
-    return papers.select((F.row_number().over(Window.orderBy("file")) - 1).alias("paper_ord"), "paper_id", "title", "file")
+    return numbered(papers.select("paper_id", "title", "file"), ["file"], "paper_ord", start=0).select(F.col("paper_ord").cast("int").alias("paper_ord"), "paper_id", "title", "file")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

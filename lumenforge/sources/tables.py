@@ -51,14 +51,14 @@ def deep_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Entities and propositions of one graph per nation, with chains, cycles and arguments that lead nowhere.
 
     Entities are the suppliers. A customer is a proposition about the supplier with its key; an order of a customer
-    is one about the customer, and, every seventh, about the next order as well, the last about the first of its nation: a chain that
-    closes. Every eleventh order has an argument that is not there.
+    is one about the customer and about the next order, the last about the first of its nation: a chain that
+    closes. Every eleventh order has an argument that is not there instead.
     """
     customer, orders, supplier = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
     entities = supplier.select(F.col("s_nationkey").alias("paper"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("kind"))
     buyers = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("paper"))
     first = customer.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("predicate"), F.array(F.concat(F.lit("s"), "c_custkey")).alias("args"))
-    placed = orders.filter("o_orderkey % 7 = 0").join(buyers, "o_custkey").select("paper", "o_orderkey", "o_custkey", "o_orderpriority")
+    placed = orders.join(buyers, "o_custkey").select("paper", "o_orderkey", "o_custkey", "o_orderpriority")
     w = Window.partitionBy("paper").orderBy("o_orderkey")
     following = F.coalesce(F.lead("o_orderkey").over(w), F.first("o_orderkey").over(w))
     more = F.when(F.col("o_orderkey") % 11 == 0, F.lit("nowhere")).otherwise(F.concat(F.lit("o"), following))

@@ -195,3 +195,50 @@ def test_nulls_do_not_stop_matching(spark):
     assert scores == {("e1", "f1"): 0.0, ("e1", "f2"): 0.7}
     sim = spark.createDataFrame([(None, "a"), (None, None), ("A", "a")], "a string, b string").select(T.text_similarity(F.col("a"), F.col("b")).alias("s"))
     assert [r.s for r in sim.collect()] == [0.0, 0.5, 1.0]
+
+
+def test_one_predicate_on_a_third_of_all_propositions(spark, monkeypatch):
+    monkeypatch.setattr(align, "PROPOSITIONS", 5)
+    rng = random.Random(12)
+    rows = [(rng.choice("xyz"), f"p{i}", rng.choice(["IS", "is", "is", "has", None, f"q{i % 9}"]), rng.choice([None, [], ["e"], ["e", "f"], ["e", None]])) for i in range(90)]
+    rows += rows[:4]
+    frame = spark.createDataFrame(rows, "paper string, id string, predicate string, args array<string>")
+    want = {(a[0], b[0], a[1], b[1]) for a in rows for b in rows if a[0] < b[0] and a[2] and b[2] and a[2].lower() == b[2].lower() and len(a[3] or []) == len(b[3] or [])}
+    got = [tuple(r)[:4] for r in align.proposition_candidates(frame).collect()]
+    assert set(got) == want and len(got) == len(want) > 150
+    assert align.proposition_candidates(frame.limit(0)).count() == 0
+
+
+def test_attached_text_keeps_columns_of_any_name(spark):
+    from lumenforge.operators import paragraphs
+
+    sections = spark.createDataFrame([("p", 1, "Intro", "s", "x", 5), ("p", None, None, "t", "y", 6), ("q", 1, "Intro", None, None, None)], "paper string, position int, title string, _slice string, raw string, _position int")
+    raw = spark.createDataFrame([("p", "Intro here")], "paper string, text string")
+    got = sorted(paragraphs.attach_text(sections, raw).collect(), key=lambda r: (r.paper, r.position is not None))
+    assert [(r.paper, r._slice, r._position, r.is_missing) for r in got] == [("p", "t", 6, True), ("p", "s", 5, False), ("q", None, None, True)]
+    assert got[1].text == "Intro here" and got[0].text == paragraphs.MISSING
+    assert paragraphs.attach_text(sections.limit(0), raw).count() == 0
+
+
+def test_manifest_maps_titles_and_questions_of_super_groups(spark, tmp_path):
+    import json
+
+    from lumenforge.operators import paragraphs
+    from lumenforge.sources import documents, stages
+
+    papers = spark.createDataFrame([("b", "B", "b.json"), ("a", "A", "a.json"), ("c", None, "c.json")], "paper_id string, title string, file string")
+    order = documents.manifest(papers)
+    assert [(r.paper_ord, r.paper_id) for r in order.orderBy("paper_ord").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    path = tmp_path / "manifest.json"
+    path.write_text(json.dumps([{"paper_id": "z", "title": "Z", "file": "z.json"}, {"paper_id": "a", "title": "A", "file": "a.json"}]))
+    assert [tuple(r) for r in documents.read_manifest(spark, str(path)).orderBy("paper_ord").collect()] == [(0, "z", "Z", "z.json"), (1, "a", "A", "a.json")]
+    stages.write_map(spark.createDataFrame([("u1", ["g2", "g1"]), ("u2", [])], "unit string, ranking array<string>"), "unit", "ranking", str(tmp_path / "map"))
+    lines = [json.loads(x) for f in (tmp_path / "map").glob("part-*") for x in f.read_text().splitlines()]
+    assert sorted(map(str, lines)) == sorted(map(str, [{"u1": ["g2", "g1"]}, {"u2": []}]))
+    assert {r.paper_id: r.t for r in papers.select("paper_id", paragraphs.default_title(F.col("title"), F.col("paper_id")).alias("t")).collect()} == {"a": "A", "b": "B", "c": "c"}
+    members = spark.createDataFrame([(1, "g1", "why do models fail"), (1, "g2", "why do models learn"), (1, "g3", "cats"), (2, "g4", "lone")], "super_group int, group_id string, question string")
+    assert {tuple(r) for r in assign.super_group_questions(members).collect()} == {(1, "why do models fail"), (2, "lone")}
+    links = spark.createDataFrame([("paragraphs", "a", 1, "b", 1, 0.9, 1)], "granularity string, paper string, unit int, dst_paper string, dst_unit int, score double, rk int")
+    stages.write_json(match.nested_groups(links), str(tmp_path / "groups"))
+    group = json.loads(next((tmp_path / "groups").glob("part-*")).read_text())
+    assert group["group_id"] == "group_1" and len(group["members"]) == 2 and group["links"][0]["dst_paper"] == "b"
