@@ -478,6 +478,17 @@ def deep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.systematicity(props, papers, entities)
 
 
+@query(f"""WITH {_GRAPH}, ok AS (SELECT c.* FROM cand c WHERE len(x) = 1 OR EXISTS (SELECT 1 FROM cand d WHERE d.paper_a = c.paper_a AND d.paper_b = c.paper_b AND d.a = c.x[1] AND d.b = c.y[1])),
+gone AS (SELECT * FROM cand WHERE (paper_a, paper_b, a, b) NOT IN (SELECT (paper_a, paper_b, a, b) FROM ok)),
+log AS (SELECT paper_a, paper_b, 1 AS step, 'candidate' AS kind, a, b, NULL AS detail FROM cand
+  UNION ALL SELECT paper_a, paper_b, 2, 'removed', a, b, 'argument 0: sub-proposition ' || x[1] || '/' || y[1] || ' didn''t survive an earlier pass' FROM gone
+  UNION ALL SELECT paper_a, paper_b, 2 + ((paper_a, paper_b) IN (SELECT (paper_a, paper_b) FROM gone))::INT, 'survivor', a, b, NULL FROM ok)
+SELECT paper_a, paper_b, row_number() OVER (PARTITION BY paper_a, paper_b ORDER BY step, a, b) AS ordinal, step, kind, a, b, detail FROM log""")
+def alignment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened to each pair of propositions of two regions, before kernels are merged."""
+    return align.Alignment(*region_graphs(spark, sf_dir)).events().filter("kind in ('candidate', 'removed', 'survivor')")
+
+
 @query()
 def alignment_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps, passes, removed pairs and merge conflicts of each two regions."""

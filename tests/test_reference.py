@@ -140,6 +140,13 @@ def test_traces_of_small_graphs(spark):
     c = t.merge_steps[1].conflict
     assert (c.id, c.side, c.existing_partner, c.wanted_partner) == ("a1", "a", "b1", "b2")
     assert trace[2, 3].steps == 3 and trace[2, 3].merge_steps == []
+    events = found.events().filter("paper_a = 1 and paper_b = 2").orderBy("ordinal").collect()
+    assert [e.ordinal for e in events] == list(range(1, len(events) + 1)) and [e.step for e in events] == sorted(e.step for e in events)
+    of = lambda kind: [(e.a, e.b) for e in events if e.kind == kind]
+    assert of("candidate") == [(x.a, x.b) for x in t.candidates] and of("survivor") == [(x.a, x.b) for x in t.surviving]
+    assert [(e.step - 1, e.a, e.b, e.detail) for e in events if e.kind == "removed"] == [(s["pass"], x.a, x.b, x.reason) for s in t.connectivity_passes for x in s.removed]
+    assert [(e.kind, e.a, e.b, e.step) for e in events[-2:]] == [(m.decision, m.root_a, m.root_b, 6 + n) for n, m in enumerate(t.merge_steps)]
+    assert events[-1].detail == "a a1: is b1, wanted b2"
     links = found.correspondences().orderBy("kind", "place").collect()
     assert [(r.kind, r.a, r.b) for r in links] == [("entity", "a1", "b1"), ("entity", "a2", "b2"), ("prop", "p1", "q1")]
     assert links[0].name_similarity == 1.2 and links[2].order_a == 0
