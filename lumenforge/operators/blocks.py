@@ -61,10 +61,13 @@ def meet(left: DataFrame, right: DataFrame, group: list[str], left_key: list[str
 def with_chunks(rows: DataFrame, group: list[str], unit: str) -> DataFrame:
     """Add ``chunk`` and ``chunks``: groups of more than BLOCK rows are dealt by ``unit`` over chunks of about BLOCK rows, all others are one chunk.
 
-    ``rows`` is read twice: pass a written table. Large groups alone are broadcast or joined; they are at most a BLOCK-th as many as rows.
+    ``rows`` is read several times: pass a written table. Where no group is large nothing is joined.
     """
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn("chunks", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    met = join_groups(rows, materialize(sizes, "chunks"), group, "_n", rows.count()).drop("_n")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).withColumn("chunks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    sizes = materialize(sizes, "chunks")
+    if sizes.isEmpty():
+        return rows.withColumns({"chunks": F.lit(1), "chunk": F.lit(0)})
+    met = join_groups(rows, sizes, group, "_n", rows.count(), "left").drop("_n").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     return met.withColumn("chunk", F.pmod(F.xxhash64(unit), F.col("chunks")).cast("int"))
 
 

@@ -15,17 +15,6 @@ from lumenforge.plans.lineage import materialize
 from lumenforge.plans.prefix import numbered
 from lumenforge.plans.skew import join_groups
 
-SALTS = 32
-
-
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
-    """All pairs that agree in ``on`` although its few values would each fill one task: ``left`` is dealt over
-    ``salts`` parts, ``right`` goes to each."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.to_json(F.struct(c)) if dict(left.dtypes)[c].startswith("map") else F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*on, "_salt"]).drop("_salt")
-
-
 def _best_places(score: np.ndarray, paper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and rank of the ``k`` best columns of each row within each paper; ties go to the earlier column. ``paper`` ascends."""
     order = np.argsort(-score, axis=1, kind="stable")
@@ -81,7 +70,7 @@ def top_matches(units: DataFrame, k: int = 3) -> DataFrame:
     schema = f"granularity string, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, shared int, total int, score double, rk int"
     left = left.join(words, "tag_id")
     offers = join_groups(materialize(offers, "offers"), materialize(words.join(tags.select("tag_id", "n"), "tag_id"), "offer-words"), ["tag_id"], "n", rows.count()).drop("n")
-    offers = materialize(blocks.with_chunks(materialize(offers, "match-right"), ["granularity", "dst_paper"], "dst_unit"), "match-right")
+    offers = blocks.with_chunks(materialize(offers, "match-right"), ["granularity", "dst_paper"], "dst_unit")
     met = blocks.meet(materialize(left, "match-left"), offers, ["granularity"], ["tag_id", "chunk"], ["dst_paper", "chunk"], solve, f"{schema}, chunks int")
     if offers.filter("chunks > 1").isEmpty():
         return met.drop("chunks")
@@ -228,15 +217,15 @@ def match_units(units: DataFrame, papers: list | None = None) -> DataFrame:
     clean = [T.slot_value(F.col(c)).alias(c) for c in T.SLOTS]
     rows = units.select("granularity", "paper", "unit", *clean, "text").filter("granularity <> 'sections'")
     place = F.array_position(F.array(*map(F.lit, papers)), F.col("paper")) if papers else F.lit(0)
-    rows = rows.withColumn("place", place).filter("place > 0" if papers else "true").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("place", place.cast("int")).filter("place > 0" if papers else "true").withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "match-units")
     words = blocks.number_words(rows.select("row", T.content_tokens(F.coalesce("text", F.lit(""))).alias("w")), "row", F.col("w"))
     # slots are compared as numbers, so that a long one takes no room in a block
-    for c in T.SLOTS:
-        values = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).withColumn("number", F.when(F.col(c) == "", F.lit(-1)).otherwise(F.monotonically_increasing_id()))
-        rows = materialize(join_groups(rows, materialize(values, "slot-values"), [c], "n", rows.count()).drop(c, "n").withColumnRenamed("number", c), "match-units")
-    rows = materialize(rows.drop("text").join(words, "row"), "match-units")
-    rows = materialize(blocks.with_chunks(rows, ["granularity", "paper"], "row"), "match-units")
+    values = rows.select("row", F.posexplode(F.array(*T.SLOTS)).alias("slot", "value")).filter("value <> ''")
+    numbers = materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("number", F.monotonically_increasing_id()), "slot-values")
+    filled = join_groups(values, numbers, ["value"], "n", 3 * rows.count()).groupBy("row").agg(*[F.max(F.when(F.col("slot") == i, F.col("number"))).alias(c) for i, c in enumerate(T.SLOTS)])
+    rows = rows.drop("text", *T.SLOTS).join(words, "row").join(filled, "row", "left").na.fill(-1, list(T.SLOTS))
+    rows = blocks.with_chunks(materialize(rows, "match-units"), ["granularity", "paper"], "row")
 
     def scored(left: pa.Table, right: pa.Table) -> tuple:
         shared, a, b = blocks.shared_counts(left["words"], right["words"])
@@ -294,19 +283,40 @@ def match_sections(units: DataFrame) -> DataFrame:
     """Mutual best matches of sections of each two papers, the smaller id first: ``paper, unit, dst_paper, dst_unit, similarity, entity_similarity, content_similarity``.
 
     The tags' text similarity is not symmetric, so each direction ranks by its own scores; the similarities
-    given are those of the first paper's direction, rounded to three digits. Papers have some ten sections each.
+    given are those of the first paper's direction, rounded to three digits. Tags and texts are tokenised once; sections meet in blocks, and
+    the tags are compared letter by letter only where bounds let them (``similarity.best_in_block``). A paper of any size is dealt
+    over blocks, whose best meet again. Null tags and texts count as empty; repeated rows are sections of their own; an empty table gives no rows.
     """
-    rows = units.filter("granularity = 'sections'").select("paper", "unit", *[F.coalesce(c, F.lit("")).alias(c) for c in (*T.SLOTS, "text")])
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], F.lit(0).alias("_g"))
-    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], F.lit(0).alias("_g"))
-    side = lambda s: {c: F.col(f"{s}_{c}") for c in (*T.SLOTS, "text")}
-    combined, entity, content = unit_similarity(F.lit("sections"), side("a"), side("b"))
-    pairs = spread_join(a, b, ["_g"]).filter("a_paper <> b_paper").select("a_paper", "a_unit", "b_paper", "b_unit", combined.alias("raw"), entity.alias("entity"), content.alias("content"))
-    best = F.rank().over(Window.partitionBy("a_paper", "a_unit", "b_paper").orderBy(F.desc("raw")))
-    best = materialize(pairs.withColumn("rk", best).filter("rk = 1").drop("rk"), "section-best")
-    back = best.select(F.col("b_paper").alias("a_paper"), F.col("b_unit").alias("a_unit"), F.col("a_paper").alias("b_paper"), F.col("a_unit").alias("b_unit"))
-    links = best.filter("a_paper < b_paper").join(back, ["a_paper", "a_unit", "b_paper", "b_unit"], "left_semi")
-    return links.select(F.col("a_paper").alias("paper"), F.col("a_unit").alias("unit"), F.col("b_paper").alias("dst_paper"), F.col("b_unit").alias("dst_unit"), *[T.py_round(F.col(c), 3).alias(n) for c, n in (("raw", "similarity"), ("entity", "entity_similarity"), ("content", "content_similarity"))])
+    kinds = dict(units.dtypes)
+    rows = units.filter("granularity = 'sections'").select("paper", "unit", F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("_g"))
+    rows = materialize(rows, "sections")
+    numbers = lambda words, name: materialize(blocks.number_words(rows.select("row", words.alias("w")), "row", F.col("w")).withColumnRenamed("words", name), name)
+    own = rows.select("row", "_g", "paper", "unit", F.lower("tag").alias("low")).join(numbers(T.tokens(F.col("tag")), "tag_words"), "row").join(numbers(T.content_tokens(F.col("text")), "words"), "row")
+    own = materialize(own, "sections")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, tags = blocks.jaccard(*blocks.shared_counts(left["tag_words"], right["tag_words"]))
+        _, content = blocks.jaccard(*blocks.shared_counts(left["words"], right["words"]))
+        papers = [t["paper"].to_numpy(zero_copy_only=False) for t in (left, right)]
+        entity = lambda i, j, ratio: 0.5 * tags[i, j] + 0.5 * ratio
+        combine = lambda i, j, ratio: 0.5 * entity(i, j, ratio) + 0.5 * content[i, j]
+        group_of = np.unique(papers[1], return_inverse=True)[1]
+        lows = [t["low"].to_pylist() for t in (left, right)]
+        i, j, raw, _ = similarity.best_in_block(*lows, combine, np.arange(len(right)), group_of, None, 0.0, papers[0][:, None] == papers[1][None, :])
+        ratios = [similarity.ratio(lows[0][a], lows[1][b]) for a, b in zip(i, j)]
+        take = lambda t, c, at: t[c].combine_chunks().take(pa.array(at, pa.int64()))
+        return pa.table(
+            [take(left, "row", i), take(right, "row", j), take(left, "paper", i), take(left, "unit", i), take(right, "paper", j), take(right, "unit", j), pa.array(raw, pa.float64()),
+             pa.array([float(entity(a, b, r)) for a, b, r in zip(i, j, ratios)], pa.float64()), pa.array([float(content[a, b]) for a, b in zip(i, j)], pa.float64())],
+            ["row", "dst_row", "paper", "unit", "dst_paper", "dst_unit", "raw", "entity", "content"])
+
+    schema = f"row long, dst_row long, paper {kinds['paper']}, unit {kinds['unit']}, dst_paper {kinds['paper']}, dst_unit {kinds['unit']}, raw double, entity double, content double"
+    met = blocks.meet(own, own, ["_g"], ["row"], ["row"], solve, schema)
+    best = F.rank().over(Window.partitionBy("row", "dst_paper").orderBy(F.desc("raw")))
+    best = materialize(met.withColumn("rk", best).filter("rk = 1").drop("rk"), "section-best")
+    back = best.select(F.col("dst_row").alias("row"), F.col("row").alias("dst_row"))
+    links = best.filter("paper < dst_paper").join(back, ["row", "dst_row"], "left_semi")
+    return links.select("paper", "unit", "dst_paper", "dst_unit", *[T.py_round(F.col(c), 3).alias(n) for c, n in (("raw", "similarity"), ("entity", "entity_similarity"), ("content", "content_similarity"))])
 
 
 def group_matches(groups: DataFrame, k: int = 3, counted=None) -> DataFrame:

@@ -8,6 +8,7 @@ each row then looks at its candidates from the best bound down, until none reach
 from __future__ import annotations
 
 from bisect import insort
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from heapq import heappop, heappush
 
@@ -58,19 +59,25 @@ class _Target:
         return self.matcher.ratio()
 
 
-def best_in_block(left: list[str], right: list[str], jaccard: np.ndarray, text_of: np.ndarray, group_of: np.ndarray, k: int, floor: float, same: np.ndarray | None = None) -> tuple[list[int], list[int], list[float], int]:
+def ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def best_in_block(left: list[str], right: list[str], combine: Callable, text_of: np.ndarray, group_of: np.ndarray, k: int | None, floor: float, same: np.ndarray | None = None) -> tuple[list[int], list[int], list[float], int]:
     """Rows, candidates and scores of the ``k`` best candidates of each row and group, and how many pairs were compared exactly.
 
     Candidates stand in order of preference; ``text_of`` and ``group_of`` give their text (a place in ``right``) and group.
+    ``combine(row, text, ratio)`` is the score, which grows with the ratio; without ``k`` all candidates with the best score are chosen.
     ``same`` marks pairs of a row and a candidate that don't count; scores below ``floor`` don't either. A candidate is met with the bound
     of its characters, then, if that still reaches, with that of its common subsequence, and only then compared.
     """
-    bounds = 0.5 * jaccard + 0.5 * ratio_bounds(left, right)
+    every = np.arange(len(right))
+    bounds = ratio_bounds(left, right)
     targets: dict[int, _Target] = {}
     out: tuple[list[int], list[int], list[float]] = ([], [], [])
     compared = 0
     for i, own in enumerate(left):
-        reach = bounds[i][text_of]
+        reach = combine(i, every, bounds[i])[text_of]
         counts = reach >= floor if same is None else (reach >= floor) & ~same[i]
         places = np.flatnonzero(counts)
         places = places[np.argsort(-reach[places], kind="stable")]
@@ -80,21 +87,22 @@ def best_in_block(left: list[str], right: list[str], jaccard: np.ndarray, text_o
         while heap:
             bound, j, stage = heappop(heap)
             kept = best.setdefault(int(group_of[j]), [])
-            if -bound < floor or len(kept) == k and bound > kept[-1][0]:
+            if -bound < floor or len(kept) >= (k or 1) and bound > kept[-1][0]:
                 continue
             t = int(text_of[j])
             target = targets.get(t) or targets.setdefault(t, _Target(right[t]))
             if stage == 2:
                 insort(kept, (bound, j))
-                del kept[k:]
+                del kept[k or len(kept) :]
                 continue
             if t not in known[stage]:
-                known[stage][t] = 0.5 * float(jaccard[i, t]) + 0.5 * (target.ratio(own) if stage else target.ratio_bound(own))
+                known[stage][t] = float(combine(i, t, target.ratio(own) if stage else target.ratio_bound(own)))
                 compared += stage
             heappush(heap, (-known[stage][t], j, stage + 1))
         for kept in best.values():
             for score, j in kept:
-                out[0].append(i), out[1].append(j), out[2].append(-score)
+                if k or score == kept[0][0]:
+                    out[0].append(i), out[1].append(j), out[2].append(-score)
     return *out, compared
 
 
@@ -120,7 +128,8 @@ def best_matches(rows: DataFrame, offers: DataFrame, k: int, floor: float = 0.0,
         distinct = right.take(pa.array(first))
         _, jaccard = blocks.jaccard(*blocks.shared_counts(left["words"], distinct["words"]))
         same = left["row"].to_numpy()[:, None] == right["own"].to_numpy()[None, :]
-        i, j, score, compared = best_in_block(left["low"].to_pylist(), distinct["low"].to_pylist(), jaccard, text_of, group_of, k, floor, same)
+        combine = lambda i, t, ratio: 0.5 * jaccard[i, t] + 0.5 * ratio
+        i, j, score, compared = best_in_block(left["low"].to_pylist(), distinct["low"].to_pylist(), combine, text_of, group_of, k, floor, same)
         if counted is not None:
             counted.add((left.num_rows * len(names), compared))
         take = lambda t, c, at: t[c].combine_chunks().take(pa.array(at, pa.int64()))
