@@ -9,7 +9,7 @@ from lumenforge.functions import text as T
 from lumenforge.operators import align, assign, match, paragraphs, reading_order
 from lumenforge.plans.lineage import materialize
 from lumenforge.sources import stages
-from lumenforge.sources.tables import conv_units, deep_graphs, part_units, region_graphs, table
+from lumenforge.sources.tables import chain_graphs, conv_units, deep_graphs, part_units, region_graphs, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -401,6 +401,20 @@ def paragraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("paper", "id", "section_id", "tag", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "prev_relation", "next_relation")
 
 
+@query("""WITH p AS (SELECT page_id, html, length(html) > 25000 AS long, strpos(lower(html), '<h1>') AS a FROM pages),
+q AS (SELECT *, CASE WHEN strpos(lower(substr(html, a + 1)), '</h1>') > 0 THEN a + strpos(lower(substr(html, a + 1)), '</h1>') ELSE 0 END AS b FROM p),
+r AS (SELECT page_id, html, unnest(CASE WHEN long THEN [{'n': 0, 'tag': 'whole', 'k': 1, 'e': NULL, 'own': ''}] ELSE
+  [{'n': 0, 'tag': 'first', 'k': a, 'e': nullif(b, 0), 'own': '<H1>'}, {'n': 1, 'tag': 'second', 'k': b, 'e': NULL, 'own': '</h1>'}, {'n': 2, 'tag': 'third', 'k': 0, 'e': NULL, 'own': 'no such start'}] END, recursive := true) FROM q),
+t AS (SELECT page_id % 40 AS paper, page_id, n, tag, CASE WHEN k = 0 THEN own ELSE trim(CASE WHEN e IS NULL THEN substr(html, k) ELSE substr(html, k, e - k) END, E' \n\t\r') END AS text FROM r)
+SELECT paper, 'pa' || row_number() OVER (PARTITION BY paper ORDER BY page_id, n) AS id, 's' || page_id AS section_id, tag, sha256(text) AS text_sha256 FROM t""")
+def paragraph_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is a section with three paragraphs, the last of which never begins; a paper has many sections."""
+    paragraph = lambda tag, start: F.struct(F.lit(tag).alias("tag"), F.lit(start).alias("start_text"), F.lit("").alias("prev_relation"), F.lit("").alias("next_relation"))
+    three = F.array(paragraph("first", "<H1>"), paragraph("second", "</h1>"), paragraph("third", "no such start"))
+    sections = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("paper"), F.col("page_id").alias("position"), F.concat(F.lit("s"), "page_id").alias("section_id"), F.lit("whole").alias("tag"), F.col("html").alias("text"), three.alias("paragraphs"))
+    return paragraphs.build_paragraphs(sections).select("paper", "id", "section_id", "tag", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 @query("""SELECT doc_id AS paper, length(coalesce(text, '')) > 25000 OR doc_id % 2 = 0 AS whole, CASE WHEN length(coalesce(text, '')) > 25000 OR doc_id % 2 = 0 THEN substr(coalesce(text, ''), 1, 60) ELSE 'start' END AS start_text FROM documents""")
 def long_section_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document a section; those of even id got no response."""
@@ -470,6 +484,16 @@ def arc_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alive.groupBy("paper_a", "paper_b").agg(F.count(F.lit(1)).alias("surviving"))
 
 
+@query("""WITH o AS (SELECT c_nationkey AS paper, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+runs AS (SELECT paper, o_orderkey, sum((o_orderkey % 5 = 0)::INT) OVER (PARTITION BY paper ORDER BY o_orderkey) AS run FROM o),
+d AS (SELECT paper, row_number() OVER (PARTITION BY paper, run ORDER BY o_orderkey) AS depth FROM runs UNION ALL SELECT c_nationkey, 0 FROM customer)
+SELECT paper, count(*) AS propositions, max(depth) AS max_order, avg(depth) AS mean_order FROM d GROUP BY paper""")
+def chain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systematicity of chains: an order is about its customer and, unless its key divides by five, about the order before it in its nation."""
+    entities, props = chain_graphs(spark, sf_dir)
+    return align.systematicity(props, entities=entities)
+
+
 @query()
 def deep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Systematicity of graphs with long chains that close to cycles."""

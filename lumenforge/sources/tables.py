@@ -64,3 +64,16 @@ def deep_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     more = F.when(F.col("o_orderkey") % 11 == 0, F.lit("nowhere")).otherwise(F.concat(F.lit("o"), following))
     second = placed.select("paper", F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate"), F.array(F.concat(F.lit("c"), "o_custkey"), more).alias("args"))
     return entities, first.unionByName(second)
+
+
+def chain_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and propositions of one graph per nation without cycles: customers about the supplier with their key, orders about their customer and
+    the order before, where a key that divides by five begins anew."""
+    customer, orders, supplier = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    entities = supplier.select(F.col("s_nationkey").alias("paper"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    first = customer.select(F.col("c_nationkey").alias("paper"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("predicate"), F.array(F.concat(F.lit("s"), "c_custkey")).alias("args"))
+    placed = orders.join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("paper")), "o_custkey")
+    before = F.concat(F.lit("o"), F.lag("o_orderkey").over(Window.partitionBy("paper").orderBy("o_orderkey")))
+    own = F.concat(F.lit("c"), "o_custkey")
+    second = placed.select("paper", F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate"), F.when(F.col("o_orderkey") % 5 == 0, F.array(own)).otherwise(F.array(own, before)).alias("args"))
+    return entities, first.unionByName(second)
