@@ -78,6 +78,12 @@ def _placed(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: i
     return out.select("id", "size", "_key", "_mark", "_group", "source_size", "target", "_before", "_epochs", "_rest")
 
 
+def _row_mark(rows: DataFrame, text: str) -> Column:
+    """A digest of all columns; the text enters by its own, so that a long one is not copied."""
+    others = F.to_json(F.struct(*[c for c in rows.columns if c != text]))
+    return F.md5(F.encode(F.concat_ws("|", F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("none")), others), "UTF-8"))
+
+
 def _cut_rows(plan: DataFrame, marks: DataFrame) -> DataFrame:
     """``_group, _epochs, _cut, _n``: each source's last row, in the order of the mix, that is taken once more than ``_epochs``, as its place
     ``(key, id, size, mark)``, and how many rows of that place are."""
@@ -101,7 +107,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seed = options.get("seed", SEED)
     rows = docs.toDF(*names.values())
     own = F.struct(*names.values())
-    rows = rows.withColumns({"_id": F.col(names[id_col]), "_group": source_group(F.col(names[source_col])), "_size": word_count(F.col(names[text_col])), "_own_key": random_key(F.col(names[id_col]), seed), "_mark": F.md5(F.encode(F.to_json(own), "UTF-8"))})
+    rows = rows.withColumns({"_id": F.col(names[id_col]), "_group": source_group(F.col(names[source_col])), "_size": word_count(F.col(names[text_col])), "_own_key": random_key(F.col(names[id_col]), seed), "_mark": _row_mark(rows, names[text_col])})
     marked = rows.select(F.col(names[source_col]).alias("source"), F.col("_id").alias("id"), F.col("_size").alias("size"), "_mark")
     plan = materialize(_placed(marked, seed=seed, **{k: v for k, v in options.items() if k != "seed"}), "mix-plan")
     cuts = materialize(_cut_rows(plan, plan.select("_group", "_epochs").distinct()), "mix-cuts")
