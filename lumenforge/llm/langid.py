@@ -248,7 +248,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Scorer:
     """Sums of word scores per text; words that were seen before come from a bounded cache."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.cache, self.scores = model, {}, np.zeros((0, len(model.langs) + 1), np.float32)

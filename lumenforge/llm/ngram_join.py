@@ -19,7 +19,7 @@ WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4  # a pair at 0.8 shares none of the 32 bands of 4 with probability 5e-8
 BANDS = HASHES // ROWS
 BLOCK = 1024
-BYTES = 16_000_000
+BYTES = 48_000_000
 TOLERANCE = 1e-6
 STEPS = (32, 64, 96, 128)
 _MULTIPLIERS = vectext.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -243,8 +243,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
     # a part holds about BLOCK nodes and BYTES of shingles, so a block of long texts is as large as one of short ones
     parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") * 8 / BYTES))
-    shared = materialize(shared.withColumn("parts", parts).drop("shingles"), "buckets")
-    members = join_groups(bands.drop("n"), shared, ["bucket"], "size", nodes.count() * BANDS).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    shared = shared.withColumn("parts", parts).drop("shingles")
+    members = bands.drop("n").join(shared, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     members = members.join(nodes.select("node", "sig"), "node").select("bucket", "band", "node", "part", "sig", _sides(F.col("parts"), F.col("part")).alias("b"))
     members = members.select("bucket", F.col("b.low").alias("low"), F.col("b.high").alias("high"), "node", "part", "band", "sig")
     block = ["bucket", "low", "high"]
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     such links lead to. Ids are integers.
 
     1. Rows with equal sets become one node, so thousands of copies cost one. 2. Nodes that agree in a
-    band of four MinHash values meet in its bucket. Buckets of over 1024 nodes or 16 MB of shingles are cut into parts,
+    band of four MinHash values meet in its bucket. Buckets of over 1024 nodes or 48 MB of shingles are cut into parts,
     and every pair of parts is a block of its own. A pair is looked at where it meets first: after 32,
     64, 96 and 128 values it is dropped once P(similarity >= threshold) falls below 1e-6. What leaves a
     block are its nodes with a pair left, not the pairs. 3. The shingles of those nodes go to the blocks
