@@ -59,7 +59,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     own = own.select("b", "gram", "place", "long", "grown", F.inline(ends_of(F.col("b"), half(F.col("long") - F.col("grown")))))
     other = rows.select(F.col("word").alias("a"), "gram", F.col("long").alias("was"), F.inline(F.array(*[F.struct((F.col("place") + s).alias("place"), F.lit(g).alias("grown")) for g, s in ((0, 0), (1, 0), (1, 1))])))
     other = other.select("a", "gram", "place", (F.col("was") + F.col("grown")).alias("long"), "grown", F.inline(ends_of(F.col("a"), half(F.col("was")))))
-    met = other.join(own, ["gram", "place", "long", "grown", "end", "part"])
+    met = other.hint("merge").join(own, ["gram", "place", "long", "grown", "end", "part"])
     one = F.levenshtein("a", "b", 1) == 1
     return met.filter(((F.col("grown") == 1) | (F.col("a") < F.col("b"))) & one).select("a", "b").distinct()
 
@@ -74,13 +74,14 @@ def group_variants(words: DataFrame) -> DataFrame:
 
     A word's form is the most frequent of its near words (ties: the first by code points) if that is at least twice as frequent
     as the word. Its root is where its forms end. Since counts double from form to form, a chain has fewer than 64 steps; each round
-    every word takes the form of its form, so six rounds do, and they end when none moves.
+    every word takes the form of its form, so six rounds do, and they end when none moves. Files of words are small beside their rows in memory,
+    so tables of words meet by merge: Spark would take them for broadcasts that the driver can't hold.
     """
     words = materialize(words, "spelling-words")
     pairs = materialize(near_pairs(words), "spelling-pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "b")).alias("best"))
-    rows = words.join(best.withColumnRenamed("a", "word"), "word", "left")
+    best = both.hint("merge").join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "b")).alias("best"))
+    rows = words.hint("merge").join(best.withColumnRenamed("a", "word"), "word", "left")
     takes = -F.col("best.m") >= 2 * F.col("n")
     rows = rows.select("word", F.when(takes, F.col("best.b")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, -F.col("best.m")).alias("form_n"))
     rows = materialize(rows, "spelling-rows")
@@ -88,13 +89,13 @@ def group_variants(words: DataFrame) -> DataFrame:
     roots = materialize(rows.filter("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = materialize(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        after = materialize(roots.hint("merge").join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         discard(roots)
         if after.filter("moved").isEmpty():
             break
         roots = after.drop("moved")
         roots._shared_path = after._shared_path
-    return rows.join(after.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.hint("merge").join(after.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

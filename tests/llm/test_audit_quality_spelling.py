@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lumenforge.llm import filter_audit, quality, spelling
+from lumenforge.plans.lineage import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -190,3 +191,11 @@ def test_context_sums_and_pooling_against_loops():
         assert np.allclose(features[1, : quality.DIMS], own.mean(0), atol=1e-5) and np.allclose(features[1, quality.DIMS : 2 * quality.DIMS], own.std(0), atol=1e-5)
         assert np.isclose(features[1, -2], len(set(rows[bounds[1] : bounds[2]])) / len(own)) and not features[0].any()
         quality.PART = before
+
+
+def test_tables_of_words_are_not_broadcast(spark):
+    """Joins of words go by merge, whatever the files' sizes; frequencies of bigrams alone, 8,100 at most, are broadcast."""
+    words = materialize(spark.createDataFrame([("colour", 9), ("color", 4), ("colors", 3)], "word string, n long"), "test-words")
+    for rows, most in ((spelling.near_pairs(words), 2), (spelling.group_variants(words), 0)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= most, plan
