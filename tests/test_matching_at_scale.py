@@ -242,3 +242,13 @@ def test_manifest_maps_titles_and_questions_of_super_groups(spark, tmp_path):
     stages.write_json(match.nested_groups(links), str(tmp_path / "groups"))
     group = json.loads(next((tmp_path / "groups").glob("part-*")).read_text())
     assert group["group_id"] == "group_1" and len(group["members"]) == 2 and group["links"][0]["dst_paper"] == "b"
+
+
+def test_graphs_are_read_once_and_carry_no_lists_of_entities(spark):
+    """A paper's entities never stand beside its propositions, and the steps of an alignment read written graphs."""
+    entities = spark.createDataFrame([("x", f"e{i}", "n", "k") for i in range(5)] + [("y", "e0", "n", "k")], "paper string, id string, name string, kind string")
+    props = spark.createDataFrame([("x", "p", "r", ["e1", None, "q", "gone"]), ("x", "q", "r", ["e2"]), ("x", "e3", "r", ["p"]), ("x", "t", "r", ["e3", "t"]), ("y", "p", "r", ["q"])], "paper string, id string, predicate string, args array<string>")
+    orders = align.proposition_orders(props, entities)
+    assert {(r.paper, r.id): r["order"] for r in orders.collect()} == {("x", "p"): 1, ("x", "q"): 0, ("x", "e3"): 2, ("x", "t"): 1, ("y", "p"): 0}
+    assert "collect_set" not in orders._jdf.queryExecution().toString()
+    assert align.Alignment(entities, props).props._shared_path
