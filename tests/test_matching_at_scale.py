@@ -252,3 +252,23 @@ def test_graphs_are_read_once_and_carry_no_lists_of_entities(spark):
     assert {(r.paper, r.id): r["order"] for r in orders.collect()} == {("x", "p"): 1, ("x", "q"): 0, ("x", "e3"): 2, ("x", "t"): 1, ("y", "p"): 0}
     assert "collect_set" not in orders._jdf.queryExecution().toString()
     assert align.Alignment(entities, props).props._shared_path
+
+
+def test_papers_of_one_profile_are_counted_once(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"p{i}", *(rng.choice(["", "u", "a"]) if s else rng.choice(["", "t", f"own{i}"]) for s in range(3))) for i in range(40) for _ in range(i % 3 + 1)]
+    met = []
+    meet = blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda left, *rest: met.append(left.select("profile").distinct().count()) or meet(left, *rest))
+    kept = [(p, *(v.strip() for v in x)) for p, *x in rows]
+    got = {r.slots: (r.pairs, r.paper_pairs) for r in match.slot_pair_counts(spark.createDataFrame(rows + [(f"c{k}", "t", "u", "a") for k in range(30)], f"paper string, {', '.join(f'{c} string' for c in T.SLOTS)}")).collect()}
+    kept += [(f"c{k}", "t", "u", "a") for k in range(30)]
+    pairs, papers = Counter(), set()
+    for a in kept:
+        for b in kept:
+            n = sum(x == y != "" for x, y in zip(a[1:], b[1:]))
+            if a[0] < b[0] and n:
+                pairs[n] += 1
+                papers.add((n, a[0], b[0]))
+    assert got == {n: (pairs[n], sum(p[0] == n for p in papers)) for n in pairs}
+    assert met[0] <= 41
