@@ -272,3 +272,25 @@ def test_papers_of_one_profile_are_counted_once(spark, monkeypatch):
                 papers.add((n, a[0], b[0]))
     assert got == {n: (pairs[n], sum(p[0] == n for p in papers)) for n in pairs}
     assert met[0] <= 41
+
+
+def test_equal_questions_are_compared_once(spark):
+    from pyspark.accumulators import AccumulatorParam
+
+    texts = ["the red fox", "a red dog", "", "the red fox ran", "dogs"]
+    groups = [(i, 100 - i, texts[i % 5]) for i in range(40)]
+
+    class Pairs(AccumulatorParam):
+        def zero(self, value):
+            return (0, 0)
+
+        def addInPlace(self, a, b):
+            return (a[0] + b[0], a[1] + b[1])
+
+    counted = spark.sparkContext.accumulator((0, 0), Pairs())
+    got = {(r.group_id, r.rk): r.dst_group for r in match.group_matches(spark.createDataFrame(groups, "group_id int, position int, question string"), counted=counted).collect()}
+    score = lambda a, b: 0.5 * share(tokens(a), tokens(b)) + 0.5 * similarity.ratio(a.lower(), b.lower())
+    for i, _, a in groups:
+        best = sorted((-score(a, b), p, j) for j, p, b in groups if j != i)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [j for *_, j in best]
+    assert counted.value[0] == 25  # pairs of texts, not of groups
