@@ -294,3 +294,20 @@ def test_equal_questions_are_compared_once(spark):
         best = sorted((-score(a, b), p, j) for j, p, b in groups if j != i)[:3]
         assert [got[i, r] for r in (1, 2, 3)] == [j for *_, j in best]
     assert counted.value[0] == 25  # pairs of texts, not of groups
+
+
+@pytest.mark.parametrize("wide", [1, 3])
+def test_wide_parts_meet_part_by_part(spark, monkeypatch, wide):
+    """Each pair of rows of one group meets once, in tables of about a block, and what is solved leaves piece by piece."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "WIDE", wide)
+    rows = spark.createDataFrame([(i, "g" if i % 4 else "h", "x" * i) for i in range(90)], "k long, g string, t string")
+
+    def solve(left, right):
+        assert len(left) < 40 and len(right) < 40
+        for a, t in zip(left["k"].to_pylist(), left["t"].to_pylist()):
+            yield pa.table({"n": [len(t)] * len(right), "a": [a] * len(right), "b": right["k"].to_pylist()})
+
+    got = Counter(tuple(r) for r in blocks.meet(rows, rows, ["g"], ["k"], ["k"], solve, "n int, a long, b long", 8).collect())
+    assert got == Counter((i, i, j) for i in range(90) for j in range(90) if (i % 4 > 0) == (j % 4 > 0))
