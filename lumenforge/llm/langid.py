@@ -300,6 +300,7 @@ def detect(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
     schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
 
     def run(batches):
+        vectext.release()
         model = shared.value
         scorer = Scorer(model) if model else None
         for batch in batches:
@@ -313,6 +314,8 @@ def detect(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
                     best, score, accepted, letters = np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts), bool), np.zeros(len(texts), bool)
                 langs = [model.langs[b] if ok else "und" for b, ok in zip(best, letters)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(letters & accepted, pa.bool_())], names=schema.names)
+        scorer = None
+        vectext.trim()
 
     return rows.mapInArrow(run, schema)
 

@@ -155,6 +155,7 @@ def _candidates(batches, threshold: float):
             n = len(hit)
             columns = ([bucket] * n, [low] * n, [high] * n, [rows[x][0] for x in hit], [rows[x][1] for x in hit])
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([band] * n, pa.int32())], [c.split()[0] for c in MEMBERS.split(", ")])
+    vectext.trim()
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -198,6 +199,7 @@ def _verify(batches, threshold: float):
         hit = np.flatnonzero(links).tolist()
         if hit:
             yield pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x in hit], pa.int64()), pa.array([rows[root[x]][0] for x in hit], pa.int64()), pa.array(links[hit], pa.int64())], ["node", "root", "links"])
+    vectext.trim()
 
 
 def _sides(parts: Column, own: Column) -> Column:
@@ -212,12 +214,14 @@ def _text_key(text: Column) -> Column:
 
 def _sketch(batches):
     """(id, text_key, text) to sketches, without the text."""
+    vectext.release()
     for batch in batches:
         for k in range(0, batch.num_rows, 1000):
             part = batch.slice(k, 1000)
             sets = shingle_sets([t or "" for t in part.column(2).to_pylist()])
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["id", "text_key", "set_key", "sig", "n"])
+    vectext.trim()
 
 
 def _shingles(batches):
@@ -226,6 +230,7 @@ def _shingles(batches):
         for k in range(0, batch.num_rows, 1000):
             part = batch.slice(k, 1000)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], ["node", "shingles"])
+    vectext.trim()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -80,7 +80,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order and their words: a dict takes eight times the room
         self.odd: dict[str, int] = {}  # words whose hash is that of another
         self.ids, self.letters = vectext.Spans(np.uint32), vectext.Spans(np.uint32)
 
@@ -141,17 +141,23 @@ class Encoder:
             self._clear()
         starts, ends = self._words(joined, cp, bounds)
         keys, first, inverse = np.unique(vectext.span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        near = np.searchsorted(self.known, keys)
+        found = np.zeros(len(keys), bool)
+        if len(self.known):
+            found = self.known[np.minimum(near, len(self.known) - 1)] == keys
+        words = np.zeros(len(keys), np.int64)
+        words[found] = self.places[near[found]]
+        new = np.flatnonzero(~found)
         kept, odd = len(new), len(self.odd)
-        if new:
+        if len(new):
             long = (ends - starts)[first[new]] > self.STORED
-            if long.any():  # those come last and go again below
-                kept -= int(long.sum())
-                new = [i for i, x in zip(new, long) if not x] + [i for i, x in zip(new, long) if x]
+            kept -= int(long.sum())
+            new = np.concatenate([new[~long], new[long]])  # long ones come last and go again below
             at = first[new]
-            self.known.update(zip([keys[i] for i in new], self._add(joined, cp, starts[at], ends[at])))
-        word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+            words[new] = self._add(joined, cp, starts[at], ends[at])
+            stored = new[:kept]
+            self.known, self.places = np.insert(self.known, near[stored], keys[stored]), np.insert(self.places, near[stored], words[stored].astype(np.int32))
+        word = words[inverse]
         for i in np.flatnonzero(self.letters.differ(word, cp, starts, ends)).tolist():
             own = joined[starts[i] : ends[i]]
             if own not in self.odd:
@@ -159,31 +165,24 @@ class Encoder:
             word[i] = self.odd[own]
         ids, upto = self.ids.take(word)
         if kept < len(new):
-            self._forget([keys[i] for i in new[kept:]], len(self.odd) > odd)
+            self._forget(len(new) - kept, len(self.odd) > odd)
         return ids, upto[np.searchsorted(starts, bounds)]
 
-    def _forget(self, keys: list[int], mixed: bool) -> None:
-        """Drop the words of ``keys``, which were stored last; all words if others were stored behind them."""
+    def _forget(self, last: int, mixed: bool) -> None:
+        """Drop the ``last`` words, which were stored last and are not known by their hash; all words if others were stored behind them."""
         if mixed:
             self._clear()
             return
-        for k in keys:
-            del self.known[k]
         for spans in (self.ids, self.letters):
-            spans.count -= len(keys)
+            spans.count -= last
             spans.used = int(spans.begin[spans.count])
             if len(spans.flat) > 1 << 16 and len(spans.flat) > 4 * spans.used:
                 spans.flat = spans.flat[: max(1 << 16, 2 * spans.used)].copy()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder and cache for all tasks of a worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder and cache for all tasks of a worker process, until it turns to another operator."""
+    return vectext.kept(("encoder", path), lambda: Encoder(path))
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -199,7 +198,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         own_encoder = encoder(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in vectext.pieces(texts, 400_000):
                 ids, bounds = own_encoder.encode(texts[begin:end])
@@ -211,6 +210,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                         a = max(a, 0)
                         doc.append(begin + i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(own[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32"])
+        vectext.trim()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {PIECES}")
 

@@ -790,3 +790,15 @@ def test_pii_against_regular_expressions(spark):
     assert len(seen) > 60 and all(len({same(o) for o in olds}) == 1 for olds in by_new.values())
     empty = pii.replace_pii(make(spark, []), key="k")
     assert empty.count() == 0
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(tokenizer):
+    """The encoder's words stayed in a worker process beside what later operators need."""
+    first = packing.encoder(tokenizer)
+    assert packing.encoder(tokenizer) is first
+    list(ngram_join._sketch([]))
+    assert packing.encoder(tokenizer) is not first
+    texts = [f"w{i} w{i % 7} {'y' * 70}{i % 3}" for i in range(3000)]
+    expected = first.encode(texts)
+    for own, other in zip(expected, first.encode(texts)):  # from the cache
+        assert own.tolist() == other.tolist()
