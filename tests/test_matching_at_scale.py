@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenforge.functions import text as T
 from lumenforge.operators import align, assign, blocks, match, setjoin, similarity
 from lumenforge.operators.components import connected_components
+from lumenforge.plans.lineage import materialize
 from lumenforge.plans.prefix import numbered
 
 UNITS = "granularity string, paper string, unit int, tag string, prev_relation string, next_relation string, text string"
@@ -311,3 +312,24 @@ def test_wide_parts_meet_part_by_part(spark, monkeypatch, wide):
 
     got = Counter(tuple(r) for r in blocks.meet(rows, rows, ["g"], ["k"], ["k"], solve, "n int, a long, b long", 8).collect())
     assert got == Counter((i, i, j) for i in range(90) for j in range(90) if (i % 4 > 0) == (j % 4 > 0))
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_threshold_groups_write_no_links(spark, monkeypatch, block):
+    """Links of papers that fit a part were written as pairs, ranks and links on the way to their groups."""
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    written = []
+    for module in (match, setjoin):
+        monkeypatch.setattr(module, "materialize", lambda df, name, f=materialize: written.append(name) or f(df, name))
+    rng = random.Random(7)
+    tags = [None, "", *[" ".join(rng.choices(WORDS, k=rng.randint(1, 6))) for _ in range(40)]]
+    rows = [("paragraphs" if i % 4 else "turns", "big" if i % 5 == 0 else f"p{i % 23}", i, rng.choice(tags), "", "", "") for i in range(150)]
+    units = spark.createDataFrame(rows, UNITS)
+    want = match.mutual_links(match.top_matches(units)).filter("score >= 0.3")
+    members, links = match.groups_and_links(want)
+    ends = ["granularity", "group_no", "paper", "unit", "dst_paper", "dst_unit", "shared", "total", "score", "rk"]
+    written.clear()
+    own_members, own_links = match.threshold_groups_and_links(units, threshold=0.3)
+    assert Counter(map(tuple, own_members.collect())) == Counter(map(tuple, members.select(*own_members.columns).collect()))
+    assert Counter(map(tuple, own_links.select(*ends).collect())) == Counter(map(tuple, links.select(*ends).collect())) and links.count()
+    assert block == 8 or not {"link-pairs", "link-ranks", "links", "large-links"} & set(written)
