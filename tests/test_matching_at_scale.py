@@ -333,3 +333,18 @@ def test_threshold_groups_write_no_links(spark, monkeypatch, block):
     assert Counter(map(tuple, own_members.collect())) == Counter(map(tuple, members.select(*own_members.columns).collect()))
     assert Counter(map(tuple, own_links.select(*ends).collect())) == Counter(map(tuple, links.select(*ends).collect())) and links.count()
     assert block == 8 or not {"link-pairs", "link-ranks", "links", "large-links"} & set(written)
+
+
+@pytest.mark.parametrize("wide", [1, 3])
+def test_mirrored_parts_meet_once(spark, wide):
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([(i, "g" if i % 4 else "h") for i in range(120)], "k long, g string")
+
+    def solve(left, right):
+        own = left["k"].to_pylist()
+        pairs = [(a, b) for a in own for b in right["k"].to_pylist() if a < b or b not in own]
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+    got = Counter(tuple(r) for r in blocks.meet(rows, rows, ["g"], ["k"], ["k"], solve, "a long, b long", 4, mirrored=True, together=wide).collect())
+    assert got == Counter((i, j) for i in range(120) for j in range(i + 1, 120) if (i % 4 > 0) == (j % 4 > 0))
