@@ -348,3 +348,31 @@ def test_mirrored_parts_meet_once(spark, wide):
 
     got = Counter(tuple(r) for r in blocks.meet(rows, rows, ["g"], ["k"], ["k"], solve, "a long, b long", 4, mirrored=True, together=wide).collect())
     assert got == Counter((i, j) for i in range(120) for j in range(i + 1, 120) if (i % 4 > 0) == (j % 4 > 0))
+
+
+def test_names_one_character_apart_are_found_without_all_pairs(spark, monkeypatch):
+    """Names that all differ were compared pair by pair."""
+    from pyspark.accumulators import AccumulatorParam
+
+    class Pairs(AccumulatorParam):
+        def zero(self, value):
+            return (0, 0)
+
+        def addInPlace(self, a, b):
+            return (a[0] + b[0], a[1] + b[1])
+
+    monkeypatch.setattr(similarity, "FEW", 10)
+    monkeypatch.setattr(similarity, "RARE", 8)
+    rng = random.Random(3)
+    names = [f"Supplier#{i:09d}" for i in range(130)]
+    odd = ["", " ", "-", "x", "SUPPLIER#000000007", "supplier#000000007", "000000009 supplier", "supplier#00000000", "supplier#0000000091", "red fox " * 12, "fox red " * 12]
+    for texts, few in ((names, True), (names + odd, False), ([" ".join(rng.choices(WORDS[:9], k=rng.randint(0, 3))) for _ in range(120)], False)):
+        counted = spark.sparkContext.accumulator((0, 0), Pairs())
+        groups = [(i, 997 * i % 1009, t) for i, t in enumerate(texts)]
+        got = {(r.group_id, r.rk): (r.dst_group, r.raw) for r in match.group_matches(spark.createDataFrame(groups, "group_id int, position int, question string"), counted=counted).collect()}
+        score = lambda a, b: 0.5 * share(tokens(a), tokens(b)) + 0.5 * similarity.ratio(a.lower(), b.lower())
+        for i, _, a in groups:
+            best = sorted((-score(a, b), p, j) for j, p, b in groups if j != i)[:3]
+            assert [got[i, r] for r in (1, 2, 3)] == [(j, -s) for s, _, j in best], a
+        assert len(got) == 3 * len(groups)
+        assert not few or counted.value[0] == 0  # no pair met in a block
