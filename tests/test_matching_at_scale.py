@@ -376,3 +376,18 @@ def test_names_one_character_apart_are_found_without_all_pairs(spark, monkeypatc
             assert [got[i, r] for r in (1, 2, 3)] == [(j, -s) for s, _, j in best], a
         assert len(got) == 3 * len(groups)
         assert not few or counted.value[0] == 0  # no pair met in a block
+
+
+@pytest.mark.parametrize("dense", [0, 6, 10**9])
+@pytest.mark.parametrize("room", [20, 8_000_000])
+def test_rare_numbers_are_counted_without_a_matrix(monkeypatch, dense, room):
+    """Every number that two parts share was a column of a matrix, most of it zeros."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    rng = random.Random(dense + room)
+    for n, m in ((20, 15), (1, 1), (0, 3), (3, 0)):
+        left, right = ([sorted({int(rng.paretovariate(0.5)) % 90 for _ in range(rng.randint(0, 12))}) for _ in range(k)] for k in (n, m))
+        shared, a, b = blocks.shared_counts(*(pa.chunked_array([pa.array(side, pa.list_(pa.int64()))]) for side in (left, right)), room)
+        assert shared.tolist() == [[len(set(x) & set(y)) for y in right] for x in left]
+        assert a.tolist() == [len(x) for x in left] and b.tolist() == [len(y) for y in right]
