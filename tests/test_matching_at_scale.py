@@ -391,3 +391,20 @@ def test_rare_numbers_are_counted_without_a_matrix(monkeypatch, dense, room):
         shared, a, b = blocks.shared_counts(*(pa.chunked_array([pa.array(side, pa.list_(pa.int64()))]) for side in (left, right)), room)
         assert shared.tolist() == [[len(set(x) & set(y)) for y in right] for x in left]
         assert a.tolist() == [len(x) for x in left] and b.tolist() == [len(y) for y in right]
+
+
+def test_ranks_within_papers_are_those_of_a_sort(monkeypatch):
+    """All columns of a part were sorted for each row, whatever a paper's size."""
+    rng = np.random.default_rng(4)
+    for sizes in ([1], [3, 1, 12, 2], [1] * 9, []):
+        paper = np.repeat(np.arange(len(sizes)), sizes)
+        score = rng.integers(0, 4, (11, len(paper))) / 4
+        ranks = match._paper_ranks(score, paper)
+        for row in range(11 if len(paper) else 0):
+            for p in range(len(sizes)):
+                own = np.flatnonzero(paper == p)
+                assert [int(ranks[row, c]) for c in sorted(own, key=lambda c: (-score[row, c], c))] == list(range(1, len(own) + 1))
+        fast = sorted(zip(*(x.tolist() for x in match._best_places(score, paper, 2)))) if len(paper) else []
+        monkeypatch.setattr(match, "SIDE", 0)
+        assert fast == (sorted(zip(*(x.tolist() for x in match._best_places(score, paper, 2)))) if len(paper) else [])
+        monkeypatch.undo()
