@@ -408,3 +408,22 @@ def test_ranks_within_papers_are_those_of_a_sort(monkeypatch):
         monkeypatch.setattr(match, "SIDE", 0)
         assert fast == (sorted(zip(*(x.tolist() for x in match._best_places(score, paper, 2)))) if len(paper) else [])
         monkeypatch.undo()
+
+
+def small_papers(seed):
+    rng = random.Random(seed)
+    tags = [None, "", *[" ".join(rng.choices(WORDS, k=rng.randint(1, 5))) for _ in range(30)], *[f"lone{i} word{i % 4}" for i in range(12)]]
+    return [("paragraphs" if i % 4 else "turns", f"p{rng.randint(0, 25)}", i, rng.choice(tags), rng.choice(["x", ""]), "", rng.choice(tags)) for i in range(140)]
+
+
+def test_steps_are_counted_without_their_rows(spark):
+    """Every candidate and link was written to be counted."""
+    rows = small_papers(5)
+    units = spark.createDataFrame(rows, UNITS)
+    top = match.top_matches(units)
+    links = match.mutual_links(top)
+    count = lambda df: Counter(r.granularity for r in df.select("granularity").collect())
+    want = [count(top), count(links), count(links.filter("score >= 0.1"))]
+    got = match.link_counts(units).collect()
+    assert [{r.granularity: r[c] for r in got} for c in ("candidates", "links", "kept_links")] == want and len(got) == 2
+    assert match.link_counts(units.unionByName(units.limit(1))) is None  # a unit that repeats
