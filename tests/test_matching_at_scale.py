@@ -427,3 +427,16 @@ def test_steps_are_counted_without_their_rows(spark):
     got = match.link_counts(units).collect()
     assert [{r.granularity: r[c] for r in got} for c in ("candidates", "links", "kept_links")] == want and len(got) == 2
     assert match.link_counts(units.unionByName(units.limit(1))) is None  # a unit that repeats
+
+
+def test_papers_of_one_component_need_not_meet(spark, monkeypatch):
+    """All papers met for groups, also those that were joined already."""
+    rows = small_papers(6)
+    units = spark.createDataFrame(rows, UNITS)
+    want = Counter(map(tuple, match.threshold_groups(units, threshold=0.3).collect()))
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(match, "ANCHORED", 1)
+    written = []
+    monkeypatch.setattr(match, "materialize", lambda df, name, f=materialize: written.append(name) or f(df, name))
+    assert Counter(map(tuple, match.threshold_groups(units, threshold=0.3).collect())) == want and want
+    assert "group-rest" in written
