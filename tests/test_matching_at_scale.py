@@ -440,3 +440,12 @@ def test_papers_of_one_component_need_not_meet(spark, monkeypatch):
     monkeypatch.setattr(match, "materialize", lambda df, name, f=materialize: written.append(name) or f(df, name))
     assert Counter(map(tuple, match.threshold_groups(units, threshold=0.3).collect())) == want and want
     assert "group-rest" in written
+
+
+def test_two_papers_meet_once_for_their_best(spark, monkeypatch):
+    """Each two parts met twice, and half of what they gave was dropped."""
+    mirrored = []
+    monkeypatch.setattr(match.blocks, "meet", lambda *a, f=blocks.meet, **k: mirrored.append(k.get("mirrored")) or f(*a, **k))
+    rows = small_papers(7)
+    found = match.match_units(spark.createDataFrame(rows, UNITS)).collect()
+    assert mirrored == [True] and len(found) == len(set(found)) and all(r.paper < r.dst_paper for r in found)
